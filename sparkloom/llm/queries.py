@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, token_matrix, token_rollup
+from . import packing, quality_ledger, secret_links, token_matrix, token_rollup
 
-_MODULES = (packing, token_matrix, token_rollup)
+_MODULES = (packing, quality_ledger, secret_links, token_matrix, token_rollup)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
