@@ -153,7 +153,7 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
     if m <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        out = np.zeros(m, np.uint64)
+        out = np.zeros((m, *h.shape[1:]), np.uint64)
         for i in range(k):
             out *= np.uint64(_BASE)
             out += h[i : i + m]
