@@ -8,11 +8,11 @@ similarity, corrected for chance collisions, and drop what cannot be a link.
 What remains is confirmed on the full sets.
 
 Candidates are not all pairs of a bucket. Each member is first held against
-the bucket's smallest one; confirmed links give components. Only members of
-different components in one bucket are then still open, and of those only
-pairs that the sizes, the number of shingles no other open text has, and the
-estimate allow. So no link is lost and a large group of copies costs about
-one pair for each member and band.
+the bucket's smallest one; confirmed links give components. Only texts of
+different components in one bucket are then still open. They are compared in
+blocks: a block's sets form an inverted index, texts outside the family's
+main component visit it, and only links leave the task. So no link is lost,
+and a large group of copies never becomes rows of pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ SLACK = 0.135
 SIMILARITY = 0.8
 #: Ids that may be broadcast (8 bytes each, counted first); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Estimates under it are far from a bucket's center; 0.4 above it covers a link's 0.2 and the estimate's error.
+FAR = 0.3
+#: Texts whose sets make one inverted index.
+BLOCK = 1024
 _WORDS = HASHES // 64
 with np.errstate(over="ignore"):
     _MULTIPLIERS = common._mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -172,12 +176,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _likely(pairs: DataFrame, bits: DataFrame, threshold: float, percent: int) -> DataFrame:
-    """The pairs a, b that sizes and estimate allow."""
+def _estimated(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs a, b with their set sizes and estimate."""
     for end in ("a", "b"):
         pairs = pairs.join(bits.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
-    size_ok = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.where(size_ok & (similarity("bits_a", "bits_b") >= threshold)).select("a", "b").distinct()
+    return pairs.select("a", "b", "n_a", "n_b", similarity("bits_a", "bits_b").alias("estimate"))
 
 
 def _let_go(spark: SparkSession) -> None:
@@ -221,42 +224,93 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     _sets(docs, small, id_col, text_col, k).dropDuplicates(["node", "n"]).repartition(parts, "node").write.bucketBy(parts, "node").option("path", common.scratch(spark, "sets")).saveAsTable(name)
     sets = spark.table(name)
 
-    stars = shared.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    links = common.checkpointed(_verified(_likely(stars, bits, threshold, percent), sets, percent))
+    stars = common.checkpointed(_estimated(shared.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), bits))
+    size_ok = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    links = common.checkpointed(_verified(stars.where(size_ok & (F.col("estimate") >= threshold)).select("a", "b"), sets, percent))
     labels = common.checkpointed(components(links))
     _let_go(spark)
-
-    # buckets of three or more with several components: pairs besides the center's
-    own = F.coalesce("component", "node").alias("component")
-    members = shared.where("members > 2").select("key", "node").join(labels, "node", "left").select("key", "node", own)
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-    open_ = common.checkpointed(members.join(mixed, "key").select("key", "node", "component", "main"))
-    # shingles that no other open text has can be in no intersection
-    some = open_.select("node").distinct()
-    single = sets.join(some, "node", "left_semi").select("node", "n", F.explode(_unpacked(F.col("shingles"))).alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("c")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    bound = common.checkpointed(sets.select("node", "n").join(some, "node", "left_semi").join(single, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")))
-    full = open_.join(bound, "node")
-    x, y = (full.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "component", "main", "n", "common")]) for e in "ab")
-    most = F.least("common_a", "common_b")
-    cross = x.where("component_a <> main_a").join(y, "key").where((F.col("component_a") != F.col("component_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)))
-    pairs = cross.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    more = _verified(_likely(pairs, bits, threshold, percent), sets, percent)
+    families = _families(shared.where("members > 2"), stars, labels)
+    more = _cross_links(families, sets, percent)
     for end in ("a", "b"):
         more = more.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left").withColumn(end, F.coalesce(f"c_{end}", end)).drop(f"c_{end}")
-    joined = components(more)
+    joined = common.checkpointed(components(more))
     other = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
-    labels = labels.join(other, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    rest = joined.join(labels.select("node"), "node", "left_anti")
-    done = common.checkpointed(labels.unionByName(rest.select("node", "component")))
-    spark.catalog.dropTempView(name)
+    merged = labels.join(other, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    alone = joined.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    done = common.checkpointed(merged.unionByName(alone))
+    spark.sql(f"DROP TABLE {name}")
     return _labelled(sig, classes, done)
 
 
-def _unpacked(raw: Column) -> Column:
-    """The 8-byte values of a binary column, as hexadecimal text."""
-    n = (F.octet_length(raw) / 8).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(raw, i * 8 + 1, F.lit(8)))
+def _families(shared: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, component, family, main: what may still hold links, in buckets of several components.
+
+    A bucket's members near its center form one family with it, the far ones
+    (estimate under FAR) another: two linked texts differ by 0.2 at most in
+    what they have in common with the center, so both are far or both near,
+    within the overlap. main is the family's largest component.
+    """
+    own = shared.join(labels, "node", "left").select("key", "node", "center", F.coalesce("component", "node").alias("component"))
+    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_ = own.join(mixed, "key").join(stars.select(F.col("a").alias("node"), F.col("b").alias("center"), "estimate"), ["node", "center"], "left").withColumn("estimate", F.coalesce("estimate", F.lit(1.0)))
+    open_ = common.checkpointed(open_)
+    near = open_.where(F.col("estimate") >= FAR).select(F.col("node").alias("a"), F.col("center").alias("b"))
+    far = open_.where(F.col("estimate") < FAR + 0.4)
+    far = far.join(far.where(F.col("estimate") < FAR).groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b")
+    # texts of one component stay together: one edge for each text, to its component's smallest
+    within = open_.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    family = common.checkpointed(components(near.unionByName(far).unionByName(within)))
+    nodes = open_.select("node", "component").distinct().join(family.select("node", F.col("component").alias("family")), "node")
+    size = nodes.groupBy("family", "component").agg(F.count("*").alias("c"))
+    main = size.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("nodes"), F.count("*").alias("kinds")).where("kinds > 1")
+    return common.checkpointed(nodes.join(main.select("family", "main", "nodes"), "family"))
+
+
+def _cross_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between components of one family, on full sets.
+
+    A family is dealt out in blocks of about BLOCK texts; each text outside
+    its main component visits every block and is intersected with all of the
+    block at once through the block's inverted index. Only links leave the
+    task, one for each visitor and component.
+    """
+    blocks = F.ceil(F.col("nodes") / BLOCK).cast("int")
+    at_home = families.select("node", "component", "family", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(0).alias("visits"))
+    visiting = families.where("component <> main").select("node", "component", "family", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("visits"))
+    rows = at_home.unionByName(visiting).join(sets.select("node", "shingles"), "node")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("family", "block", "visits", "node", "component", "shingles").repartition(parts, "family", "block").sortWithinPartitions("family", "block", "visits")
+
+    def run(batches):
+        now, home, index = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for family, block, visits, node, component, raw in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if (family, block) != now:
+                    now, home, index = (family, block), [], None
+                if not visits:
+                    home.append((node, component, s))
+                    continue
+                if not home:
+                    continue
+                if index is None:
+                    values, owner = np.concatenate([x[2] for x in home]), np.repeat(np.arange(len(home)), [len(x[2]) for x in home])
+                    order = np.argsort(values, kind="stable")
+                    index = values[order], owner[order], np.array([len(x[2]) for x in home]), np.array([x[0] for x in home]), np.array([x[1] for x in home])
+                values, owner, sizes, nodes, kinds = index
+                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                count = hi - lo
+                spots = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                both = np.bincount(owner[spots], minlength=len(nodes))
+                ok = (100 * both >= percent * (sizes + len(s) - both)) & (kinds != component)
+                _, first = np.unique(kinds[ok], return_index=True)
+                for other in nodes[ok][first].tolist():
+                    a.append(node)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return common.checkpointed(rows.mapInArrow(run, "a long, b long"))
 
 
 def _labelled(sig: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
