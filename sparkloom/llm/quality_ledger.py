@@ -163,9 +163,12 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the columns of docs, without the rows that the current policy rejects.
 
-    The verdict is computed beside the row itself: no join and no shuffle.
+    The verdict is computed beside the row itself: no join and no shuffle. The
+    row number, which no plan may compute twice, keeps the filter above the
+    measurements instead of copying them into its condition.
     """
-    return ledger(docs, carry=True).where(verdict(POLICIES[CURRENT])).select("doc_row.*")
+    book = ledger(docs, carry=True).withColumn("_row", F.monotonically_increasing_id())
+    return book.where((F.col("_row") >= 0) & verdict(POLICIES[CURRENT])).select("doc_row.*")
 
 
 QUERIES = {"op7_quality_ledger": op7_quality_ledger}
