@@ -7,8 +7,8 @@ a line's template is its constants and fields. Templates that recur across
 documents are dropped, every line of them.
 
 Copies of one document are no recurrence: documents are told apart by a
-sketch of their words (the least word fingerprint), which near copies mostly
-share. A template recurs if it has MIN_DOCS different sketches and they are
+sketch of their words (the least word-pair fingerprint), which near copies
+mostly share. A template recurs if it has MIN_DOCS different sketches and they are
 at least half of its different texts.
 """
 
@@ -65,14 +65,18 @@ class Lines:
                 self.line = self.leaf = np.zeros(0, np.uint64)
 
     def sketches(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The least word fingerprint and a print of the whole text, of each of n texts; 0 without words."""
+        """The least word-pair fingerprint and a print of the whole text, of each of n texts; 0 without words."""
         low, whole = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         full = np.flatnonzero(np.diff(self.at) > 0)
         if len(full):
             with np.errstate(over="ignore"):
                 size = np.diff(self.at)[full]
                 place = np.arange(len(self.plain)) - np.repeat(self.at[full], size)
-                low[full] = np.minimum.reduceat(common._mix(self.plain), self.at[full])
+                last = np.zeros(len(self.plain), bool)
+                last[self.at[full] + size - 1] = True
+                pairs = common._mix(self.plain * np.uint64(3) + np.append(self.plain[1:], np.uint64(0)))
+                pairs[last] = ~np.uint64(0)  # no pair begins with a text's last word
+                low[full] = np.minimum.reduceat(pairs, self.at[full])
                 whole[full] = common._mix(np.add.reduceat(self.plain * common.powers(int(size.max()))[place], self.at[full]))
         return low, whole
 
