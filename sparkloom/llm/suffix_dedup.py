@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,8 +32,9 @@ CHUNK = 100_000
 #: Bits for each kept fingerprint, and the most bits of a screen (32 MB); a full screen passes more, never less.
 SCREEN_BITS, SCREEN_MOST = 16, 1 << 28
 _PART_BITS = 1 << 19
-#: Rows of spans that may be broadcast (counted first); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Texts with spans and spans in all that may be broadcast (counted first, under
+#: 100 MB); more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_SPANS = 300_000, 1_000_000
 
 
 def anchors(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -243,7 +244,7 @@ def _trees(window: int):
 
 
 def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row and spans (array of start, end in words, merged later) of each text with repeats; rows: row, text."""
+    """row and spans (maximal repeats: start, end in words) of each text with some; rows: row, text."""
     spark = rows.sparkSession
     sc = spark.sparkContext
     counts = common.checkpointed(anchor_counts(rows, window))
@@ -259,7 +260,18 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     deep = long_prefix.groupBy("code").agg(F.count("*").alias("leaves")).where("leaves > 1").select("code")
     by_count = long_prefix.join(deep, "code").select("row", "start", (F.col("start") + window).alias("end"))
     spans = known.unionByName(by_tree).unionByName(by_count)
-    return spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    return spans.groupBy("row").agg(_merged(F.sort_array(F.collect_set(F.struct("start", "end")))).alias("spans"))
+
+
+def _merged(spans: Column) -> Column:
+    """Overlapping and touching spans as one; spans are sorted."""
+
+    def step(acc, x):
+        last = F.get(acc, F.size(acc) - 1)
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(x["start"] <= last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), step)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -293,23 +305,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             cols: list[list] = [[] for _ in range(4)]
             for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = text.as_buffer().to_pybytes().translate(_BLANK).split()
-                merged: list[list[int]] = []
-                for x in spans or ():
-                    if merged and x["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x["end"])
-                    else:
-                        merged.append([x["start"], x["end"]])
                 kept, at = [], 0
-                for s, e in merged:
-                    kept += words[at:s]
-                    at = e
+                for x in spans or ():
+                    kept += words[at : x["start"]]
+                    at = x["end"]
                 kept += words[at:]
                 flat = b" ".join(kept)
-                for c, v in zip(cols, (len(words), len(words) - len(kept), hashlib.sha256(flat).hexdigest() if digest else flat.decode(), [{"start": s, "end": e} for s, e in merged]), strict=True):
+                for c, v in zip(cols, (len(words), len(words) - len(kept), hashlib.sha256(flat).hexdigest() if digest else flat.decode(), spans or []), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    few = spans.count() <= BROADCAST_ROWS
+    texts, total = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    few = texts <= BROADCAST_ROWS and total <= BROADCAST_SPANS
     return rows.join(F.broadcast(spans) if few else spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, _OUT)
 
 
