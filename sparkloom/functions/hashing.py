@@ -42,7 +42,7 @@ def seed_little(c: Column) -> Column:
     """First eight SHA-256 bytes, low byte first, without the sign bit."""
     h = F.sha2(c, 256)
     turned = F.concat(*[F.substring(h, 15 - 2 * i, 2) for i in range(8)])
-    return F.pmod(F.conv(turned, 16, 10).cast("decimal(20,0)"), F.lit(2**63).cast("decimal(20,0)")).cast("long")
+    return F.pmod(F.conv(turned, 16, 10).cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
 
 
 def rank_epoch_seed(base: Column, rank: Column, epoch: Column) -> Column:
