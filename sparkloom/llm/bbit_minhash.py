@@ -203,6 +203,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their texts; their common id may serve for either. An empty table gives
     no rows; other columns are not read.
     """
+    common.bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     percent = round(100 * similarity_at_least)
     threshold = similarity_at_least - SLACK

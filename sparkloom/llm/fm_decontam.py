@@ -277,6 +277,7 @@ def search(docs: DataFrame, benchmark: DataFrame, kept: list[str], text_col: str
     table gives no rows. Clashing column names do no harm: docs' columns
     stay inside the struct.
     """
+    common.bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"))
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):

@@ -119,6 +119,7 @@ def _tokens(texts: DataFrame, wanted) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """line: fingerprints of the lines (digits masked) whose template recurs."""
+    common.bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     uses = common.written(_uses(texts).distinct(), "lines")

@@ -67,6 +67,7 @@ def decompose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                     cols, held = [[] for _ in _OUT], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT, strict=True)], schema=_OUT)
 
+    common.bounded_batches(docs.sparkSession)
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, bucket int, ids binary, doc_tokens long")
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 

@@ -294,6 +294,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeats of each other; null ids are kept as they are. An empty table
     gives no rows; other columns are not read.
     """
+    common.bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     spans = common.written(repeats(rows.select("row", "text"), window), "spans")

@@ -127,6 +127,7 @@ def pack_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if chunks:
             yield from flush()
 
+    common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
     return rows.withColumn("sequence_id", F.monotonically_increasing_id())
 

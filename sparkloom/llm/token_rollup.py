@@ -33,6 +33,7 @@ def token_counts(docs: DataFrame, version: str = VERSION, vocabulary: str = VOCA
             text = batch.column(3)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(enc.encode(t.as_py() or "")) for t in text], pa.int64()), pa.array([len(t.as_py() or "") for t in text], pa.int64())], names=["doc_id", "source", "lang", "n_tokens", "n_chars"])
 
+    common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
     counted = rows.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long, n_chars long")
     return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), "n_tokens", "n_chars")
