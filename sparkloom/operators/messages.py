@@ -20,10 +20,10 @@ def collected(turns: DataFrame, conv: str, turn: str, role: str, content: str) -
     return turns.groupBy(conv).agg(F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 
-def merged(messages: Column, clean=None) -> Column:
+def merged(messages: Column) -> Column:
     """Roles by alias, unknown roles and empty contents out, neighbours of one role joined by a blank line (tool turns stay apart)."""
     alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    known = F.transform(messages, lambda m: F.struct(F.try_element_at(alias, F.lower(m["role"])).alias("role"), (clean(m["content"]) if clean else T.strip(F.coalesce(m["content"], F.lit("")))).alias("content")))
+    known = F.transform(messages, lambda m: F.struct(F.try_element_at(alias, F.lower(m["role"])).alias("role"), T.strip(F.coalesce(m["content"], F.lit(""))).alias("content")))
     known = F.filter(known, lambda m: m["role"].isNotNull() & (m["content"] != ""))
 
     def step(a, m):
