@@ -27,17 +27,42 @@ def with_global_index(df: DataFrame, file_col: str, row_col: str, out: str = "gl
     return df.join(base, df[file_col] == base["_f"]).withColumn(out, F.col("_base") + F.col(row_col)).drop("_f", "_base")
 
 
-def ordered_index(df: DataFrame, order: str, out: str = "global_index", parts: int | None = None) -> DataFrame:
-    """0-based position by a column, in two levels: ranges are counted, then rows numbered in each.
+def dealt_in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """df range-partitioned by order, with the partition's number in "_part".
 
-    A single-partition window would move all rows to one task.
+    Written down once (checkpoint, or cache where no checkpoint folder is
+    set): ranges are sampled, so a second run could cut them elsewhere.
     """
-    dealt = df.repartitionByRange(*([parts] if parts else []), order).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    local = local.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else local.persist()
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return local.join(F.broadcast(base), "_part").withColumn(out, (F.col("_base") + F.col("_local")).cast("long")).drop("_part", "_local", "_base")
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    return dealt.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else dealt.persist()
+
+
+def running_sum(df: DataFrame, value: Column, order: list[str], out: str, by: list[str] | None = None) -> DataFrame:
+    """Sum of value over the rows in front, within each group of by, in two levels.
+
+    Ranges of (by, order) are summed where they lie; only the sums of ranges
+    are summed up in order. A group with a third of all rows is many ranges,
+    where one window over the group would be one task.
+    """
+    by = by or []
+    dealt = dealt_in_order(df, [*by, *order])
+    local = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
+    sums = dealt.groupBy("_part", *by).agg(F.sum(value).alias("_s"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_part", *by, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    keys = ["_part", *by]
+    match = None
+    base = base.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_base")
+    for k in keys:
+        same = rows[k].eqNullSafe(base[f"_k_{k}"])
+        match = same if match is None else match & same
+    return rows.join(base, match, "left").withColumn(out, (F.col("_base") + F.col("_local")).cast("long")).drop("_part", "_local", "_base", *[f"_k_{k}" for k in keys])
+
+
+def ordered_index(df: DataFrame, order: str | list[str], out: str = "global_index") -> DataFrame:
+    """0-based position by columns without a window over all rows."""
+    return running_sum(df, F.lit(1), [order] if isinstance(order, str) else list(order), out)
 
 
 def select_rows(df: DataFrame, row_id: str | None = None, kinds: list[str] | None = None, id_col: str = "id", kind_col: str = "input_kind") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import ordered_index, running_sum
+
 
 def offsets(df: DataFrame, size: str, order: str, by: list[str]) -> DataFrame:
-    """Exclusive running sum of sizes within each group."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
+    """Exclusive running sum of sizes within each group; large groups are spread over tasks."""
+    return running_sum(df, F.col(size), [order], "offset", by)
 
 
 def segments(df: DataFrame, size: str, order: str, cap: int, by: list[str]) -> DataFrame:
@@ -17,6 +18,8 @@ def segments(df: DataFrame, size: str, order: str, cap: int, by: list[str]) -> D
 
     The state resets, so it is a fold over (order, size) of each group; only
     those two numbers are gathered, never the payload, and groups fold apart.
+    A group is what one writer appends (a shard): its 16 bytes a row have to
+    fit into a task, so large corpora name more shards in ``by``.
     """
     item = F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
     state = "struct<seg:bigint,used:bigint,out:array<struct<o:bigint,segment:bigint,offset:bigint>>>"
@@ -49,7 +52,8 @@ def bucket_batches(df: DataFrame, kind: str, order: str, sizes: dict[str, int],
     first_of_kind = df.groupBy(kind).agg(F.min(order).alias("_first"))
     b = rows.groupBy(kind, "_b", "_n").agg(F.count("*").alias("_c"), F.max(order).alias("_last")).join(first_of_kind, kind)
     partial = F.col("_c") < F.col("_n")
-    b = b.withColumn("batch", (F.row_number().over(Window.orderBy(partial, F.when(partial, F.col("_first")).otherwise(F.col("_last")))) - 1).cast("long"))
+    b = b.withColumn("_p", partial).withColumn("_k", F.when(partial, F.col("_first")).otherwise(F.col("_last")))
+    b = ordered_index(b, ["_p", "_k"], "batch")
     return rows.join(b.select(kind, "_b", "batch"), [kind, "_b"]).drop("_n", "_rn", "_b")
 
 

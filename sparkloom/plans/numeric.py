@@ -152,3 +152,32 @@ def d5_seed(t):
 @query()
 def d4_stable_ids(t):
     return t.documents.select("doc_id", H.stable_hex(F.col("source"), F.col("text")).alias("id"), H.stable_int(F.col("source"), F.col("text")).alias("number"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT label, min(vec_id) AS vec_id FROM e GROUP BY label)
+SELECT p.label AS prev, n.label AS next, round(list_dot_product(a.v, b.v), 6) AS score FROM l p JOIN l n ON n.label = (p.label + 1) % 8 JOIN e a ON a.vec_id = p.vec_id JOIN e b ON b.vec_id = n.vec_id""")
+def j5_low_rank_scores(t):
+    from ..operators import packed
+
+    first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(F.col("label").alias("id"), "vector")
+    pairs = first.select(F.col("id").alias("prev"), ((F.col("id") + 1) % 8).alias("next"))
+    return packed.low_rank_scores(pairs, first, first).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT user_id, event_id, round(coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 0) * 0.25 + value * 0.75, 6) AS mixed FROM events""")
+def j6_two_tap(t):
+    from ..operators import packed
+
+    e = packed.two_tap(t.events.select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", (0.25, 0.75))
+    return e.select("user_id", "event_id", F.round("mixed", 6).alias("mixed"))
+
+
+@query("""WITH x AS (SELECT event_id % 64 AS g, value, (event_type <> 'error')::INT AS m, event_id % 8 AS d, event_id % 3 AS t FROM events),
+r AS (SELECT g, m * exp(-d / 4.0) AS w, value, m, CASE WHEN t < 2 THEN ln(exp(1.0) + exp(0.5)) - CASE t WHEN 0 THEN 1.0 ELSE 0.5 END END AS ce FROM x)
+SELECT g, round(sum(value * w) / greatest(sum(w), 1), 6) AS base_loss, round(coalesce(sum(CASE WHEN m = 1 THEN ce * w END), 0) / (coalesce(sum(CASE WHEN m = 1 AND ce IS NOT NULL THEN w END), 0) + 0.000001), 6) AS selector_loss,
+ round((sum(value * w) + coalesce(sum(CASE WHEN m = 1 THEN ce * w END), 0)) / greatest(sum(w), 1), 6) AS loss, count(*) FILTER (m = 1 AND ce IS NOT NULL) AS hits, sum(m)::BIGINT AS total FROM r GROUP BY g""")
+def g20_selector_objective(t):
+    e = t.events.select((F.col("event_id") % 64).alias("g"), F.col("value").alias("nll"), (F.col("event_type") != "error").cast("int").alias("mask"), (F.col("event_id") % 8).alias("depth"), (F.col("event_id") % 3).cast("int").alias("target"))
+    e = e.withColumn("candidates", F.array(F.lit(0), F.lit(1))).withColumn("scores", F.array(F.lit(1.0), F.lit(0.5)))
+    r = G.selector_objective(e, ["g"], 4.0)
+    return r.select("g", *[F.round(c, 6).alias(c) for c in ("base_loss", "selector_loss", "loss")], "hits", "total")

@@ -164,3 +164,43 @@ def e15_gather(t):
 def h20_response_mask(t):
     d = t.documents.where("n_chars < 3000").withColumn("m", S.response_mask(F.col("n_chars").cast("int"), F.lit(1000)))
     return d.select("doc_id", F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE length(text) > 0),
+f AS (SELECT source, doc_id, i, n, 0::BIGINT AS segment, 0::BIGINT AS before, 9 * n AS used FROM d WHERE i = 1
+ UNION ALL SELECT d.source, d.doc_id, d.i, d.n, CASE WHEN f.used > 0 AND f.used + 9 * d.n > 200000 THEN f.segment + 1 ELSE f.segment END, CASE WHEN f.used > 0 AND f.used + 9 * d.n > 200000 THEN 0 ELSE f.before + f.n END,
+  CASE WHEN f.used > 0 AND f.used + 9 * d.n > 200000 THEN 9 * d.n ELSE f.used + 9 * d.n END FROM f JOIN d ON d.source = f.source AND d.i = f.i + 1)
+SELECT source, doc_id, segment, n::BIGINT AS tokens, (8 * before)::BIGINT AS ids_offset, before::BIGINT AS mask_offset FROM f""")
+def b6_packed_index(t):
+    from ..operators import packed
+
+    empty = F.array().cast("array<double>")
+    d = t.documents.where(F.length("text") > 0).select("source", F.col("doc_id").cast("string").alias("sample_id"), F.col("doc_id").alias("source_index"), F.sequence(F.lit(1).cast("long"), F.length("text").cast("long")).alias("input_ids"), F.array_repeat(F.lit(1), F.length("text")).alias("loss_mask"), empty.alias("aux"), empty.alias("final"))
+    idx = packed.index(d, 200000, 0, 0, "source")
+    return idx.select("source", F.col("source_index").alias("doc_id"), "segment", "tokens", F.try_element_at("offsets", F.lit("input_ids")).alias("ids_offset"), F.try_element_at("offsets", F.lit("loss_mask")).alias("mask_offset"))
+
+
+@query("""SELECT conv_id, CASE WHEN n = 0 THEN 'text' WHEN n = 1 THEN k WHEN k = 'image' AND lo = 'image' THEN 'multi_image' ELSE 'other' END AS batch, CASE WHEN n = 0 THEN 'text' WHEN k = lo AND k = 'image' AND n > 1 THEN 'multi_image' WHEN k = lo THEN k ELSE 'other' END AS profile
+FROM (SELECT conv_id, count(*) FILTER (turn % 3 = 0) AS n, max(CASE WHEN conv_id % 2 = 0 THEN 'image' ELSE CASE WHEN turn % 2 = 0 THEN 'audio' ELSE 'video' END END) FILTER (turn % 3 = 0) AS k, min(CASE WHEN conv_id % 2 = 0 THEN 'image' ELSE CASE WHEN turn % 2 = 0 THEN 'audio' ELSE 'video' END END) FILTER (turn % 3 = 0) AS lo FROM conversations GROUP BY conv_id)""")
+def n16_media_kinds(t):
+    from ..operators import conditions as C
+
+    kind = F.when(F.col("conv_id") % 2 == 0, "image").otherwise(F.when(F.col("turn") % 2 == 0, "audio").otherwise("video"))
+    c = t.conversations.groupBy("conv_id").agg(F.collect_list(F.when(F.col("turn") % 3 == 0, kind)).alias("types"))
+    return c.select("conv_id", C.batch_kind(F.col("types")).alias("batch"), C.profile_kind(F.col("types")).alias("profile"))
+
+
+@query()
+def c20_conditions(t):
+    from ..operators import conditions as C
+
+    p = M.last_user_prefixes(_conversations(t), 2, ["conv_id"])
+    rows = p.select("conv_id", "turn_index", F.col("prefix").alias("messages"), F.lit("[]").alias("tools_json"), F.lit("[]").alias("media_json"), F.lit("english").alias("language"), "reference")
+    return C.conditions(rows, 7).where("violation is null").select("conv_id", "turn_index", "condition_id", "selection_priority", "language", "task", "modality", "total_characters")
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '#') THEN NULL ELSE url END AS url FROM pages")
+def c23_page_url(t):
+    from ..operators import conditions as C
+
+    return t.pages.select("page_id", C.page_url(F.col("url")).alias("url"))

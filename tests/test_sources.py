@@ -129,3 +129,19 @@ def test_streams(spark, tmp_path):
     q = ledger.without_done(stream, done, "id").writeStream.format("memory").queryName("rest").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.id for r in spark.table("rest").collect()] == [2]
+
+
+def test_running_sum_over_skewed_groups(spark):
+    import random
+
+    from sparkloom.operators.selection import running_sum
+
+    rng = random.Random(4)
+    rows = [(None if i % 11 == 0 else ("hot" if i % 3 else f"k{i % 7}"), i, rng.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i int, v int").repartition(5)
+    got = {r.i: r.s for r in running_sum(df, F.col("v"), ["i"], "s", ["g"]).collect()}
+    sums, want = {}, {}
+    for g, i, v in rows:
+        want[i] = sums.get(g, 0)
+        sums[g] = want[i] + v
+    assert got == want
