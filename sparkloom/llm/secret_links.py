@@ -131,4 +131,29 @@ def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_secret_links": op3_secret_links}
-ORACLE: dict[str, str] = {}
+
+
+def _sql() -> str:
+    """The same in SQL: what split leaves and what matches give the places, then the interval join as an EXISTS."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    found = []
+    for rank, (name, k) in enumerate((BASE | WEAK).items()):
+        needs = " AND ".join(["true", *[f"regexp_matches(m[i], {quote(r)})" for r in k.needs]])
+        p = quote(k.pattern)
+        found.append(f"""SELECT doc_id, '{name}' AS kind, {rank} AS rank, {str(name in WEAK).lower()} AS weak,
+  list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS s, length(m[i]) AS n
+FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {p}, 0) AS m, regexp_extract_all(text, {p}, {k.group}) AS own, string_split_regex(text, {p}) AS g FROM documents WHERE regexp_matches(text, {p})))
+WHERE length(own[i]) >= {k.least} AND {needs}""")
+    completed = " OR ".join(f"(w.kind = '{n}' AND p.kind IN ({', '.join(quote(c) for c in k.completed_by)}))" for n, k in WEAK.items())
+    return f"""WITH found AS MATERIALIZED ({' UNION ALL '.join(found)}),
+base AS (SELECT * FROM found WHERE NOT weak),
+likely AS (SELECT * FROM found w WHERE weak AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.s + w.n AND w.s < b.s + b.n)),
+part AS (SELECT * FROM base UNION ALL SELECT * FROM likely),
+span AS (SELECT * FROM base UNION ALL SELECT * FROM likely w WHERE EXISTS (SELECT 1 FROM part p WHERE p.doc_id = w.doc_id AND abs(p.s - w.s) <= {SCOPE} AND ({completed}))),
+line AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) FILTER (NOT weak) AS b, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) AS a FROM span GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+FROM documents d LEFT JOIN line USING (doc_id)"""
+
+
+ORACLE = {"op3_secret_links": _sql()}

@@ -142,4 +142,43 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_url_templates": op10_url_templates}
-ORACLE: dict[str, str] = {}
+
+
+def _sql() -> str:
+    """The query in SQL: the lists as a CASE, then one block of steps for each level of the tree."""
+    rules = sorted(RULES, key=lambda r: (-len(r[0]), r))
+    fits = lambda r: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*r.split("/", 1))
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in rules)
+    verdict = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules)
+    general = (
+        r"lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN '<n>' WHEN regexp_full_match(s, '[0-9]+\.[A-Za-z0-9]{1,5}') THEN '<n>' || regexp_extract(s, '\..*$')"
+        r" WHEN regexp_full_match(s, '[0-9a-fA-F-]{8,}') AND regexp_matches(s, '[0-9]') THEN '<hex>' WHEN regexp_full_match(s, '[A-Za-z0-9_-]{16,}') AND regexp_matches(s, '[0-9]') THEN '<id>' ELSE s END"
+    )
+    out = rf"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE {rule} END AS rule, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), {general}) AS parts FROM u),
+p AS MATERIALIZED (SELECT *, CASE rule {verdict} END AS listed, CASE WHEN len(parts) > {DEPTH} THEN list_concat(parts[1:{DEPTH - 1}], ['**']) ELSE parts END AS segs FROM r),
+t0 AS (SELECT host, segs, '' AS node, count(*) AS n, count(*) FILTER (listed = 'allow') AS good, count(*) FILTER (listed = 'block') AS bad FROM p GROUP BY host, segs),
+"""
+    for d in range(DEPTH):
+        w = "(PARTITION BY host, node ORDER BY share ASC NULLS LAST, label)"
+        out += f"""kid{d} AS (SELECT host, node, segs[{d + 1}] AS seg, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM t{d} GROUP BY ALL),
+wide{d} AS (SELECT host, node, count(*) > {CHILDREN} OR (count(*) >= {FEW} AND 2 * count(*) FILTER (n = 1) > count(*)) AS wild FROM kid{d} WHERE seg IS NOT NULL GROUP BY host, node),
+lab{d} AS (SELECT k.*, CASE WHEN wild THEN '*' ELSE seg END AS label FROM kid{d} k JOIN wide{d} USING (host, node) WHERE seg IS NOT NULL),
+br{d} AS (SELECT host, node, label, sum(good) AS good, sum(bad) AS bad, sum(good + bad) AS lab, CASE WHEN sum(good + bad) > 0 THEN sum(bad) / sum(good + bad) END AS share FROM lab{d} GROUP BY host, node, label),
+nb{d} AS (SELECT *, lag(bad) OVER w AS b0, lag(lab) OVER w AS l0, lag(share) OVER w AS s0 FROM br{d} WINDOW w AS {w}),
+df{d} AS (SELECT *, CASE WHEN share IS NULL OR s0 IS NULL OR abs(share - s0) > {Z} * sqrt(((b0 + bad) / (l0 + lab)) * (1 - (b0 + bad) / (l0 + lab)) * (1 / l0 + 1 / lab)) THEN 1 ELSE 0 END AS new FROM nb{d}),
+gr{d} AS (SELECT *, sum(new) OVER {w} AS g FROM df{d}),
+mg{d} AS (SELECT host, node, list(label ORDER BY label) AS labels FROM gr{d} GROUP BY host, node, g),
+nx{d} AS (SELECT host, node, node || '/' || CASE WHEN len(labels) > 1 THEN '(' || array_to_string(labels, '|') || ')' ELSE labels[1] END AS next, unnest(labels) AS label FROM mg{d}),
+st{d} AS (SELECT host, node, seg, next FROM lab{d} JOIN nx{d} USING (host, node, label)),
+t{d + 1} AS MATERIALIZED (SELECT t.host, segs, coalesce(next, t.node) AS node, n, good, bad FROM t{d} t LEFT JOIN st{d} s ON s.host = t.host AND s.node = t.node AND s.seg = segs[{d + 1}]),
+"""
+    return out + f"""prior AS (SELECT coalesce(sum(bad) / nullif(sum(bad) + sum(good), 0), 0.5) AS share FROM t{DEPTH}),
+leaf AS (SELECT host, node, sum(good + bad) AS lab, (sum(bad) + {PRIOR} * any_value(share)) / (sum(good + bad) + {PRIOR}) AS purity FROM t{DEPTH}, prior GROUP BY host, node),
+known AS (SELECT t.host, segs, node, purity, lab >= {SUPPORT} AND purity >= {PURITY} AS rejected FROM t{DEPTH} t JOIN leaf USING (host, node))
+SELECT page_id, p.host, path, rule, coalesce(listed, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, node AS template, purity::DOUBLE AS purity
+FROM p LEFT JOIN known k ON k.host = p.host AND k.segs = p.segs"""
+
+
+ORACLE = {"op10_url_templates": _sql()}
