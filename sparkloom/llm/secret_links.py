@@ -45,75 +45,81 @@ _KINDS = [*BASE, *WEAK]
 _SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
+_FOUND = "array<struct<rank:int,kind:string,i:int,gap:bigint,len:bigint,ok:boolean>>"
+
+
 def _finds(text: Column, name: str, kind: Kind) -> Column:
-    """Spans of the leftmost non-overlapping matches, in code points.
+    """The leftmost non-overlapping matches in order: what lies before each, its length, whether it counts.
 
     split gives what lies between the matches, regexp_extract_all what is
-    matched; summed lengths give the places. Texts without a match do
-    neither.
+    matched; all in code points. Texts without a match do neither.
     """
     p = F.lit(kind.pattern)
-    gaps = F.transform(F.split(text, kind.pattern, -1), lambda x: F.length(x).cast("long"))
-    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.regexp_extract_all(text, p, F.lit(kind.group)).alias("own"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+    parts = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.regexp_extract_all(text, p, F.lit(kind.group)).alias("own"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["whole"])
+    def one(x, i):
         ok = F.length(x["own"]) >= kind.least
         for r in kind.needs:
             ok = ok & F.regexp_like(x["whole"], F.lit(r))
-        span = F.struct(begin.alias("start"), F.lit(_KINDS.index(name)).alias("rank"), F.lit(name).alias("kind"), end.alias("end"))
-        # the gap behind the last match has no match of its own
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(F.coalesce(ok, F.lit(False)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.lit(_KINDS.index(name)).alias("rank"), F.lit(name).alias("kind"), i.alias("i"), F.length(x["gap"]).cast("long").alias("gap"), F.length(x["whole"]).cast("long").alias("len"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
     there = F.regexp_like(text, p)
     if kind.hint:
         there = F.contains(text, F.lit(kind.hint)) & there
-    return F.when(there, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    # the last gap has no match behind it
+    return F.when(there, F.filter(F.transform(parts, one), lambda x: x["len"].isNotNull())).otherwise(F.array().cast(_FOUND))
 
 
 def finds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base and weak spans of each row of docs; a narrow stage.
-
-    A weak find that overlaps a strong one is that strong one and is left out.
-    """
+    """doc_id and all matches of each row of docs; a narrow stage."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("_text"))
-    found = lambda kinds: F.sort_array(F.flatten(F.array(*[_finds(F.col("_text"), k, v) for k, v in kinds.items()])))
-    d = d.select("doc_id", found(BASE).alias("base"), found(WEAK).alias("weak"))
-    return d.withColumn("weak", F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))))
+    return d.select("doc_id", F.flatten(F.array(*[_finds(F.col("_text"), k, v) for k, v in (BASE | WEAK).items()])).alias("found"))
 
 
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The interval join: doc_id, base, linked (weak spans completed within the scope).
 
-    Parts of one text are joined by a range frame over their starts; a frame
-    holds what lies within ``scope`` code points, whatever the text's length.
-    The finds are written once with a row number, which is the join's key
-    then: repeated rows and null ids stay apart, and a lost executor cannot
-    change it. Texts without a weak find pass by.
+    Matches become rows: running sums give their places, a weak find that
+    overlaps a strong one is that strong one and is left out, and the parts of
+    one text are joined by a range frame over their starts, which holds what
+    lies within ``scope`` code points, whatever the text's length. The finds
+    are written once with a row number, which is the join's key then:
+    repeated rows and null ids stay apart, and a lost executor cannot change
+    it. Texts without a match pass by.
     """
     rows = common.written(found.withColumn("_row", F.monotonically_increasing_id()), "finds")
     none = F.array().cast(_SPAN)
-    alone = rows.where(F.size("weak") == 0).select("doc_id", "base", none.alias("linked"))
-    parts = rows.where(F.size("weak") > 0).select("_row", "doc_id", "base", F.explode(F.concat("weak", "base")).alias("s"))
-    near = Window.partitionBy("_row").orderBy("s.start").rangeBetween(-scope, scope)
-    parts = parts.select("*", *[F.max(F.col("s.kind") == k).over(near).alias(f"_{k}") for k in _KINDS])
+    alone = rows.where(F.size("found") == 0).select("doc_id", none.alias("base"), none.alias("linked"))
+    parts = rows.where(F.size("found") > 0).select("_row", "doc_id", F.explode("found").alias("m")).repartition("_row").select("_row", "doc_id", "m.*")
+    end = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("_row", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = parts.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
+    strong = F.col("ok") & (F.col("rank") < len(BASE))
+    in_order = Window.partitionBy("_row").orderBy("start", "rank")
+    before = F.max(F.when(strong, F.col("end"))).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    # a frame up to the end costs a pass for each row, one from the begin in the other order does not
+    backwards = Window.partitionBy("_row").orderBy(F.col("start").desc(), F.col("rank").desc())
+    behind = F.min(F.when(strong, F.col("start"))).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
+    covered = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(behind < F.col("end"), F.lit(False))
+    parts = parts.withColumn("counts", F.when(strong | (F.col("ok") & ~covered), F.col("kind")))
+    near = Window.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
+    parts = parts.select("*", *[F.coalesce(F.max(F.col("counts") == k).over(near), F.lit(False)).alias(f"_{k}") for k in _KINDS])
     completed = F.lit(False)
-    for name, kind in WEAK.items():
+    for name, k in WEAK.items():
         other = F.lit(False)
-        for k in kind.completed_by:
-            other = other | F.col(f"_{k}")
-        completed = completed | ((F.col("s.kind") == name) & other)
-    joined = parts.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("base").alias("base"), F.sort_array(F.collect_list(F.when(completed, F.col("s")))).alias("linked"))
+        for c in k.completed_by:
+            other = other | F.col(f"_{c}")
+        completed = completed | (F.col("counts").eqNullSafe(name) & other)
+    span = F.struct("start", "rank", "kind", "end")
+    collected = lambda cond: F.sort_array(F.collect_list(F.when(cond, span)))
+    joined = parts.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), collected(strong).alias("base"), collected(completed).alias("linked"))
     return alone.unionByName(joined.select("doc_id", "base", "linked"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row for each row of docs: doc_id, base and linked spans by start and kind.
 
-    A null or empty text has no spans. Repeated rows give equal rows; null
+    A null or empty text has no spans; long texts are scanned whole. Repeated rows give equal rows; null
     ids are kept. An empty table gives no rows. Other columns are not read.
     """
     return link(finds(docs, id_col, text_col), scope)
