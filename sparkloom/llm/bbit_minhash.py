@@ -197,7 +197,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     included, and kept says whether it is the own one.
 
     A null text, an empty one or one without words has no shingles and is
-    linked with nothing. A row without an id keeps its own place: its
+    linked with nothing; a text with fewer words than k is one shingle. A row without an id keeps its own place: its
     component_id is null and kept is true. Repeated rows (one id, one text)
     get equal results. Rows with one id and different texts are judged by
     their texts; their common id may serve for either. An empty table gives

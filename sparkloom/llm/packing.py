@@ -43,7 +43,8 @@ def decompose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     little-endian 32-bit), doc_tokens, sequence_id, offset (always 0: a
     piece fills its sequence).
 
-    A null or empty text is the end id alone: one piece of length 1. Repeated
+    A null or empty text is the end id alone: one piece of length 1; a long
+    text has as many full pieces as it fills. Repeated
     rows and null ids give pieces of their own (sequence_id tells them
     apart). An empty table gives no rows. Other columns are not read.
     """

@@ -96,7 +96,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     more); n_lines (lines with a word); n_upper (A-Z).
 
     A null or empty text has no words and measures 0 everywhere, so it fails
-    few_words. Repeated rows and null ids are judged row by row; an empty
+    few_words; long texts are measured whole, in n log n. Repeated rows and null ids are judged row by row; an empty
     table gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))

@@ -87,8 +87,10 @@ def pack_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     padding); doc_ids and doc_starts name each segment's document and the
     number of its ids before the segment.
 
-    A null or empty text is the end id alone. Repeated rows and null ids are
-    segments of their own. An empty table gives no rows.
+    A null or empty text is the end id alone; a text longer than seq_len is
+    several segments, in one sequence or several. Chunks of equal size keep
+    the input's order. Repeated rows and null ids are segments of their own.
+    An empty table gives no rows; other columns are not read.
     """
 
     def run(batches):

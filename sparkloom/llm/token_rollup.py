@@ -23,8 +23,9 @@ VERSION = "byte_bpe_50k"
 def token_counts(docs: DataFrame, version: str = VERSION, vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> DataFrame:
     """doc_id, source, lang, tokenizer_version, n_tokens, n_chars of each row of docs.
 
-    A null text has 0 tokens and 0 characters; null source, lang and doc_id
-    stay null; repeated rows are counted each.
+    A null or empty text has 0 tokens and 0 characters; long texts count
+    whole; null source, lang and doc_id stay null; repeated rows are counted
+    each. An empty table gives no rows; other columns are not read.
     """
 
     def run(batches):
