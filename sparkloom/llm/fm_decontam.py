@@ -243,8 +243,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield [(r.item, r.text) for r in part.collect()]
 
 
-def _search(rows: DataFrame, phrases) -> DataFrame:
-    """Adds a block's finds to hits; rows: kept, text, n_words, hits."""
+def _search(rows: DataFrame, phrases, cut_out: bool) -> DataFrame:
+    """Adds a block's finds to hits; rows: kept, text, n_words, hits. cut_out takes all hits out of the text."""
     schema = rows.schema
 
     def run(batches):
@@ -256,17 +256,22 @@ def _search(rows: DataFrame, phrases) -> DataFrame:
                 w = words(text.as_py())
                 n_words.append(len(w))
                 lists.append(np.array([code(x, 0) for x in w], dtype=np.int64))
-            hits = batch.column(3).to_pylist()
+            hits, texts = batch.column(3).to_pylist(), batch.column(1)
             for d, s, e, item in _occurrences(lists, p):
                 hits[d].append({"start": s, "end": e, "item": p.items[item]})
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(hits, _HIT_TYPE)], names=["kept", "text", "n_words", "hits"])
+            if cut_out and any(hits):
+                texts = pa.array([cut(t.as_py(), [(x["start"], x["end"]) for x in h]) if h else t.as_py() for t, h in zip(texts, hits, strict=True)], texts.type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(n_words, pa.int64()), pa.array(hits, _HIT_TYPE)], names=["kept", "text", "n_words", "hits"])
 
     return rows.mapInArrow(run, schema)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, kept: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, kept: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut_out: bool = False) -> DataFrame:
     """kept (a struct of those columns), text, n_words and hits of each row of docs.
 
+    cut_out returns the texts without their hits (n_words and hits are those
+    of the input).
+
     hits: spans of words [start, end) that a benchmark item's windows cover,
     merged for each item. The documents are not shuffled; benchmark text
     travels to them in blocks of bounded size, one pass for each block.
@@ -280,9 +285,12 @@ def search(docs: DataFrame, benchmark: DataFrame, kept: list[str], text_col: str
     common.bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"))
+    last = None
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        rows = _search(rows, sc.broadcast(Phrases.of(block, window)))
-    return rows
+        if last is not None:
+            rows = _search(rows, last, False)
+        last = sc.broadcast(Phrases.of(block, window))
+    return _search(rows, last, cut_out)
 
 
 def hit_words(hits: Column) -> Column:
@@ -321,22 +329,12 @@ def remove_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     cols = docs.columns
     others = [c for c in cols if c != "text"]
-    rows = search(docs, common.table(spark, sf_dir, "benchmark"), others)
-    schema = rows.select("kept", "text", "n_words", F.size("hits").cast("long").alias("n_hits")).schema
-
-    def run(batches):
-        for batch in batches:
-            texts, n_hits = batch.column(1).to_pylist(), []
-            for i, hits in enumerate(batch.column(3).to_pylist()):
-                if hits:
-                    texts[i] = cut(texts[i], [(h["start"], h["end"]) for h in hits])
-                n_hits.append(len(hits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, batch.schema.field(1).type), batch.column(2), pa.array(n_hits, pa.int64())], names=["kept", "text", "n_words", "n_hits"])
-
-    done = rows.mapInArrow(run, schema).where((F.col("n_hits") == 0) | F.regexp_like("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]|[A-Z]")))
+    rows = search(docs, common.table(spark, sf_dir, "benchmark"), others, cut_out=True)
+    clean = F.size("hits") == 0
+    done = rows.where(clean | F.regexp_like("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]|[A-Z]")))
     value = {c: F.col(f"kept.`{c}`") for c in others} | {"text": F.col("text")}
     if "n_chars" in cols:
-        value["n_chars"] = F.when(F.col("n_hits") == 0, value["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+        value["n_chars"] = F.when(clean, value["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return done.select(*[value[c].alias(c) for c in cols])
 
 

@@ -165,3 +165,13 @@ def test_line_templates_match_brute_force(spark, monkeypatch, few):
 
 def test_line_templates_empty(spark):
     assert lt.drop_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("block", [fm.BLOCK_BYTES, 60])
+def test_cut_out_takes_hits_of_all_blocks(spark, block):
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(words[5:17])), (2, " ".join(words[30:41]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "clean text"), (3, None)], "doc_id long, text string")
+    got = {r.kept.doc_id: (r.text, r.n_words) for r in fm.search(docs, bench, ["doc_id"], block_bytes=block, cut_out=True).collect()}
+    assert got[1][0].split() == words[:5] + words[17:30] + words[41:] and got[1][1] == 60
+    assert got[2] == ("clean text", 2) and got[3] == (None, 0)
