@@ -6,10 +6,18 @@ at its place if enough documents have it there, else it is a variable field;
 a line's template is its constants and fields. Templates that recur across
 documents are dropped, every line of them.
 
-Copies of one document are no recurrence: documents are told apart by a
-sketch of their words (the least word-pair fingerprint), which near copies
-mostly share. A template recurs if it has MIN_DOCS different sketches and they are
-at least half of its different texts.
+Copies of one document are no recurrence. With copies="similarity", as in the
+query and the pipeline, two texts are near copies if half of their word pairs
+are the same, estimated from SIGNS minima of 4 bits each. A template recurs if
+MIN_DOCS of its texts are no near copies of each other: one text after the
+other is taken out with its near copies, and some are left after MIN_DOCS - 1
+of them. Neither the number of copies nor lines that different documents
+share decide.
+
+With copies="sketch", documents are told apart by one sketch of their words
+(the least word-pair fingerprint), and a template recurs if it has MIN_DOCS
+different sketches and they are at least half of its different texts. Parts
+that documents share, and large groups of copies, keep recurring lines there.
 """
 
 from __future__ import annotations
@@ -27,9 +35,15 @@ MIN_WORDS = 3
 MIN_DOCS = 5
 #: Dropped lines that may be sent to the workers (8 bytes each, counted first); more are joined.
 BROADCAST_LINES = 1_000_000
+#: Minima of a text's signature, 16 to a long, and how many may differ between near copies:
+#: (1 - 1/2) * (1 - 1/16) of them do at similarity 1/2, as 4 bits agree by chance once in 16.
+SIGNS = 32
+MOST_OFF = 15
 _MASK = np.uint64(0x9D3A5C1F00C0FFEE)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_TURN, _TIMES = (common._lut(k)[:SIGNS].astype(np.uint32) for k in (5, 6))
+_TIMES |= np.uint32(1)
 
 
 class Lines:
@@ -80,23 +94,45 @@ class Lines:
                 whole[full] = common._mix(np.add.reduceat(self.plain * common.powers(int(size.max()))[place], self.at[full]))
         return low, whole
 
+    def signatures(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two longs of minima over the word pairs, of each of n texts; 0 without pairs."""
+        signs = np.zeros((2, n), np.uint64)
+        size = np.diff(self.at)
+        full = np.flatnonzero(size > 0)
+        more = np.flatnonzero(size > 1)
+        if len(more):
+            with np.errstate(over="ignore"):
+                begins = np.ones(len(self.plain), bool)
+                begins[self.at[full] + size[full] - 1] = False  # no pair begins with a text's last word
+                k = np.flatnonzero(begins)
+                pairs = (common._mix(self.plain[k] * np.uint64(3) + self.plain[k + 1]) >> np.uint64(32)).astype(np.uint32)
+                first = np.cumsum(size[more] - 1) - (size[more] - 1)
+                for j in range(SIGNS):
+                    low = np.minimum.reduceat((pairs ^ _TURN[j]) * _TIMES[j], first)
+                    four = (low * np.uint32(0x9E3779B1)) >> np.uint32(28)
+                    signs[j // 16, more] |= four.astype(np.uint64) << np.uint64(4 * (j % 16))
+        return signs[0], signs[1]
+
 
 def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def _uses(texts: DataFrame) -> DataFrame:
-    """leaf, line, sketch and print of the text, for each line of MIN_WORDS words or more."""
+def _uses(texts: DataFrame, similar: bool) -> DataFrame:
+    """leaf, line, sketch, print and signature of the text, for each line of MIN_WORDS words or more.
+
+    Where texts are told apart by similarity, the print is the sketch too."""
 
     def run(batches):
         for batch in batches:
             for _, n, offs, data in common.text_slices(batch):
                 x = Lines(offs, data)
                 low, whole = x.sketches(n)
+                of_text = (whole, whole, *x.signatures(n)) if similar else (low, whole, *[np.zeros(n, np.uint64)] * 2)
                 ok = x.size >= MIN_WORDS
-                yield pa.RecordBatch.from_arrays([_long(x.leaf[ok]), _long(x.line[ok]), _long(low[x.text[ok]]), _long(whole[x.text[ok]])], names=["leaf", "line", "sketch", "print"])
+                yield pa.RecordBatch.from_arrays([_long(x.leaf[ok]), _long(x.line[ok]), *[_long(v[x.text[ok]]) for v in of_text]], names=["leaf", "line", "sketch", "print", "signs_0", "signs_1"])
 
-    return texts.mapInArrow(run, "leaf long, line long, sketch long, print long")
+    return texts.mapInArrow(run, "leaf long, line long, sketch long, print long, signs_0 long, signs_1 long")
 
 
 def _tokens(texts: DataFrame, wanted) -> DataFrame:
@@ -117,12 +153,38 @@ def _tokens(texts: DataFrame, wanted) -> DataFrame:
     return texts.mapInArrow(run, "leaf long, line long, words array<long>")
 
 
-def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def _off(signs: str, other: str) -> F.Column:
+    """Of 16 minima of 4 bits, the number that differ."""
+    x = F.col(signs).bitwiseXOR(F.col(other))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _of_different_texts(texts: DataFrame, min_docs: int) -> DataFrame:
+    """template: those of which min_docs texts are no near copies of each other.
+
+    A round takes the text with the least print and its near copies out of
+    each template, so the rows are passed min_docs - 1 times at most, and no
+    group is gathered.
+    """
+    enough = texts.groupBy("template").agg(F.count("*").alias("n")).where(f"n >= {min_docs}").select("template")
+    rest = common.written(texts.join(enough, "template", "left_semi"), "template-texts")
+    for _ in range(min_docs - 1):
+        one = rest.groupBy("template").agg(F.min_by("signs_0", "print").alias("one_0"), F.min_by("signs_1", "print").alias("one_1"))
+        other = rest.join(one, "template").where(_off("signs_0", "one_0") + _off("signs_1", "one_1") > MOST_OFF)
+        rest = common.written(other.select(*texts.columns), "template-texts")
+    return rest.select("template").distinct()
+
+
+def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, copies: str = "sketch") -> DataFrame:
     """line: fingerprints of the lines (digits masked) whose template recurs."""
+    if copies not in ("sketch", "similarity"):
+        raise ValueError(f"copies: {copies}")
     common.bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    uses = common.written(_uses(texts).distinct(), "lines")
+    uses = common.written(_uses(texts, copies == "similarity").distinct(), "lines")
     leaves = uses.groupBy("leaf").agg(F.count("*").alias("c"), F.min("sketch").alias("lo"), F.max("sketch").alias("hi")).where(f"c >= {min_docs} and lo <> hi").select("leaf")
     open_ = common.written(uses.join(leaves, "leaf", "left_semi"), "open-lines")
     lines = common.checkpointed(open_.groupBy("leaf", "line").agg(F.countDistinct("sketch").alias("docs")))
@@ -135,12 +197,16 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
     # with too few constants a template would say nothing: the line stands for itself
     shaped = shaped.select("leaf", "line", F.when(2 * F.col("constants") >= F.col("size"), F.xxhash64("leaf", "shape")).otherwise(F.xxhash64("leaf", "line")).alias("template"))
     shaped = common.checkpointed(shaped)
-    support = open_.join(shaped, ["leaf", "line"]).groupBy("template").agg(F.countDistinct("sketch").alias("docs"), F.countDistinct("print").alias("texts"))
-    recurring = support.where((F.col("docs") >= min_docs) & (2 * F.col("docs") >= F.col("texts"))).select("template")
+    found = open_.join(shaped, ["leaf", "line"])
+    if copies == "similarity":
+        recurring = _of_different_texts(found.select("template", "print", "signs_0", "signs_1").distinct(), min_docs)
+    else:
+        support = found.groupBy("template").agg(F.countDistinct("sketch").alias("docs"), F.countDistinct("print").alias("texts"))
+        recurring = support.where((F.col("docs") >= min_docs) & (2 * F.col("docs") >= F.col("texts"))).select("template")
     return common.checkpointed(shaped.join(recurring, "template").select("line").distinct())
 
 
-def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, copies: str = "sketch") -> DataFrame:
     """All columns of docs with the recurring lines taken out of the text, in a
     struct "kept"; n_lines and n_dropped beside it.
 
@@ -150,7 +216,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS
     gives no rows. Other columns pass unread, whatever their names.
     """
     spark = docs.sparkSession
-    gone = recurring_lines(docs, text_col, min_docs)
+    gone = recurring_lines(docs, text_col, min_docs, copies)
     count = gone.count()
     cols = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols if c != text_col], F.lit(0).alias("_")).alias("other"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -210,7 +276,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that loses all its words this way goes; n_chars, where there
     is one, is that of the text that stays.
     """
-    rows = drop_lines(docs).where((F.col("n_dropped") == 0) | F.regexp_like(F.coalesce("kept.text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
+    rows = drop_lines(docs, copies="similarity").where((F.col("n_dropped") == 0) | F.regexp_like(F.coalesce("kept.text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
     value = {c: F.col(f"kept.`{c}`") for c in docs.columns}
     if "n_chars" in value:
         value["n_chars"] = F.when(F.col("n_dropped") == 0, value["n_chars"]).otherwise(F.length("kept.text")).cast(docs.schema["n_chars"].dataType)
@@ -218,7 +284,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drop_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = drop_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"), copies="similarity")
     return rows.select(F.col("kept.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("kept.text", F.lit("")), 256).alias("kept_sha256"))
 
 

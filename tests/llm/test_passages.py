@@ -175,3 +175,15 @@ def test_cut_out_takes_hits_of_all_blocks(spark, block):
     got = {r.kept.doc_id: (r.text, r.n_words) for r in fm.search(docs, bench, ["doc_id"], block_bytes=block, cut_out=True).collect()}
     assert got[1][0].split() == words[:5] + words[17:30] + words[41:] and got[1][1] == 60
     assert got[2] == ("clean text", 2) and got[3] == (None, 0)
+
+
+def test_lines_recur_beside_shared_parts_and_copies(spark):
+    rng = random.Random(4)
+    licence = prose(rng, 60).replace("\n", " ")
+    rows = [(i, prose(rng, 60).replace("\n", " ") + "\n" + licence + "\nSold by the river company only") for i in range(40)]
+    page = prose(rng, 200).replace("\n", " ")
+    rows += [(100 + i, f"{page}\nSold by the river company only\nNobody else says this line\n{prose(rng, 2)}") for i in range(300)]
+    got = {r.kept.doc_id: r.kept.text for r in lt.drop_lines(frame(spark, rows), copies="similarity").collect()}
+    assert all(got[i] == rows[i][1].split("\n")[0] for i in range(40))
+    assert all("river company" not in t for t in got.values())
+    assert all(got[100 + i].startswith(page + "\nNobody else says this line") for i in range(300))
