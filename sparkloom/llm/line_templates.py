@@ -31,6 +31,7 @@ from . import common
 from .suffix_dedup import screen
 
 LEAD = 3
+#: Lines with fewer words have no fields: digits count, and a line is its own template.
 MIN_WORDS = 3
 MIN_DOCS = 5
 #: Dropped lines that may be sent to the workers (8 bytes each, counted first); more are joined.
@@ -47,12 +48,11 @@ _TIMES |= np.uint32(1)
 
 
 class Lines:
-    """All lines of some texts; words are fingerprints, those with a digit are _MASK."""
+    """All lines of some texts; words are fingerprints, those with a digit are _MASK in lines of MIN_WORDS words or more."""
 
     def __init__(self, offs: np.ndarray, data: np.ndarray):
         h, starts, ends, at = common.word_hashes(offs, data)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-        self.words = np.where(digits[ends] > digits[starts], _MASK, h)
         breaks = np.flatnonzero(data == 10)
         self.plain, self.at = h, at
         line = np.searchsorted(breaks, starts)  # breaks before the word
@@ -64,6 +64,8 @@ class Lines:
         self.text = text[self.first]
         # number of the line in its text
         self.number = line[self.first] - np.searchsorted(breaks, offs[:-1])[self.text] if len(self.first) else self.first
+        masked = (digits[ends] > digits[starts]) & (np.repeat(self.size, self.size) >= MIN_WORDS)
+        self.words = np.where(masked, _MASK, h)
         place = np.arange(len(starts)) - np.repeat(self.first, self.size)
         with np.errstate(over="ignore"):
             if len(starts):
@@ -118,8 +120,8 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def _uses(texts: DataFrame, similar: bool) -> DataFrame:
-    """leaf, line, sketch, print and signature of the text, for each line of MIN_WORDS words or more.
+def _uses(texts: DataFrame, similar: bool, min_words: int) -> DataFrame:
+    """leaf, line, sketch, print and signature of the text, for each line of min_words words or more.
 
     Where texts are told apart by similarity, the print is the sketch too."""
 
@@ -129,13 +131,13 @@ def _uses(texts: DataFrame, similar: bool) -> DataFrame:
                 x = Lines(offs, data)
                 low, whole = x.sketches(n)
                 of_text = (whole, whole, *x.signatures(n)) if similar else (low, whole, *[np.zeros(n, np.uint64)] * 2)
-                ok = x.size >= MIN_WORDS
+                ok = x.size >= min_words
                 yield pa.RecordBatch.from_arrays([_long(x.leaf[ok]), _long(x.line[ok]), *[_long(v[x.text[ok]]) for v in of_text]], names=["leaf", "line", "sketch", "print", "signs_0", "signs_1"])
 
     return texts.mapInArrow(run, "leaf long, line long, sketch long, print long, signs_0 long, signs_1 long")
 
 
-def _tokens(texts: DataFrame, wanted) -> DataFrame:
+def _tokens(texts: DataFrame, wanted, min_words: int) -> DataFrame:
     """line, leaf and words of the wanted lines, once a slice."""
 
     def run(batches):
@@ -143,7 +145,7 @@ def _tokens(texts: DataFrame, wanted) -> DataFrame:
         for batch in batches:
             for _, _, offs, data in common.text_slices(batch):
                 x = Lines(offs, data)
-                k = np.flatnonzero((x.size >= MIN_WORDS) & w.has(x.line))
+                k = np.flatnonzero((x.size >= min_words) & w.has(x.line))
                 if len(k):
                     _, one = np.unique(x.line[k], return_index=True)
                     k = k[one]
@@ -177,25 +179,25 @@ def _of_different_texts(texts: DataFrame, min_docs: int) -> DataFrame:
     return rest.select("template").distinct()
 
 
-def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, copies: str = "sketch") -> DataFrame:
+def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, copies: str = "sketch", min_words: int = MIN_WORDS) -> DataFrame:
     """line: fingerprints of the lines (digits masked) whose template recurs."""
     if copies not in ("sketch", "similarity"):
         raise ValueError(f"copies: {copies}")
     common.bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    uses = common.written(_uses(texts, copies == "similarity").distinct(), "lines")
+    uses = common.written(_uses(texts, copies == "similarity", min_words).distinct(), "lines")
     leaves = uses.groupBy("leaf").agg(F.count("*").alias("c"), F.min("sketch").alias("lo"), F.max("sketch").alias("hi")).where(f"c >= {min_docs} and lo <> hi").select("leaf")
     open_ = common.written(uses.join(leaves, "leaf", "left_semi"), "open-lines")
     lines = common.checkpointed(open_.groupBy("leaf", "line").agg(F.countDistinct("sketch").alias("docs")))
     wanted = sc.broadcast(screen(lines, "line", lines.count()))
-    words = _tokens(texts, wanted).dropDuplicates(["leaf", "line"]).join(lines, ["leaf", "line"])
+    words = _tokens(texts, wanted, min_words).dropDuplicates(["leaf", "line"]).join(lines, ["leaf", "line"])
     words = common.written(words.select("leaf", "line", "docs", F.size("words").alias("size"), F.posexplode("words").alias("place", "word")), "line-words")
     constant = words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("c")).where(f"c >= {min_docs} and word <> {int(_MASK.view(np.int64))}").select("leaf", "place", "word", F.lit(True).alias("fixed"))
     fields = words.join(constant, ["leaf", "place", "word"], "left").withColumn("word", F.when(F.col("fixed"), F.col("word")))
     shaped = fields.groupBy("leaf", "line").agg(F.first("size").alias("size"), F.count("word").alias("constants"), F.sort_array(F.collect_list(F.struct("place", "word"))).alias("shape"))
     # with too few constants a template would say nothing: the line stands for itself
-    shaped = shaped.select("leaf", "line", F.when(2 * F.col("constants") >= F.col("size"), F.xxhash64("leaf", "shape")).otherwise(F.xxhash64("leaf", "line")).alias("template"))
+    shaped = shaped.select("leaf", "line", F.when((F.col("size") >= MIN_WORDS) & (2 * F.col("constants") >= F.col("size")), F.xxhash64("leaf", "shape")).otherwise(F.xxhash64("leaf", "line")).alias("template"))
     shaped = common.checkpointed(shaped)
     found = open_.join(shaped, ["leaf", "line"])
     if copies == "similarity":
@@ -206,17 +208,18 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
     return common.checkpointed(shaped.join(recurring, "template").select("line").distinct())
 
 
-def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, copies: str = "sketch") -> DataFrame:
+def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, copies: str = "sketch", min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs with the recurring lines taken out of the text, in a
     struct "kept"; n_lines and n_dropped beside it.
 
-    Lines are what \\n separates; those with fewer than MIN_WORDS words stay.
+    Lines are what \\n separates; those with fewer than min_words words stay.
+    With min_words=1, as in the query and the pipeline, only lines without words stay unseen.
     A null text stays null with 0 lines; an empty one has one line, no words
     and stays. Repeated rows are copies and no recurrence. An empty table
     gives no rows. Other columns pass unread, whatever their names.
     """
     spark = docs.sparkSession
-    gone = recurring_lines(docs, text_col, min_docs, copies)
+    gone = recurring_lines(docs, text_col, min_docs, copies, min_words)
     count = gone.count()
     cols = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols if c != text_col], F.lit(0).alias("_")).alias("other"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -225,7 +228,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS
         rows = rows.withColumn("gone", F.lit(None).cast("array<long>"))
     else:
         sent = spark.sparkContext.broadcast(None)
-        rows = _with_gone(rows, gone, spark.sparkContext.broadcast(screen(gone, "line", count)))
+        rows = _with_gone(rows, gone, spark.sparkContext.broadcast(screen(gone, "line", count)), min_words)
     schema = rows.select("other", "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 
     def run(batches):
@@ -238,7 +241,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS
                 else:
                     own = [np.array(g or [], np.int64).view(np.uint64) for g in part.column(2).to_pylist()]
                     bad = np.array([v in own[t] for v, t in zip(x.line, x.text, strict=True)], bool)
-                bad &= x.size >= MIN_WORDS
+                bad &= x.size >= min_words
                 texts = part.column(1).to_pylist()
                 n_lines = [0 if t is None else t.count("\n") + 1 for t in texts]
                 dropped = np.bincount(x.text[bad], minlength=n)
@@ -254,7 +257,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS
     return done.select(kept.alias("kept"), "n_lines", "n_dropped")
 
 
-def _with_gone(rows: DataFrame, gone: DataFrame, likely) -> DataFrame:
+def _with_gone(rows: DataFrame, gone: DataFrame, likely, min_words: int) -> DataFrame:
     """Beyond what may be broadcast: each row's recurring lines, by a join on the line."""
     keyed = common.written(rows.withColumn("row", F.monotonically_increasing_id()), "line-rows")
 
@@ -262,7 +265,7 @@ def _with_gone(rows: DataFrame, gone: DataFrame, likely) -> DataFrame:
         for batch in batches:
             for at, n, offs, data in common.text_slices(batch):
                 x = Lines(offs, data)
-                ok = (x.size >= MIN_WORDS) & likely.value.has(x.line)
+                ok = (x.size >= min_words) & likely.value.has(x.line)
                 row = batch.column(0).slice(at, n).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(row[x.text[ok]]), _long(x.line[ok])], names=["row", "line"])
 
@@ -276,7 +279,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that loses all its words this way goes; n_chars, where there
     is one, is that of the text that stays.
     """
-    rows = drop_lines(docs, copies="similarity").where((F.col("n_dropped") == 0) | F.regexp_like(F.coalesce("kept.text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
+    rows = drop_lines(docs, copies="similarity", min_words=1).where((F.col("n_dropped") == 0) | F.regexp_like(F.coalesce("kept.text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
     value = {c: F.col(f"kept.`{c}`") for c in docs.columns}
     if "n_chars" in value:
         value["n_chars"] = F.when(F.col("n_dropped") == 0, value["n_chars"]).otherwise(F.length("kept.text")).cast(docs.schema["n_chars"].dataType)
@@ -284,7 +287,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drop_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"), copies="similarity")
+    rows = drop_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"), copies="similarity", min_words=1)
     return rows.select(F.col("kept.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("kept.text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -187,3 +187,14 @@ def test_lines_recur_beside_shared_parts_and_copies(spark):
     assert all(got[i] == rows[i][1].split("\n")[0] for i in range(40))
     assert all("river company" not in t for t in got.values())
     assert all(got[100 + i].startswith(page + "\nNobody else says this line") for i in range(300))
+
+
+def test_short_lines_recur(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 60).replace("\n", " ") + f"\nRead more\nLes.\nPage {i}\n{i}" + ("\n7 of" if i < 5 else "\n8 of" if i < 9 else "")) for i in range(20)]
+    want = {i: [f"Page {i}", f"{i}"] + (["8 of"] if 5 <= i < 9 else []) for i in range(20)}
+    got = lt.drop_lines(frame(spark, rows), copies="similarity", min_words=1).collect()
+    assert {r.kept.doc_id: r.kept.text.split("\n")[1:] for r in got} == want
+    monkeypatch.setattr(lt, "BROADCAST_LINES", 0)
+    got = lt.drop_lines(frame(spark, rows), copies="similarity", min_words=1).collect()
+    assert {r.kept.doc_id: r.kept.text.split("\n")[1:] for r in got} == want
