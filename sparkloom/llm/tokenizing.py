@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 
 import numpy as np
 import public_tokenizers
@@ -20,10 +21,19 @@ class Encoder:
     faster on one core, so it goes first; where it declines a text (for
     example a run of spaces beyond its regex engine's limits) the tokenizer
     file itself is used. tests/llm hold the two against each other.
+
+    With special, as in ``encoder``, the text of an added token such as
+    ``<|endoftext|>`` gives its one id, as the tokenizer file has it as
+    loaded; texts that hold one go to the file. Without, such text is
+    encoded like any other (``encode_special_tokens``).
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, ranks: str | None = RANKS):
-        self._vocabulary, self._slow, self._fast = vocabulary, None, None
+    def __init__(self, vocabulary: str = VOCABULARY, ranks: str | None = RANKS, special: bool = False):
+        self._vocabulary, self._special, self._slow, self._fast = vocabulary, special, None, None
+        self._added: list[str] = []
+        if special:
+            with open(vocabulary, encoding="utf-8") as f:
+                self._added = [t["content"] for t in json.load(f).get("added_tokens", [])]
         if ranks:
             import tiktoken
 
@@ -32,7 +42,7 @@ class Encoder:
             self._fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if self._fast is not None:
+        if self._fast is not None and not any(t in text for t in self._added):
             try:
                 return self._fast.encode_ordinary(text)
             except BaseException as e:  # the library raises its own panic type
@@ -42,7 +52,7 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self._vocabulary)
-            self._slow.encode_special_tokens = True
+            self._slow.encode_special_tokens = not self._special
         return self._slow.encode(text, add_special_tokens=False).ids
 
     def array(self, text: str | None, end: int | None = None) -> np.ndarray:
@@ -54,4 +64,4 @@ class Encoder:
 @functools.lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> Encoder:
     """One encoder for each Python worker."""
-    return Encoder(vocabulary, ranks)
+    return Encoder(vocabulary, ranks, special=True)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sparkloom.llm import packing, token_matrix, token_rollup
+from sparkloom.llm import packing, token_matrix, token_rollup, tokenizing
 from sparkloom.llm.tokenizing import VOCABULARY, Encoder
 
 from .texts import corpus, frame
@@ -114,3 +114,16 @@ def test_rollup(spark, tmp_path):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
     assert packing.decompose(empty).collect() == [] and token_matrix.pack_matrix(empty).collect() == [] and token_rollup.token_counts(empty).collect() == []
+
+
+def test_added_tokens_as_the_file_has_them(spark):
+    loaded = Tokenizer.from_file(VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "plain text " * 50, "", "e\u0301 <|endoftext|>" + " " * 30000 + "x"]
+    for text in texts:
+        assert tokenizing.encoder().encode(text) == loaded.encode(text, add_special_tokens=False).ids
+    assert tokenizing.encoder().encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    n = {i: len(loaded.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.doc_tokens for r in packing.decompose(docs).collect()} == {i: k + 1 for i, k in n.items()}
+    assert sum(r.n_tokens for r in token_matrix.pack_matrix(docs, seq_len=256, block_tokens=4096).collect()) == sum(n.values()) + len(n)
+    assert {r.doc_id: r.n_tokens for r in token_rollup.token_counts(docs).collect()} == n
