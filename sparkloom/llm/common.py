@@ -22,10 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is
-    unset (tests, one machine) a temporary folder takes its place.
+    unset on one machine (tests) a temporary folder takes its place. On a
+    cluster each executor would write to its own disk then, so it raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext
@@ -57,6 +60,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one run. ``remove`` deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        df.write.parquet(path)
+        self._paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self._paths.pop(name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, share: int = 4096) -> DataFrame:
+    """rows joined with one row of groups for each key; n is the number of rows of the key.
+
+    Keys with more than 1 / share of the ``total`` rows are share at most, so
+    their groups are broadcast and their rows stay where they are, however
+    hot; the others are joined by a shuffle, in which no key is large. rows
+    is read twice, so it should be a written table.
+    """
+    most = max(1, total // share)
+    hot = F.broadcast(groups.where(F.col(n) > most))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(n) <= most), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow table (labels, links) through the shared folder."""
     shared_dir(df.sparkSession)

@@ -140,8 +140,9 @@ def write_matrix(packed: DataFrame, path: str) -> None:
 
 
 def op6_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed matrices themselves, with a checksum of ids and positions."""
     p = pack_matrix(common.table(spark, sf_dir, "documents"))
-    return p.select("sequence_id", "n_tokens", "n_segments", "cu_seqlens", "doc_ids", "doc_starts", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
+    return p.select("sequence_id", "n_tokens", "n_segments", "cu_seqlens", "doc_ids", "doc_starts", "input_ids", "position_ids", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
 
 
 QUERIES = {"op6_token_matrix": op6_token_matrix}

@@ -8,7 +8,10 @@ committed once under its batch id; totals are the sums over all batches.
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ VERSION = "byte_bpe_50k"
 
 
 def token_counts(docs: DataFrame, version: str = VERSION, vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> DataFrame:
-    """doc_id, source, lang, tokenizer_version, n_tokens, n_chars of each row of docs.
+    """doc_id, source, lang, tokenizer_version, n_tokens, n_chars and text_md5 of each row of docs.
 
     A null or empty text has 0 tokens and 0 characters; long texts count
     whole; null source, lang and doc_id stay null; repeated rows are counted
@@ -31,13 +34,14 @@ def token_counts(docs: DataFrame, version: str = VERSION, vocabulary: str = VOCA
     def run(batches):
         enc = encoder(vocabulary, ranks)
         for batch in batches:
-            text = batch.column(3)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(enc.encode(t.as_py() or "")) for t in text], pa.int64()), pa.array([len(t.as_py() or "") for t in text], pa.int64())], names=["doc_id", "source", "lang", "n_tokens", "n_chars"])
+            text = batch.column(4)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(enc.encode(t.as_py() or "")) for t in text], pa.int64()), pa.array([len(t.as_py() or "") for t in text], pa.int64())], names=["doc_id", "source", "lang", "text_md5", "n_tokens", "n_chars"])
 
     common.bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    counted = rows.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long, n_chars long")
-    return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), "n_tokens", "n_chars")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.md5(text).alias("text_md5"), text.alias("text"))
+    counted = rows.mapInArrow(run, "doc_id long, source string, lang string, text_md5 string, n_tokens long, n_chars long")
+    return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), "n_tokens", "n_chars", "text_md5")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -53,11 +57,39 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return deletes(old).unionByName(inserts(new))
 
 
+def with_end(counts: DataFrame) -> DataFrame:
+    """The counts with the end id that packing puts behind each document."""
+    return counts.withColumn("n_tokens", F.col("n_tokens") + 1)
+
+
+def first_of_each_text(counts: DataFrame) -> DataFrame:
+    """One row for each text: that of the smallest doc_id (null ids last), then of the least source and lang.
+
+    A group of copies is reduced by partial minima, whatever its size.
+    """
+    rest = [c for c in counts.columns if c != "text_md5"]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("_no_id"), *rest))
+    return counts.groupBy("text_md5").agg(least.alias("r")).select("text_md5", "r.*").select(*counts.columns)
+
+
 class Rollup:
-    """Totals kept as one folder of summed deltas for each committed batch."""
+    """Totals kept as one folder of summed deltas for each committed batch.
+
+    A batch is written to a hidden staging folder and appears under its id by
+    one rename, which fails if the id is there. So a broken write is never
+    counted, and of two writers of one id one commits. (On a store whose
+    renames are copies, keep the rollup on a file system that has them.)
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._fs().mkdirs(self._hadoop(self.path))
+
+    def _hadoop(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self):
+        return self._hadoop(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _folder(self, batch_id: str) -> str:
         if not batch_id or not all(c.isalnum() or c in "-_." for c in batch_id):
@@ -65,31 +97,51 @@ class Rollup:
         return f"{self.path}/batch_id={batch_id}"
 
     def committed(self, batch_id: str) -> bool:
-        """Spark's writer leaves _SUCCESS as the last step, so a broken write is no commit."""
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self._folder(batch_id)}/_SUCCESS")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return self._fs().exists(self._hadoop(self._folder(batch_id)))
 
-    def commit(self, batch_id: str, signed: DataFrame) -> bool:
-        """Sum and keep the batch; False, and nothing done, if it is there already."""
-        if self.committed(batch_id):
-            return False
+    def stage(self, signed: DataFrame) -> str:
+        """Sum a batch into a staging folder, which no reader sees; returns the folder."""
         summed = signed.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
-        summed.write.mode("overwrite").parquet(self._folder(batch_id))
+        folder = f"{self.path}/_staging/{uuid.uuid4().hex}"
+        summed.write.parquet(folder)
+        return folder
+
+    def publish(self, batch_id: str, staged: str) -> bool:
+        """Make a staged batch the one of its id; False, and the staged rows gone, if another was first."""
+        jvm, target = self.spark._jvm, self._hadoop(self._folder(batch_id))
+        uri = self._fs().getUri()
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self.spark._jsc.hadoopConfiguration())
+        no_overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(self._hadoop(staged), target, no_overwrite)
+        except Py4JJavaError as e:
+            if not self.committed(batch_id):
+                raise
+            del e
+            common.remove(self.spark, staged)
+            return False
         return True
 
+    def commit(self, batch_id: str, signed: DataFrame) -> bool:
+        """Sum and keep the batch; False, and nothing done, if it is there already."""
+        return not self.committed(batch_id) and self.publish(batch_id, self.stage(signed))
+
     def totals(self) -> DataFrame:
-        """Rows whose documents all cancelled are gone."""
+        """Sums over the committed batches; rows whose documents all cancelled are gone."""
         schema = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_chars long, batch_id string"
         deltas = self.spark.read.schema(schema).parquet(self.path)
         return deltas.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts(common.table(spark, sf_dir, "documents"))
+    """All documents through three batches: inserted; each count revised to hold the
+    end id; repeated texts deleted. Each batch is sent twice and counts once."""
+    counts = common.written(token_counts(common.table(spark, sf_dir, "documents")), "token-counts")
+    final = with_end(counts)
     rollup = Rollup(spark, common.scratch(spark, "rollup"))
-    rollup.commit("load", inserts(counts))
-    rollup.commit("load", inserts(counts))  # a replay changes nothing
+    for batch_id, signed in (("load", inserts(counts)), ("end-id", changes(counts, final)), ("copies", changes(final, first_of_each_text(final)))):
+        rollup.commit(batch_id, signed)
+        rollup.commit(batch_id, signed)
     return rollup.totals()
 
 

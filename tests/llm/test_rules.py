@@ -1,12 +1,14 @@
+import random
 import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
+from sparkloom.llm import common
 from sparkloom.llm import quality_ledger as q
 from sparkloom.llm import url_templates as u
 
-from .texts import corpus, frame
+from .texts import corpus, frame, held_to_sql
 
 
 def measured(t):
@@ -101,3 +103,47 @@ def test_templates_learn_from_labels(spark):
     got = {r.page_id: r for r in u.judge(pages, rules=(), bad=F.col("bad")).collect()}
     assert [got[k].verdict for k in (900, 901, 902, 903)] == ["block", "block", "allow", "allow"]
     assert got[900].template == "/(junk|spam)/(<n>|<n>.html)" and got[902].template.startswith("/news/") and got[300].template == "/user/*/post"
+
+
+def test_tree_goes_deeper_where_labels_are_mixed(spark):
+    rows = []
+    for i in range(90):
+        rows += [(i, f"http://h.org/a/b/c/d/e/good/{i}", False), (100 + i, f"http://h.org/a/b/c/d/e/bad/{i}", True), (200 + i, f"http://h.org/k/l/m/n/o/p/{i}", False)]
+    rows += [(900, "http://h.org/a/b/c/d/e/bad/77777", None), (901, "http://h.org/a/b/c/d/e/good/77", None), (902, "http://h.org/" + "x/" * 3000 + "#y", None), (902, "http://h.org/" + "x/" * 3000 + "#y", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = {r.page_id: r for r in u.judge(pages, rules=(), bad=F.col("bad")).collect()}
+    assert got[900].template == "/a/b/c/d/e/bad/**" and got[901].template == "/a/b/c/d/e/good/**" and got[200].template == "/k/l/m/n/**" and got[902].template == "/x/x/x/x/**"
+    assert [got[k].verdict for k in (900, 901, 902)] == ["block", "allow", "allow"]
+
+
+def test_few_labels_take_the_share_of_the_branch_above(spark):
+    rows = [(i, f"http://h.org/spam/{i % 20}{i}", True) for i in range(200)] + [(300 + i, f"http://h.org/spam/x{chr(97 + i)}", None) for i in range(4)] + [(400 + i, f"http://g.org/news/{i}", False) for i in range(50)]
+    got = {r.page_id: r for r in u.judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), rules=(), bad=F.col("bad")).collect()}
+    assert got[300].purity > 0.9 and got[300].verdict == "allow" and got[0].verdict == "block" and got[400].purity < 0.5  # no label of its own: no block
+
+
+def test_pages_are_labelled_by_host_words_and_text(spark):
+    good = "<html><script>var a = '***';</script><!-- ### --><p>" + "word &amp; more &middot; " * 20 + "</p></html>"
+    rows = [("http://x.org/", good, False), ("http://casino-win.x.org/", good, True), ("http://casinos.x.org/", good, False), ("http://x.org/casino", good, False), ("http://x.org/", "<p>few words</p>", True), ("http://x.org/", "<p>" + "a### b$$$ " * 20 + "</p>", True), ("http://x.org/", None, None), (None, good, False), ("http://my.pills.org", None, True), ("http://x.org/", "", True)]
+    got = [r.b for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, url string, html string, want boolean").repartition(1).sortWithinPartitions("i").select(u.bad_page(F.col("url"), F.col("html")).alias("b")).collect()]
+    assert got == [r[2] for r in rows]
+
+
+def test_hot_groups_join_as_cold_ones_do(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 700, 0).otherwise(F.col("id")).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = common.join_counted(rows, groups, "k", "n", 1000, share=4)
+    assert got.count() == 1000 and got.where("top <> 699 and k = 0 or k <> 0 and top <> k").count() == 0
+    assert common.join_counted(rows.limit(0), groups, "k", "n", 0).collect() == []
+
+
+def test_url_query_matches_its_sql(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        host = rng.choice(["a.example.com", "www.example.com", "b.net", "adult-x.b.net", "c.org", "spam.c.org"])
+        url = f"http://{host}/{rng.choice(['en', 'es', 'fr', 'de'])}/{rng.choice(['', str(i), f'{i}.html', 'x/y/z/w/v', 'x/y/z/w/u'])}"
+        rows.append((i, url, "<p>" + ("junk### " if rng.random() < 0.3 else "fine words ") * 12 + "</p>"))
+    rows += [(None, rows[0][1], rows[0][2]), (3, None, None), (4, "http://c.org/en/7", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    held_to_sql(u.op10_url_templates(spark, str(tmp_path)), u.ORACLE["op10_url_templates"], tmp_path, ["pages"])

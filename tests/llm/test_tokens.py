@@ -8,12 +8,11 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sparkloom.llm import packing, token_matrix, token_rollup, tokenizing
-from sparkloom.llm.tokenizing import VOCABULARY, Encoder
+from sparkloom.llm.tokenizing import VOCABULARY
 
 from .texts import corpus, frame
 
-TOKENIZER = Tokenizer.from_file(VOCABULARY)
-TOKENIZER.encode_special_tokens = True
+TOKENIZER = Tokenizer.from_file(VOCABULARY)  # as loaded, no switch set
 
 
 def ids_of(text):
@@ -23,11 +22,11 @@ def ids_of(text):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=200))
 def test_encoder_equals_the_tokenizer(text):
-    assert Encoder().encode(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert tokenizing.encoder().encode(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_on_odd_texts():
-    enc = Encoder()
+    enc = tokenizing.encoder()
     for text in ("<|endoftext|> a", " " * 30000 + "x", "\n\t " * 3000, "x" * 20000, "1" * 5000, "e\u0301\u200d\u00a0\u2028 z"):
         assert enc.encode(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
@@ -127,3 +126,67 @@ def test_added_tokens_as_the_file_has_them(spark):
     assert {r.doc_id: r.doc_tokens for r in packing.decompose(docs).collect()} == {i: k + 1 for i, k in n.items()}
     assert sum(r.n_tokens for r in token_matrix.pack_matrix(docs, seq_len=256, block_tokens=4096).collect()) == sum(n.values()) + len(n)
     assert {r.doc_id: r.n_tokens for r in token_rollup.token_counts(docs).collect()} == n
+
+
+def test_rollup_counts_whole_commits_once(spark, tmp_path):
+    counts = token_rollup.token_counts(spark.createDataFrame([(1, "a b", "s", "en")], "doc_id long, text string, source string, lang string"))
+    r = token_rollup.Rollup(spark, f"{tmp_path}/r")
+    assert r.totals().collect() == []
+    r.stage(token_rollup.inserts(counts))  # a writer that broke before its commit
+    assert r.totals().collect() == [] and not r.committed("b1")
+    one, two = r.stage(token_rollup.inserts(counts)), r.stage(token_rollup.inserts(counts))  # two writers of one id
+    assert [r.publish("b1", one), r.publish("b1", two)] == [True, False]
+    assert [(x.n_docs, x.n_chars) for x in r.totals().collect()] == [(1, 3)]
+    assert r.commit("b2", token_rollup.deletes(counts)) and r.totals().collect() == []
+
+
+def test_rollup_query(spark, tmp_path):
+    rows = [(d, t, f"s{i % 3}" if i % 7 else None, "en" if i % 2 else "de", 5, "x", 7) for i, (d, t) in enumerate(corpus())]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_tokens int, text_md5 string, n_docs long").write.parquet(f"{tmp_path}/documents.parquet")
+    first, want = {}, {}
+    for d, t, source, lang, *_ in rows:
+        n = len(ids_of(t))
+        key = (d is None, d or 0, source is not None, source or "", lang)
+        first[t or ""] = min(first.get(t or "", (key, source, lang, n)), (key, source, lang, n), key=lambda x: x[0])
+    for t, (_, source, lang, n) in first.items():
+        a, b, c = want.get((source, lang), (0, 0, 0))
+        want[source, lang] = a + 1, b + n, c + len(t)
+    got = token_rollup.op9_token_rollup(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens, r.n_chars) for r in got} == want and {r.tokenizer_version for r in got} == {"byte_bpe_50k"}
+
+
+def brute_best_fit(sizes, width):
+    rooms, out = [], []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        fits = [r for r in rooms if r >= sizes[i]]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - sizes[i])
+        else:
+            rooms.append(width - sizes[i])
+        out.append(sorted(rooms))
+    return out[-1] if out else []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=80))
+def test_best_fit_equals_brute_force(sizes):
+    bins = token_matrix.best_fit_decreasing(sizes, 64)
+    assert sorted(64 - sum(sizes[i] for i in b) for b in bins) == brute_best_fit(sizes, 64)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+
+
+def test_matrix_query(spark, tmp_path):
+    rows = corpus()
+    frame(spark, rows, more=True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = token_matrix.op6_token_matrix(spark, str(tmp_path)).collect()
+    pieces = []
+    for r in got:
+        ids, pos = struct.unpack("<2048I", r.input_ids), struct.unpack("<2048i", r.position_ids)
+        for d, s, a, b in zip(r.doc_ids, r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            pieces.append(repr((d, s, ids[a:b])))
+            assert pos[a:b] == tuple(range(b - a))
+        assert (r.ids_crc32, r.positions_crc32) == (zlib.crc32(r.input_ids), zlib.crc32(r.position_ids)) and set(ids[r.n_tokens :]) <= {0}
+    assert len({r.sequence_id for r in got}) == len(got)
+    want = [repr((d, s, tuple(ids[s : s + 2048]))) for d, t in rows for ids in [ids_of(t)] for s in range(0, len(ids), 2048)]
+    assert sorted(pieces) == sorted(want)

@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+
 VOCAB = [a + b + c for a in ("ta", "ré", "so", "mi", "lu", "ka") for b in ("n", "r", "st", "l") for c in ("do", "ve", "in", "e")]
 
 
@@ -32,3 +34,15 @@ def frame(spark, rows, more=False):
     if not more:
         return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     return spark.createDataFrame([(d, t, 7, "s", 1.5, "k") for d, t in rows], "doc_id long, text string, n_words int, spans string, row double, kept string").repartition(3)
+
+
+def held_to_sql(df, sql, folder, tables):
+    """The rows of df are those of the SQL over the folder's Parquet tables."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    want = con.execute(sql)
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(df.columns)
+    plain = lambda rows: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows)
+    assert plain(tuple(r) for r in df.select(*names).collect()) == plain(want.fetchall())
