@@ -8,17 +8,17 @@ similarity, corrected for chance collisions, and drop what cannot be a link.
 What remains is confirmed on the full sets.
 
 Candidates are not all pairs of a bucket. Each member is first held against
-the bucket's smallest one; confirmed links give components. Only texts of
-different components in one bucket are then still open. They are compared in
-blocks: a block's sets form an inverted index, texts outside the family's
-main component visit it, and only links leave the task. So no link is lost,
-and a large group of copies never becomes rows of pairs.
+the bucket's smallest one; confirmed links give components. A bucket whose
+members are of several components is still open: there the members outside
+its main component visit the others in tiles of bounded size. A tile holds
+packed signatures, estimates its pairs by bit counts and lets only those go
+on that have a candidate; these meet again with their full sets, and only
+links leave the task. So no link is lost, a large group never becomes rows of
+pairs, and sets travel in proportion to the candidates.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +35,10 @@ SLACK = 0.135
 SIMILARITY = 0.8
 #: Ids that may be broadcast (8 bytes each, counted first); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Estimates under it are far from a bucket's center; 0.4 above it covers a link's 0.2 and the estimate's error.
-FAR = 0.3
-#: Texts whose sets make one inverted index.
-BLOCK = 1024
+#: Members of a bucket that a tile holds, visitors that come to it, and shingles that are indexed at once.
+BLOCK, VISITORS, INDEXED = 8192, 1 << 20, 2_000_000
+#: Pairs with one full set that meet it in one task.
+SALTED = 1024
 _WORDS = HASHES // 64
 with np.errstate(over="ignore"):
     _MULTIPLIERS = common._mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -90,8 +90,9 @@ def _lists(a: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), a.reshape(-1).view(np.int64))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """doc_id, n, lo, hi (the set's print), keys and bits of each row; no keys for an empty set."""
+def signatures(rows: DataFrame, k: int) -> DataFrame:
+    """doc_id (and what follows the text in rows), n, lo, hi (the set's print), keys and bits of each row; no keys for an empty set."""
+    more = rows.columns[2:]
 
     def run(batches):
         for batch in batches:
@@ -102,13 +103,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
                     keys[full], bits[full] = signatures_of([sets[i] for i in full])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), _lists(keys), _lists(bits)], names=["doc_id", "n", "lo", "hi", "keys", "bits"])
+                kept = [batch.column(i).slice(at, n) for i in (0, *range(2, 2 + len(more)))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(s) for s in sets], pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), _lists(keys), _lists(bits)], names=["doc_id", *more, "n", "lo", "hi", "keys", "bits"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, lo long, hi long, keys array<long>, bits array<long>")
+    types = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in more)
+    return rows.mapInArrow(run, f"doc_id long, {types}n long, lo long, hi long, keys array<long>, bits array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def _sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, n and the sorted set (bytes) of the rows whose id is a node."""
 
     def run(batches):
@@ -117,8 +119,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int)
                 sets = shingle_sets(offs, data, k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.join(nodes, "node", "left_semi").mapInArrow(run, "node long, n long, shingles binary")
+    return rows.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(run, "node long, n long, shingles binary")
 
 
 def similarity(a: str, b: str) -> Column:
@@ -138,18 +139,20 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the ends a, b of the edges.
 
     Alternating large-star and small-star steps, each a group minimum and a
-    join; the edges of a step are cut off through the shared folder. Stops
-    when a step changes nothing.
+    join in which hubs are no hot keys; the edges of a round are cut off
+    through the shared folder. Stops when a round changes nothing.
     """
     e = common.checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     was = mark(e)
-    while True:
+    while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
+        large = common.join_counted(both.where("v > u"), least, "u", "c", 2 * was[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        # u and each of its neighbours are linked to the least of them
+        ends = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = common.join_counted(large, low, "u", "c", was[0]).select(ends.alias("e")).select(F.explode("e").alias("e")).select("e.u", "e.v")
         e = common.checkpointed(small.where("u <> v").distinct())
         now = mark(e)
         if now == was:
@@ -159,8 +162,8 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """The pairs a, b whose full sets are similar enough; many may share one b."""
 
     def run(batches):
         for batch in batches:
@@ -171,22 +174,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # a set that many pairs have goes to several tasks, SALTED pairs to each
+    salts = F.ceil(F.col("c") / SALTED).cast("int")
+    per = pairs.groupBy("b").agg(F.count("*").alias("c"))
+    salted = common.join_counted(pairs, per, "b", "c", total).select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"))
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
-
+    second = per.select(F.col("b").alias("node"), salts.alias("salts")).join(sets, "node").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("set_b"))
+    return salted.join(first, "a").join(second, ["b", "salt"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
-def _estimated(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The pairs a, b with their set sizes and estimate."""
-    for end in ("a", "b"):
-        pairs = pairs.join(bits.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
-    return pairs.select("a", "b", "n_a", "n_b", similarity("bits_a", "bits_b").alias("estimate"))
 
-
-def _let_go(spark: SparkSession) -> None:
-    """Shuffle files of finished phases go as soon as nothing refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _estimated(pairs: DataFrame, bits: DataFrame, total: int) -> DataFrame:
+    """The pairs a, b with their set sizes and estimate; many may share one b."""
+    own = bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("c")).join(bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+    met = common.join_counted(pairs.join(own, "a"), hubs, "b", "c", total)
+    return met.select("a", "b", "n_a", "n_b", similarity("bits_a", "bits_b").alias("estimate"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity_at_least: float = SIMILARITY) -> DataFrame:
@@ -203,93 +205,169 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their texts; their common id may serve for either. An empty table gives
     no rows; other columns are not read.
     """
-    common.bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return _grouped(rows, k, similarity_at_least)
+
+
+def _grouped(rows: DataFrame, k: int, similarity_at_least: float) -> DataFrame:
+    """near_groups of rows: doc_id, text and further columns, which are carried along."""
+    common.bounded_batches(rows.sparkSession)
+    spark, more = rows.sparkSession, rows.columns[2:]
+    scratch = common.Scratch(spark)
     percent = round(100 * similarity_at_least)
     threshold = similarity_at_least - SLACK
-    sig = common.written(signatures(docs, id_col, text_col, k), "signatures")
+    sig = scratch.written(signatures(rows, k), "signatures")
     first = F.min(F.struct("doc_id", "n", "keys", "bits")).alias("r")
-    classes = common.written(sig.where("n > 0 and doc_id is not null").groupBy("lo", "hi").agg(first).select("lo", "hi", F.col("r.doc_id").alias("node"), "r.n", "r.keys", "r.bits"), "classes")
+    classes = scratch.written(sig.where("n > 0 and doc_id is not null").groupBy("lo", "hi").agg(first).select("lo", "hi", F.col("r.doc_id").alias("node"), "r.n", "r.keys", "r.bits"), "classes")
     bands = classes.select("node", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("members")).where("members > 1")
-    shared = common.written(bands.join(buckets, "key").select("key", "node", "center", "members"), "buckets")
-    _let_go(spark)
+    buckets = scratch.written(bands.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("members")).where("members > 1"), "buckets")
+    total = buckets.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    if not total:
+        return _labelled(sig, classes, None, more)
+    shared = scratch.written(common.join_counted(bands, buckets, "key", "members", total).select("key", "node", "center", "members"), "shared")
     nodes = common.checkpointed(shared.select("node").distinct())
-    count = nodes.count()
-    if not count:
-        return _labelled(sig, classes, None)
-    small = F.broadcast(nodes) if count <= BROADCAST_IDS else nodes
-    bits = common.written(classes.join(small, "node", "left_semi").select("node", "n", "bits"), "bits")
+    small = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    # the prints of the keys tell in which bucket a pair meets first
+    prints = F.transform("keys", lambda x: F.shiftright(x, 32).cast("int"))
+    bits = scratch.written(classes.join(small, "node", "left_semi").select("node", "n", "bits", prints.alias("prints")), "bits")
     # bucketed by node: the joins below move the pairs, not the sets
-    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), "sets_" + common.scratch(spark, "t").rpartition("-")[2]
-    _sets(docs, small, id_col, text_col, k).dropDuplicates(["node", "n"]).repartition(parts, "node").write.bucketBy(parts, "node").option("path", common.scratch(spark, "sets")).saveAsTable(name)
-    sets = spark.table(name)
-
-    stars = common.checkpointed(_estimated(shared.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), bits))
-    size_ok = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    links = common.checkpointed(_verified(stars.where(size_ok & (F.col("estimate") >= threshold)).select("a", "b"), sets, percent))
-    labels = common.checkpointed(components(links))
-    _let_go(spark)
-    families = _families(shared.where("members > 2"), stars, labels)
-    more = _cross_links(families, sets, percent)
-    for end in ("a", "b"):
-        more = more.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left").withColumn(end, F.coalesce(f"c_{end}", end)).drop(f"c_{end}")
-    joined = common.checkpointed(components(more))
-    other = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
-    merged = labels.join(other, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    alone = joined.join(labels.select("node"), "node", "left_anti").select("node", "component")
-    done = common.checkpointed(merged.unionByName(alone))
-    spark.sql(f"DROP TABLE {name}")
-    return _labelled(sig, classes, done)
-
-
-def _families(shared: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, component, family, main: what may still hold links, in buckets of several components.
-
-    A bucket's members near its center form one family with it, the far ones
-    (estimate under FAR) another: two linked texts differ by 0.2 at most in
-    what they have in common with the center, so both are far or both near,
-    within the overlap. main is the family's largest component.
+    parts, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), "sets_" + common.scratch(spark, "t").rpartition("-")[2], common.scratch(spark, "sets")
+    try:
+        _sets(rows, small, k).dropDuplicates(["node", "n"]).repartition(parts, "node").write.bucketBy(parts, "node").option("path", path).saveAsTable(name)
+        sets = spark.table(name)
+        pairs = scratch.written(shared.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
+        size_ok = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+        likely = scratch.written(_estimated(pairs, bits, total).where(size_ok & (F.col("estimate") >= threshold)).select("a", "b"), "likely")
+        labels = common.checkpointed(components(_verified(likely, sets, percent, likely.count())))
+        links = _cross_links(_open_buckets(shared, labels, total), bits, sets, percent, threshold, scratch)
+        for end in ("a", "b"):
+            links = links.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left").withColumn(end, F.coalesce(f"c_{end}", end)).drop(f"c_{end}")
+        joined = common.checkpointed(components(links))
+        other = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        merged = labels.join(other, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        alone = joined.join(labels.select("node"), "node", "left_anti").select("node", "component")
+        done = common.checkpointed(merged.unionByName(alone))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        common.remove(spark, path)
+    scratch.remove("buckets", "shared", "bits", "pairs", "likely", "tiles")
+    return _labelled(sig, classes, done, more)
+
+
+def _open_buckets(shared: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """key, node, component, main (the bucket's largest component), members and strangers (members outside it)
+    of the buckets whose members are of several components."""
+    own = common.checkpointed(shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    kinds = own.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = kinds.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("members"), F.max("c").alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = common.checkpointed(mixed.select("key", "main", "members", (F.col("members") - F.col("largest")).alias("strangers")))
+    return common.join_counted(own, mixed, "key", "members", total)
+
+
+def _cross_links(open_: DataFrame, bits: DataFrame, sets: DataFrame, percent: int, threshold: float, scratch: common.Scratch) -> DataFrame:
+    """Links a, b between components of one bucket, on full sets.
+
+    A tile is a block of a bucket's members and a part of its strangers; the
+    strangers stream past the block. A pair that meets in several buckets
+    counts in that of its first band only.
     """
-    own = shared.join(labels, "node", "left").select("key", "node", "center", F.coalesce("component", "node").alias("component"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = own.join(mixed, "key").join(stars.select(F.col("a").alias("node"), F.col("b").alias("center"), "estimate"), ["node", "center"], "left").withColumn("estimate", F.coalesce("estimate", F.lit(1.0)))
-    open_ = common.checkpointed(open_)
-    near = open_.where(F.col("estimate") >= FAR).select(F.col("node").alias("a"), F.col("center").alias("b"))
-    far = open_.where(F.col("estimate") < FAR + 0.4)
-    far = far.join(far.where(F.col("estimate") < FAR).groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b")
-    # texts of one component stay together: one edge for each text, to its component's smallest
-    within = open_.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    family = common.checkpointed(components(near.unionByName(far).unionByName(within)))
-    nodes = open_.select("node", "component").distinct().join(family.select("node", F.col("component").alias("family")), "node")
-    size = nodes.groupBy("family", "component").agg(F.count("*").alias("c"))
-    main = size.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("nodes"), F.count("*").alias("kinds")).where("kinds > 1")
-    return common.checkpointed(nodes.join(main.select("family", "main", "nodes"), "family"))
-
-
-def _cross_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b between components of one family, on full sets.
-
-    A family is dealt out in blocks of about BLOCK texts; each text outside
-    its main component visits every block and is intersected with all of the
-    block at once through the block's inverted index. Only links leave the
-    task, one for each visitor and component.
+    blocks, chunks = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil(F.col("strangers") / VISITORS).cast("int")
+    deal = lambda turn, n: F.pmod(F.xxhash64("node", F.lit(turn)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    tile = ["key", "block", "chunk"]
+    cols = [*tile, "visits", "node", "component", "main", "n", "bits", "prints"]
+    rows = open_.join(bits, "node")
+    at_home = rows.select("*", deal(1, blocks).alias("block"), every(chunks).alias("chunk"), F.lit(0).alias("visits"))
+    visiting = rows.where("component <> main").select("*", every(blocks).alias("block"), deal(2, chunks).alias("chunk"), F.lit(1).alias("visits"))
+    parts = int(bits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = at_home.select(*cols).unionByName(visiting.select(*cols)).repartition(parts, *tile).sortWithinPartitions(*tile, "visits")
+    found = tiles.mapInArrow(_likely_in_tiles(percent, threshold), "key long, block long, chunk long, part long, visits long, node long, component long")
+    met = scratch.written(found.distinct(), "tiles").join(sets.select("node", "shingles"), "node")
+    part = [*tile, "part"]
+    met = met.select(*part, "visits", "node", "component", "shingles").repartition(parts, *part).sortWithinPartitions(*part, "visits")
+    return common.checkpointed(met.mapInArrow(_confirmed(percent), "a long, b long"))
+
+
+def _likely_in_tiles(percent: int, threshold: float):
+    """Members and visitors of a tile that have a pair whose estimate and sizes allow a link.
+
+    Members are numbered in parts of INDEXED shingles; a visitor goes to the
+    parts that hold a candidate of it.
     """
-    blocks = F.ceil(F.col("nodes") / BLOCK).cast("int")
-    at_home = families.select("node", "component", "family", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(0).alias("visits"))
-    visiting = families.where("component <> main").select("node", "component", "family", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("visits"))
-    rows = at_home.unionByName(visiting).join(sets.select("node", "shingles"), "node")
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("family", "block", "visits", "node", "component", "shingles").repartition(parts, "family", "block").sortWithinPartitions("family", "block", "visits")
+    most_off = HASHES * (1 - (threshold * (1 - 2.0**-LOW_BITS) + 2.0**-LOW_BITS))
+    names = ["key", "block", "chunk", "part", "visits", "node", "component"]
+
+    def run(batches):
+        now, home, index = None, [], None
+        for batch in batches:
+            key, block, chunk, visits, nodes, kinds, mains, n = (c.to_numpy() for c in batch.columns[:8])
+            signs = batch.column(8).flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+            prints = batch.column(9).flatten().to_numpy().reshape(len(n), -1)
+            new = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0) | (np.diff(chunk) != 0)) + 1
+            out: list[np.ndarray] = []
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(n)], strict=True):
+                if lo == hi:
+                    continue
+                if (int(key[lo]), int(block[lo]), int(chunk[lo])) != now:
+                    now, home, index = (int(key[lo]), int(block[lo]), int(chunk[lo])), [], None
+                split = lo + int(np.searchsorted(visits[lo:hi], 1))
+                if split > lo:
+                    home.append(tuple(x[lo:split] for x in (nodes, kinds, n, signs, prints)))
+                if split == hi or not home:
+                    continue
+                if index is None:
+                    index = tuple(np.concatenate(x) for x in zip(*home, strict=True))
+                    part, sent = np.cumsum(index[2]) // INDEXED, np.zeros(len(index[2]), bool)
+                    band = int(np.flatnonzero(prints[split] == now[0] >> 32)[0])
+                for at in range(split, hi, 16):
+                    v = slice(at, min(at + 16, hi))
+                    i, j = _close(signs[v], n[v], kinds[v], mains[v], index, most_off, percent)
+                    fresh = ~(prints[at + i, :band] == index[4][j, :band]).any(axis=1)
+                    i, j = at + i[fresh], j[fresh]
+                    if not len(i):
+                        continue
+                    own = np.unique(j)
+                    own = own[~sent[own]]
+                    sent[own] = True
+                    comes = np.unique(np.stack([i, part[j]]), axis=1)
+                    for who, parts, visit in ((index[0][own], part[own], 0), (nodes[comes[0]], comes[1], 1)):
+                        kind = index[1][own] if not visit else kinds[comes[0]]
+                        out.append(np.stack([*(np.full(len(who), x, np.int64) for x in now), parts, np.full(len(who), visit, np.int64), who, kind]))
+            rows = np.concatenate(out, axis=1) if out else np.zeros((7, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=names)
+
+    return run
+
+
+def _close(signs, n, kinds, mains, index, most_off, percent) -> tuple[np.ndarray, np.ndarray]:
+    """Places of visitors and members whose estimate and sizes allow a link between components.
+
+    Of two strangers the one whose component has the larger name visits.
+    """
+    _, home_kinds, home_n, home_signs, _ = index
+    off = np.zeros((len(n), len(home_n)), np.uint16)
+    for w in range(_WORDS):
+        either = np.zeros(off.shape, np.uint64)
+        for bit in range(LOW_BITS):
+            either |= signs[:, bit * _WORDS + w, None] ^ home_signs[None, :, bit * _WORDS + w]
+        off += np.bitwise_count(either)
+    ok = (off <= most_off) & (100 * np.minimum(n[:, None], home_n) >= percent * np.maximum(n[:, None], home_n))
+    ok &= ((kinds[:, None] > home_kinds) | (home_kinds == mains[:, None])) & (kinds[:, None] != home_kinds)
+    return np.nonzero(ok)
+
+
+def _confirmed(percent: int):
+    """A part's members form an inverted index; each visitor is intersected with all of them at once.
+    One link leaves for each visitor and component."""
 
     def run(batches):
         now, home, index = None, [], None
         for batch in batches:
             a, b = [], []
-            for family, block, visits, node, component, raw in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
+            for *tile, visits, node, component, raw in zip(*(c.to_pylist() for c in batch.columns[:7]), batch.column(7), strict=True):
                 s = np.frombuffer(raw.as_buffer(), np.uint64)
-                if (family, block) != now:
-                    now, home, index = (family, block), [], None
+                if tile != now:
+                    now, home, index = tile, [], None
                 if not visits:
                     home.append((node, component, s))
                     continue
@@ -311,28 +389,45 @@ def _cross_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFram
                     b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return common.checkpointed(rows.mapInArrow(run, "a long, b long"))
+    return run
 
 
-def _labelled(sig: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(sig: DataFrame, classes: DataFrame, labels: DataFrame | None, more: list[str]) -> DataFrame:
     named = classes.select("lo", "hi", "node")
     if labels is None:
         named = named.select("lo", "hi", F.col("node").alias("component"))
     else:
         named = named.join(labels, "node", "left").select("lo", "hi", F.coalesce("component", "node").alias("component"))
-    rows = sig.select("doc_id", "n", "lo", "hi").join(named, ["lo", "hi"], "left")
+    # the copies of one text may be a third of all rows
+    times = sig.groupBy("lo", "hi").agg(F.count("*").alias("c")).join(named, ["lo", "hi"], "left")
+    times = common.checkpointed(times.select(F.struct("lo", "hi").alias("set"), "c", "component"))
+    total = times.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    rows = common.join_counted(sig.select("doc_id", *more, "n", F.struct("lo", "hi").alias("set")), times, "set", "c", total)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", *more, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the columns of docs, one document of each group (five-word shingles).
 
-    The ids to drop are counted first: few are broadcast, many are joined.
+    Rows are numbered and judged by their number, so rows of one id and
+    different texts are different documents, repeated rows are copies of each
+    other, and rows without an id are grouped like any other. Of a group the
+    row with the smallest doc_id stays (one without an id only if none has
+    one), of equal ids the first row. Texts without words all stay; an empty
+    table stays empty. Columns are carried inside a struct, whatever their
+    names. The rows to drop are counted first: few are broadcast, many are
+    joined.
     """
-    gone = common.checkpointed(near_groups(docs, k=5).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    numbered = common.written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "numbered")
+    rows = numbered.select(F.col("row").alias("doc_id"), F.col("doc.text").cast("string").alias("text"), F.col("doc.doc_id").cast("long").alias("rank"))
+    group = common.written(_grouped(rows, 5, SIMILARITY).select(F.col("doc_id").alias("row"), "rank", F.col("component_id").alias("component")), "groups")
+    best = group.groupBy("component").agg(F.min(F.struct(F.col("rank").isNull().alias("no_id"), "rank", "row")).alias("best"), F.count("*").alias("c")).where("c > 1")
+    best = common.checkpointed(best.select("component", F.col("best.row").alias("stays"), "c"))
+    total = best.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    gone = common.checkpointed(common.join_counted(group, best, "component", "c", total).where("row <> stays").select("row"))
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return numbered.join(F.broadcast(gone) if few else gone, "row", "left_anti").select("doc.*")
 
 
 def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from sparkloom.llm import bbit_minhash as m
 from sparkloom.llm import common
 
-from .texts import corpus, frame, near_copy, prose
+from .texts import corpus, frame, held_to_sql, near_copy, prose
 
 
 def shingles(text, k):
@@ -84,3 +84,49 @@ def test_word_hashes_agree_with_split():
     words = [bytes(data[a:b]).decode() for a, b in zip(s, e, strict=True)]
     assert words == [w for t in texts for w in t.split()] and at.tolist() == [0, 3, 3, 5, 7, 8]
     assert h[1] == h[6] and len(set(h.tolist())) == len(set(words))
+
+
+@pytest.mark.parametrize("block, visitors, indexed", [(16, 1 << 20, 2_000_000), (16, 16, 300), (8192, 8, 500)])
+def test_tiles_of_any_size_find_all(spark, monkeypatch, block, visitors, indexed):
+    for name, v in (("BLOCK", block), ("VISITORS", visitors), ("INDEXED", indexed)):
+        monkeypatch.setattr(m, name, v)
+    rng = random.Random(9)
+    base = prose(rng, 120)
+    rows = [(i, near_copy(rng, base, rng.random() * 0.3)) for i in range(150)]
+    got = m.near_groups(frame(spark, rows), k=2).collect()
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in got) == brute(rows, 2)
+
+
+def test_half_similar_pages_do_not_meet_with_their_sets(spark, monkeypatch):
+    """Pages of one template, no two linked: they are candidates by band, and the estimate alone parts them."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    shell = " ".join(rng.choice(words) for _ in range(120))
+    rows = [(i, shell + " " + " ".join(rng.choice(words) for _ in range(60))) for i in range(1500)]
+    met, written = {}, common.Scratch.written
+
+    def spy(self, df, name):
+        out = written(self, df, name)
+        if name in ("tiles", "shared"):
+            met[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common.Scratch, "written", spy)
+    got = m.near_groups(frame(spark, rows), k=2).collect()
+    assert all(r.kept for r in got) and met["shared"] > 1500 and met["tiles"] <= 15
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    a, b, c = (prose(random.Random(i), 80) for i in range(3))
+    rows = [(5, a, "x"), (1, a, "x"), (5, b, "y"), (7, c, "z"), (7, c, "z"), (None, a, "n"), (None, None, "e"), (None, None, "e"), (9, "", "e"), (None, "only " + b, "q")]
+    docs = spark.createDataFrame([(d, t, s, 1, 2) for d, t, s in rows], "doc_id long, text string, source string, row int, component int")
+    got = m.dedup_stage(spark, docs.repartition(3), "")
+    assert got.columns == docs.columns
+    assert sorted(repr(tuple(r)[:3]) for r in got.collect()) == sorted(repr(r) for r in [(1, a, "x"), (5, b, "y"), (7, c, "z"), (None, None, "e"), (None, None, "e"), (9, "", "e")])
+    assert m.dedup_stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_query_matches_its_sql(spark, tmp_path):
+    rows = {d: t for d, t in corpus() if d is not None}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held_to_sql(m.op5_bbit_minhash(spark, str(tmp_path)), m.ORACLE["op5_bbit_minhash"], tmp_path, ["documents"])
