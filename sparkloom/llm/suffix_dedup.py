@@ -6,19 +6,24 @@ equal anchors: suffixes whose anchor occurs once in the corpus are left out,
 which loses nothing. The rest are partitioned by a prefix of variable length:
 the anchor where its suffixes fit into memory, all WINDOW words where they do
 not. Each partition's suffixes are sorted; the common prefixes of neighbours
-make the suffix tree, whose nodes at depth WINDOW and below with two leaves
-are the repeats, merged to maximal ones in each text. A prefix as long as the
-window is a deep node already: its leaves are counted, not gathered.
+make the suffix tree, whose nodes at depth WINDOW with two leaves are what
+repeats. A prefix as long as the window is a deep node already: its leaves
+are counted, not gathered.
+
+A node's leaves are its places. Going on by one word, a node either keeps all
+its places (each moved by one), and then both belong to one repeat, or it
+gains or loses some, and a repeat ends. So a repeat is a run of words of which
+every window has the same places as the whole, and it has one name in all
+texts, a print of its places.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,9 +36,11 @@ GROUP = 4096
 CHUNK = 100_000
 #: Bits for each kept fingerprint, and the most bits of a screen (32 MB); a full screen passes more, never less.
 SCREEN_BITS, SCREEN_MOST = 16, 1 << 28
+#: More recurring anchors than a screen has room for are joined by a shuffle.
+SCREENED = SCREEN_MOST // SCREEN_BITS
 _PART_BITS = 1 << 19
-#: Texts with spans and spans in all that may be broadcast (counted first, under
-#: 100 MB); more are joined by a shuffle.
+#: Texts with spans and spans in all (40 bytes each) that may be broadcast, counted
+#: first; more are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_SPANS = 300_000, 1_000_000
 
 
@@ -131,38 +138,82 @@ def _runs(places: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(places[np.append(0, cut + 1)].tolist(), (places[np.append(cut, len(places) - 1)] + width).tolist(), strict=True))
 
 
-_SUFFIX = "row long, start int, code long, whole boolean, words binary, prints binary"
+_SUFFIX = "row long, start int, code long, whole boolean, words binary, prints binary, here long, next long"
+_SPAN = "row long, start int, end int, places long, first long, last long"
+
+
+def _place(row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A print of a place in a text."""
+    with np.errstate(over="ignore"):
+        return common._mix(row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.int64).view(np.uint64))
+
+
+def text_anchors(rows: DataFrame, window: int) -> DataFrame:
+    """row and anchor, once a text."""
+
+    def run(batches):
+        for batch, at, n, h, w in _slices(batches, window):
+            grams, keys = common.rolled(h, GRAM), batch.column(0).slice(at, n).to_numpy()
+            owner, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for key, a, b in zip(keys, w[:-1].tolist(), w[1:].tolist(), strict=True):
+                if b - a >= window:
+                    g = grams[a : b - GRAM + 1]
+                    found.append(np.unique(g[np.unique(anchors(g, window))]))
+                    owner.append(np.full(len(found[-1]), key, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), pa.array(np.concatenate(found).view(np.int64))], names=["row", "anchor"])
+
+    return rows.mapInArrow(run, "row long, anchor long")
+
+
+def _with_anchors(rows: DataFrame, counts: DataFrame, window: int, scratch: common.Scratch) -> DataFrame:
+    """rows with their recurring anchors and those of them with the longer prefix, by a shuffle on the anchor."""
+    pairs = scratch.written(text_anchors(rows, window), "anchors")
+    total = counts.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
+    known = common.join_counted(pairs, counts, "anchor", "places", total)
+    big = F.col("places") > GROUP
+    own = known.groupBy("row").agg(F.collect_set("anchor").alias("small"), F.collect_set(F.when(big, F.col("anchor"))).alias("big"))
+    # equal rows have one key and one list
+    return rows.join(own, "row")
 
 
 def suffixes(rows: DataFrame, recurring, large, window: int) -> DataFrame:
     """Suffix records of the windows whose anchor recurs; rows: row, text.
 
+    recurring and large say which anchors recur and which have the longer
+    prefix: broadcast screens, or None where rows bring lists of their own
+    (small, big).
+
     Neighbouring windows of one anchor share a record (start, the words of
     all, a 64-bit print of each). Of equal windows in one text the first
     stands for all; the others are repeats already and come as spans with
-    neither words nor prints (code is the end).
+    neither words nor prints (code is the end). A window with the longer
+    prefix comes alone, with the prints of its place and the next one.
     """
 
     def run(batches):
-        small, big = recurring.value, large.value
         for batch, at, n, h, w in _slices(batches, window):
             grams, whole = common.rolled(h, GRAM), common.rolled(h, window)
             short = (h >> np.uint64(32)).astype(np.uint32)
-            keys = batch.column(0).slice(at, n).to_pylist()
-            cols: list[list] = [[] for _ in range(6)]
+            keys = batch.column(0).slice(at, n).to_numpy()
+            lists = None if recurring is not None else [batch.column(c).slice(at, n) for c in (2, 3)]
+            cols: list[list] = [[] for _ in range(8)]
 
             def put(*values):
                 for c, v in zip(cols, values, strict=True):
                     c.append(v)
 
-            for key, a, b in zip(keys, w[:-1].tolist(), w[1:].tolist(), strict=True):
+            for i, (key, a, b) in enumerate(zip(keys.tolist(), w[:-1].tolist(), w[1:].tolist(), strict=True)):
                 if b - a < window:
                     continue
                 g = grams[a : b - GRAM + 1]
                 place = anchors(g, window)
                 spots, back = np.unique(place, return_inverse=True)
                 codes = g[spots]
-                at_window = np.flatnonzero(small.has(codes)[back])
+                if lists is None:
+                    small, big = recurring.value.has(codes), large.value.has(codes)
+                else:
+                    small, big = (np.isin(codes, np.array(x[i].as_py(), np.int64).view(np.uint64)) for x in lists)
+                at_window = np.flatnonzero(small[back])
                 if not len(at_window):
                     continue
                 prints = whole[a : b - window + 1]
@@ -170,24 +221,27 @@ def suffixes(rows: DataFrame, recurring, large, window: int) -> DataFrame:
                 if len(first) < len(at_window):
                     twice = np.isin(prints[at_window], prints[at_window[first[times > 1]]])
                     for s, e in _runs(at_window[twice], window):
-                        put(key, s, e, False, None, None)
+                        put(key, s, e, False, None, None, None, None)
                     at_window = at_window[np.sort(first)]
-                is_big = big.has(codes)[back[at_window]]
-                for s in at_window[is_big].tolist():
-                    put(key, s, int(prints[s].view(np.int64)), True, None, None)
+                is_big = big[back[at_window]]
+                s = at_window[is_big]
+                here, then = (_place(np.full(len(s), key, np.int64), s + k).view(np.int64).tolist() for k in (0, 1))
+                for c, v in zip(cols, ([key] * len(s), s.tolist(), prints[s].view(np.int64).tolist(), [True] * len(s), [None] * len(s), [None] * len(s), here, then), strict=True):
+                    c += v
                 s = at_window[~is_big]
                 if len(s):
                     new = np.flatnonzero((np.diff(s) != 1) | (np.diff(back[s]) != 0)) + 1
                     for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(s)], strict=True):
                         f, t = int(s[lo]), int(s[hi - 1])
-                        put(key, f, int(codes[back[f]].view(np.int64)), False, short[a + f : a + t + window].tobytes(), prints[f : t + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["row", "start", "code", "whole", "words", "prints"])
+                        put(key, f, int(codes[back[f]].view(np.int64)), False, short[a + f : a + t + window].tobytes(), prints[f : t + 1].tobytes(), None, None)
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row", "start", "code", "whole", "words", "prints", "here", "next"])
 
     return rows.mapInArrow(run, _SUFFIX)
 
 
-def deep_suffixes(group: np.ndarray, words: np.ndarray, at: np.ndarray, prints: np.ndarray, window: int) -> np.ndarray:
-    """Which suffixes are below a node of depth >= window with two leaves.
+def nodes_of(group: np.ndarray, words: np.ndarray, at: np.ndarray, prints: np.ndarray, row: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each suffix's node at depth window: its leaves, and prints of their places and of the next ones.
 
     group: prefix of each suffix; at: its first word in words. Sorting gives
     the leaves in the tree's order; a node is a run of neighbours whose
@@ -202,11 +256,13 @@ def deep_suffixes(group: np.ndarray, words: np.ndarray, at: np.ndarray, prints:
     same = leaves[1:] == leaves[:-1]
     depth = np.where(same.all(axis=1), window + 2, same.argmin(axis=1))
     p = prints[order]
-    joined = (depth >= window + 2) & (p[1:] == p[:-1])
-    hit = np.zeros(n, bool)
-    hit[order[1:][joined]] = True
-    hit[order[:-1][joined]] = True
-    return hit
+    new = np.ones(n, bool)
+    new[1:] = (depth < window + 2) | (p[1:] != p[:-1])
+    begins = np.flatnonzero(new)
+    node = np.empty(n, np.int64)
+    node[order] = np.cumsum(new) - 1
+    here, then = (np.bitwise_xor.reduceat(_place(row[order], start[order] + k), begins) for k in (0, 1))
+    return np.diff(np.append(begins, n))[node], here[node], then[node]
 
 
 def _trees(window: int):
@@ -215,19 +271,19 @@ def _trees(window: int):
         size = 0
 
         def grow(part):
-            group = np.concatenate([np.full(len(p), c, np.int64) for _, _, c, _, p in part]).view(np.uint64)
-            words = np.concatenate([w for _, _, _, w, _ in part])
-            starts = np.concatenate([[0], np.cumsum([len(w) for _, _, _, w, _ in part])[:-1]])
-            at = np.concatenate([s + np.arange(len(p)) for s, (_, _, _, _, p) in zip(starts, part, strict=True)])
-            hit = deep_suffixes(group, words, at, np.concatenate([p for *_, p in part]), window)
-            rows, begin, end, k = [], [], [], 0
-            for row, start, _, _, p in part:
-                for s, e in _runs(np.flatnonzero(hit[k : k + len(p)]), window):
-                    rows.append(row)
-                    begin.append(start + s)
-                    end.append(start + e)
-                k += len(p)
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["row", "start", "end"])
+            count = np.array([len(p) for *_, p in part])
+            begins = np.cumsum(count) - count  # first suffix of each record
+            spread = lambda x, t: np.repeat(np.array(x, t), count)
+            place = np.arange(count.sum()) - np.repeat(begins, count)
+            row, start = spread([r for r, *_ in part], np.int64), spread([s for _, s, *_ in part], np.int64) + place
+            words = np.concatenate([w for *_, w, _ in part])
+            first = np.concatenate([[0], np.cumsum([len(w) for *_, w, _ in part])[:-1]])
+            leaves, here, then = nodes_of(spread([c for _, _, c, _, _ in part], np.int64).view(np.uint64), words, np.repeat(first, count) + place, np.concatenate([p for *_, p in part]), row, start, window)
+            goes_on = np.zeros(len(row), bool)  # the repeat of the suffix in front
+            goes_on[1:] = (place[1:] > 0) & (leaves[1:] == leaves[:-1]) & (here[1:] == then[:-1])
+            a = np.flatnonzero((leaves > 1) & ~goes_on)
+            ends = np.flatnonzero((leaves > 1) & ~np.append(goes_on[1:], False))
+            return pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(start[a], pa.int32()), pa.array(start[ends] + window, pa.int32()), pa.array(leaves[a]), pa.array(here[a].view(np.int64)), pa.array(then[ends].view(np.int64))], names=["row", "start", "end", "places", "first", "last"])
 
         for batch in batches:
             for row, start, code, words, prints in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
@@ -244,34 +300,58 @@ def _trees(window: int):
 
 
 def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row and spans (maximal repeats: start, end in words) of each text with some; rows: row, text."""
+    """row and parts of repeats (start, end in words, places, prints of the first and last window's places)
+    of each text with some, in order; rows: row, text. Equal windows in one text are parts with 0 places."""
     spark = rows.sparkSession
-    sc = spark.sparkContext
+    sc, scratch = spark.sparkContext, common.Scratch(spark)
     counts = common.checkpointed(anchor_counts(rows, window))
     n, n_large = counts.agg(F.count("*"), F.coalesce(F.sum((F.col("places") > GROUP).cast("long")), F.lit(0))).first()
-    recurring = sc.broadcast(screen(counts, "anchor", n))
-    large = sc.broadcast(screen(counts.where(F.col("places") > GROUP), "anchor", n_large))
-    found = common.written(suffixes(rows, recurring, large, window), "suffixes")
-    known = found.where("not whole and words is null").select("row", "start", F.col("code").cast("int").alias("end"))
+    if n <= SCREENED:
+        recurring = sc.broadcast(screen(counts, "anchor", n))
+        large = sc.broadcast(screen(counts.where(F.col("places") > GROUP), "anchor", n_large))
+        found = scratch.written(suffixes(rows, recurring, large, window), "suffixes")
+    else:
+        found = scratch.written(suffixes(_with_anchors(rows, counts, window, scratch), None, None, window), "suffixes")
+        scratch.remove("anchors")
+    known = found.where("not whole and words is null").select("row", "start", F.col("code").cast("int").alias("end"), F.lit(0).cast("long").alias("places"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
     tree = found.where("words is not null").select("row", "start", "code", "words", "prints")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_tree = tree.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(_trees(window), "row long, start int, end int")
-    long_prefix = found.where("whole").select("row", "start", "code")
-    deep = long_prefix.groupBy("code").agg(F.count("*").alias("leaves")).where("leaves > 1").select("code")
-    by_count = long_prefix.join(deep, "code").select("row", "start", (F.col("start") + window).alias("end"))
+    by_tree = tree.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(_trees(window), _SPAN)
+    long_prefix = found.where("whole").select("row", "start", "code", "here", "next")
+    deep = long_prefix.groupBy("code").agg(F.count("*").alias("places"), F.bit_xor("here").alias("first"), F.bit_xor("next").alias("last")).where("places > 1")
+    deep = common.checkpointed(deep)
+    leaves = deep.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
+    by_count = common.join_counted(long_prefix.select("row", "start", "code"), deep, "code", "places", leaves)
+    by_count = by_count.select("row", "start", (F.col("start") + window).alias("end"), "places", "first", "last")
     spans = known.unionByName(by_tree).unionByName(by_count)
-    return spans.groupBy("row").agg(_merged(F.sort_array(F.collect_set(F.struct("start", "end")))).alias("spans"))
-
-
-def _merged(spans: Column) -> Column:
-    """Overlapping and touching spans as one; spans are sorted."""
+    out = common.written(spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "places", "first", "last"))).alias("parts")), "spans")
+    scratch.remove("suffixes")
+    return out
 
-    def step(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when(x["start"] <= last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), step)
+def covered(parts) -> list[tuple[int, int]]:
+    """Overlapping and touching parts as one span; parts are in order."""
+    out: list[list[int]] = []
+    for x in parts:
+        if out and x["start"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], x["end"])
+        else:
+            out.append([x["start"], x["end"]])
+    return [tuple(x) for x in out]
+
+
+def whole_repeats(parts, window: int) -> list[dict]:
+    """Parts of one repeat as one: start, end, places and node (the print of its places)."""
+    out: list[dict] = []
+    for x in parts:
+        if not x["places"]:
+            continue
+        last = out[-1] if out else None
+        if last and x["start"] == last["end"] - window + 1 and x["places"] == last["places"] and x["first"] == last["last"]:
+            last["end"], last["last"] = x["end"], x["last"]
+        else:
+            out.append({"start": x["start"], "end": x["end"], "places": x["places"], "node": x["first"], "last": x["last"]})
+    return out
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -280,45 +360,48 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), text).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
 
 
-_OUT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
+_OUT = "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start:int,end:int,places:bigint,node:bigint>>"
+_REPEATS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("places", pa.int64()), ("node", pa.int64())]))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the other words joined by one space, or
-    its SHA-256 with digest) and spans (maximal repeats, [start, end) in words).
+    its SHA-256 with digest) and repeats.
 
     A word goes if any window of ``window`` words around it starts anywhere
     else too, in the same text or another; all occurrences go.
 
+    repeats (null with digest) are the runs of words [start, end) of which
+    every window has the same places; places counts them, within one text
+    the first one only, and node is one name for the run in all texts.
+
     A null or empty text has no words: nothing is removed. Repeated rows are
     repeats of each other; null ids are kept as they are. An empty table
     gives no rows; other columns are not read.
     """
     common.bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
-    spans = common.written(repeats(rows.select("row", "text"), window), "spans")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files of the phases above go
+    spans = repeats(rows.select("row", "text"), window)
 
     def run(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in range(4)]
-            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for text, parts in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = text.as_buffer().to_pybytes().translate(_BLANK).split()
                 kept, at = [], 0
-                for x in spans or ():
-                    kept += words[at : x["start"]]
-                    at = x["end"]
+                for start, end in covered(parts or ()):
+                    kept += words[at:start]
+                    at = end
                 kept += words[at:]
                 flat = b" ".join(kept)
-                for c, v in zip(cols, (len(words), len(words) - len(kept), hashlib.sha256(flat).hexdigest() if digest else flat.decode(), spans or []), strict=True):
+                found = None if digest else [{k: x[k] for k in ("start", "end", "places", "node")} for x in whole_repeats(parts or (), window)]
+                for c, v in zip(cols, (len(words), len(words) - len(kept), hashlib.sha256(flat).hexdigest() if digest else flat.decode(), found), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], _REPEATS)], names=["doc_id", "n_words", "n_removed", "kept", "repeats"])
 
-    texts, total = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    texts, total = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()
     few = texts <= BROADCAST_ROWS and total <= BROADCAST_SPANS
-    return rows.join(F.broadcast(spans) if few else spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, _OUT)
+    return rows.join(F.broadcast(spans) if few else spans, "row", "left").select("doc_id", "text", "parts").mapInArrow(run, _OUT)
 
 
 _BLANK = bytes(0x20 if 0x09 <= c <= 0x0D else c for c in range(256))

@@ -9,7 +9,7 @@ from sparkloom.llm import fm_decontam as fm
 from sparkloom.llm import line_templates as lt
 from sparkloom.llm import suffix_dedup as sd
 
-from .texts import corpus, frame, prose
+from .texts import corpus, frame, held_to_sql, prose
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -94,6 +94,55 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch, group):
     assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept)) for r in got) == brute_repeats(rows, 35)
 
 
+def brute_nodes(rows, window):
+    """Runs of windows whose places (the first in each text) are those of the window in front, moved by one."""
+    words = [re.findall("[^\x20\x09-\x0d]+", t or "") for _, t in rows]
+    places = {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - window + 1):
+            places.setdefault(tuple(w[i : i + window]), {}).setdefault(k, i)
+    out, names = [], {}
+    for k, (w, (d, t)) in enumerate(zip(words, rows, strict=True)):
+        runs, before = [], None
+        for i in range(len(w) - window + 1):
+            own = places[tuple(w[i : i + window])]
+            now = own if len(own) > 1 and own[k] == i else None
+            if now and before and {x: y + 1 for x, y in before.items()} == now:
+                runs[-1][1] = i + window
+            elif now:
+                runs.append([i, i + window, len(now), frozenset(now.items())])
+            before = now
+        out.append((repr(d), t, [(s, e, n, names.setdefault(p, len(names))) for s, e, n, p in runs]))
+    return out
+
+
+@pytest.mark.parametrize("group, screened", [(sd.GROUP, sd.SCREENED), (1, sd.SCREENED), (3, sd.SCREENED), (sd.GROUP, 0), (3, 0)])
+def test_repeats_are_the_nodes_of_the_tree(spark, monkeypatch, group, screened):
+    monkeypatch.setattr(sd, "GROUP", group)
+    monkeypatch.setattr(sd, "SCREENED", screened)
+    rng = random.Random(12)
+    rows = [(d, t) for d, t in dict(corpus()).items() if d is not None]
+    inner = prose(rng, 45)
+    outer = prose(rng, 40) + " " + inner + " " + prose(rng, 40)
+    other = prose(rng, 38)
+    rows += [(500, "one " + outer + " " + other + " end"), (501, outer + " two"), (502, "three " + inner + " four"), (503, "five " + other)]
+    got = sd.without_repeats(frame(spark, rows)).collect()
+    assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept)) for r in got) == brute_repeats(rows, 35)
+    by, names = {r.doc_id: r for r in got}, {}
+    for d, _, runs in brute_nodes(rows, 35):
+        own = by[eval(d)].repeats
+        assert [(x.start, x.end, x.places) for x in own] == [r[:3] for r in runs]
+        for x, (*_, name) in zip(own, runs, strict=True):
+            assert names.setdefault(name, x.node) == x.node
+    assert len(set(names.values())) == len(names) and len(by[500].repeats) == 4
+
+
+def test_suffix_query_matches_its_sql(spark, tmp_path):
+    rows = {d: t for d, t in corpus() if d is not None}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held_to_sql(sd.op8_suffix_dedup(spark, str(tmp_path)), sd.ORACLE["op8_suffix_dedup"], tmp_path, ["documents"])
+
+
 def test_suffix_dedup_empty(spark):
     assert sd.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
