@@ -153,8 +153,8 @@ def powers(n: int) -> np.ndarray:
         return np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), _BASE, np.uint64)]).cumprod(dtype=np.uint64)[:n]
 
 
-def word_hashes(offs: np.ndarray, data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit fingerprints of the words ``[^\\x20\\x09-\\x0D]+`` of several texts.
+def word_hashes(offs: np.ndarray, data: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit fingerprints of the words ``[^\\x20\\x09-\\x0D]+`` of several texts (between: another table of separators).
 
     Returns (hashes, starts, ends, word offsets): starts and ends are byte
     positions, word offsets has the first word of each text and the total.
@@ -165,7 +165,7 @@ def word_hashes(offs: np.ndarray, data: np.ndarray, lower: bool = False) -> tupl
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(len(offs), np.int64)
-    space = _SPACE[data]
+    space = between[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offs[offs <= n]] = True
     before = np.empty(n, dtype=bool)

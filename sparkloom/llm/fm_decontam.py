@@ -4,8 +4,12 @@ A shard is what one Arrow batch of documents holds. Its words are coded by
 the benchmark's vocabulary; a run of such words shorter than the shortest
 window cannot hold one and is left out, which loses nothing. Over the rest
 stand a suffix array, its Burrows-Wheeler transform in a wavelet tree and
-sampled suffix positions. All windows of a block of benchmark items are
+sampled suffix positions. All windows of a block of the benchmark are
 searched backwards together, located, and merged to spans of document words.
+
+Windows are cut and told apart on the executors. A block is BLOCK_LINKS
+windows with their items in flat arrays, about 40 MB; the driver and a worker
+hold one block at a time, however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -15,68 +19,102 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW = 10
-#: Bytes of benchmark text that are sent to the workers at once; more is searched in blocks.
-BLOCK_BYTES = 8 << 20
+#: Windows (once for each of their items) that are sent to the workers at once; more are searched in blocks.
+BLOCK_LINKS = 500_000
 #: Words in one index; a batch with more of them has several.
 SHARD_WORDS = 1 << 20
 SAMPLE = 16
+#: Items of windows that are looked at together.
+ITEMS_AT_ONCE = 1_000_000
+#: Hit texts of a benchmark of several blocks that may be broadcast, counted first.
+BROADCAST_HITS = 100_000
 #: x30-x39, x61-x7A and all non-ASCII bytes stay, A-Z become a-z, the rest separates.
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+_BETWEEN = np.frombuffer(_FOLD, np.uint8) == 0x20
 _WORD = re.compile(rb"[^ ]+")
-_HITS = "array<struct<start:int,end:int,item:string>>"
-_HIT_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.string())]))
+_SPANS = "array<struct<start:int,end:int>>"
+_SPANS_TYPE, _ITEMS_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
+
+
+def word_prints(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the folded words of several texts, and each text's first."""
+    h, _, _, at = common.word_hashes(offs, data, lower=True, between=_BETWEEN)
+    return h, at
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_FOLD).split()
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """n, words (n fingerprints) and item, once each: the windows of all items, cut on the executors."""
+
+    def run(batches):
+        for batch in batches:
+            for at, n, offs, data in common.text_slices(batch):
+                h, first = word_prints(offs, data)
+                item = batch.column(0).slice(at, n)
+                size = np.minimum(np.diff(first), window)
+                count = np.where(size > 0, np.diff(first) - size + 1, 0)
+                owner = np.repeat(np.arange(n), count)
+                place = first[owner] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                words = [h[p : p + k].tobytes() for p, k in zip(place.tolist(), size[owner].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(size[owner], pa.int32()), pa.array(words, pa.binary()), item.take(pa.array(owner))], names=["n", "words", "item"])
+
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("item is not null and text is not null")
+    return rows.mapInArrow(run, "n int, words binary, item string").distinct()
 
 
 @dataclass
 class Phrases:
     """Distinct windows by length over a vocabulary, and the items that have each."""
 
-    vocabulary: dict[bytes, int]  # from 2: 0 ends a shard, 1 separates runs
+    vocabulary: np.ndarray  # sorted fingerprints; codes from 2: 0 ends a shard, 1 separates runs
     by_length: dict[int, np.ndarray]  # (windows, length)
     first: dict[int, int]  # number of a length's first window
     item_offsets: np.ndarray  # of each window in item_list
     item_list: np.ndarray
-    items: list[str]
+    items: np.ndarray  # sorted
 
     @property
     def shortest(self) -> int:
         return min(self.by_length, default=0)
 
     @staticmethod
-    def of(rows, window: int = WINDOW) -> Phrases:
-        """rows: (item id as string, text); items without words have no window."""
-        texts: dict[str, list[list[bytes]]] = {}
-        for item, text in rows:
-            if w := words(text):
-                texts.setdefault(item, []).append(w)
-        items, vocabulary, found = sorted(texts), {}, {}
-        for i, item in enumerate(items):
-            for w in texts[item]:
-                codes = tuple(vocabulary.setdefault(x, len(vocabulary) + 2) for x in w)
-                n = min(window, len(codes))
-                for at in range(len(codes) - n + 1):
-                    found.setdefault(codes[at : at + n], set()).add(i)
-        by_length: dict[int, list] = {}
-        for codes in found:
-            by_length.setdefault(len(codes), []).append(codes)
-        first, offsets, flat, at = {}, [0], [], 0
-        for n, group in by_length.items():
-            first[n] = at
-            at += len(group)
-            for codes in group:
-                flat += sorted(found[codes])
-                offsets.append(len(flat))
-        return Phrases(vocabulary, {n: np.array(g, dtype=np.int64) for n, g in by_length.items()}, first, np.array(offsets), np.array(flat, dtype=np.int64), items)
+    def of(n: np.ndarray, words: list[bytes], item: np.ndarray) -> Phrases:
+        """Rows of benchmark_windows."""
+        items, number = np.unique(item, return_inverse=True) if len(item) else (item, np.zeros(0, np.int64))
+        vocabulary = np.unique(np.frombuffer(b"".join(words), np.uint64))
+        by_length, first, at, window = {}, {}, 0, np.zeros(len(n), np.int64)
+        for k in np.unique(n).tolist():
+            rows = np.flatnonzero(n == k)
+            flat = np.frombuffer(b"".join(words[i] for i in rows), np.uint64)
+            _, one, back = np.unique(flat.view(f"V{8 * k}"), return_index=True, return_inverse=True)
+            by_length[k] = (np.searchsorted(vocabulary, flat.reshape(-1, k)[one]) + 2).astype(np.int32)
+            first[k], window[rows] = at, at + back
+            at += len(one)
+        order = np.lexsort((number, window))
+        return Phrases(vocabulary, by_length, first, np.searchsorted(window[order], np.arange(at + 1)), number[order].astype(np.int32), items)
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """The code of each word, 0 for those the benchmark lacks."""
+        if not len(self.vocabulary):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == h, at + 2, 0)
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """The items of any of the windows, sorted; windows are looked at a part at a time."""
+        found = np.zeros(0, np.int32)
+        count = self.item_offsets[windows + 1] - self.item_offsets[windows]
+        parts = np.cumsum(count) // ITEMS_AT_ONCE
+        for cut in np.split(np.arange(len(windows)), np.flatnonzero(np.diff(parts)) + 1):
+            c = count[cut]
+            spots = np.repeat(self.item_offsets[windows[cut]] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            found = np.union1d(found, self.item_list[spots])
+        return self.items[found].tolist()
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -175,137 +213,178 @@ class FMIndex:
         return out
 
 
-def _occurrences(codes: list[np.ndarray], phrases: Phrases) -> list[tuple[int, int, int, int]]:
-    """(document, first word, end word, item), merged for each document and item."""
-    runs, spots, total, found = [], [], 0, []
+def occurrences(codes: np.ndarray, at: np.ndarray, phrases: Phrases) -> dict[int, tuple[list[tuple[int, int]], list[str]]]:
+    """Of each text with some: the words that windows cover, as merged spans, and the items.
 
-    def flush():
-        nonlocal runs, spots, total
-        if not runs:
-            return
-        index = FMIndex(np.concatenate([x for r in runs for x in (r, _SEPARATOR)]), len(phrases.vocabulary) + 2)
-        starts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in runs])[:-1]])
-        doc, word = np.array(spots, dtype=np.int64).T
+    codes: of all words of the texts; at: each text's first word. Occurrences
+    are merged before items are looked up, so a window that many items share
+    is no product of both.
+    """
+    least, found = phrases.shortest, []
+    known = codes > 0
+    edge = np.zeros(len(codes) + 1, bool)  # a run ends with its text
+    edge[at] = True
+    begins = np.flatnonzero(known & (edge[:-1] | ~np.append(False, known[:-1]))) if len(codes) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(known & (edge[1:] | ~np.append(known[1:], False))) + 1 if len(codes) else begins
+    wide = ends - begins >= least if least else np.zeros(len(begins), bool)
+    begins, ends = begins[wide], ends[wide]
+    # several indexes if there are more words than one holds
+    for part in np.split(np.arange(len(begins)), np.flatnonzero(np.diff(np.cumsum(ends - begins + 1) // SHARD_WORDS)) + 1):
+        if not len(part):
+            continue
+        a, size = begins[part], ends[part] - begins[part]
+        starts = np.cumsum(size + 1) - (size + 1)  # of each run in the index
+        text = np.ones(int((size + 1).sum()), np.int64)
+        spots = np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        text[spots] = codes[np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        index = FMIndex(text, len(phrases.vocabulary) + 2)
         for n, patterns in phrases.by_length.items():
             which, lo, hi = index.search(patterns)
             if not len(which):
                 continue
             count = hi - lo
-            rows = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            at = index.locate(rows)
-            run = np.searchsorted(starts, at, side="right") - 1
-            d, w = doc[run], word[run] + at - starts[run]
-            number = np.repeat(which + phrases.first[n], count)
-            items = phrases.item_offsets[number + 1] - phrases.item_offsets[number]
-            shift = np.concatenate([[0], np.cumsum(items)[:-1]])
-            item = phrases.item_list[np.repeat(phrases.item_offsets[number] - shift, items) + np.arange(items.sum())]
-            found.append(np.stack([np.repeat(d, items), item, np.repeat(w, items), np.repeat(w + n, items)]))
-        runs, spots, total = [], [], 0
-
-    least = phrases.shortest
-    for i, c in enumerate(codes):
-        known = c > 0
-        if not least or int(known.sum()) < least:
-            continue
-        edge = np.diff(np.concatenate([[0], known.view(np.int8), [0]]))
-        for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-            if b - a >= least:
-                runs.append(c[a:b])
-                spots.append((i, a))
-                total += b - a + 1
-        if total >= SHARD_WORDS:
-            flush()
-    flush()
+            place = index.locate(np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum()))
+            run = np.searchsorted(starts, place, side="right") - 1
+            word = a[run] + place - starts[run]
+            found.append(np.stack([word, word + n, np.repeat(which + phrases.first[n], count)]))
     if not found:
-        return []
-    d, item, s, e = np.concatenate(found, axis=1)
-    order = np.lexsort((e, s, item, d))
-    d, item, s, e = d[order], item[order], s[order], e[order]
-    out: list[list[int]] = []
-    for x in zip(d.tolist(), s.tolist(), e.tolist(), item.tolist(), strict=True):
-        if out and out[-1][0] == x[0] and out[-1][3] == x[3] and x[1] <= out[-1][2]:
-            out[-1][2] = max(out[-1][2], x[2])
-        else:
-            out.append(list(x))
-    return [tuple(x) for x in out]
-
-
-_SEPARATOR = np.array([1], dtype=np.int64)
+        return {}
+    start, end, window = np.concatenate(found, axis=1)
+    order = np.lexsort((end, start))
+    start, end, window = start[order], end[order], window[order]
+    doc = np.searchsorted(at, start, side="right") - 1
+    reach = np.maximum.accumulate(end)
+    new = np.ones(len(start), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])
+    a = np.flatnonzero(new)
+    spans = np.stack([doc[a], start[a] - at[doc[a]], reach[np.append(a[1:], len(start)) - 1] - at[doc[a]]])
+    pairs = np.unique(np.stack([doc, window]), axis=1)
+    out = {}
+    for d in np.unique(doc).tolist():
+        lo, hi = np.searchsorted(spans[0], [d, d + 1])
+        p, q = np.searchsorted(pairs[0], [d, d + 1])
+        out[d] = [tuple(x) for x in spans[1:, lo:hi].T.tolist()], phrases.items_of(pairs[1, p:q])
+    return out
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_links: int):
+    """Phrases of block after block; each is built when it is asked for."""
+    links = common.written(benchmark_windows(benchmark, item_col, text_col, window), "benchmark-windows")
+    n = max(1, -(-links.count() // block_links))
+    for k in range(n):
+        part = links if n == 1 else links.where(F.pmod(F.xxhash64("words", "item"), F.lit(n)) == k)
+        t = part.toArrow()
+        yield n, Phrases.of(t.column("n").to_numpy(), t.column("words").to_pylist(), np.array(t.column("item").to_pylist(), dtype=object))
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """Benchmark items in blocks of about block_bytes; the size is asked first."""
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("item is not null and text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        yield [(r.item, r.text) for r in part.collect()]
+def _batches(batches, phrases):
+    """(batch, first row, words of each text, finds) of slices of about SHARD_WORDS words; rows: ..., text in column 1."""
+    for batch in batches:
+        h, at, begin = [], [np.zeros(1, np.int64)], 0
+        for row, n, offs, data in common.text_slices(batch):
+            prints, first = word_prints(offs, data)
+            h.append(phrases.codes(prints))
+            at.append(first[1:] + (at[-1][-1] if len(at) else 0))
+            if at[-1][-1] >= SHARD_WORDS or row + n == batch.num_rows:
+                ends = np.concatenate(at)
+                yield batch.slice(begin, row + n - begin), np.diff(ends), occurrences(np.concatenate(h), ends[:-1], phrases)
+                h, at, begin = [], [np.zeros(1, np.int64)], row + n
 
 
 def _search(rows: DataFrame, phrases, cut_out: bool) -> DataFrame:
-    """Adds a block's finds to hits; rows: kept, text, n_words, hits. cut_out takes all hits out of the text."""
-    schema = rows.schema
+    """n_words, spans and items of each row; rows: kept, text. cut_out takes the spans out of the text."""
+    schema = rows.select("kept", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items")).schema
 
     def run(batches):
-        p = phrases.value
-        code = p.vocabulary.get
-        for batch in batches:
-            lists, n_words = [], []
-            for text in batch.column(1):
-                w = words(text.as_py())
-                n_words.append(len(w))
-                lists.append(np.array([code(x, 0) for x in w], dtype=np.int64))
-            hits, texts = batch.column(3).to_pylist(), batch.column(1)
-            for d, s, e, item in _occurrences(lists, p):
-                hits[d].append({"start": s, "end": e, "item": p.items[item]})
-            if cut_out and any(hits):
-                texts = pa.array([cut(t.as_py(), [(x["start"], x["end"]) for x in h]) if h else t.as_py() for t, h in zip(texts, hits, strict=True)], texts.type)
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(n_words, pa.int64()), pa.array(hits, _HIT_TYPE)], names=["kept", "text", "n_words", "hits"])
+        for batch, n_words, finds in _batches(batches, phrases.value):
+            texts = batch.column(1)
+            if cut_out and finds:
+                texts = pa.array([cut(t.as_py(), finds[i][0]) if i in finds else t.as_py() for i, t in enumerate(texts)], texts.type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(n_words, pa.int64()), *_found(batch.num_rows, finds)], names=["kept", "text", "n_words", "spans", "items"])
 
     return rows.mapInArrow(run, schema)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, kept: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut_out: bool = False) -> DataFrame:
-    """kept (a struct of those columns), text, n_words and hits of each row of docs.
+def _found(n: int, finds: dict) -> list[pa.Array]:
+    none = ([], [])
+    spans = pa.array([[{"start": s, "end": e} for s, e in finds.get(i, none)[0]] for i in range(n)], _SPANS_TYPE)
+    return [spans, pa.array([finds.get(i, none)[1] for i in range(n)], _ITEMS_TYPE)]
 
-    cut_out returns the texts without their hits (n_words and hits are those
-    of the input).
 
-    hits: spans of words [start, end) that a benchmark item's windows cover,
-    merged for each item. The documents are not shuffled; benchmark text
-    travels to them in blocks of bounded size, one pass for each block.
+def _hits_of_block(rows: DataFrame, phrases) -> DataFrame:
+    """key, spans and items of the texts with a find, once each; rows: key, text."""
 
-    A null text has no words. Repeated rows and null ids are judged row by
-    row. Benchmark rows without an id or words have no windows; rows of one
-    id are one item. Without windows nothing is hit; an empty documents
-    table gives no rows. Clashing column names do no harm: docs' columns
-    stay inside the struct.
-    """
-    common.bounded_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"))
-    last = None
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        if last is not None:
-            rows = _search(rows, last, False)
-        last = sc.broadcast(Phrases.of(block, window))
-    return _search(rows, last, cut_out)
+    def run(batches):
+        for batch, _, finds in _batches(batches, phrases.value):
+            k = sorted(finds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int64())), *_found(len(k), {i: finds[d] for i, d in enumerate(k)})], names=["key", "spans", "items"])
+
+    return rows.mapInArrow(run, f"key string, spans {_SPANS}, items array<string>").dropDuplicates(["key"])
+
+
+def _joined_hits(rows: DataFrame, hits: DataFrame, cut_out: bool) -> DataFrame:
+    """The finds of several blocks put to the rows by text; copies of one text share a row of hits."""
+    few = hits.count() <= BROADCAST_HITS
+    met = rows.withColumn("key", F.md5(F.coalesce("text", F.lit("")))).join(F.broadcast(hits) if few else hits, "key", "left").select("kept", "text", "spans", "items")
+    schema = rows.select("kept", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items")).schema
+
+    def run(batches):
+        for batch in batches:
+            texts, finds, n_words = batch.column(1), {}, []
+            for _, n, offs, data in common.text_slices(batch):
+                n_words.append(np.diff(word_prints(offs, data)[1]))
+            for i, (spans, items) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if spans:
+                    finds[i] = merged([(x["start"], x["end"]) for x in spans]), sorted(set(items))
+            if cut_out and finds:
+                texts = pa.array([cut(t.as_py(), finds[i][0]) if i in finds else t.as_py() for i, t in enumerate(texts)], texts.type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), *_found(batch.num_rows, finds)], names=["kept", "text", "n_words", "spans", "items"])
 
+    return met.mapInArrow(run, schema)
 
-def hit_words(hits: Column) -> Column:
-    """Words in the union of the spans."""
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
-    def step(acc, x):
-        fresh = F.greatest(x["end"] - F.greatest(x["start"], acc["end"]), F.lit(0))
-        return F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + fresh).alias("n"))
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [tuple(x) for x in out]
+
 
-    return F.aggregate(F.sort_array(hits), start, step, lambda acc: acc["n"])
+def search(docs: DataFrame, benchmark: DataFrame, kept: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_links: int = BLOCK_LINKS, cut_out: bool = False) -> DataFrame:
+    """kept (a struct of those columns), text, n_words, spans and items of each row of docs.
 
+    spans: the words [start, end) that windows cover, merged; items: the ids
+    (as strings, sorted) whose windows occur. cut_out returns the texts
+    without their spans (n_words, spans and items are those of the input).
 
-def hit_items(hits: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(hits, lambda x: x["item"])))
+    A benchmark of one block travels to the documents, which are not
+    shuffled. One of several blocks is searched block after block, each pass
+    keeping only the hit texts' finds; at the end those are joined to the rows.
+
+    A null text has no words. Repeated rows and null ids are judged row by
+    row; very long texts whole. Benchmark rows without an id or words have no
+    windows; rows of one id are one item. Without windows nothing is hit; an
+    empty documents table gives no rows. Clashing column names do no harm:
+    docs' columns stay inside the struct.
+    """
+    common.bounded_batches(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    hits = None
+    for n, phrases in _blocks(benchmark, item_col, item_text_col, window, block_links):
+        sent = sc.broadcast(phrases)
+        del phrases
+        if n == 1:
+            return _search(rows, sent, cut_out)
+        texts = rows.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text")
+        found = common.written(_hits_of_block(texts, sent), "block-hits")
+        sent.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    all_of = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  one row for each block
+    return _joined_hits(rows, common.written(hits.groupBy("key").agg(all_of("spans"), all_of("items")), "hits"), cut_out)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -325,12 +404,13 @@ def remove_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Pipeline stage: the columns of docs; benchmark passages are cut out of the texts.
 
     A document that holds nothing else than benchmark words goes. n_chars,
-    where there is one, is that of the text that stays.
+    where there is one, is that of the text that stays. Rows with a null
+    text or id and repeated rows are judged each, an empty table stays empty.
     """
     cols = docs.columns
     others = [c for c in cols if c != "text"]
     rows = search(docs, common.table(spark, sf_dir, "benchmark"), others, cut_out=True)
-    clean = F.size("hits") == 0
+    clean = F.size("spans") == 0
     done = rows.where(clean | F.regexp_like("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]|[A-Z]")))
     value = {c: F.col(f"kept.`{c}`") for c in others} | {"text": F.col("text")}
     if "n_chars" in cols:
@@ -340,9 +420,8 @@ def remove_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def op4_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), ["doc_id"])
-    n_hit = hit_words(F.col("hits"))
-    items = hit_items(F.col("hits"))
-    return rows.select(F.col("kept.doc_id").cast("long").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return rows.select(F.col("kept.doc_id").cast("long").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
 QUERIES = {"op4_fm_decontam": op4_fm_decontam}

@@ -48,18 +48,47 @@ def test_fm_index_finds_all():
             assert got[k] == [i for i in range(len(t) - n + 1) if (t[i : i + n] == p[k]).all()]
 
 
-@pytest.mark.parametrize("block", [fm.BLOCK_BYTES, 300])
-def test_decontamination_matches_brute_force(spark, tmp_path, monkeypatch, block):
+@pytest.mark.parametrize("block, few", [(fm.BLOCK_LINKS, 10), (40, 10**6), (40, 0)])
+def test_decontamination_matches_brute_force(spark, monkeypatch, block, few):
+    monkeypatch.setattr(fm, "BROADCAST_HITS", few)
     rows = corpus()
     long = [t for _, t in rows if t and len(t.split()) > 60]
     items = [(i, " ".join(long[i].upper().split()[5 : 5 + 12 + i])) for i in range(8)] + [(20, "tando révein"), (21, None), (22, "..."), (None, "tando"), (23, long[0]), (23, "sondo mindo")]
     docs = frame(spark, rows, more=True)
     bench = spark.createDataFrame([(a, b, "x") for a, b in items], "item_id long, text string, kept string")
-    found = fm.search(docs, bench, ["doc_id"], block_bytes=block)
-    got = [repr((r.kept.doc_id, r.n_words, r.n, len(r.i), hashlib.sha256(",".join(r.i).encode()).hexdigest(), bool(r.i))) for r in found.select("kept", "n_words", fm.hit_words(found.hits).alias("n"), fm.hit_items(found.hits).alias("i")).collect()]
+    found = fm.search(docs, bench, ["doc_id"], block_links=block)
+    got = [repr((r.kept.doc_id, r.n_words, sum(e - s for s, e in r.spans), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), bool(r.spans))) for r in found.collect()]
     assert sorted(got) == brute_hits(rows, items)
 
 
+def test_window_of_many_items_in_many_places(spark, monkeypatch):
+    monkeypatch.setattr(fm, "ITEMS_AT_ONCE", 100)
+    monkeypatch.setattr(fm, "SHARD_WORDS", 500)
+    bench = spark.createDataFrame([(i, "yes no" if i < 300 else f"yes no maybe {i}") for i in range(310)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "yes no " * 400 + "yes no maybe 305"), (2, "no yes"), (3, "maybe yes no")], "doc_id long, text string")
+    got = {r.kept.doc_id: r for r in fm.search(docs, bench, ["doc_id"]).collect()}
+    assert [tuple(x) for x in got[1].spans] == [(0, 804)] and got[1]["items"] == sorted([str(i) for i in range(300)] + ["305"])
+    assert got[2].spans == [] and [tuple(x) for x in got[3].spans] == [(1, 3)] and len(got[3]["items"]) == 300
+
+
+def test_decontamination_query_matches_its_sql(spark, tmp_path):
+    rows = {d: t for d, t in corpus() if d is not None}
+    long = [t for t in rows.values() if t and len(t.split()) > 60]
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, long[i][10:200]) for i in range(5)] + [(9, "TANDO")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held_to_sql(fm.op4_fm_decontam(spark, str(tmp_path)), fm.ORACLE["op4_fm_decontam"], tmp_path, ["documents", "benchmark"])
+
+
+def test_decontamination_stage_on_odd_rows(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "x a b c d e f g h i j k y", 3, 5), (1, "x a b c d e f g h i j k y", 3, 5), (None, "A b c d e f g h i j k.", 3, 5), (None, None, 3, None), (2, "", 3, 5), (3, "clean", 3, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, n_chars long")
+    got = fm.remove_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, [(1, "x  y", 3, 4), (1, "x  y", 3, 4), (None, None, 3, None), (2, "", 3, 5), (3, "clean", 3, 5)]))
+    assert fm.remove_stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
 def test_cut_takes_whole_spans():
     assert fm.cut("Aé, b c-d  e!", [(1, 3), (2, 4)]) == "Aé,   e!"
     assert fm.cut("a b", [(0, 2)]) == ""
@@ -68,7 +97,7 @@ def test_cut_takes_whole_spans():
 def test_decontamination_without_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = fm.search(frame(spark, [(1, "a b"), (2, None)]), none, ["doc_id"]).collect()
-    assert sorted((r.kept.doc_id, r.n_words, r.hits) for r in rows) == [(1, 2, []), (2, 0, [])]
+    assert sorted((r.kept.doc_id, r.n_words, r.spans, r["items"]) for r in rows) == [(1, 2, [], []), (2, 0, [], [])]
     assert fm.search(spark.createDataFrame([], "doc_id long, text string"), none, ["doc_id"]).collect() == []
 
 
@@ -216,12 +245,12 @@ def test_line_templates_empty(spark):
     assert lt.drop_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-@pytest.mark.parametrize("block", [fm.BLOCK_BYTES, 60])
+@pytest.mark.parametrize("block", [fm.BLOCK_LINKS, 2])
 def test_cut_out_takes_hits_of_all_blocks(spark, block):
     words = [f"w{i}" for i in range(60)]
     bench = spark.createDataFrame([(1, " ".join(words[5:17])), (2, " ".join(words[30:41]))], "item_id long, text string")
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "clean text"), (3, None)], "doc_id long, text string")
-    got = {r.kept.doc_id: (r.text, r.n_words) for r in fm.search(docs, bench, ["doc_id"], block_bytes=block, cut_out=True).collect()}
+    got = {r.kept.doc_id: (r.text, r.n_words) for r in fm.search(docs, bench, ["doc_id"], block_links=block, cut_out=True).collect()}
     assert got[1][0].split() == words[:5] + words[17:30] + words[41:] and got[1][1] == 60
     assert got[2] == ("clean text", 2) and got[3] == (None, 0)
 
