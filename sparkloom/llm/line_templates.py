@@ -6,18 +6,12 @@ at its place if enough documents have it there, else it is a variable field;
 a line's template is its constants and fields. Templates that recur across
 documents are dropped, every line of them.
 
-Copies of one document are no recurrence. With copies="similarity", as in the
-query and the pipeline, two texts are near copies if half of their word pairs
-are the same, estimated from SIGNS minima of 4 bits each. A template recurs if
-MIN_DOCS of its texts are no near copies of each other: one text after the
-other is taken out with its near copies, and some are left after MIN_DOCS - 1
-of them. Neither the number of copies nor lines that different documents
-share decide.
-
-With copies="sketch", documents are told apart by one sketch of their words
-(the least word-pair fingerprint), and a template recurs if it has MIN_DOCS
-different sketches and they are at least half of its different texts. Parts
-that documents share, and large groups of copies, keep recurring lines there.
+Copies of one document are no recurrence. Two texts are near copies if half
+of their word pairs are the same, estimated from SIGNS minima of 4 bits each.
+A template recurs if MIN_DOCS of its texts are no near copies of each other:
+one text after the other is taken out with its near copies, and some are left
+after MIN_DOCS - 1 of them. Neither the number of copies nor lines that
+different documents share decide.
 """
 
 from __future__ import annotations
@@ -80,21 +74,15 @@ class Lines:
             else:
                 self.line = self.leaf = np.zeros(0, np.uint64)
 
-    def sketches(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The least word-pair fingerprint and a print of the whole text, of each of n texts; 0 without words."""
-        low, whole = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        full = np.flatnonzero(np.diff(self.at) > 0)
+    def prints(self, n: int) -> np.ndarray:
+        """A print of each of n texts, by its words; 0 without words."""
+        whole, size = np.zeros(n, np.uint64), np.diff(self.at)
+        full = np.flatnonzero(size > 0)
         if len(full):
             with np.errstate(over="ignore"):
-                size = np.diff(self.at)[full]
-                place = np.arange(len(self.plain)) - np.repeat(self.at[full], size)
-                last = np.zeros(len(self.plain), bool)
-                last[self.at[full] + size - 1] = True
-                pairs = common._mix(self.plain * np.uint64(3) + np.append(self.plain[1:], np.uint64(0)))
-                pairs[last] = ~np.uint64(0)  # no pair begins with a text's last word
-                low[full] = np.minimum.reduceat(pairs, self.at[full])
+                place = np.arange(len(self.plain)) - np.repeat(self.at[full], size[full])
                 whole[full] = common._mix(np.add.reduceat(self.plain * common.powers(int(size.max()))[place], self.at[full]))
-        return low, whole
+        return whole
 
     def signatures(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Two longs of minima over the word pairs, of each of n texts; 0 without pairs."""
@@ -120,24 +108,19 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def _uses(texts: DataFrame, similar: bool, min_words: int) -> DataFrame:
-    """leaf, line, sketch, print and signature of the text, for each line of min_words words or more.
-
-    Where texts are told apart by similarity, the print is the sketch too."""
+def _uses(texts: DataFrame) -> DataFrame:
+    """leaf, line, and print and signature of the text, for each line with words."""
 
     def run(batches):
         for batch in batches:
             for _, n, offs, data in common.text_slices(batch):
                 x = Lines(offs, data)
-                low, whole = x.sketches(n)
-                of_text = (whole, whole, *x.signatures(n)) if similar else (low, whole, *[np.zeros(n, np.uint64)] * 2)
-                ok = x.size >= min_words
-                yield pa.RecordBatch.from_arrays([_long(x.leaf[ok]), _long(x.line[ok]), *[_long(v[x.text[ok]]) for v in of_text]], names=["leaf", "line", "sketch", "print", "signs_0", "signs_1"])
+                yield pa.RecordBatch.from_arrays([_long(x.leaf), _long(x.line), *[_long(v[x.text]) for v in (x.prints(n), *x.signatures(n))]], names=["leaf", "line", "print", "signs_0", "signs_1"])
 
-    return texts.mapInArrow(run, "leaf long, line long, sketch long, print long, signs_0 long, signs_1 long")
+    return texts.mapInArrow(run, "leaf long, line long, print long, signs_0 long, signs_1 long")
 
 
-def _tokens(texts: DataFrame, wanted, min_words: int) -> DataFrame:
+def _tokens(texts: DataFrame, wanted) -> DataFrame:
     """line, leaf and words of the wanted lines, once a slice."""
 
     def run(batches):
@@ -145,7 +128,7 @@ def _tokens(texts: DataFrame, wanted, min_words: int) -> DataFrame:
         for batch in batches:
             for _, _, offs, data in common.text_slices(batch):
                 x = Lines(offs, data)
-                k = np.flatnonzero((x.size >= min_words) & w.has(x.line))
+                k = np.flatnonzero(w.has(x.line))
                 if len(k):
                     _, one = np.unique(x.line[k], return_index=True)
                     k = k[one]
@@ -166,60 +149,65 @@ def _off(signs: str, other: str) -> F.Column:
 def _of_different_texts(texts: DataFrame, min_docs: int) -> DataFrame:
     """template: those of which min_docs texts are no near copies of each other.
 
-    A round takes the text with the least print and its near copies out of
-    each template, so the rows are passed min_docs - 1 times at most, and no
-    group is gathered.
+    texts: template, print and signature, once each. A round takes the text
+    with the least print and its near copies out of each template, so the
+    rows are passed min_docs - 1 times at most; no group is gathered, and a
+    template that a third of all texts have is no hot key.
     """
-    enough = texts.groupBy("template").agg(F.count("*").alias("n")).where(f"n >= {min_docs}").select("template")
-    rest = common.written(texts.join(enough, "template", "left_semi"), "template-texts")
-    for _ in range(min_docs - 1):
-        one = rest.groupBy("template").agg(F.min_by("signs_0", "print").alias("one_0"), F.min_by("signs_1", "print").alias("one_1"))
-        other = rest.join(one, "template").where(_off("signs_0", "one_0") + _off("signs_1", "one_1") > MOST_OFF)
-        rest = common.written(other.select(*texts.columns), "template-texts")
+    scratch = common.Scratch(texts.sparkSession)
+    rest = scratch.written(texts, "texts")
+    for turn in range(min_docs - 1):
+        one = rest.groupBy("template").agg(F.min_by("signs_0", "print").alias("one_0"), F.min_by("signs_1", "print").alias("one_1"), F.count("*").alias("n"))
+        # so many texts have to be left for the rounds to come
+        one = common.checkpointed(one.where(F.col("n") >= min_docs - turn))
+        total = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        other = common.join_counted(rest, one, "template", "n", total).where(_off("signs_0", "one_0") + _off("signs_1", "one_1") > MOST_OFF)
+        rest = scratch.written(other.select(*texts.columns), f"texts-{turn}")
+        scratch.remove("texts" if not turn else f"texts-{turn - 1}")
     return rest.select("template").distinct()
 
 
-def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, copies: str = "sketch", min_words: int = MIN_WORDS) -> DataFrame:
+def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """line: fingerprints of the lines (digits masked) whose template recurs."""
-    if copies not in ("sketch", "similarity"):
-        raise ValueError(f"copies: {copies}")
     common.bounded_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    scratch, sum_of = common.Scratch(spark), lambda d, c: d.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0]
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    uses = common.written(_uses(texts, copies == "similarity", min_words).distinct(), "lines")
-    leaves = uses.groupBy("leaf").agg(F.count("*").alias("c"), F.min("sketch").alias("lo"), F.max("sketch").alias("hi")).where(f"c >= {min_docs} and lo <> hi").select("leaf")
-    open_ = common.written(uses.join(leaves, "leaf", "left_semi"), "open-lines")
-    lines = common.checkpointed(open_.groupBy("leaf", "line").agg(F.countDistinct("sketch").alias("docs")))
-    wanted = sc.broadcast(screen(lines, "line", lines.count()))
-    words = _tokens(texts, wanted, min_words).dropDuplicates(["leaf", "line"]).join(lines, ["leaf", "line"])
-    words = common.written(words.select("leaf", "line", "docs", F.size("words").alias("size"), F.posexplode("words").alias("place", "word")), "line-words")
-    constant = words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("c")).where(f"c >= {min_docs} and word <> {int(_MASK.view(np.int64))}").select("leaf", "place", "word", F.lit(True).alias("fixed"))
-    fields = words.join(constant, ["leaf", "place", "word"], "left").withColumn("word", F.when(F.col("fixed"), F.col("word")))
-    shaped = fields.groupBy("leaf", "line").agg(F.first("size").alias("size"), F.count("word").alias("constants"), F.sort_array(F.collect_list(F.struct("place", "word"))).alias("shape"))
+    uses = scratch.written(_uses(texts).distinct(), "uses")
+    leaves = common.checkpointed(uses.groupBy("leaf").agg(F.count("*").alias("c"), F.min("print").alias("lo"), F.max("print").alias("hi")).where(f"c >= {min_docs} and lo <> hi").select("leaf", "c"))
+    open_ = scratch.written(common.join_counted(uses, leaves, "leaf", "c", sum_of(leaves, "c")).select(*uses.columns), "open")
+    scratch.remove("uses")
+    lines = common.checkpointed(open_.groupBy("leaf", "line").agg(F.count("*").alias("docs")))
+    wanted = spark.sparkContext.broadcast(screen(lines, "line", lines.count()))
+    words = _tokens(texts, wanted).dropDuplicates(["leaf", "line"]).join(lines, ["leaf", "line"])
+    slot = F.xxhash64("leaf", "place", "word").alias("slot")
+    words = words.select("leaf", "line", "docs", F.size("words").alias("size"), F.posexplode("words").alias("place", "word"))
+    words = scratch.written(words.select("*", slot), "words")
+    slots = words.groupBy("slot").agg(F.sum("docs").alias("c"), F.count("*").alias("rows"), F.first("word").alias("w"))
+    slots = common.checkpointed(slots.select("slot", "rows", ((F.col("c") >= min_docs) & (F.col("w") != int(_MASK.view(np.int64)))).alias("fixed")))
+    fields = common.join_counted(words, slots, "slot", "rows", sum_of(slots, "rows")).withColumn("word", F.when(F.col("fixed"), F.col("word")))
+    shaped = fields.groupBy("leaf", "line").agg(F.first("docs").alias("docs"), F.first("size").alias("size"), F.count("word").alias("constants"), F.sort_array(F.collect_list(F.struct("place", "word"))).alias("shape"))
     # with too few constants a template would say nothing: the line stands for itself
-    shaped = shaped.select("leaf", "line", F.when((F.col("size") >= MIN_WORDS) & (2 * F.col("constants") >= F.col("size")), F.xxhash64("leaf", "shape")).otherwise(F.xxhash64("leaf", "line")).alias("template"))
-    shaped = common.checkpointed(shaped)
-    found = open_.join(shaped, ["leaf", "line"])
-    if copies == "similarity":
-        recurring = _of_different_texts(found.select("template", "print", "signs_0", "signs_1").distinct(), min_docs)
-    else:
-        support = found.groupBy("template").agg(F.countDistinct("sketch").alias("docs"), F.countDistinct("print").alias("texts"))
-        recurring = support.where((F.col("docs") >= min_docs) & (2 * F.col("docs") >= F.col("texts"))).select("template")
-    return common.checkpointed(shaped.join(recurring, "template").select("line").distinct())
+    template = F.when((F.col("size") >= MIN_WORDS) & (2 * F.col("constants") >= F.col("size")), F.xxhash64("leaf", "shape")).otherwise(F.xxhash64("leaf", "line"))
+    shaped = common.checkpointed(shaped.select("line", "docs", template.alias("template")))
+    found = common.join_counted(open_, shaped, "line", "docs", sum_of(shaped, "docs"))
+    recurring = _of_different_texts(found.select("template", "print", "signs_0", "signs_1").distinct(), min_docs)
+    recurring = common.checkpointed(shaped.groupBy("template").agg(F.count("*").alias("n")).join(recurring, "template"))
+    gone = common.checkpointed(common.join_counted(shaped, recurring, "template", "n", sum_of(recurring, "n")).select("line").distinct())
+    scratch.remove("open", "words")
+    return gone
 
 
-def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, copies: str = "sketch", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of docs with the recurring lines taken out of the text, in a
     struct "kept"; n_lines and n_dropped beside it.
 
-    Lines are what \\n separates; those with fewer than min_words words stay.
-    With min_words=1, as in the query and the pipeline, only lines without words stay unseen.
-    A null text stays null with 0 lines; an empty one has one line, no words
+    Lines are what \\n separates; those without words stay. A null text stays null with 0 lines; an empty one has one line, no words
     and stays. Repeated rows are copies and no recurrence. An empty table
     gives no rows. Other columns pass unread, whatever their names.
     """
     spark = docs.sparkSession
-    gone = recurring_lines(docs, text_col, min_docs, copies, min_words)
+    gone = recurring_lines(docs, text_col, min_docs)
     count = gone.count()
     cols = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols if c != text_col], F.lit(0).alias("_")).alias("other"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -228,7 +216,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS
         rows = rows.withColumn("gone", F.lit(None).cast("array<long>"))
     else:
         sent = spark.sparkContext.broadcast(None)
-        rows = _with_gone(rows, gone, spark.sparkContext.broadcast(screen(gone, "line", count)), min_words)
+        rows = _with_gone(rows, gone, spark.sparkContext.broadcast(screen(gone, "line", count)))
     schema = rows.select("other", "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 
     def run(batches):
@@ -239,9 +227,8 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS
                 if sent.value is not None:
                     bad = np.isin(x.line, sent.value)
                 else:
-                    own = [np.array(g or [], np.int64).view(np.uint64) for g in part.column(2).to_pylist()]
-                    bad = np.array([v in own[t] for v, t in zip(x.line, x.text, strict=True)], bool)
-                bad &= x.size >= min_words
+                    own = [frozenset(g or ()) for g in part.column(2).to_pylist()]
+                    bad = np.array([v in own[t] for v, t in zip(x.line.view(np.int64).tolist(), x.text.tolist(), strict=True)], bool)
                 texts = part.column(1).to_pylist()
                 n_lines = [0 if t is None else t.count("\n") + 1 for t in texts]
                 dropped = np.bincount(x.text[bad], minlength=n)
@@ -257,7 +244,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS
     return done.select(kept.alias("kept"), "n_lines", "n_dropped")
 
 
-def _with_gone(rows: DataFrame, gone: DataFrame, likely, min_words: int) -> DataFrame:
+def _with_gone(rows: DataFrame, gone: DataFrame, likely) -> DataFrame:
     """Beyond what may be broadcast: each row's recurring lines, by a join on the line."""
     keyed = common.written(rows.withColumn("row", F.monotonically_increasing_id()), "line-rows")
 
@@ -265,11 +252,14 @@ def _with_gone(rows: DataFrame, gone: DataFrame, likely, min_words: int) -> Data
         for batch in batches:
             for at, n, offs, data in common.text_slices(batch):
                 x = Lines(offs, data)
-                ok = (x.size >= min_words) & likely.value.has(x.line)
+                ok = likely.value.has(x.line)
                 row = batch.column(0).slice(at, n).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(row[x.text[ok]]), _long(x.line[ok])], names=["row", "line"])
 
-    found = keyed.select("row", "text").mapInArrow(run, "row long, line long").join(gone, "line").groupBy("row").agg(F.collect_set("line").alias("gone"))
+    pairs = common.written(keyed.select("row", "text").mapInArrow(run, "row long, line long"), "line-uses")
+    per = common.checkpointed(pairs.groupBy("line").agg(F.count("*").alias("n")).join(gone, "line"))
+    total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = common.join_counted(pairs, per, "line", "n", total).groupBy("row").agg(F.collect_set("line").alias("gone"))
     return keyed.join(found, "row", "left").select("other", "text", "gone")
 
 
@@ -277,9 +267,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the columns of docs without the recurring lines.
 
     A document that loses all its words this way goes; n_chars, where there
-    is one, is that of the text that stays.
+    is one, is that of the text that stays. Null and empty texts, rows
+    without an id and repeated rows stay as they are; an empty table stays
+    empty.
     """
-    rows = drop_lines(docs, copies="similarity", min_words=1).where((F.col("n_dropped") == 0) | F.regexp_like(F.coalesce("kept.text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
+    rows = drop_lines(docs).where((F.col("n_dropped") == 0) | F.regexp_like(F.coalesce("kept.text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
     value = {c: F.col(f"kept.`{c}`") for c in docs.columns}
     if "n_chars" in value:
         value["n_chars"] = F.when(F.col("n_dropped") == 0, value["n_chars"]).otherwise(F.length("kept.text")).cast(docs.schema["n_chars"].dataType)
@@ -287,7 +279,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drop_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"), copies="similarity", min_words=1)
+    rows = drop_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(F.col("kept.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("kept.text", F.lit("")), 256).alias("kept_sha256"))
 
 
