@@ -39,7 +39,7 @@ WEAK = {
     "opaque": Kind(r"[A-Za-z0-9+/_-]{20,}={0,2}", 20, needs=("[0-9]", "[A-Z]", "[a-z]"), completed_by=("access", "endpoint")),
     "endpoint": Kind(r"(?:https?|s3|postgres|mysql|redis|amqp)://[A-Za-z0-9._~:@%/-]+", 10, hint="://", completed_by=("access", "assign", "hex")),
 }
-#: Code points between the starts of two parts of one scope.
+#: Most code points between the end of one part and the start of the next of one scope.
 SCOPE = 200
 _KINDS = [*BASE, *WEAK]
 _SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
@@ -82,8 +82,9 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Matches become rows: running sums give their places, a weak find that
     overlaps a strong one is that strong one and is left out, and the parts of
-    one text are joined by a range frame over their starts, which holds what
-    lies within ``scope`` code points, whatever the text's length. The finds
+    one text are joined as intervals: of each kind the furthest end in front
+    and the nearest start behind are running extremes, and they complete what
+    lies within ``scope`` code points of them, whatever the parts' lengths. The finds
     are written once with a row number, which is the join's key then:
     repeated rows and null ids stay apart, and a lost executor cannot change
     it. Texts without a match pass by.
@@ -102,8 +103,11 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     behind = F.min(F.when(strong, F.col("start"))).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
     covered = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(behind < F.col("end"), F.lit(False))
     parts = parts.withColumn("counts", F.when(strong | (F.col("ok") & ~covered), F.col("kind")))
-    near = Window.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
-    parts = parts.select("*", *[F.coalesce(F.max(F.col("counts") == k).over(near), F.lit(False)).alias(f"_{k}") for k in _KINDS])
+    # of the parts in front the furthest end counts, of those behind the nearest start
+    to_here, from_here = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) for w in (in_order, backwards))
+    one = lambda k, c: F.when(F.col("counts") == k, F.col(c))
+    in_reach = lambda k: F.coalesce(F.max(one(k, "end")).over(to_here) + scope >= F.col("start"), F.lit(False)) | F.coalesce(F.min(one(k, "start")).over(from_here) <= F.col("end") + scope, F.lit(False))
+    parts = parts.select("*", *[in_reach(k).alias(f"_{k}") for k in _KINDS])
     completed = F.lit(False)
     for name, k in WEAK.items():
         other = F.lit(False)
@@ -155,7 +159,7 @@ WHERE length(own[i]) >= {k.least} AND {needs}""")
 base AS (SELECT * FROM found WHERE NOT weak),
 likely AS (SELECT * FROM found w WHERE weak AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.s + w.n AND w.s < b.s + b.n)),
 part AS (SELECT * FROM base UNION ALL SELECT * FROM likely),
-span AS (SELECT * FROM base UNION ALL SELECT * FROM likely w WHERE EXISTS (SELECT 1 FROM part p WHERE p.doc_id = w.doc_id AND abs(p.s - w.s) <= {SCOPE} AND ({completed}))),
+span AS (SELECT * FROM base UNION ALL SELECT * FROM likely w WHERE EXISTS (SELECT 1 FROM part p WHERE p.doc_id = w.doc_id AND p.s <= w.s + w.n + {SCOPE} AND w.s <= p.s + p.n + {SCOPE} AND ({completed}))),
 line AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) FILTER (NOT weak) AS b, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) AS a FROM span GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
