@@ -114,6 +114,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
         (F.length("_text") - F.length(F.translate("_text", _UPPER, ""))).cast("long").alias("n_upper"),
         F.filter(F.split("_text", "\n", -1), lambda x: F.trim(F.translate(x, _BLANKS, " " * len(_BLANKS))) != "").alias("_lines"),
     )
+    # a word is hashed once, a window from the hashes of its words
+    d = d.withColumn("_words", F.transform("_words", lambda x: F.xxhash64(x)))
     n_windows = F.size("_words") - (WINDOW - 1)
     w = F.col("_words")
     grams = F.transform(F.sequence(F.lit(0), n_windows - 1), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
@@ -160,6 +162,18 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & verdict(POLICIES[CURRENT])).alias("kept"), "failed_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ablations of every policy version over one ledger of all documents, a row for each policy and rule."""
+    book = common.written(ledger(common.table(spark, sf_dir, "documents")).select("failed_bits"), "ledger")
+    out = None
+    for policy in POLICIES.values():
+        a = ablations(book, policy)
+        rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"fails_{r}").alias("fails"), F.col(f"alone_{r}").alias("alone")) for r in policy.rules])).alias("r")
+        a = a.select("policy", "n_rows", "n_kept", "any_bits", "all_bits", rules).select("policy", "n_rows", "n_kept", "any_bits", "all_bits", "r.*")
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
 def keep_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the columns of docs, without the rows that the current policy rejects.
 
@@ -171,9 +185,8 @@ def keep_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return book.where((F.col("_row") >= 0) & verdict(POLICIES[CURRENT])).select("doc_row.*")
 
 
-QUERIES = {"op7_quality_ledger": op7_quality_ledger}
-ORACLE = {
-    "op7_quality_ledger": r"""
+QUERIES = {"op7_quality_ledger": op7_quality_ledger, "quality_ablations": quality_ablations}
+_LEDGER_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
@@ -192,7 +205,15 @@ b AS (
     + CASE WHEN 100 * n_symbols > 50 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END
     + CASE WHEN 100 * n_upper > 50 * word_chars THEN 64 ELSE 0 END)::INTEGER AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 119) = 0 AS kept, failed_bits FROM b
 """
+ORACLE = {
+    "op7_quality_ledger": _LEDGER_SQL
+    + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 119) = 0 AS kept, failed_bits FROM b""",
+    "quality_ablations": _LEDGER_SQL
+    + ", p(policy, rule, m, k) AS (VALUES "
+    + ", ".join(f"('{p.version}', '{r}', {mask(p.rules)}, {bit(r)})" for p in POLICIES.values() for r in p.rules)
+    + """)
+SELECT policy, count(*) AS n_rows, count(*) FILTER (failed_bits & m = 0) AS n_kept, bit_or(failed_bits & m)::INTEGER AS any_bits, bit_and(failed_bits & m)::INTEGER AS all_bits,
+       rule, count(*) FILTER (failed_bits & k <> 0) AS fails, count(*) FILTER (failed_bits & m = k) AS alone FROM b, p GROUP BY policy, rule, m, k""",
 }

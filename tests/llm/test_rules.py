@@ -53,6 +53,13 @@ def test_policies_and_ablations(spark):
     assert none.n_rows == 0 and none.n_kept == 0
 
 
+def test_ledger_queries_match_their_sql(spark, tmp_path):
+    rows = {d: t for d, t in corpus() + [(500 + i, t) for i, t in enumerate(EXTRA)] if d is not None}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in q.QUERIES:
+        held_to_sql(q.QUERIES[name](spark, str(tmp_path)), q.ORACLE[name], tmp_path, ["documents"])
+
+
 def test_stage_keeps_rows_whole(spark):
     docs = frame(spark, corpus(), more=True)
     kept = q.keep_stage(spark, docs, "")
