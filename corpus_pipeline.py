@@ -14,8 +14,9 @@ from sparkloom.llm import bbit_minhash, common, fm_decontam, line_templates, pac
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths with their ids; a null text is the end id alone, rows of one id have pieces of their own."""
     pieces = packing.decompose(docs)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+    return pieces.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 STAGES = [
