@@ -139,6 +139,8 @@ def _runs(places: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 
 _SUFFIX = "row long, start int, code long, whole boolean, words binary, prints binary, here long, next long"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_REPEATS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("places", pa.int64()), ("node", pa.int64())]))
 _SPAN = "row long, start int, end int, places long, first long, last long"
 
 
@@ -299,32 +301,43 @@ def _trees(window: int):
     return run
 
 
-def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row and parts of repeats (start, end in words, places, prints of the first and last window's places)
-    of each text with some, in order; rows: row, text. Equal windows in one text are parts with 0 places."""
+def repeats(rows: DataFrame, window: int = WINDOW, named: bool = True) -> DataFrame:
+    """row, spans [start, end) of words to remove, and (if named) repeats of each text with some; rows: row, text."""
     spark = rows.sparkSession
     sc, scratch = spark.sparkContext, common.Scratch(spark)
+    # what names a repeat is made and moved only where it is asked for
+    names, drop = (["places", "first", "last"], []) if named else ([], ["here", "next"])
     counts = common.checkpointed(anchor_counts(rows, window))
     n, n_large = counts.agg(F.count("*"), F.coalesce(F.sum((F.col("places") > GROUP).cast("long")), F.lit(0))).first()
     if n <= SCREENED:
         recurring = sc.broadcast(screen(counts, "anchor", n))
         large = sc.broadcast(screen(counts.where(F.col("places") > GROUP), "anchor", n_large))
-        found = scratch.written(suffixes(rows, recurring, large, window), "suffixes")
+        found = scratch.written(suffixes(rows, recurring, large, window).drop(*drop), "suffixes")
     else:
-        found = scratch.written(suffixes(_with_anchors(rows, counts, window, scratch), None, None, window), "suffixes")
+        found = scratch.written(suffixes(_with_anchors(rows, counts, window, scratch), None, None, window).drop(*drop), "suffixes")
         scratch.remove("anchors")
     known = found.where("not whole and words is null").select("row", "start", F.col("code").cast("int").alias("end"), F.lit(0).cast("long").alias("places"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
     tree = found.where("words is not null").select("row", "start", "code", "words", "prints")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_tree = tree.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(_trees(window), _SPAN)
-    long_prefix = found.where("whole").select("row", "start", "code", "here", "next")
-    deep = long_prefix.groupBy("code").agg(F.count("*").alias("places"), F.bit_xor("here").alias("first"), F.bit_xor("next").alias("last")).where("places > 1")
+    long_prefix = found.where("whole")
+    prints = [F.bit_xor("here").alias("first"), F.bit_xor("next").alias("last")] if named else []
+    deep = long_prefix.groupBy("code").agg(F.count("*").alias("places"), *prints).where("places > 1")
     deep = common.checkpointed(deep)
     leaves = deep.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
     by_count = common.join_counted(long_prefix.select("row", "start", "code"), deep, "code", "places", leaves)
-    by_count = by_count.select("row", "start", (F.col("start") + window).alias("end"), "places", "first", "last")
-    spans = known.unionByName(by_tree).unionByName(by_count)
-    out = common.written(spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "places", "first", "last"))).alias("parts")), "spans")
+    by_count = by_count.withColumn("end", F.col("start") + window)
+    cols = ["row", "start", "end", *names]
+    spans = known.select(*cols).unionByName(by_tree.select(*cols)).unionByName(by_count.select(*cols))
+    parts = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", *names))).alias("parts"))
+
+    def whole(batches):
+        for batch in batches:
+            parts = batch.column(1).to_pylist()
+            found = [[{k: x[k] for k in ("start", "end", "places", "node")} for x in whole_repeats(p, window)] if named else None for p in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"start": s, "end": e} for s, e in covered(p)] for p in parts], _SPANS), pa.array(found, _REPEATS)], names=["row", "spans", "repeats"])
+
+    out = common.written(parts.mapInArrow(whole, "row long, spans array<struct<start:int,end:int>>, repeats array<struct<start:int,end:int,places:bigint,node:bigint>>"), "spans")
     scratch.remove("suffixes")
     return out
 
@@ -361,7 +374,6 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 _OUT = "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start:int,end:int,places:bigint,node:bigint>>"
-_REPEATS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("places", pa.int64()), ("node", pa.int64())]))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -381,27 +393,44 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     common.bounded_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
-    spans = repeats(rows.select("row", "text"), window)
+    found = repeats(rows.select("row", "text"), window, named=not digest)
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(4)]
-            for text, parts in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            cols: list[list] = [[] for _ in range(3)]
+            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = text.as_buffer().to_pybytes().translate(_BLANK).split()
                 kept, at = [], 0
-                for start, end in covered(parts or ()):
-                    kept += words[at:start]
-                    at = end
+                for x in spans or ():
+                    kept += words[at : x["start"]]
+                    at = x["end"]
                 kept += words[at:]
                 flat = b" ".join(kept)
-                found = None if digest else [{k: x[k] for k in ("start", "end", "places", "node")} for x in whole_repeats(parts or (), window)]
-                for c, v in zip(cols, (len(words), len(words) - len(kept), hashlib.sha256(flat).hexdigest() if digest else flat.decode(), found), strict=True):
+                for c, v in zip(cols, (len(words), len(words) - len(kept), hashlib.sha256(flat).hexdigest() if digest else flat.decode()), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], _REPEATS)], names=["doc_id", "n_words", "n_removed", "kept", "repeats"])
-
-    texts, total = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()
-    few = texts <= BROADCAST_ROWS and total <= BROADCAST_SPANS
-    return rows.join(F.broadcast(spans) if few else spans, "row", "left").select("doc_id", "text", "parts").mapInArrow(run, _OUT)
+            # a text without repeats has an empty list; with digest nobody asked
+            listed = batch.column(3) if digest else pa.array([r or [] for r in batch.column(3).to_pylist()], _REPEATS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), listed], names=["doc_id", "n_words", "n_removed", "kept", "repeats"])
+
+    texts, total = found.agg(F.count("*"), F.coalesce(F.sum(F.size("spans") + F.greatest(F.size("repeats"), F.lit(0))), F.lit(0))).first()
+    cols = ["doc_id", "text", "spans", "repeats"]
+    if texts <= BROADCAST_ROWS and total <= BROADCAST_SPANS:
+        return rows.join(F.broadcast(found), "row", "left").select(*cols).mapInArrow(run, _OUT)
+    # only texts with spans (and few others, by the screen's errors) are moved
+    likely = rows.sparkSession.sparkContext.broadcast(screen(found, "row", texts))
+
+    def those(moved: bool):
+        def run(batches):
+            for batch in batches:
+                there = likely.value.has(batch.column(0).to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(there if moved else ~there))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    none = found.limit(0).select("spans", "repeats").schema
+    moved = those(True).join(found, "row", "left").select(*cols)
+    stay = those(False).select("doc_id", "text", *[F.lit(None).cast(f.dataType).alias(f.name) for f in none])
+    return moved.unionByName(stay).mapInArrow(run, _OUT)
 
 
 _BLANK = bytes(0x20 if 0x09 <= c <= 0x0D else c for c in range(256))

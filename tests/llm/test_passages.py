@@ -148,6 +148,7 @@ def brute_nodes(rows, window):
 
 @pytest.mark.parametrize("group, screened", [(sd.GROUP, sd.SCREENED), (1, sd.SCREENED), (3, sd.SCREENED), (sd.GROUP, 0), (3, 0)])
 def test_repeats_are_the_nodes_of_the_tree(spark, monkeypatch, group, screened):
+    monkeypatch.setattr(sd, "BROADCAST_ROWS", 10**6 if group == 1 else 0)
     monkeypatch.setattr(sd, "GROUP", group)
     monkeypatch.setattr(sd, "SCREENED", screened)
     rng = random.Random(12)
