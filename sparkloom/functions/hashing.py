@@ -47,3 +47,15 @@ def seed_little(c: Column) -> Column:
 
 def rank_epoch_seed(base: Column, rank: Column, epoch: Column) -> Column:
     return base + F.lit(1000003) * rank + F.lit(10000019) * epoch
+
+
+def condition_seed(profile: str, master_seed: int, condition_id: Column, tag: str = "generation-v1") -> Column:
+    """A condition's own seed, the same in every shard and batch: stable_int of tag, profile, master seed and id."""
+
+    @F.pandas_udf(StringType())
+    def digest(ids: pd.Series) -> pd.Series:
+        head = "\x1f".join(canonical_json(x) for x in (tag, profile, master_seed))
+        return pd.Series([hashlib.blake2b(f"{head}\x1f{canonical_json(str(x))}".encode(), digest_size=8).hexdigest() for x in ids])
+
+    wide = F.conv(digest(condition_id.cast("string")), 16, 10).cast("decimal(20,0)")
+    return F.pmod(wide, F.lit(2**63 - 1).cast("decimal(20,0)")).cast("long")

@@ -53,6 +53,17 @@ def log_sum_exp(a: Column) -> Column:
     return top + F.ln(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
 
 
+def log_add_exp(a: Column, b: Column) -> Column:
+    return F.greatest(a, b) + F.ln(1 + F.exp(-F.abs(a - b)))
+
+
+def softmax(a: Column) -> Column:
+    """Stable: the largest value is taken out first."""
+    top = F.array_max(a)
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
+    return F.transform(a, lambda x: F.exp(x.cast("double") - top) / total)
+
+
 def bce_with_logits(x: Column, target: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) - x * target + F.ln(1 + F.exp(-F.abs(x)))
 

@@ -53,9 +53,7 @@ def conditions(df: DataFrame, seed: int, split: str = "train", fallback: str = "
     Ids are SHA-256 over canonical JSON, so they do not depend on the run.
     Rows that do not end with user or tool input, or have no user, carry a violation.
     """
-    d = df.withColumn("_contents", T.normalize_all(F.transform("messages", lambda m: m["content"])))
-    plain = F.zip_with("messages", "_contents", lambda m, c: F.struct(m["role"].alias("role"), c.alias("content")))
-    d = d.withColumn("messages", M.merged(plain)).drop("_contents")
+    d = df.withColumn("messages", M.merged(F.col("messages")))
     media = F.from_json(F.coalesce("media_json", F.lit("[]")), _MEDIA)
     identity = F.to_json(F.transform(media, lambda m: F.struct(F.coalesce(m["has_audio"], F.lit(False)).alias("has_audio"), F.coalesce(m["sha256"], F.lit("")).alias("sha256"), F.lower(F.coalesce(m["type"], F.lit(""))).alias("type"))))
     d = d.withColumn("messages_json", messages_json(F.col("messages")))
@@ -143,9 +141,16 @@ def tool_arguments(raw: Column) -> Column:
     return F.when(body.isin("", "null"), "{}").when(is_object, body).otherwise(other)
 
 
+def json_keys(raw: Column) -> Column:
+    """The distinct keys of a JSON text at all depths: strings, read one after the other, that a colon follows."""
+    tokens = F.regexp_extract_all(F.when(F.try_parse_json(raw).isNotNull(), raw), F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    keys = F.filter(tokens, lambda t: F.endswith(t, F.lit(":")))
+    return F.coalesce(F.array_distinct(F.transform(keys, lambda t: F.regexp_replace(t, r'^"|"\s*:$', ""))), F.array().cast("array<string>"))
+
+
 def forbidden_keys(raw: Column, names: tuple[str, ...]) -> Column:
-    """Top-level keys of a JSON object that must not be there."""
-    return F.array_intersect(F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")), F.array(*[F.lit(n) for n in names]))
+    """Keys of a JSON text, at any depth, that must not be there."""
+    return F.array_intersect(json_keys(raw), F.array(*[F.lit(n) for n in names]))
 
 
 # Limits of a search result's and a request's fields.
@@ -169,6 +174,66 @@ def page_url(url: Column) -> Column:
     """A URL with its scheme; null for credentials, fragments, control characters, other schemes or no host."""
     u = T.strip(F.coalesce(url, F.lit("")))
     full = F.when(F.regexp_like(u, F.lit("^https?://")), u).otherwise(F.concat(F.lit("https://"), u))
-    host = F.try_parse_url(full, F.lit("AUTHORITY"))
-    bad = (u == "") | (F.length(u) > LINK) | F.regexp_like(u, F.lit(r"[\x00-\x1F\x7F]")) | host.isNull() | F.contains(host, F.lit("@")) | F.contains(full, F.lit("#"))
-    return F.when(~F.coalesce(bad, F.lit(True)), full)
+    host = F.regexp_extract(full, r"^https?://([^/?#]*)", 1)
+    bad = (u == "") | (F.length(u) > LINK) | F.regexp_like(u, F.lit(r"[\x00-\x1F\x7F]")) | (host == "") | F.contains(host, F.lit("@")) | F.regexp_like(full, F.lit("#."))
+    return F.when(~bad, full)
+
+
+def browser_request(url: Column, timeout: Column, max_length: Column) -> Column:
+    """The first rule that a page request breaks, or null; limits that are not given are fine."""
+    return F.when(page_url(url).isNull(), "url").when(~timeout.between(1, 60) | F.isnan(timeout), "timeout").when(~max_length.between(1, 32000), "max_length")
+
+
+def in_order(types: Column) -> Column:
+    """The media types of native content parts in order, lower case; other types left out."""
+    return F.filter(F.transform(types, lambda t: F.lower(t)), lambda t: t.isin(*MEDIA))
+
+
+def native_media(messages: Column, base: str) -> Column:
+    """struct<messages, modalities> of array<struct<role, parts: array<struct<type, value>>>>: media paths made
+    absolute below base (web, file and data addresses stay), and the media types in order."""
+    base = base.rstrip("/")
+
+    def path(v):
+        given = F.regexp_like(v, F.lit(r"^(?:https?://|file://|data:|/)"))
+        plain = F.regexp_replace(v, r"^(?:\./)+", "")
+        return F.when(given, v).otherwise(F.concat(F.lit(f"{base}/"), plain))
+
+    def part(x):
+        media = F.lower(x["type"]).isin(*MEDIA)
+        return F.struct(x["type"].alias("type"), F.when(media, path(x["value"])).otherwise(x["value"]).alias("value"))
+
+    resolved = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.transform(m["parts"], part).alias("parts")))
+    return F.struct(resolved.alias("messages"), F.flatten(F.transform(messages, lambda m: in_order(F.transform(m["parts"], lambda x: x["type"])))).alias("modalities"))
+
+
+def media_inventory(df: DataFrame, files: DataFrame, id_col: str = "condition_id", media_json: str = "media_json", messages_json: str = "messages_json") -> DataFrame:
+    """id, type, size and sha256 of each media item of two JSON columns: those of the media list, and those in
+    the content lists of the messages; data addresses are measured themselves, the others by files (path,
+    content). violation tells of web addresses and missing files."""
+    listed = df.select(id_col, F.explode(F.from_json(media_json, "array<struct<type:string,path:string>>")).alias("m")).select(id_col, "m.type", F.col("m.path").alias("path"))
+    parts = df.select(id_col, F.explode(F.from_json(messages_json, "array<struct<content:array<map<string,string>>>>")).alias("m")).select(id_col, F.explode("m.content").alias("p"))
+    inline = parts.select(id_col, F.try_element_at("p", F.lit("type")).alias("type"), F.try_element_at("p", F.try_element_at("p", F.lit("type"))).alias("path")).where(F.col("type").isin(*MEDIA))
+    every = listed.unionByName(inline).withColumn("path", F.regexp_replace(F.coalesce("path", F.lit("")), "^file://", ""))
+    measured = files.select("path", F.octet_length("content").cast("long").alias("_size"), F.sha2("content", 256).alias("_sha"))
+    d = every.join(measured, "path", "left")
+    own = F.startswith("path", F.lit("data:"))
+    reason = F.when(F.regexp_like("path", F.lit("^https?://")), "remote").when(~own & F.col("_size").isNull(), "missing")
+    return d.select(id_col, "type", F.when(own, F.octet_length("path").cast("long")).otherwise(F.col("_size")).alias("size"), F.when(own, F.sha2("path", 256)).otherwise(F.col("_sha")).alias("sha256"), reason.alias("violation"))
+
+
+def prompt_only(messages: Column) -> Column:
+    """The messages without the last one, which has to be the assistant's; else null."""
+    last = F.get(messages, F.size(messages) - 1)
+    return F.when(last["role"] == "assistant", F.slice(messages, 1, F.size(messages) - 1))
+
+
+def components(kinds: DataFrame, kind: str) -> DataFrame:
+    """component, loaded and executed: an encoder runs if one of its kinds was seen, the core with any."""
+    # The kinds that run each encoder, and what is never loaded.
+    runs = (("audio_encoder", ("audio", "video", "other")), ("vision_encoder", ("image", "multi_image", "video", "other")))
+    any_of = lambda ks: F.coalesce(F.bool_or(F.col(kind).isin(*ks)), F.lit(False))
+    rows = [F.struct(F.lit(n).alias("component"), F.lit(True).alias("loaded"), any_of(ks).alias("executed")) for n, ks in runs]
+    rows.append(F.struct(F.lit("thinker").alias("component"), F.lit(True).alias("loaded"), (F.count(kind) > 0).alias("executed")))
+    rows += [F.struct(F.lit(n).alias("component"), F.lit(False).alias("loaded"), F.lit(False).alias("executed")) for n in ("talker", "mtp", "code2wav")]
+    return kinds.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")

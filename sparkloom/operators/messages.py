@@ -21,9 +21,11 @@ def collected(turns: DataFrame, conv: str, turn: str, role: str, content: str) -
 
 
 def merged(messages: Column) -> Column:
-    """Roles by alias, unknown roles and empty contents out, neighbours of one role joined by a blank line (tool turns stay apart)."""
+    """Roles by alias, unknown roles and empty contents out, contents normalized, neighbours of one role
+    joined by a blank line (tool turns stay apart)."""
     alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    known = F.transform(messages, lambda m: F.struct(F.try_element_at(alias, F.lower(m["role"])).alias("role"), T.strip(F.coalesce(m["content"], F.lit(""))).alias("content")))
+    contents = T.normalize_all(F.transform(messages, lambda m: m["content"]))
+    known = F.zip_with(messages, contents, lambda m, c: F.struct(F.try_element_at(alias, F.lower(m["role"])).alias("role"), c.alias("content")))
     known = F.filter(known, lambda m: m["role"].isNotNull() & (m["content"] != ""))
 
     def step(a, m):
@@ -40,9 +42,33 @@ def strictly_valid(messages: Column) -> Column:
     return F.coalesce((F.size(messages) > 0) & F.forall(messages, lambda m: F.coalesce(m["role"].isin(*ROLES), F.lit(False))), F.lit(False))
 
 
+def strictly_valid_json(raw: Column) -> Column:
+    """array<struct<role, content>> of a JSON list, all or nothing: null if it is empty, or if an element is no
+    object, has an unknown role or a content that is neither text, list nor null."""
+    items = F.from_json(raw, "array<string>")
+
+    def kind(item: Column, key: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), f"$.{key}", "variant"))
+
+    def whole(item):
+        content = F.coalesce(kind(item, "content"), F.lit("VOID"))
+        return F.startswith(F.ltrim(item), F.lit("{")) & (kind(item, "role") == "STRING") & (content.isin("STRING", "VOID") | F.startswith(content, F.lit("ARRAY")))
+
+    messages = F.from_json(raw, _MESSAGE)
+    return F.when(strictly_valid(messages) & F.forall(items, lambda x: F.coalesce(whole(x), F.lit(False))), messages)
+
+
+def tool_objects(raw: Column) -> Column:
+    """array<string> of the JSON objects of a list, elements given as text included; null if one is no object."""
+    items = F.from_json(raw, "array<string>")
+    whole = F.forall(items, lambda x: F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(x)), F.lit("OBJECT")), F.lit(False)))
+    return F.when((F.size(items) > 0) & whole, items)
+
+
 def leniently_valid(messages: Column) -> Column:
-    """Messages with a known role; the others are left out one by one."""
-    return F.filter(messages, lambda m: F.coalesce(T.strip(m["role"]).isin(*ROLES), F.lit(False)))
+    """Messages with a known role, its blanks off; the others are left out one by one."""
+    known = F.filter(messages, lambda m: F.coalesce(T.strip(m["role"]).isin(*ROLES), F.lit(False)))
+    return F.transform(known, lambda m: F.struct(T.strip(m["role"]).alias("role"), m["content"].alias("content")))
 
 
 def last_user_prefixes(df: DataFrame, most: int, keep: list[str]) -> DataFrame:

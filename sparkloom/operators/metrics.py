@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 
 
-def audit(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row: rows, distinct keys, later occurrences of a key, empty keys and texts."""
+def malformed_json(c: Column) -> Column:
+    """True for a text that is no JSON object; null and the empty text are none at all."""
+    whole = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(c)), F.lit("OBJECT")), F.lit(False))
+    return F.coalesce(c, F.lit("")).cast("string").isNotNull() & (F.coalesce(c, F.lit("")) != "") & ~whole
+
+
+def audit(df: DataFrame, key: str, text: str, json: str | None = None) -> DataFrame:
+    """One row: rows, distinct keys, later occurrences of a key, empty keys and texts; with json, its malformed values."""
     blank = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"(?U)\s+", "") == "", F.lit(True))
     count = lambda cond: F.coalesce(F.sum(cond.cast("long")), F.lit(0).cast("long"))
-    return df.agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"), (F.count(key) - F.countDistinct(key)).alias("n_duplicates"), count(blank(key)).alias("n_empty_keys"), count(blank(text)).alias("n_empty_texts"))
+    return df.agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"), (F.count(key) - F.countDistinct(key)).alias("n_duplicates"), count(blank(key)).alias("n_empty_keys"), count(blank(text)).alias("n_empty_texts"), *([count(malformed_json(F.col(json))).alias("n_malformed")] if json else []))
 
 
 def quota(df: DataFrame, group: str, targets: DataFrame) -> DataFrame:
@@ -21,11 +27,16 @@ def quota(df: DataFrame, group: str, targets: DataFrame) -> DataFrame:
     return targets.join(have, group, "full").select(group, F.coalesce("n", F.lit(0)).alias("n"), "target", (F.coalesce("n", F.lit(0)) - F.coalesce("target", F.lit(0))).alias("over"))
 
 
-def latency_ms(seconds: Column) -> list[Column]:
-    """mean, p50, p95, p99, max in ms (linear interpolation) and how many values there are."""
+def latency_ms(seconds: Column, approximate: bool = False) -> list[Column]:
+    """mean, p50, p95, p99, max in ms (linear interpolation) and how many values there are.
+
+    Exact percentiles keep a group's distinct values; approximate ones (an
+    observed value, rank error 1e-4) keep a sketch, for groups of any size.
+    """
     ms = seconds * 1000
+    percentile = (lambda c, p: F.percentile_approx(c, p, 10_000)) if approximate else (lambda c, p: F.percentile(c, F.lit(p)))
     r = lambda c: F.round(c, 6)
-    return [F.count(seconds).alias("observed"), F.sum(seconds.isNull().cast("long")).alias("missing"), r(F.avg(ms)).alias("mean_ms"), r(F.percentile(ms, F.lit(0.5))).alias("p50_ms"), r(F.percentile(ms, F.lit(0.95))).alias("p95_ms"), r(F.percentile(ms, F.lit(0.99))).alias("p99_ms"), r(F.max(ms)).alias("max_ms")]
+    return [F.count(seconds).alias("observed"), F.sum(seconds.isNull().cast("long")).alias("missing"), r(F.avg(ms)).alias("mean_ms"), r(percentile(ms, 0.5)).alias("p50_ms"), r(percentile(ms, 0.95)).alias("p95_ms"), r(percentile(ms, 0.99)).alias("p99_ms"), r(F.max(ms)).alias("max_ms")]
 
 
 def throughput(requests: DataFrame, batches: DataFrame, kind: str = "modality") -> DataFrame:
@@ -43,6 +54,17 @@ def throughput(requests: DataFrame, batches: DataFrame, kind: str = "modality")
     return j.select("scope", "requests", "batches", "prompt_tokens", "completion_tokens", (F.col("requests") == F.col("in_batches")).alias("aligned"), *rates)
 
 
+def flat_throughput(prompt: Column, completion: Column, batch_seconds: Column) -> Column:
+    """struct of totals and rates from arrays: token counts of each request, seconds of each batch; null without
+    requests, with counts that do not align, batches that took no time or no completion tokens."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("double"), lambda s, x: s + x.cast("double"))
+    p, c, t = total(prompt), total(completion), total(batch_seconds)
+    n = F.size(prompt)
+    whole = (n > 0) & (F.size(completion) == n) & (F.size(batch_seconds) > 0) & F.forall(batch_seconds, lambda x: x > 0) & (c > 0)
+    rate = lambda x: x / F.nullif(t, F.lit(0.0))
+    return F.when(whole, F.struct(n.cast("long").alias("requests"), p.cast("long").alias("prompt_tokens"), c.cast("long").alias("completion_tokens"), t.alias("measured_seconds"), rate(n).alias("requests_per_second"), rate(c).alias("completion_tokens_per_second"), rate(p + c).alias("total_tokens_per_second")))
+
+
 def accuracy(df: DataFrame, kind: str, correct: str) -> DataFrame:
     """Evaluated, skipped (null) and correct rows and their share for each kind and overall."""
     name = F.when(F.grouping(kind) == 1, "overall").otherwise(F.col(kind)).alias("scope")
@@ -138,6 +160,22 @@ def stream_errors(a: DataFrame, b: DataFrame, by: list[str], index: str, value:
     return j.groupBy(*by).agg(F.greatest(1 - cos, F.lit(0.0)).alias("one_minus_cosine"), F.max(d).alias("max_abs"), F.avg(d).alias("mean_abs"))
 
 
+def named_errors(a: DataFrame, b: DataFrame, name: str, index: str, value: str, exact: tuple[str, ...] = (), tolerance: float = 0.0) -> DataFrame:
+    """name, errors and passed for each name of either table: the names in exact need equal values, the others
+    a largest difference within the tolerance; an element that one table lacks fails."""
+    j = a.select(name, index, F.col(value).alias("x"), F.lit(1).alias("_a")).join(b.select(name, index, F.col(value).alias("y"), F.lit(1).alias("_b")), [name, index], "full")
+    d = F.abs(F.col("x").cast("double") - F.col("y").cast("double"))
+    g = j.groupBy(name).agg(F.sum((F.col("_a").isNull() | F.col("_b").isNull()).cast("long")).alias("unmatched"), F.max(d).alias("max_abs"), F.avg(d).alias("mean_abs"))
+    within = F.when(F.col(name).isin(*exact), F.col("max_abs") == 0) if exact else F.when(F.lit(False), F.lit(True))
+    return g.withColumn("passed", (F.col("unmatched") == 0) & F.coalesce(within.otherwise(F.col("max_abs") <= tolerance), F.lit(False)))
+
+
+def dense_scores(left: DataFrame, right: DataFrame, row: str, item: str, dim: str, value: str) -> DataFrame:
+    """row, item and the dot product over dim of two long matrices: a join on the shared dimension and partial sums."""
+    j = left.select(row, dim, F.col(value).cast("double").alias("_x")).join(right.select(item, dim, F.col(value).cast("double").alias("_y")), dim)
+    return j.groupBy(row, item).agg(F.sum(F.col("_x") * F.col("_y")).alias("score"))
+
+
 def calibrated_bounds(pairs: DataFrame, by: list[str], metric: str, floor: float, factor: float = 2.0) -> DataFrame:
     return pairs.groupBy(*by).agg(F.greatest(F.lit(floor), factor * F.max(metric)).alias("bound"))
 

@@ -105,16 +105,73 @@ def compatible(a: dict, b: dict, keys: tuple[str, ...]) -> None:
         raise ContractError(f"manifests differ in {', '.join(bad)}")
 
 
-def verified_shards(shards: DataFrame, expected: int, total: int) -> dict:
-    """All shards there once, one fingerprint and runtime, unique non-empty rows, the right total.
+def shard_report(shards: DataFrame) -> DataFrame:
+    """One row on shards (shard_id, fingerprint, runtime, condition_id, tokens): what a gate compares."""
+    return shards.agg(
+        F.countDistinct("shard_id").alias("shards"), F.countDistinct("fingerprint").alias("fingerprints"), F.countDistinct("runtime").alias("runtimes"),
+        F.count("*").alias("rows"), F.countDistinct("condition_id").alias("conditions"), F.coalesce(F.sum((F.col("tokens") < 1).cast("long")), F.lit(0)).alias("empty"),
+    )
 
-    shards: shard_id, fingerprint, runtime, condition_id, tokens.
-    """
-    r = shards.agg(F.countDistinct("shard_id").alias("s"), F.countDistinct("fingerprint").alias("f"), F.countDistinct("runtime").alias("r"), F.count("*").alias("n"), F.countDistinct("condition_id").alias("u"), F.sum((F.col("tokens") < 1).cast("long")).alias("e")).first()
-    found = [what for bad, what in ((r.s != expected, f"{r.s} of {expected} shards"), (r.f != 1, "several fingerprints"), (r.r != 1, "several runtimes"), (r.n != r.u, "repeated conditions"), (r.e, "empty rows"), (r.n != total, f"{r.n} of {total} rows")) if bad]
+
+def verified_shards(shards: DataFrame, expected: int, total: int) -> dict:
+    """All shards there once, one fingerprint and runtime, unique non-empty rows, the right total."""
+    r = shard_report(shards).first()
+    found = [what for bad, what in ((r.shards != expected, f"{r.shards} of {expected} shards"), (r.fingerprints != 1, "several fingerprints"), (r.runtimes != 1, "several runtimes"), (r.rows != r.conditions, "repeated conditions"), (r.empty, "empty rows"), (r.rows != total, f"{r.rows} of {total} rows")) if bad]
     if found:
         raise ContractError("; ".join(found))
-    return {"status": "PASS", "conditions": r.n, "shards": r.s}
+    return {"status": "PASS", "conditions": r.rows, "shards": r.shards}
+
+
+def completed(markers: DataFrame) -> DataFrame:
+    """One row: finished shards and the conditions they hold."""
+    return markers.agg(F.count("*").alias("shards"), F.coalesce(F.sum("conditions"), F.lit(0)).alias("conditions"))
+
+
+def verified_count(marker: dict, rows: DataFrame) -> int:
+    """The number of rows, which has to be that of a marker that passed."""
+    n = rows.count()
+    if marker.get("status") != "PASS" or marker.get("conditions") != n:
+        raise ContractError(f"{n} rows, the marker says {marker.get('status')} with {marker.get('conditions')}")
+    return n
+
+
+def shard_index(df: DataFrame, size: str, order: str, cap: int, shard: str, tokens: str = "tokens") -> DataFrame:
+    """What a writer of flat shards records: each row's part (next-fit under cap bytes) and its token range
+    [start, end) in it, as compressed sparse rows do."""
+    placed = S.segments(df, size, order, cap, [shard]).withColumnRenamed("segment", "part").drop("offset")
+    at = S.offsets(placed, tokens, order, [shard, "part"])
+    return at.withColumnRenamed("offset", "start").withColumn("end", F.col("start") + F.col(tokens))
+
+
+def shard_files(idx: DataFrame, shard: str, size: str, tokens: str = "tokens") -> DataFrame:
+    """One row for each part: its rows, tokens, bytes and name."""
+    g = idx.groupBy(shard, "part").agg(F.count("*").alias("conditions"), F.sum(tokens).alias("tokens"), F.sum(size).alias("nbytes"))
+    return g.withColumn("name", F.format_string("train-%05d-%03d", F.col(shard).cast("int"), F.col("part").cast("int")))
+
+
+def unpacked(df: DataFrame, layers: int, width: int) -> Checked:
+    """Connector rows (token_ids, expected_ids, hidden, final) as ids, aux layers and the final vector of each token.
+
+    hidden has tokens * layers values where final is given, else one more
+    layer, which is split off and normalized. Ids have to be the expected ones.
+    """
+    n = F.size("token_ids")
+    bare = F.col("final").isNull()
+    rows = F.when(bare, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("hidden", i * ((layers + 1) * width) + 1, (layers + 1) * width)))
+    aux = F.when(bare, F.flatten(F.transform(rows, lambda r: F.slice(r, 1, layers * width)))).otherwise(F.col("hidden"))
+    last = F.when(bare, F.flatten(F.transform(rows, lambda r: V.rms_norm(F.slice(r, layers * width + 1, width))))).otherwise(F.col("final"))
+    want = n * F.when(bare, F.lit((layers + 1) * width)).otherwise(F.lit(layers * width))
+    reason = F.when((n < 1) | ~F.col("token_ids").eqNullSafe(F.col("expected_ids")), "other token ids").when(F.size("hidden") != want, "hidden shape").when(~bare & (F.size("final") != n * width), "final shape").when(~V.finite(F.col("hidden")), "not finite")
+    c = split_by(df, reason)
+    return Checked(c.good.select("*", aux.alias("aux"), last.alias("final_vectors")), c.bad)
+
+
+def cache_report(df: DataFrame, layers: int, width: int, first_only: bool = False) -> DataFrame:
+    """rows, bad rows and the first reason of a vector cache; of its first row only, if asked."""
+    d = df.orderBy("source_index").limit(1) if first_only else df
+    c = checked_samples(d, layers, width)
+    reason = c.bad.groupBy().agg(F.count("*").alias("bad"), F.min_by("violation", "sample_id").alias("reason"))
+    return d.agg(F.count("*").alias("rows")).crossJoin(reason)  # one row each
 
 
 def low_rank_scores(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

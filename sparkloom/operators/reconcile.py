@@ -42,11 +42,20 @@ def digest(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).agg(F.sha2(text, 256).alias("digest"), F.count(key).alias("n"))
 
 
-def tree_digest(df: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
-    """The same idea for any number of ids: one digest a bucket, then one over the buckets."""
+def tree_digest(df: DataFrame, key: str, levels: int = 2) -> DataFrame:
+    """One row, for any number of ids: SHA-256 over the digests of a tree whose nodes have 4,096 children at most.
+
+    A leaf holds the ids whose own SHA-256 begins with its 3 * levels hex
+    digits, sorted; a node the digests of its children in order, each with a
+    line end.
+    """
     ids = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"))
-    leaf = ids.groupBy(F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("k")), "\n"), 256).alias("h"), F.count("*").alias("c"))
-    return leaf.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"), F.sum("c").alias("n"))
+    lines = lambda c: F.sha2(F.concat(F.array_join(c, "\n"), F.lit("\n")), 256)
+    t = ids.groupBy(F.left(F.sha2("k", 256), F.lit(3 * levels)).alias("b")).agg(lines(F.sort_array(F.collect_list("k"))).alias("h"), F.count("*").alias("c"))
+    for level in range(levels - 1, 0, -1):
+        t = t.groupBy(F.left("b", F.lit(3 * level)).alias("b")).agg(lines(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])).alias("h"), F.sum("c").alias("c"))
+    top = F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])
+    return t.agg(F.when(F.size(top) == 0, F.sha2(F.lit(""), 256)).otherwise(lines(top)).alias("digest"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
 
 
 def keep_first(df: DataFrame, key, order, keep_last: bool = False) -> DataFrame:
@@ -106,13 +115,16 @@ def unresolved(events: DataFrame, key: str = "id", seq: str = "seq") -> DataFram
     return ledger_state(events, key, seq).where("status = 'error'").select(key)
 
 
-def compare_runs(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
-    """key, matches; both runs need the same keys and a value in every row."""
-    x = keep_first(a.withColumn("_o", F.monotonically_increasing_id()), key, "_o", keep_last=True)
-    y = keep_first(b.withColumn("_o", F.monotonically_increasing_id()), key, "_o", keep_last=True)
-    both = x.select(key, F.col(value).alias("_a"), F.lit(1).alias("_x")).join(y.select(key, F.col(value).alias("_b"), F.lit(1).alias("_y")), key, "full")
-    require_empty(both.where("_x is null or _y is null"), key, "keys of one run only")
-    require_empty(both.where("_a is null or _b is null"), key, "values are missing")
+def compare_runs(a: DataFrame, b: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
+    """key, matches; both runs need the same keys and a value in every row.
+
+    With order, the last row of a key counts; without, a key has one row.
+    """
+    last = lambda d: d.groupBy(key).agg(F.max_by(value, order).alias(value)) if order else unique_or_raise(d, key)
+    both = last(a).select(key, F.col(value).alias("_a"), F.lit(1).alias("_x")).join(last(b).select(key, F.col(value).alias("_b"), F.lit(1).alias("_y")), key, "full")
+    what = F.when(F.col("_x").isNull() | F.col("_y").isNull(), "keys of one run only").when(F.col("_a").isNull() | F.col("_b").isNull(), "values are missing")
+    if found := both.select(F.col(key).cast("string").alias("k"), what.alias("what")).where("what is not null").orderBy("what", "k").limit(10).collect():
+        raise ContractError("; ".join(f"{r.what}: {r.k}" for r in found))
     return both.select(key, (F.col("_a") == F.col("_b")).alias("matches"))
 
 
@@ -133,3 +145,25 @@ def drift(a: Column, b: Column) -> Column:
 def gates_failed(required: DataFrame, results: DataFrame, name: str = "gate") -> DataFrame:
     """Required gates that no result passes, and results that fail."""
     return required.join(results.groupBy(name).agg(F.bool_and("passed").alias("ok")), name, "left").where("not coalesce(ok, false)").select(name)
+
+
+def consistent(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Whether all rows of a group have one value."""
+    return df.groupBy(*by).agg((F.countDistinct(value) == 1).alias("consistent"))
+
+
+def partition_law(base: DataFrame, shards: list[DataFrame], key: str) -> DataFrame:
+    """key and reason of what keeps the shards from being a partition of base: "missing", "unexpected" or "repeated"."""
+    every = None
+    for d in shards:
+        every = d.select(key) if every is None else every.unionByName(d.select(key))
+    have, want = every.groupBy(key).agg(F.count("*").alias("_h")), base.groupBy(key).agg(F.count("*").alias("_w"))
+    j = want.join(have, key, "full")
+    reason = F.when(F.col("_h").isNull(), "missing").when(F.col("_w").isNull(), "unexpected").when(F.col("_h") > F.col("_w"), "repeated").when(F.col("_h") < F.col("_w"), "missing")
+    return j.select(key, reason.alias("reason")).where("reason is not null")
+
+
+def any_and_all(df: DataFrame, by: list[str], flag: str) -> DataFrame:
+    """Whether any and whether every row of a group is set; a missing flag is not set."""
+    set_ = F.coalesce(F.col(flag), F.lit(False))
+    return df.groupBy(*by).agg(F.bool_or(set_).alias("any"), F.bool_and(set_).alias("all"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..violations import require_empty
 from .selection import ordered_index, running_sum
 
 
@@ -16,25 +18,33 @@ def offsets(df: DataFrame, size: str, order: str, by: list[str]) -> DataFrame:
 def segments(df: DataFrame, size: str, order: str, cap: int, by: list[str]) -> DataFrame:
     """Next-fit: a row opens a new segment when it would pass the cap and the segment is not empty.
 
-    The state resets, so it is a fold over (order, size) of each group; only
-    those two numbers are gathered, never the payload, and groups fold apart.
-    A group is what one writer appends (a shard): its 16 bytes a row have to
-    fit into a task, so large corpora name more shards in ``by``.
+    A group's rows are brought together in order and stream past two numbers
+    (segment and bytes used), so no group is gathered, however long; rows are
+    carried in a struct and not joined again. A missing size is 0. What one
+    writer appends is one group (a shard): a corpus names as many as it has
+    writers.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
-    state = "struct<seg:bigint,used:bigint,out:array<struct<o:bigint,segment:bigint,offset:bigint>>>"
-    start = F.struct(F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,segment:bigint,offset:bigint>>").alias("out")).cast(state)
-
-    def step(a, x):
-        roll = (a["used"] > 0) & (a["used"] + x["s"] > cap)
-        seg = a["seg"] + F.when(roll, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-        at = F.when(roll, F.lit(0).cast("long")).otherwise(a["used"])
-        put = F.struct(x["o"].cast("long").alias("o"), seg.alias("segment"), at.alias("offset"))
-        return F.struct(seg.alias("seg"), (at + x["s"]).alias("used"), F.concat(a["out"], F.array(put)).alias("out"))
-
-    folded = df.groupBy(*by).agg(F.aggregate(F.sort_array(F.collect_list(item)), start, step, lambda a: a["out"]).alias("_seg"))
-    placed = folded.select(*by, F.explode("_seg").alias("s")).select(*by, F.col("s.o").alias(order), "s.segment", "s.offset")
-    return df.join(placed, [*by, order])
+    cols = df.columns
+    group = F.struct(*[F.col(c) for c in by]).alias("group")
+    rows = df.repartition(*by).sortWithinPartitions(*by, order)
+    rows = rows.select(group, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), F.struct(*cols).alias("row"))
+
+    def run(batches):
+        now, segment, used = None, 0, 0
+        for batch in batches:
+            out, offset = [], []
+            for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if g != now:
+                    now, segment, used = g, 0, 0
+                if used and used + n > cap:
+                    segment, used = segment + 1, 0
+                out.append(segment)
+                offset.append(used)
+                used += n
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.int64()), pa.array(offset, pa.int64())], names=["row", "segment", "offset"])
+
+    schema = rows.select("row", F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("offset")).schema
+    return rows.mapInArrow(run, schema).select("row.*", "segment", "offset")
 
 
 def overlaps(df: DataFrame, by: list[str], offset: str = "offset", size: str = "nbytes") -> DataFrame:
@@ -47,7 +57,7 @@ def bucket_batches(df: DataFrame, kind: str, order: str, sizes: dict[str, int],
     """kind's rows in batches of its size, numbered as they would be emitted:
     full ones when their last row comes, the partial ones at the end by first appearance."""
     n = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col(kind)), F.lit(default)) if sizes else F.lit(default)
-    rows = df.withColumn("_n", n).withColumn("_rn", F.row_number().over(Window.partitionBy(kind).orderBy(order)))
+    rows = running_sum(df, F.lit(1), [order], "_rn", [kind]).withColumn("_n", n).withColumn("_rn", F.col("_rn") + 1)
     rows = rows.withColumn("_b", F.floor((F.col("_rn") - 1) / F.col("_n")))
     first_of_kind = df.groupBy(kind).agg(F.min(order).alias("_first"))
     b = rows.groupBy(kind, "_b", "_n").agg(F.count("*").alias("_c"), F.max(order).alias("_last")).join(first_of_kind, kind)
@@ -79,11 +89,18 @@ def broken_masks(df: DataFrame, by: list[str], order: str, mask: str) -> DataFra
     return df.withColumn("_was", F.lag(mask).over(w)).where(f"{mask} and not _was").select(*by).distinct()
 
 
-def sample_positions(df: DataFrame, by: list[str], pos: str, k: int, seed: int, epoch: int) -> DataFrame:
-    """At most k rows of each group, chosen by (seed, epoch, group, position) alone."""
-    draw = F.xxhash64(F.lit(seed), F.lit(epoch), *by, pos)
+def sample_positions(df: DataFrame, by: list[str], pos: str, k: int, seed: int, epoch: int, eligible: Column | None = None, strict: bool = False) -> DataFrame:
+    """At most k eligible rows of each group, chosen by a hash of (seed, epoch, group, position) alone.
+
+    strict raises for groups that have fewer than k.
+    """
+    rows = df if eligible is None else df.where(eligible)
+    if strict:
+        few = df.groupBy(*by).agg(F.sum((F.lit(True) if eligible is None else eligible).cast("long")).alias("n")).where(F.coalesce("n", F.lit(0)) < k)
+        require_empty(few, by[0], f"groups with fewer than {k} positions")
+    draw = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *by, pos), 256)
     w = Window.partitionBy(*by).orderBy(draw, pos)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
 def acceptance(df: DataFrame, by: list[str], depth: str, correct: str, valid: str) -> DataFrame:
@@ -99,8 +116,8 @@ def pad(values: Column, width: Column, fill) -> Column:
 
 def collate(df: DataFrame, batch: str, values: str, fill=0) -> DataFrame:
     """Right-padded to the batch's longest row, with a mask."""
-    wide = F.max(F.size(values)).over(Window.partitionBy(batch))
-    df = df.withColumn("_w", wide)
+    wide = df.groupBy(batch).agg(F.max(F.size(values)).alias("_w"))
+    df = df.join(wide, batch)
     mask = F.concat(F.array_repeat(F.lit(1), F.size(values)), F.array_repeat(F.lit(0), F.col("_w") - F.size(values)))
     return df.withColumn("attention_mask", mask).withColumn(values, pad(F.col(values), F.col("_w"), fill)).drop("_w")
 
@@ -129,3 +146,31 @@ def gather(tokens: DataFrame, anchors: DataFrame, by: str, pos: str, depth: int)
     at = anchors.join(last, by).select(by, "anchor", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"), "_last")
     at = at.withColumn(pos, F.least(F.col("anchor") + F.col("depth"), F.col("_last"))).withColumn("inside", F.col("anchor") + F.col("depth") <= F.col("_last"))
     return at.drop("_last").join(tokens, [by, pos])
+
+
+def visible_context(anchors: DataFrame, context: DataFrame, by: str, pos: str = "pos", anchor: str = "anchor") -> DataFrame:
+    """Each anchor with the positions of its sample in front of it: a range join, quadratic in a sample's
+    length. It is meant for inspection of samples of bounded length."""
+    c = context.select(F.col(by).alias("_by"), F.col(pos).alias("position"))
+    return anchors.join(c, (F.col(by) == F.col("_by")) & (F.col("position") < F.col(anchor))).drop("_by")
+
+
+def step_metrics(df: DataFrame, by: list[str]) -> DataFrame:
+    """Base and selected hits of a training step.
+
+    df: block, depth, base, selected, target and valid. Accuracies are over
+    valid positions (0 without any); acceptance totals are one and the
+    leading run of hits for each block with a valid position.
+    """
+    d = df.where("valid")
+    ok = lambda c: (F.col(c) == F.col("target")).cast("long")
+    w = Window.partitionBy(*by, "block").orderBy("depth")
+    run = lambda c: prefix_valid(F.col(c) == F.col("target"), w).cast("long")
+    d = d.select(*by, "block", ok("base").alias("b"), ok("selected").alias("s"), run("base").alias("rb"), run("selected").alias("rs"))
+    blocks = d.groupBy(*by, "block").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("b", "s", "rb", "rs")])
+    n = F.sum("n")
+    return blocks.groupBy(*by).agg(
+        n.alias("valid_tokens"), F.count("*").alias("valid_blocks"), F.sum("b").alias("base_correct"), F.sum("s").alias("selected_correct"),
+        (F.sum("b") / F.greatest(n, F.lit(1))).alias("base_accuracy"), (F.sum("s") / F.greatest(n, F.lit(1))).alias("selected_accuracy"),
+        (F.sum("rb") + F.count("*")).alias("base_accept_total"), (F.sum("rs") + F.count("*")).alias("selected_accept_total"),
+    )

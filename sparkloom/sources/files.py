@@ -28,13 +28,48 @@ def indexed(spark: SparkSession, root: str, columns) -> DataFrame:
     return with_global_index(df, "source_path", "source_row")
 
 
+def conditions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """A condition file's required columns, and the evaluation where there is one (else null); the first rows in
+    the file's order, if limited."""
+    df = spark.read.parquet(path)
+    required = require_columns(df, CONDITION_COLUMNS).columns
+    evaluation = F.col("evaluation_json") if "evaluation_json" in df.columns else F.lit(None).cast("string").alias("evaluation_json")
+    out = df.select(*required, evaluation, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
+    return (out if limit is None else out.orderBy("_f", "_r").limit(limit)).drop("_f", "_r")
+
+
+# The columns that a condition file has to have.
+CONDITION_COLUMNS = ("condition_id", "source", "source_subset", "modality", "language", "task", "messages_json", "tools_json", "media_json")
+
+
+def files_without(spark: SparkSession, root: str, columns) -> list[tuple[str, list[str]]]:
+    """(path, missing columns) of the Parquet files below root that lack some of the columns.
+
+    A column that a file lacks is null in all its rows; only files with such
+    a column are asked for their schema.
+    """
+    reader = lambda: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    df = reader().option("mergeSchema", True).parquet(root)
+    have = [c for c in columns if c in df.columns]
+    filled = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(*[F.count(c).alias(c) for c in have])
+    empty = F.lit(len(have) < len(columns))
+    for c in have:
+        empty = empty | (F.col(c) == 0)
+    out = [(r.path, sorted(set(columns) - set(spark.read.parquet(r.path).columns))) for r in filled.where(empty).select("path").orderBy("path").toLocalIterator()]
+    return [x for x in out if x[1]]
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines file; blank lines are skipped, anything but an object raises."""
+    """Rows of a JSON-lines file; blank lines are skipped, anything but an object raises with its line's number."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    bad = lines.where(~F.regexp_like("value", F.lit(r"(?s)^\s*\{.*\}\s*$")) | F.from_json("value", "_corrupt_record string, " + schema, {"columnNameOfCorruptRecord": "_corrupt_record"})["_corrupt_record"].isNotNull())
-    if found := bad.limit(1).collect():
-        raise ContractError(f"not a JSON object: {found[0].value[:80]}")
-    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    parsed = lines.select("value", F.from_json("value", "_corrupt_record string, " + schema, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    whole = F.regexp_like("value", F.lit(r"(?s)^\s*\{.*\}\s*$")) & F.col("r._corrupt_record").isNull()
+    if found := parsed.where(~whole).select("value").limit(1).collect():
+        numbered = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
+        number = numbered.where(F.col("line") == found[0].value).agg(F.min("i")).first()[0]
+        raise ContractError(f"line {number + 1 if number is not None else '?'} is no JSON object: {found[0].value[:80]}")
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    return parsed.select(*[F.col(f"r.`{n}`").alias(n) for n in names])
 
 
 def whole_lines(df: DataFrame, raw: str = "content") -> DataFrame:
@@ -87,6 +122,14 @@ def write_dataset(df: DataFrame, path: str, key: str) -> dict:
     return {"path": path, "rows": kept.count(), "keys": n, "digest": d}
 
 
+def content_fingerprint(spark: SparkSession, root: str) -> DataFrame:
+    """One row: files, bytes, and a SHA-256 over path, size and content digest of each Parquet file in order of path."""
+    f = file_digests(spark, root).where(F.endswith("path", F.lit(".parquet")))
+    line = F.struct("path", F.concat_ws("\u0000", F.regexp_replace("path", "^.*/", ""), F.col("bytes").cast("string"), "sha256").alias("line"))
+    lines = F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"])
+    return f.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
+
+
 def verify_dataset(spark: SparkSession, manifest: dict, key: str) -> None:
     from ..operators.reconcile import tree_digest
 
