@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import metrics, reconcile, selection, sequence
+from ..operators import metrics, packed, reconcile, selection, sequence
 from .registry import query
 
 
@@ -99,9 +99,12 @@ def f5_duplicates(t):
     return reconcile.duplicates(t.documents, "text")
 
 
-@query("SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR) || chr(10)) AS digest, count(*) AS n FROM labels")
+@query("""WITH i AS (SELECT doc_id::VARCHAR AS k, sha256(doc_id::VARCHAR) AS x FROM documents),
+leaf AS (SELECT left(x, 6) AS b, sha256(string_agg(k, chr(10) ORDER BY k) || chr(10)) AS h, count(*) AS c FROM i GROUP BY left(x, 6)),
+node AS (SELECT left(b, 3) AS b, sha256(string_agg(h, chr(10) ORDER BY b) || chr(10)) AS h, sum(c) AS c FROM leaf GROUP BY left(b, 3))
+SELECT sha256(string_agg(h, chr(10) ORDER BY b) || chr(10)) AS digest, sum(c)::BIGINT AS n FROM node""")
 def g9_ids_digest(t):
-    return reconcile.digest(t.labels, "doc_id")
+    return reconcile.tree_digest(t.documents, "doc_id")
 
 
 @query("""SELECT doc_id, lang, item FROM (SELECT d.doc_id, d.lang, l.quality AS item FROM documents d JOIN labels l ON d.doc_id = l.doc_id)""")
@@ -131,11 +134,11 @@ def e2_restore_anywhere(t):
     return reconcile.restore_anywhere(targets, source, "o_custkey", [("3-MEDIUM", 0), ("1-URGENT", 1)], "o_orderpriority", "o_orderkey")
 
 
-@query("""SELECT doc_id, text_len, seq FROM (SELECT doc_id, length(text)::BIGINT AS text_len, 0 AS seq FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, -1, 1 FROM documents WHERE doc_id % 3 = 0)
+@query("""SELECT doc_id, text_len, seq FROM (SELECT doc_id, length(text)::BIGINT AS text_len, 0 AS seq FROM documents WHERE lang <> 'es' UNION ALL SELECT doc_id, -1, 1 FROM documents WHERE lang IN ('es', 'de'))
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) = 1""")
 def b11_upsert(t):
-    old = t.documents.where("doc_id % 2 = 0").select("doc_id", F.length("text").cast("long").alias("text_len"), F.lit(0).alias("seq"))
-    new = t.documents.where("doc_id % 3 = 0").select("doc_id", F.lit(-1).cast("long").alias("text_len"), F.lit(1).alias("seq"))
+    old = t.documents.where("lang <> 'es'").select("doc_id", F.length("text").cast("long").alias("text_len"), F.lit(0).alias("seq"))
+    new = t.documents.where("lang in ('es', 'de')").select("doc_id", F.lit(-1).cast("long").alias("text_len"), F.lit(1).alias("seq"))
     return reconcile.upsert(old, new, ["doc_id"], "seq")
 
 
@@ -156,10 +159,11 @@ def e10_compare_runs(t):
     return reconcile.compare_runs(a, b, "doc_id", "out")
 
 
-@query("SELECT bool_and(doc_id % 4 <> 0) AS exact, round(avg((doc_id % 4 <> 0)::INT), 9) AS match_rate, 1.5::DOUBLE AS speedup FROM documents")
+@query("""WITH m AS (SELECT md5(text) = md5(CASE WHEN length(text) % 4 = 0 THEN text || '!' ELSE text END) AS ok FROM documents) SELECT bool_and(ok) AS exact, round(avg(ok::INT), 9) AS match_rate, 1.5::DOUBLE AS speedup FROM m""")
 def g18_speedup(t):
-    m = t.documents.select("doc_id", (F.col("doc_id") % 4 != 0).alias("matches"))
-    return reconcile.speedup(m, 200.0, 300.0).withColumn("match_rate", F.round("match_rate", 9))
+    a = t.documents.select("doc_id", F.md5("text").alias("out"))
+    b = t.documents.select("doc_id", F.md5(F.when(F.length("text") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("out"))
+    return reconcile.speedup(reconcile.compare_runs(a, b, "doc_id", "out"), 200.0, 300.0).withColumn("match_rate", F.round("match_rate", 9))
 
 
 @query("SELECT a.r_name AS left, b.r_name AS right FROM region a JOIN region b ON a.r_name < b.r_name")
@@ -169,7 +173,7 @@ def e12_run_pairs(t):
 
 @query("SELECT s_nationkey, count(DISTINCT s_name) = 1 AS consistent FROM supplier GROUP BY s_nationkey")
 def e13_consistent(t):
-    return t.supplier.groupBy("s_nationkey").agg((F.countDistinct("s_name") == 1).alias("consistent"))
+    return reconcile.consistent(t.supplier, ["s_nationkey"], "s_name")
 
 
 @query("""WITH req(gate) AS (VALUES ('en'), ('de'), ('fr'), ('es'), ('zz')) SELECT gate FROM req LEFT JOIN (SELECT lang, bool_and(n_chars > 5) AS ok FROM documents GROUP BY lang) r ON r.lang = gate WHERE NOT coalesce(ok, false)""")
@@ -178,11 +182,10 @@ def n9_gates(t):
     return reconcile.gates_failed(need, t.documents.select(F.col("lang").alias("gate"), (F.col("n_chars") > 5).alias("passed")))
 
 
-@query("""SELECT k.k AS shard_id, count(d.doc_id) AS n, count(DISTINCT d.doc_id) = count(d.doc_id) AS unique_ids FROM range(0, 8) k(k) LEFT JOIN documents d ON d.doc_id % 8 = k.k GROUP BY k.k""")
+@query("""SELECT count(DISTINCT source) AS shards, count(DISTINCT lang) AS fingerprints, 1::BIGINT AS runtimes, count(*) AS rows, count(DISTINCT doc_id) AS conditions, count(*) FILTER (n_chars < 50) AS empty FROM documents""")
 def n3_shard_check(t):
-    shards = t._spark.range(8).withColumnRenamed("id", "shard_id")
-    d = t.documents.select((F.col("doc_id") % 8).alias("shard_id"), "doc_id")
-    return shards.join(d, "shard_id", "left").groupBy("shard_id").agg(F.count("doc_id").alias("n"), (F.countDistinct("doc_id") == F.count("doc_id")).alias("unique_ids"))
+    d = t.documents.select(F.col("source").alias("shard_id"), F.col("lang").alias("fingerprint"), F.lit("r").alias("runtime"), F.col("doc_id").alias("condition_id"), F.floor(F.col("n_chars") / 50).alias("tokens"))
+    return packed.shard_report(d)
 
 
 @query("""SELECT doc_id, CASE WHEN contains(l, 'function') OR contains(l, 'api') OR contains(l, 'tool call') OR contains(l, 'json schema') THEN 'tool_use'
@@ -194,14 +197,24 @@ def d8_task_label(t):
     return t.documents.select("doc_id", T.task_label(F.col("text")).alias("task"))
 
 
-@query("""SELECT n_nationkey, CASE lower(n_name) WHEN 'french' THEN 'fr' ELSE CASE WHEN length(split_part(replace(lower(n_name), '_', '-'), '-', 1)) BETWEEN 2 AND 3 THEN split_part(replace(lower(n_name), '_', '-'), '-', 1) ELSE 'und' END END AS code FROM nation""")
+_NAMES = ("English", " FRENCH ", "de-DE", "zh_Hans", "Ｊａｐａｎｅｓｅ", "Klingon", "pt-BR", "Indonesian", "x", "", None, "STRAßE-de", "ＵＫＲＡＩＮＩＡＮ\u200b")
+_CODES = ("en", "fr", "de", "zh", "ja", "und", "pt", "id", "und", "und", "und", "und", "uk")
+
+
+@query(f"SELECT doc_id, ([{', '.join(repr(c) for c in _CODES)}])[1 + doc_id % {len(_NAMES)}] AS code FROM documents")
 def d7_language_code(t):
-    return t.nation.select("n_nationkey", T.language_code(F.col("n_name")).alias("code"))
+    name = F.get(F.array(*[F.lit(n) for n in _NAMES]), (F.col("doc_id") % len(_NAMES)).cast("int"))
+    return t.documents.select("doc_id", T.language_code(name).alias("code"))
+
+
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-@query("SELECT doc_id, list_aggregate(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), 'string_agg', chr(10)) AS clean FROM documents")
+@query(rf"""WITH d AS (SELECT doc_id, chr(9) || replace(replace(text, '. ', '.' || chr(13)), ', ', ',  ' || chr(160)) || chr(8232) || ' x' AS t FROM documents)
+SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(t, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(regexp_replace(x, '[ \t\x0B\x0C]+', ' ', 'g'), '^{_WHITE}+|{_WHITE}+$', '', 'g')), lambda x: x <> ''), chr(10)) AS clean FROM d""")
 def d14_clean_lines(t):
-    return t.documents.select("doc_id", T.clean_lines(F.col("text")).alias("clean"))
+    odd = F.concat(F.lit("\t"), F.replace(F.replace("text", F.lit(". "), F.lit(".\r")), F.lit(", "), F.lit(",  \u00a0")), F.lit("\u2028 x"))
+    return t.documents.select("doc_id", T.clean_lines(odd).alias("clean"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 100) || ' ... ' || right(text, 100) END AS short FROM documents")
@@ -229,27 +242,46 @@ def d19_source_id_parts(t):
 @query("""SELECT doc_id, i::BIGINT AS line_no, x AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
 WHERE contains(x, 'License') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 200""")
 def d22_literal_search(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).where(F.contains("line", F.lit("License")))
+    lines = t.documents.where(F.contains("text", F.lit("License"))).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).where(F.contains("line", F.lit("License")))
     hits = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "line")
     return sequence.within_budget(hits, ["doc_id"], "line_no", 200)
 
 
-@query()
+@query(rf"""WITH v AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)>', '', 'g'), '(?s)<!.*?>', '', 'g'), '(?i)<(?:p|br|li|tr|h[1-4]|pre)\b[^>]*>|</(?:p|li|tr|h[1-4]|pre)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
+u AS (SELECT page_id, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM v)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(t, '[\n\r]'), lambda x: regexp_replace(regexp_replace(x, '[ \t\x0B\x0C]+', ' ', 'g'), '^{_WHITE}+|{_WHITE}+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM u""")
 def d13_html_text(t):
     return t.pages.select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query()
+_ODD = (("ﬁ①", "fi1"), ("\u200b", ""), ("Å", "Å"), ("\u00a0", ""), ("\x07", ""), ("㎏", "kg"), ("\r", ""), ("x\u0301", "x\u0301"))
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g') || ' ' || ([{', '.join(chr(39) + y + chr(39) for _, y in _ODD)}])[1 + doc_id % {len(_ODD)}] || 'z') AS text FROM documents")
 def d1_normalized_text(t):
-    return t.documents.select("doc_id", T.normalize_text(F.col("text")).alias("text"))
+    odd = F.get(F.array(*[F.lit(x) for x, _ in _ODD]), (F.col("doc_id") % len(_ODD)).cast("int"))
+    d = t.documents.select("doc_id", F.concat("text", F.lit(" \t"), odd, F.lit("z\n")).alias("x"))
+    return d.select("doc_id", T.normalize_text(F.col("x")).alias("text"))
+
+
+_HOSTS = (
+    ("localhost.", False), ("a.localhost", False), ("printer.local", False), ("10.1.2.3", False), ("172.16.0.1", False), ("172.32.0.1", True), ("192.168.7.7", False),
+    ("169.254.1.1", False), ("100.64.0.1", False), ("100.128.0.1", True), ("192.0.2.9", False), ("192.0.0.9", True), ("198.18.5.5", False), ("198.20.0.1", True), ("198.51.100.7", False),
+    ("203.0.113.1", False), ("8.8.8.8", True), ("[::1]", False), ("[2001:4860:4860::8888]", True), ("[fd00::1]", False), ("[2001:db8::1]", False), ("[::ffff:10.0.0.1]", False), ("240.0.0.1", False), ("u:p@example.org.", True), ("0.0.0.0", False),
+)
 
 
-@query("SELECT page_id, regexp_matches(url, '^https?://[^/]') AS public FROM pages")
+@query(f"SELECT page_id, CASE WHEN page_id % {len(_HOSTS) + 1} = {len(_HOSTS)} THEN true ELSE ([{', '.join(str(ok).lower() for _, ok in _HOSTS)}, true])[1 + page_id % {len(_HOSTS) + 1}] END AS public FROM pages")
 def c24_public_url(t):
-    return t.pages.select("page_id", T.public_host(F.col("url")).alias("public"))
+    host = F.get(F.array(*[F.lit(h) for h, _ in _HOSTS], F.lit(None).cast("string")), (F.col("page_id") % (len(_HOSTS) + 1)).cast("int"))
+    return t.pages.select("page_id", T.public_host(F.coalesce(F.concat(F.lit("https://"), host, F.lit(":443/a?b#c")), "url")).alias("public"))
 
 
-@query("""SELECT doc_id, (text = CASE WHEN doc_id % 2 = 0 THEN text ELSE upper(text) END) AS correct FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN true WHEN 1 THEN text = upper(text) WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN false ELSE NULL END AS correct FROM documents""")
 def d21_exact_score(t):
-    ref = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.upper("text"))
-    return t.documents.select("doc_id", T.score(F.lit("exact_match"), F.col("text"), ref).alias("correct"))
+    """Exact, normalized (case, punctuation, blanks) and multiple-choice answers, right and wrong ones, and a reference that is no letter."""
+    k = F.col("doc_id") % 6
+    metric = F.when(k < 2, "exact_match").when(k == 2, "normalized_exact_match").otherwise("multiple_choice_accuracy")
+    said = F.when(k < 2, F.col("text")).when(k == 2, F.concat(F.upper("text"), F.lit(" ..  !"))).when(k == 3, " answer: b) ").when(k == 4, "Option C").otherwise("B")
+    ref = F.when(k == 0, F.col("text")).when(k == 1, F.upper("text")).when(k == 2, F.lower("text")).when(k < 5, "b").otherwise("both")
+    return t.documents.select("doc_id", T.score(metric, said, ref).alias("correct"))

@@ -42,11 +42,14 @@ def g15_memory_peaks(t):
     return G.memory_peaks(m, "batch", "rank", "cur", "peak")
 
 
-@query("""WITH b AS (SELECT event_type, count(*) AS v FROM events WHERE event_id < 400 GROUP BY 1), a AS (SELECT event_type, count(*) AS v FROM events GROUP BY 1)
+@query("""WITH c AS (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS cut FROM events), b AS (SELECT event_type, count(*) AS v FROM events, c WHERE epoch_us(ts) < cut GROUP BY 1), a AS (SELECT event_type, count(*) AS v FROM events GROUP BY 1)
 SELECT event_type, a.v - b.v AS delta, a.v < b.v AS bad FROM a JOIN b USING (event_type)""")
 def g16_counter_delta(t):
+    """Counters at the middle of the time span and at its end."""
     count = lambda df: df.groupBy("event_type").agg(F.count("*").alias("v"))
-    return G.counter_delta(count(t.events.where("event_id < 400")), count(t.events), "event_type", "v")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cut = t.events.agg(F.floor((F.min(micros) + F.max(micros)) / 2)).first()[0]
+    return G.counter_delta(count(t.events.where(micros < cut)), count(t.events), "event_type", "v")
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
@@ -54,9 +57,12 @@ def g6_histogram(t):
     return t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS samples, sum(n_chars)::BIGINT AS total_tokens, string_agg(DISTINCT source, ',' ORDER BY source) AS segments, sum(n_chars * (2 * 6 * 64 + 9))::BIGINT AS nbytes FROM documents")
+@query("SELECT count(*) AS samples, sum(n_chars)::BIGINT AS total_tokens, string_agg(DISTINCT source, ',' ORDER BY source) AS segments FROM documents")
 def g5_manifest(t):
-    return t.documents.agg(F.count("*").alias("samples"), F.sum("n_chars").alias("total_tokens"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("segments"), F.sum(F.col("n_chars") * (2 * 6 * 64 + 9)).alias("nbytes"))
+    from ..operators import packed
+
+    m = packed.manifest(t.documents.select(F.col("n_chars").alias("tokens"), F.col("source").alias("segment")))
+    return m.withColumn("segments", F.array_join("segments", ","))
 
 
 @query("SELECT user_id, round(coalesce(sum((value * 100)::BIGINT)::DOUBLE / nullif(sum(event_id % 7), 0), 0.0), 6) AS ratio FROM events GROUP BY user_id")
@@ -91,7 +97,7 @@ def h14_top_k(t):
 @query("SELECT vec_id, i::BIGINT AS i FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, 64)) AS i FROM embeddings) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) = 1")
 def h15_argmax(t):
     s = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return G.top_k(s, ["vec_id"], "v", "i", 1).select("vec_id", F.col("i").cast("long"))
+    return G.argmax(s, ["vec_id"], "v", "i").select("vec_id", F.col("i").cast("long"))
 
 
 @query("""WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM embeddings), p AS (SELECT label, x, x + ((vec_id + i) % 5 - 2) * 0.01 AS y FROM e)
