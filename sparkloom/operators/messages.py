@@ -65,6 +65,12 @@ def tool_objects(raw: Column) -> Column:
     return F.when((F.size(items) > 0) & whole, items)
 
 
+def json_objects(raw: Column) -> Column:
+    """array<string> of the JSON objects of a list, elements given as text included; other elements are left out."""
+    items = F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
+    return F.filter(items, lambda x: F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(x)), F.lit("OBJECT")), F.lit(False)))
+
+
 def leniently_valid(messages: Column) -> Column:
     """Messages with a known role, its blanks off; the others are left out one by one."""
     known = F.filter(messages, lambda m: F.coalesce(T.strip(m["role"]).isin(*ROLES), F.lit(False)))

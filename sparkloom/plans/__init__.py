@@ -1,4 +1,4 @@
 """The registered queries."""
 
-from . import corpus, numeric, ordered  # noqa: F401
+from . import contexts, corpus, numeric, ordered, stores  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
