@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from ..violations import ContractError
 
 
@@ -30,11 +31,10 @@ def with_global_index(df: DataFrame, file_col: str, row_col: str, out: str = "gl
 def dealt_in_order(df: DataFrame, order: list[str]) -> DataFrame:
     """df range-partitioned by order, with the partition's number in "_part".
 
-    Written down once (checkpoint, or cache where no checkpoint folder is
-    set): ranges are sampled, so a second run could cut them elsewhere.
+    Written down once through the shared folder: ranges are sampled, so a
+    second run, or one after a lost executor, could cut them elsewhere.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    return dealt.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else dealt.persist()
+    return checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
 
 
 def running_sum(df: DataFrame, value: Column, order: list[str], out: str, by: list[str] | None = None) -> DataFrame:

@@ -63,10 +63,10 @@ def b8_seal(t):
     return s.select("shard", "stream", F.col("bytes").cast("long"), "rows", "digest")
 
 
-@query("""SELECT doc_id::VARCHAR AS sample_id, doc_id % 3 <> 0 AS kept FROM documents""")
+@query("""SELECT doc_id::VARCHAR AS sample_id, lang <> 'es' AS kept FROM documents""")
 def b7_recovered(t):
     payload = t.documents.select(F.col("doc_id").cast("string").alias("sample_id"))
-    kept, torn = packed.recovered(payload, _index(t).where("source_index % 3 <> 0"))
+    kept, torn = packed.recovered(payload, _index(t).join(t.documents.where("lang <> 'es'").select(F.col("doc_id").alias("source_index")), "source_index", "left_semi"))
     return kept.withColumn("kept", F.lit(True)).unionByName(torn.withColumn("kept", F.lit(False)))
 
 
@@ -110,14 +110,14 @@ def g27_any_and_all(t):
     return reconcile.any_and_all(e, ["user_id"], "failed")
 
 
-@query("""WITH a AS (SELECT user_id, pos FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events) WHERE pos % 20 = 0)
+@query("""WITH a AS (SELECT user_id, pos FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events) WHERE event_type = 'signup')
 SELECT user_id, pos::INTEGER AS anchor, count(*) AS visible FROM (SELECT user_id, pos, unnest(range(0, pos)) AS p FROM a) GROUP BY ALL""")
 def e16_visible_context(t):
     from pyspark.sql import Window
 
     pos = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("pos")
-    c = t.events.select("user_id", pos)
-    a = c.where("pos % 20 = 0").select("user_id", F.col("pos").alias("anchor"))
+    c = t.events.select("user_id", "event_type", pos)
+    a = c.where("event_type = 'signup'").select("user_id", F.col("pos").alias("anchor"))
     return S.visible_context(a, c, "user_id").groupBy("user_id", "anchor").agg(F.count("*").alias("visible"))
 
 
@@ -132,10 +132,12 @@ def n23_step_metrics(t):
     return m.withColumn("base_accuracy", F.round("base_accuracy", 9)).withColumn("selected_accuracy", F.round("selected_accuracy", 9))
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM embeddings) SELECT a.vec_id, b.vec_id AS item, round(sum(a.x * b.x), 6) AS score FROM e a JOIN e b ON a.i = b.i WHERE b.vec_id < 8 GROUP BY ALL""")
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM embeddings), h AS (SELECT label AS item, i, max(x) AS x FROM e GROUP BY label, i)
+SELECT vec_id, item, round(sum(e.x * h.x), 6) AS score FROM e JOIN h ON e.i = h.i GROUP BY vec_id, item""")
 def n24_dense_scores(t):
-    e = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    head = e.where("vec_id < 8").withColumnRenamed("vec_id", "item")  # the head's few rows
+    """Each vector against a head of one row a label, the largest values of its vectors."""
+    e = t.embeddings.select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
+    head = e.groupBy(F.col("label").alias("item"), "i").agg(F.max("x").alias("x"))
     return G.dense_scores(e, head, "vec_id", "item", "i", "x").withColumn("score", F.round("score", 6))
 
 
@@ -225,9 +227,9 @@ def k3_last_states(t):
     return ledger.last_states(t.events, "user_id", "event_id", "event_type")
 
 
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def k1_without_done(t):
-    done = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
+    done = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
     return ledger.without_done(t.events.select("event_id", "user_id"), done, "user_id").select("event_id")
 
 

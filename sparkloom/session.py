@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,3 +20,30 @@ def session(app: str = "sparkloom", **conf: str) -> SparkSession:
     for k, v in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``; only where that is
+    unset on one machine (tests) a temporary folder takes its place. On a
+    cluster each executor would write to its own disk then, so it raises.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        now = sc._jsc.sc().getCheckpointDir()
+        if now.isDefined():
+            return now.get().rstrip("/")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a narrow table through the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
