@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, shared_dir  # noqa: F401
+
 #: Rows handled at once inside an Arrow batch; bounds the temporary arrays.
 SLICE_BYTES = 1 << 20
 
@@ -18,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is
-    unset on one machine (tests) a temporary folder takes its place. On a
-    cluster each executor would write to its own disk then, so it raises.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Arrow batches of at most so many bytes: texts are wide, and 10,000 rows of
     them in each Python worker, and again outside the heap, cost more than the work.
@@ -48,8 +30,18 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the intermediate tables that this process made; results that were not written are gone with them."""
+    while _made:
+        remove(spark, _made.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -96,12 +88,6 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, n: str, total: in
     return rows.join(hot, key).unionByName(cold)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a narrow table (labels, links) through the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_slices(batch: pa.RecordBatch, column: str = "text"):
     """(first row, rows, offsets, bytes) of consecutive rows of about SLICE_BYTES each.
 
@@ -153,6 +139,21 @@ def powers(n: int) -> np.ndarray:
         return np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), _BASE, np.uint64)]).cumprod(dtype=np.uint64)[:n]
 
 
+_POWERS: list[np.ndarray] = []
+#: Bytes whose powers are kept in a worker (16 bytes each).
+_KEPT = 4 * SLICE_BYTES
+
+
+def _kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE and its inverse modulo 2**64, to the powers of 0 .. n-1 at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = min(_KEPT, max(n, SLICE_BYTES + (SLICE_BYTES >> 2)))
+        with np.errstate(over="ignore"):
+            inverse = np.full(max(0, size - 1), pow(_BASE, -1, 1 << 64), np.uint64)
+            _POWERS[:] = [powers(size), np.concatenate([np.ones(1, np.uint64), inverse]).cumprod(dtype=np.uint64)]
+    return _POWERS[0], _POWERS[1]
+
+
 def word_hashes(offs: np.ndarray, data: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit fingerprints of the words ``[^\\x20\\x09-\\x0D]+`` of several texts (between: another table of separators).
 
@@ -188,11 +189,19 @@ def word_hashes(offs: np.ndarray, data: np.ndarray, lower: bool = False, between
         s, lens = starts[at:to] - lo, ends[at:to] - starts[at:to]
         with np.errstate(over="ignore"):
             v = lut[data[lo:hi]]
-            v[space[lo:hi]] = 0
-            span = np.diff(np.append(s, hi - lo))
-            place = np.arange(hi - lo, dtype=np.int64) - np.repeat(s, span)
-            v *= powers(int(span.max()))[place]
-            out[at:to] = _mix(np.add.reduceat(v, s) + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            if len(v) <= _KEPT:
+                # a word is the difference of two running sums, moved to its begin
+                up, down = _kept_powers(len(v))
+                sums = np.zeros(len(v) + 1, np.uint64)
+                np.cumsum(np.multiply(v, up[: len(v)], out=v), out=sums[1:])
+                v = (sums[s + lens] - sums[s]) * down[s]
+            else:
+                v[space[lo:hi]] = 0
+                span = np.diff(np.append(s, hi - lo))
+                place = np.arange(hi - lo, dtype=np.int64) - np.repeat(s, span)
+                v *= powers(int(span.max()))[place]
+                v = np.add.reduceat(v, s)
+            out[at:to] = _mix(v + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         at = to
     return out, starts, ends, np.searchsorted(starts, offs).astype(np.int64)
 

@@ -46,7 +46,7 @@ class Lines:
 
     def __init__(self, offs: np.ndarray, data: np.ndarray):
         h, starts, ends, at = common.word_hashes(offs, data)
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+        digits = np.flatnonzero(_DIGIT[data])
         breaks = np.flatnonzero(data == 10)
         self.plain, self.at = h, at
         line = np.searchsorted(breaks, starts)  # breaks before the word
@@ -58,7 +58,7 @@ class Lines:
         self.text = text[self.first]
         # number of the line in its text
         self.number = line[self.first] - np.searchsorted(breaks, offs[:-1])[self.text] if len(self.first) else self.first
-        masked = (digits[ends] > digits[starts]) & (np.repeat(self.size, self.size) >= MIN_WORDS)
+        masked = (np.searchsorted(digits, ends) > np.searchsorted(digits, starts)) & (np.repeat(self.size, self.size) >= MIN_WORDS)
         self.words = np.where(masked, _MASK, h)
         place = np.arange(len(starts)) - np.repeat(self.first, self.size)
         with np.errstate(over="ignore"):

@@ -76,13 +76,18 @@ def test_components(spark):
     assert m.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_word_hashes_agree_with_split():
+@pytest.mark.parametrize("kept", [common._KEPT, 0])
+def test_word_hashes_agree_with_split(monkeypatch, kept):
+    monkeypatch.setattr(common, "_KEPT", kept)
     texts = ["a b  c", "", " x\ty\n", "éa b", "b" * 50]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
     h, s, e, at = common.word_hashes(offs, data)
     words = [bytes(data[a:b]).decode() for a, b in zip(s, e, strict=True)]
     assert words == [w for t in texts for w in t.split()] and at.tolist() == [0, 3, 3, 5, 7, 8]
+    # the hash as it is defined: a polynomial of the bytes, mixed with the length
+    raw = [sum(int(common._BYTE[b]) * pow(common._BASE, i, 1 << 64) for i, b in enumerate(w.encode())) + len(w.encode()) * 0xD6E8FEB86659FD93 for w in words]
+    assert h.tolist() == common._mix(np.array([x % (1 << 64) for x in raw], np.uint64)).tolist()
     assert h[1] == h[6] and len(set(h.tolist())) == len(set(words))
 
 
