@@ -65,7 +65,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     parsed = lines.select("value", F.from_json("value", "_corrupt_record string, " + schema, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     whole = F.regexp_like("value", F.lit(r"(?s)^\s*\{.*\}\s*$")) & F.col("r._corrupt_record").isNull()
     if found := parsed.where(~whole).select("value").limit(1).collect():
-        numbered = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
+        numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
         number = numbered.where(F.col("line") == found[0].value).agg(F.min("i")).first()[0]
         raise ContractError(f"line {number + 1 if number is not None else '?'} is no JSON object: {found[0].value[:80]}")
     names = [f.name for f in spark.createDataFrame([], schema).schema]
