@@ -34,3 +34,26 @@ def test_pipeline_decisions(spark, tmp_path):
     for d in kept:
         own = sorted((r.start, r.length) for r in out if r.doc_id == d)
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) == out[[r.doc_id for r in out].index(d)].doc_tokens
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing column names and empty tables pass every stage."""
+    rng = random.Random(3)
+    base = prose(rng, 120).replace("\n", " ")
+    texts = [(1, base), (1, base), (None, base), (2, None), (None, None), (3, ""), (4, prose(rng, 80)), (4, prose(rng, 90)), (None, prose(rng, 70)), (5, "word " * 5), (6, " ".join(prose(rng, 3000).split()))]
+    rows = [(d, t, "en", "s", None if t is None else len(t), 1, 2.0, "k", 3) for d, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, kept double, spans string, n_words int"
+    spark.createDataFrame([(1, "nothing of this sort is in there at all or so it seems")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, data in (("full", rows), ("empty", [])):
+        docs = spark.createDataFrame(data, schema).repartition(3)
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            docs = common.written(f(spark, docs, str(tmp_path)), f"{name}-{stage}")
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        kept = sorted(repr((r.doc_id, r.text)) for r in docs.collect())
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        if name == "empty":
+            assert kept == [] and pieces == []
+            continue
+        # one of the three equal texts stays, the others with ten words or more stay whole
+        assert kept == sorted(repr((d, t)) for d, t in {(1, base), *texts[6:9], texts[10]})
+        assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0) and all(len(p.ids) == 4 * p.length for p in pieces)
