@@ -16,6 +16,18 @@ def canonical_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
+@F.pandas_udf(StringType())
+def canonical(s: pd.Series) -> pd.Series:
+    """A JSON text with sorted keys, no blanks and plain Unicode; fractions in their shortest form; null for no JSON."""
+    def one(x):
+        try:
+            return None if x is None else canonical_json(json.loads(x))
+        except json.JSONDecodeError:
+            return None
+
+    return s.map(one)
+
+
 def stable_hex(*columns: Column, size: int = 32) -> Column:
     """BLAKE2b of the string columns as JSON strings, joined by the unit separator."""
 

@@ -265,6 +265,14 @@ def c25_drift(t):
     return t.documents.select("doc_id", F.array_join(F.array_sort(F.map_keys(reconcile.drift(left, right))), ",").alias("differing"))
 
 
+_JSON = (('{"b": 1.0, "a": [true, null, "é"]}', '{"a":[true,null,"é"],"b":1.0}'), ('"\\u00e9 "', '"é "'), ("{bad", None), ("[1, 2.50]", "[1,2.5]"), ('{"z": {"y": 1, "x": 2}}', '{"z":{"x":2,"y":1}}'))
+
+
+@query(f"SELECT doc_id, {_sql_pick('doc_id', [x[1] for x in _JSON])} AS json FROM documents")
+def d3_canonical_json(t):
+    return t.documents.select("doc_id", H.canonical(_pick("doc_id", [x[0] for x in _JSON])).alias("json"))
+
+
 @query()
 def d6_condition_seed(t):
     return t.documents.select("doc_id", H.condition_seed("creative", 7, F.col("doc_id")).alias("seed"))

@@ -160,3 +160,19 @@ def test_json_lines_name_the_line(spark, tmp_path):
         files.json_lines(spark, f"{tmp_path}/x.jsonl", "a long")
     (tmp_path / "y.jsonl").write_text('{"a": 1}\n \n{"a": 2, "b": 3}\n')
     assert sorted(r.a for r in files.json_lines(spark, f"{tmp_path}/y.jsonl", "a long").collect()) == [1, 2]
+
+
+def test_shards_are_read_and_what_lies_beside_them_is_not(spark, tmp_path):
+    for k in range(3):
+        spark.range(k + 1).coalesce(1).write.parquet(f"{tmp_path}/processed/en/s{k}")
+    (tmp_path / "processed" / "en" / "s0" / "manifest.json").write_text("{}")
+    spark.range(100).write.parquet(f"{tmp_path}/cache")
+    assert files.scan_shards(spark, str(tmp_path)).count() == 6
+
+
+def test_stable_ids_against_the_hash_library(spark):
+    rows = [("s1", "a\u00e9"), ("s2", 'q"\n'), ("", "")]
+    got = spark.createDataFrame(rows, "s string, t string").select("s", "t", H.stable_hex(F.col("s"), F.col("t")).alias("h"), H.stable_int(F.col("s"), F.col("t")).alias("n")).collect()
+    for r in got:
+        raw = "\x1f".join(json.dumps(x, ensure_ascii=False) for x in (r.s, r.t)).encode()
+        assert r.h == hashlib.blake2b(raw, digest_size=32).hexdigest() and r.n == int(hashlib.blake2b(raw, digest_size=8).hexdigest(), 16) % (2**63 - 1)
