@@ -95,12 +95,15 @@ def same_run(recorded: dict, wanted: dict, keys: tuple[str, ...]) -> None:
         raise ContractError(f"the run to resume differs in {', '.join(bad)}")
 
 
-def recipe(method: Column, block_size: Column, epochs: Column, lr: Column, gamma: Column) -> Column:
-    """struct<block_size, epochs, lr, gamma, violation> with a method's defaults where nothing is given."""
-    # Block sizes, epochs, rate and decay of the methods.
-    size = F.coalesce(block_size, F.when(method == "dspark", 8).otherwise(16))
+def recipe(method: Column, block_size: Column, epochs: Column, lr: Column, gamma: Column, short: str = "short") -> Column:
+    """struct<block_size, epochs, lr, gamma, violation> with a method's defaults where nothing is given.
+
+    The method named short needs blocks of 8.
+    """
+    # Block sizes, epochs, rate and decay.
+    size = F.coalesce(block_size, F.when(method == short, 8).otherwise(16))
     decay = F.coalesce(gamma, F.when(size == 8, 4.0).otherwise(7.0))
-    bad = F.when((method == "dspark") & (size != 8), "block size must be 8")
+    bad = F.when((method == short) & (size != 8), "block size must be 8")
     return F.struct(size.alias("block_size"), F.coalesce(epochs, F.lit(3)).alias("epochs"), F.coalesce(lr, F.lit(6e-4)).alias("lr"), decay.alias("gamma"), bad.alias("violation"))
 
 
