@@ -138,8 +138,8 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
     scratch = common.Scratch(paths.sparkSession)
     lab = F.col("good") + F.col("bad")
     paths = scratch.written(paths, "paths")
-    host = scratch.written(paths.groupBy("host").agg(F.sum("good").alias("h_good"), F.sum("bad").alias("h_bad"), F.count("*").alias("h_rows")), "hosts")
-    prior, total = host.agg(F.coalesce(F.sum("h_bad") / F.nullif(F.sum("h_bad") + F.sum("h_good"), F.lit(0)), F.lit(0.5)), F.coalesce(F.sum("h_rows"), F.lit(0))).first()
+    host = scratch.written(paths.groupBy("host").agg(F.sum("good").alias("h_good"), F.sum("bad").alias("h_bad"), F.count("*").alias("h_rows"), F.max(F.size("segs")).alias("h_depth")), "hosts")
+    prior, total, deepest = host.agg(F.coalesce(F.sum("h_bad") / F.nullif(F.sum("h_bad") + F.sum("h_good"), F.lit(0)), F.lit(0.5)), F.coalesce(F.sum("h_rows"), F.lit(0)), F.coalesce(F.max("h_depth"), F.lit(0))).first()
     t = common.join_counted(paths, host.withColumn("up", F.lit(prior)), "host", "h_rows", total)
     h_lab = F.col("h_good") + F.col("h_bad")
     t = t.select("host", "segs", F.xxhash64("host", F.lit("")).alias("at"), F.lit("").alias("node"), _smoothed("h_bad", h_lab, "up").alias("share"), "up", h_lab.alias("lab_at"), F.col("h_bad").alias("bad_at"), "good", "bad", "n")
@@ -151,7 +151,7 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
         ends = t.where(~goes_on).withColumn("template", F.when(F.size("segs") > d, F.concat("node", F.lit("/**"))).otherwise(F.col("node")))
         done = ends if done is None else done.unionByName(ends)
         t = t.where(goes_on)
-        if not t.limit(1).count():
+        if d >= deepest or (d >= depth and not t.limit(1).count()):
             break
         t = _level(t, d, scratch)
         d += 1
