@@ -225,6 +225,7 @@ def _grouped(rows: DataFrame, k: int, similarity_at_least: float) -> DataFrame:
     if not total:
         return _labelled(sig, classes, None, more)
     shared = scratch.written(common.join_counted(bands, buckets, "key", "members", total).select("key", "node", "center", "members"), "shared")
+    common.release(spark)
     nodes = common.checkpointed(shared.select("node").distinct())
     small = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     # the prints of the keys tell in which bucket a pair meets first
@@ -251,6 +252,7 @@ def _grouped(rows: DataFrame, k: int, similarity_at_least: float) -> DataFrame:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         common.remove(spark, path)
     scratch.remove("buckets", "shared", "bits", "pairs", "likely", "tiles")
+    common.release(spark)
     return _labelled(sig, classes, done, more)
 
 

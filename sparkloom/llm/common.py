@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -74,6 +75,16 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Between phases: Spark deletes shuffle files once the driver's JVM has collected what they belong to.
+
+    A driver with a large heap may collect late, and then the disks of the
+    executors hold the shuffles of phases that are over.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, share: int = 4096) -> DataFrame:
     """rows joined with one row of groups for each key; n is the number of rows of the key.
 

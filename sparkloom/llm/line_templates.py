@@ -195,6 +195,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
     recurring = common.checkpointed(shaped.groupBy("template").agg(F.count("*").alias("n")).join(recurring, "template"))
     gone = common.checkpointed(common.join_counted(shaped, recurring, "template", "n", sum_of(recurring, "n")).select("line").distinct())
     scratch.remove("open", "words")
+    common.release(spark)
     return gone
 
 

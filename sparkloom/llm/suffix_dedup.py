@@ -339,6 +339,7 @@ def repeats(rows: DataFrame, window: int = WINDOW, named: bool = True) -> DataFr
 
     out = common.written(parts.mapInArrow(whole, "row long, spans array<struct<start:int,end:int>>, repeats array<struct<start:int,end:int,places:bigint,node:bigint>>"), "spans")
     scratch.remove("suffixes")
+    common.release(spark)
     return out
 
 
