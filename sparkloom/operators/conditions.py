@@ -141,6 +141,27 @@ def tool_arguments(raw: Column) -> Column:
     return F.when(body.isin("", "null"), "{}").when(is_object, body).otherwise(other)
 
 
+def cleaned_messages(raw: Column) -> Column:
+    """array<struct<role, content, tool_call_id, tool_calls>> of a JSON list of messages, objects or texts of them.
+
+    Messages that are no objects or have an unknown role are left out one by
+    one; calls have id, type, name and arguments (JSON), in the flat or the
+    nested form; unknown keys are not kept.
+    """
+    def call(x):
+        c = F.from_json(x, "id string, type string, name string, arguments string, function string")
+        f = F.from_json(c["function"], "name string, arguments string")
+        nested = F.coalesce(F.startswith(F.ltrim(c["function"]), F.lit("{")), F.lit(False))
+        pick = lambda k: F.when(nested, f[k]).otherwise(c[k])
+        return F.struct(c["id"].alias("id"), F.coalesce(F.nullif(c["type"], F.lit("")), F.lit("function")).alias("type"), F.coalesce(pick("name"), F.lit("")).alias("name"), tool_arguments(pick("arguments")).alias("arguments"))
+
+    def message(x):
+        m = F.from_json(x, "role string, content string, tool_call_id string, tool_calls string")
+        return F.struct(T.strip(F.coalesce(m["role"], F.lit(""))).alias("role"), m["content"].alias("content"), m["tool_call_id"].alias("tool_call_id"), F.transform(M.json_objects(m["tool_calls"]), call).alias("tool_calls"))
+
+    return F.filter(F.transform(M.json_objects(raw), message), lambda m: m["role"].isin(*M.ROLES))
+
+
 def json_keys(raw: Column) -> Column:
     """The distinct keys of a JSON text at all depths: strings, read one after the other, that a colon follows."""
     tokens = F.regexp_extract_all(F.when(F.try_parse_json(raw).isNotNull(), raw), F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))

@@ -265,6 +265,22 @@ def c25_drift(t):
     return t.documents.select("doc_id", F.array_join(F.array_sort(F.map_keys(reconcile.drift(left, right))), ",").alias("differing"))
 
 
+_MESSAGES = (
+    ('[{"role":" user ","content":"a","think":"x"},{"role":"robot"},5,"{\\"role\\":\\"tool\\",\\"tool_call_id\\":\\"t1\\"}"]', "user=a;tool@t1"),
+    ('[{"role":"assistant","content":null,"tool_calls":[{"id":"t1","function":{"name":"f","arguments":"{\\"x\\": 1}"}},{"name":"g","arguments":"loose"},7]}]', 'assistant:f{"x": 1}:g{"raw_arguments":"loose"}'),
+    ("[]", ""),
+    ("{}", ""),
+    (None, ""),
+)
+
+
+@query(f"SELECT doc_id, {_sql_pick('doc_id', [x[1] for x in _MESSAGES])} AS messages FROM documents")
+def c9_cleaned_messages(t):
+    m = t.documents.select("doc_id", C.cleaned_messages(_pick("doc_id", [x[0] for x in _MESSAGES])).alias("m"))
+    one = lambda x: F.concat(x["role"], F.coalesce(F.concat(F.lit("="), x["content"]), F.lit("")), F.coalesce(F.concat(F.lit("@"), x["tool_call_id"]), F.lit("")), F.array_join(F.transform(x["tool_calls"], lambda c: F.concat(F.lit(":"), c["name"], c["arguments"])), ""))
+    return m.select("doc_id", F.array_join(F.transform("m", one), ";").alias("messages"))
+
+
 _JSON = (('{"b": 1.0, "a": [true, null, "é"]}', '{"a":[true,null,"é"],"b":1.0}'), ('"\\u00e9 "', '"é "'), ("{bad", None), ("[1, 2.50]", "[1,2.5]"), ('{"z": {"y": 1, "x": 2}}', '{"z":{"x":2,"y":1}}'))
 
 
