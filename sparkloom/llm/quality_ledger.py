@@ -179,7 +179,10 @@ def keep_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The verdict is computed beside the row itself: no join and no shuffle. The
     row number, which no plan may compute twice, keeps the filter above the
-    measurements instead of copying them into its condition.
+    measurements instead of copying them into its condition. A null or empty
+    text has no words and goes; rows without an id and repeated rows are
+    judged each; columns are carried inside a struct, whatever their names;
+    an empty table stays empty.
     """
     book = ledger(docs, carry=True).withColumn("_row", F.monotonically_increasing_id())
     return book.where((F.col("_row") >= 0) & verdict(POLICIES[CURRENT])).select("doc_row.*")
