@@ -183,9 +183,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     label = F.coalesce(F.col("hit.verdict") == "block", "bad")
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias
     paths = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), count(~label)("good"), count(label)("bad"))
-    known = common.written(templates(paths, depth).withColumn("key", F.xxhash64("host", "segs")).drop("host", "segs"), "templates")
+    known = common.written(templates(paths, depth).withColumn("key", F.struct("host", "segs")).drop("host", "segs"), "templates")
     n, total = known.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    rows = rows.select("page_id", "host", "path", "hit", F.xxhash64("host", "segs").alias("key"))
+    rows = rows.select("page_id", "host", "path", "hit", F.struct("host", "segs").alias("key"))
     out = rows.join(F.broadcast(known), "key", "left") if n <= BROADCAST_PATHS else common.join_counted(rows, known, "key", "n", total)
     verdict = F.coalesce("hit.verdict", F.when(F.col("rejected"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")

@@ -144,7 +144,7 @@ def test_hot_groups_join_as_cold_ones_do(spark):
     assert common.join_counted(rows.limit(0), groups, "k", "n", 0).collect() == []
 
 
-def test_url_query_matches_its_sql(spark, tmp_path):
+def test_url_query_matches_its_sql(spark, tmp_path, monkeypatch):
     rng = random.Random(3)
     rows = []
     for i in range(600):
@@ -154,3 +154,5 @@ def test_url_query_matches_its_sql(spark, tmp_path):
     rows += [(None, rows[0][1], rows[0][2]), (3, None, None), (4, "http://c.org/en/7", None)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     held_to_sql(u.op10_url_templates(spark, str(tmp_path)), u.ORACLE["op10_url_templates"], tmp_path, ["pages"])
+    monkeypatch.setattr(u, "BROADCAST_PATHS", 0)
+    held_to_sql(u.op10_url_templates(spark, str(tmp_path)), u.ORACLE["op10_url_templates"], tmp_path, ["pages"])
