@@ -176,3 +176,14 @@ def test_stable_ids_against_the_hash_library(spark):
     for r in got:
         raw = "\x1f".join(json.dumps(x, ensure_ascii=False) for x in (r.s, r.t)).encode()
         assert r.h == hashlib.blake2b(raw, digest_size=32).hexdigest() and r.n == int(hashlib.blake2b(raw, digest_size=8).hexdigest(), 16) % (2**63 - 1)
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from sparkloom import session
+
+    jsc = N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False, isEmpty=lambda: True)))
+    cluster = N(conf=N(get=lambda k, d: d), sparkContext=N(master="spark://host:7077", _jsc=jsc))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        session.shared_dir(cluster)
