@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -135,3 +136,11 @@ def test_query_matches_its_sql(spark, tmp_path):
     rows = {d: t for d, t in corpus() if d is not None}
     spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     held_to_sql(m.op5_bbit_minhash(spark, str(tmp_path)), m.ORACLE["op5_bbit_minhash"], tmp_path, ["documents"])
+
+
+def test_intermediate_tables_go(spark):
+    m.near_groups(frame(spark, corpus()), k=2).collect()
+    made = [Path(p.replace("file:", "")) for p in common._made]
+    assert any(p.exists() for p in made)
+    common.clean(spark)
+    assert not any(p.exists() for p in made) and not common._made
