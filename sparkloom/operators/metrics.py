@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..session import checkpointed
+from ..violations import ContractError
+from .selection import ordered_index
 
 
 def malformed_json(c: Column) -> Column:
@@ -170,16 +176,138 @@ def named_errors(a: DataFrame, b: DataFrame, name: str, index: str, value: str,
     return g.withColumn("passed", (F.col("unmatched") == 0) & F.coalesce(within.otherwise(F.col("max_abs") <= tolerance), F.lit(False)))
 
 
-def dense_scores(left: DataFrame, right: DataFrame, row: str, item: str, dim: str, value: str) -> DataFrame:
-    """row, item and the dot product over dim of two long matrices: a join on the shared dimension and partial sums."""
-    j = left.select(row, dim, F.col(value).cast("double").alias("_x")).join(right.select(item, dim, F.col(value).cast("double").alias("_y")), dim)
-    return j.groupBy(row, item).agg(F.sum(F.col("_x") * F.col("_y")).alias("score"))
+#: Rows of a block of the matrix product, on either side.
+BLOCK = 1024
+
+
+def _blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """block, keys and matrix (float64, row by row, zeros behind short vectors) of the rows, BLOCK at most in each."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                rows = [np.asarray(v if v is not None else [], np.float64) for v in part.column(2).to_pylist()]
+                width = max(map(len, rows), default=0)
+                m = np.zeros((len(rows), width))
+                for i, r in enumerate(rows):
+                    m[i, : len(r)] = r
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), pa.array([part.column(1).to_pylist()], pa.list_(part.column(1).type)), pa.array([width], pa.int64()), pa.array([m.tobytes()])], names=["block", "keys", "width", "matrix"])
+
+    rows = df.select(F.monotonically_increasing_id().alias("block"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)), T.StructField("width", T.LongType()), T.StructField("matrix", T.BinaryType())]))
+
+
+def dense_scores(left: DataFrame, right: DataFrame, row: str, item: str, vector: str) -> DataFrame:
+    """row, item and score: the dot product of each vector of left with each of right, all of them, as asked.
+
+    A blocked matrix product: both sides are packed to matrices of BLOCK
+    rows, the blocks of left are dealt to those of right by an equi-join, and
+    a task multiplies two blocks at a time. Shuffled are rows x blocks of the
+    other side, not rows x rows. A shorter vector has zeros behind; a null one
+    is all zeros.
+    """
+    a = checkpointed(_blocks(left, row, vector))
+    b = checkpointed(_blocks(right, item, vector))
+    # the blocks of right get numbers by range, so that each of left can name all of them
+    numbers = ordered_index(b.select("block"), "block", "n")
+    n = numbers.count()
+    b = b.join(numbers, "block").select("n", F.col("keys").alias("items"), F.col("width").alias("w2"), F.col("matrix").alias("m2"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("n")
+    pairs = a.select("keys", "width", "matrix", every).join(b, "n").select("keys", "items", "width", "matrix", "w2", "m2")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, items = batch.column(0)[i].values, batch.column(1)[i].values
+                w1, m1, w2, m2 = (batch.column(k)[i].as_py() for k in range(2, 6))
+                x, y = np.frombuffer(m1).reshape(len(keys), w1), np.frombuffer(m2).reshape(len(items), w2)
+                w = min(w1, w2)
+                s = x[:, :w] @ y[:, :w].T
+                for r in range(0, len(keys), 64):
+                    part = s[r : r + 64]
+                    left_at = np.repeat(np.arange(r, r + len(part)), len(items))
+                    right_at = np.tile(np.arange(len(items)), len(part))
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(left_at)), items.take(pa.array(right_at)), pa.array(part.reshape(-1))], names=["row", "item", "score"])
+
+    kind = lambda c: pairs.schema[c].dataType.elementType
+    schema = T.StructType([T.StructField(row, kind("keys")), T.StructField(item, kind("items")), T.StructField("score", T.DoubleType())])
+    return pairs.mapInArrow(run, schema)
 
 
 def calibrated_bounds(pairs: DataFrame, by: list[str], metric: str, floor: float, factor: float = 2.0) -> DataFrame:
     return pairs.groupBy(*by).agg(F.greatest(F.lit(floor), factor * F.max(metric)).alias("bound"))
 
 
+# The metrics of a capture gate.
+GATE_METRICS = ("one_minus_cosine", "max_abs", "mean_abs")
+
+
+def gate_calibration(captures: DataFrame, runs: list[str], controls: list[str], floors: dict[str, float], run: str = "run", stream: str = "stream", index: str = "index", value: str = "value") -> DataFrame:
+    """stream, metric, worst, bound, least_control and separates of a gate calibrated on three runs.
+
+    captures: one row a run, stream and index. worst is the largest error
+    between two of the runs; the bound, max(floor, 2 * worst), has to lie
+    below the error of every control against the first run (separates). The
+    errors of all pairs come from one join of the captures with themselves on
+    (stream, index), restricted to the pairs asked for. An element that one
+    of the captures lacks, runs that are not three, or a missing floor raise.
+    """
+    if len(runs) != 3 or len({*runs, *controls}) != 3 + len(controls) or not controls:
+        raise ContractError("a gate is calibrated on three runs and controls of other names")
+    if set(floors) != set(GATE_METRICS) or min(floors.values()) < 0:
+        raise ContractError("each metric needs a floor that is not negative")
+    wanted = [(runs[i], runs[j], "run") for i in range(3) for j in range(i + 1, 3)] + [(runs[0], c, "control") for c in controls]
+    c = captures.where(F.col(run).isin(runs + controls)).select(F.col(run).alias("run"), F.col(stream).alias("stream"), F.col(index).alias("index"), F.col(value).cast("double").alias("x"))
+    per = c.groupBy("stream", "index").agg(F.count("*").alias("n"), F.countDistinct("run").alias("r"))
+    require_none(per.where((F.col("n") != 3 + len(controls)) | (F.col("r") != 3 + len(controls))), "stream", "captures of different shape")
+    to = F.create_map(*[F.lit(x) for a in {w[0] for w in wanted} for x in (a, F.array(*[F.struct(F.lit(b).alias("other"), F.lit(k).alias("kind")) for o, b, k in wanted if o == a]))])
+    left = c.select("run", "stream", "index", F.col("x"), F.explode(F.try_element_at(to, F.col("run"))).alias("to")).select("run", "stream", "index", "x", "to.other", "to.kind")
+    both = left.join(c.select(F.col("run").alias("other"), "stream", "index", F.col("x").alias("y")), ["other", "stream", "index"])
+    cos = F.sum(F.col("x") * F.col("y")) / F.nullif(F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y"))), F.lit(0.0))
+    d = F.abs(F.col("x") - F.col("y"))
+    errors = both.groupBy("stream", "run", "other", "kind").agg(F.greatest(1 - cos, F.lit(0.0)).alias("one_minus_cosine"), F.max(d).alias("max_abs"), F.avg(d).alias("mean_abs"))
+    long = errors.select("stream", "kind", F.explode(F.create_map(*[x for m in GATE_METRICS for x in (F.lit(m), F.col(m))])).alias("metric", "error"))
+    worst = F.max(F.when(F.col("kind") == "run", F.col("error")))
+    found = long.groupBy("stream", "metric").agg(worst.alias("worst"), F.min(F.when(F.col("kind") == "control", F.col("error"))).alias("least_control"))
+    floor = F.element_at(F.create_map(*[F.lit(x) for kv in floors.items() for x in kv]), F.col("metric"))
+    bound = F.greatest(floor, 2 * F.col("worst"))
+    return found.select("stream", "metric", "worst", bound.alias("bound"), "least_control", (bound < F.col("least_control")).alias("separates"))
+
+
+def require_none(bad: DataFrame, key: str, what: str) -> None:
+    found = bad.select(F.col(key).cast("string").alias("k")).distinct().orderBy("k").limit(10).collect()
+    if found:
+        raise ContractError(f"{what}: {', '.join(str(r.k) for r in found)}")
+
+
+def calibrated_gate(calibration: DataFrame) -> DataFrame:
+    """The bounds of a calibration; one that a control could pass raises."""
+    require_none(calibration.where("not separates"), "stream", "a bound is not below every control's error")
+    return calibration.select("stream", "metric", "bound")
+
+
+def gate_report(reference: DataFrame, candidate: DataFrame, bounds: DataFrame, logits: str, stream: str = "stream", index: str = "index", value: str = "value", position: str = "position") -> DataFrame:
+    """stream, metric, error, bound and passed of a candidate; the metric "top1" of the stream of logits counts the
+    positions whose largest value (the first of equal ones) lies elsewhere, and none may.
+
+    reference and candidate: stream, position, index in it, value. What one of them lacks, or a stream or metric without a bound, fails.
+    """
+    cols = [F.col(stream).alias("stream"), F.col(position).alias("position"), F.col(index).alias("index")]
+    a, b = reference.select(*cols, F.col(value).cast("double").alias("x")), candidate.select(*cols, F.col(value).cast("double").alias("y"))
+    j = a.join(b, ["stream", "position", "index"], "full")
+    d = F.abs(F.col("x") - F.col("y"))
+    lacking = F.max(F.col("x").isNull() | F.col("y").isNull())
+    cos = F.sum(F.col("x") * F.col("y")) / F.nullif(F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y"))), F.lit(0.0))
+    e = j.groupBy("stream").agg(F.greatest(1 - cos, F.lit(0.0)).alias("one_minus_cosine"), F.max(d).alias("max_abs"), F.avg(d).alias("mean_abs"), lacking.alias("lacking"))
+    long = e.select("stream", "lacking", F.explode(F.create_map(*[x for m in GATE_METRICS for x in (F.lit(m), F.col(m))])).alias("metric", "error"))
+    passed = ~F.col("lacking") & (F.col("error") <= F.col("bound"))
+    rows = long.join(bounds, ["stream", "metric"], "full").select("stream", "metric", "error", "bound", F.coalesce(passed, F.lit(False)).alias("passed"))
+    tops = j.where(F.col("stream") == logits).groupBy("stream", "position").agg(F.max(F.struct(F.col("x").alias("v"), (-F.col("index")).alias("i")))["i"].alias("p"), F.max(F.struct(F.col("y").alias("v"), (-F.col("index")).alias("i")))["i"].alias("q"))
+    off = tops.groupBy("stream").agg(F.count_if(~F.col("p").eqNullSafe(F.col("q"))).cast("double").alias("error"))
+    return rows.unionByName(off.select("stream", F.lit("top1").alias("metric"), "error", F.lit(0.0).alias("bound"), (F.col("error") == 0).alias("passed")))
+
+
 def gate(measured: DataFrame, bounds: DataFrame, by: list[str], metric: str) -> DataFrame:
     return measured.join(bounds, by, "left").select(*by, metric, "bound", F.coalesce(F.col(metric) <= F.col("bound"), F.lit(False)).alias("passed"))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import checkpointed
 from ..violations import require_empty
 from .selection import ordered_index, running_sum
 
@@ -15,36 +20,131 @@ def offsets(df: DataFrame, size: str, order: str, by: list[str]) -> DataFrame:
     return running_sum(df, F.col(size), [order], "offset", by)
 
 
-def segments(df: DataFrame, size: str, order: str, cap: int, by: list[str]) -> DataFrame:
-    """Next-fit: a row opens a new segment when it would pass the cap and the segment is not empty.
+def _opened(sizes: np.ndarray, cap: int):
+    """What a range of rows does to next-fit: (at, end, leaves, opened) of the rows that may open its first segment.
 
-    A group's rows are brought together in order and stream past two numbers
-    (segment and bytes used), so no group is gathered, however long; rows are
-    carried in a struct and not joined again. A missing size is 0. What one
-    writer appends is one group (a shard): a corpus names as many as it has
-    writers.
+    If row j opens a segment, `leaves` bytes are in use behind the range and
+    it opened so many. The next opening of each row comes from a search on
+    the running sums, the last one by doubling of these pointers.
     """
-    cols = df.columns
-    group = F.struct(*[F.col(c) for c in by]).alias("group")
-    rows = df.repartition(*by).sortWithinPartitions(*by, order)
-    rows = rows.select(group, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), F.struct(*cols).alias("row"))
+    n, end = len(sizes), np.cumsum(sizes)
+    at = end - sizes
+    # the first row that passes the cap, and is not in the same place
+    to = np.append(np.maximum(np.searchsorted(end, at + cap, side="right"), np.searchsorted(at, at, side="right")), n)
+    last, count = np.arange(n + 1), np.append(np.ones(n, np.int64), 0)
+    while (to < n).any():
+        count += count[to]
+        last = np.where(to < n, last[to], last)
+        to = to[to]
+    firsts = int(max(np.searchsorted(end, cap, side="right"), np.searchsorted(at, 0, side="right"))) + 1
+    return at[:firsts], end[:firsts], (end[-1] - at[last[:n]])[:firsts], count[:n][:firsts]
+
+
+def _ranges(cap: int):
+    """Rows (group, part, size) in order to one row for each range: its total and what _opened says."""
+
+    def emit(group, part, held):
+        sizes = np.concatenate(held)
+        return (group, part, int(sizes.sum()), *(x.tolist() for x in _opened(sizes, cap)))
+
+    def run(batches):
+        now, held, kind = None, [], None
+        for batch in batches:
+            groups, parts, sizes = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            kind, groups = groups.type, groups.to_pylist()
+            out, lo = [], 0
+            for i in range(batch.num_rows + 1):
+                if i == batch.num_rows or (groups[i], parts[i]) != now:
+                    if i > lo:
+                        held.append(sizes[lo:i].copy())
+                    if i < batch.num_rows:
+                        if held:
+                            out.append(emit(*now, held))
+                        now, held, lo = (groups[i], parts[i]), [], i
+            if out:
+                yield out, kind
+        if held:
+            yield [emit(*now, held)], kind
+
+    def arrow(batches):
+        for rows, kind in run(batches):
+            kinds = [kind, pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["group", "part", "total", "at", "end", "leaves", "opened"])
+
+    return arrow
+
+
+def _followed(cap: int):
+    """The ranges of a group in order to what is open before each of them: segment and bytes used."""
 
     def run(batches):
         now, segment, used = None, 0, 0
         for batch in batches:
-            out, offset = [], []
-            for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if g != now:
-                    now, segment, used = g, 0, 0
+            out = []
+            for r in batch.to_pylist():
+                if r["group"] != now:
+                    now, segment, used = r["group"], 0, 0
+                out.append((segment, used))
+                first = max(bisect_right(r["end"], cap - used), bisect_right(r["at"], -used))
+                if first < len(r["at"]):
+                    segment, used = segment + r["opened"][first], r["leaves"][first]
+                else:
+                    used += r["total"]
+            cols = zip(*out, strict=True) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["group", "part", "segment", "used"])
+
+    return run
+
+
+def _numbered(cap: int):
+    """Ranges, each with its begin (turn 0: segment, used) in front of its rows in order (turn 1: size, row)."""
+
+    def run(batches):
+        segment, used = 0, 0
+        for batch in batches:
+            out, offset, kept = [], [], []
+            for i, (turn, s, u, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                if not turn:
+                    segment, used = s, u
+                    continue
                 if used and used + n > cap:
                     segment, used = segment + 1, 0
                 out.append(segment)
                 offset.append(used)
+                kept.append(i)
                 used += n
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.int64()), pa.array(offset, pa.int64())], names=["row", "segment", "offset"])
+            rows = batch.column(4).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(out, pa.int64()), pa.array(offset, pa.int64())], names=["row", "segment", "offset"])
+
+    return run
+
+
+def segments(df: DataFrame, size: str, order: str, cap: int, by: list[str]) -> DataFrame:
+    """Next-fit: a row opens a new segment when it would pass the cap and the segment is not empty.
 
-    schema = rows.select("row", F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("offset")).schema
-    return rows.mapInArrow(run, schema).select("row.*", "segment", "offset")
+    A group of any length is spread over tasks: a range of its rows is a map
+    from the bytes in use before it to those in use behind it, which only the
+    rows within cap of its begin decide. Each range is turned into that map,
+    the maps of a group (one small row a range) are followed in order, and
+    then each range numbers its own rows. A missing or negative size is 0;
+    rows of equal order come in any order, the same in both passes.
+    """
+    cols = df.columns
+    group = F.struct(*[F.col(f"`{c}`") for c in by]).alias("group")
+    rows = df.select(group, F.col(f"`{order}`").alias("order"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("size"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
+    # written down: ranges are sampled, and equal orders may be sorted otherwise in a second run
+    dealt = rows.repartitionByRange("group", "order").sortWithinPartitions("group", "order")
+    dealt = checkpointed(dealt.withColumn("part", F.spark_partition_id().cast("long")).withColumn("turn", F.monotonically_increasing_id()))
+    long = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    lists = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("at", "end", "leaves", "opened")]
+    maps = dealt.select("group", "part", "size").mapInArrow(_ranges(cap), T.StructType([dealt.schema["group"], *long("part", "total"), *lists]))
+    begun = maps.repartition("group").sortWithinPartitions("group", "part").mapInArrow(_followed(cap), T.StructType([dealt.schema["group"], *long("part", "segment", "used")]))
+    none = F.lit(None)
+    begun = begun.select("group", "part", F.lit(-1).cast("long").alias("turn"), "segment", "used", F.lit(0).cast("long").alias("size"), none.cast(dealt.schema["row"].dataType).alias("row"))
+    both = begun.unionByName(dealt.select("group", "part", "turn", F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("used"), "size", "row"))
+    both = both.repartition("group", "part").sortWithinPartitions("group", "part", "turn").select(F.col("turn") >= 0, "segment", "used", "size", "row")
+    out = both.mapInArrow(_numbered(cap), T.StructType([dealt.schema["row"], *long("segment", "offset")]))
+    return out.select("row.*", "segment", "offset")
 
 
 def overlaps(df: DataFrame, by: list[str], offset: str = "offset", size: str = "nbytes") -> DataFrame:
@@ -155,6 +255,33 @@ def visible_context(anchors: DataFrame, context: DataFrame, by: str, pos: str =
     return anchors.join(c, (F.col(by) == F.col("_by")) & (F.col("position") < F.col(anchor))).drop("_by")
 
 
+def visible_intervals(anchors: DataFrame, context: DataFrame, by: str, block: int, pos: str = "pos", mask: str = "mask", anchor: str = "anchor", keep: str = "keep") -> DataFrame:
+    """What the blocks of a sample see, as [begin, end) intervals: one row for each anchor.
+
+    anchors (by, anchor, keep): a block of queries each, numbered by anchor
+    in its sample; context (by, pos, mask): positions from 0. A kept block
+    sees the context in front of its anchor where the mask is set
+    ("context": runs of it, in order), one that is not kept none of it; each
+    sees its own block of keys, which lie behind the context ("own"). The
+    runs of a sample are found once and cut at each anchor, so rows are as
+    many as anchors and runs, and no pair of positions is a row.
+    """
+    w = Window.partitionBy(by).orderBy(pos)
+    fresh = F.col(mask).cast("boolean") & ~(F.coalesce(F.lag(F.col(mask).cast("boolean")).over(w), F.lit(False)) & (F.coalesce(F.lag(pos).over(w), F.lit(-2)) == F.col(pos) - 1))
+    c = context.select(by, F.col(pos).cast("long").alias(pos), mask)
+    runs = c.withColumn("_new", fresh.cast("long")).withColumn("_run", F.sum("_new").over(w))
+    runs = runs.where(F.col(mask).cast("boolean")).groupBy(by, "_run").agg(F.min(pos).alias("begin"), (F.max(pos) + 1).alias("end"))
+    runs = runs.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_runs"))
+    length = c.groupBy(by).agg((F.max(pos) + 1).alias("_tokens"))
+    at = F.col(anchor).cast("long")
+    cut = F.transform(F.filter("_runs", lambda r: r["begin"] < at), lambda r: F.struct(r["begin"].alias("begin"), F.least(r["end"], at).alias("end")))
+    number = F.row_number().over(Window.partitionBy(by).orderBy(anchor)) - 1
+    d = anchors.withColumn("_q", number).join(length, by, "left").join(runs, by, "left")
+    begin = F.coalesce("_tokens", F.lit(0)) + F.col("_q") * block
+    seen = F.when(F.col(keep), cut)
+    return d.select(*anchors.columns, F.coalesce(seen, F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("context"), F.struct(begin.cast("long").alias("begin"), (begin + block).cast("long").alias("end")).alias("own"))
+
+
 def step_metrics(df: DataFrame, by: list[str]) -> DataFrame:
     """Base and selected hits of a training step.
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import hashing as H
 from ..functions import text as T
+from ..sources.ranges import read_ranges
 from ..violations import Checked, ContractError, split_by
 
 _TOOL = StructType().add("name", StringType()).add("description", StringType()).add("parameters", StringType())
@@ -143,8 +144,9 @@ def listing(paths: DataFrame, path: str, depth: int, most: int = 2000) -> DataFr
     return paths.where((F.size(parts) <= depth) & ~F.array_contains(parts, ".git")).orderBy(path).limit(most)
 
 
-def slices(store: DataFrame, index: DataFrame, keys: list[str], raw: str = "content") -> DataFrame:
-    """index (keys, offset, nbytes, sha256) with its bytes of the store's files; a wrong checksum is marked."""
-    d = index.join(store.select(*keys, raw), keys)
-    d = d.withColumn("bytes", F.substring(raw, F.col("offset").cast("int") + 1, F.col("nbytes").cast("int"))).drop(raw)
-    return d.withColumn("violation", F.when(F.octet_length("bytes") != F.col("nbytes"), "short").when(F.sha2("bytes", 256) != F.col("sha256"), "checksum"))
+def slices(files: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """index (keys, offset, nbytes, sha256) with the bytes of those ranges of the files (keys, path), read where the
+    tasks run; a wrong checksum, a short or a missing file is marked and gives no bytes."""
+    d = index.join(files.select(*keys, F.col("path").alias("_path")), keys, "left").withColumn("_path", F.coalesce("_path", F.lit("")))
+    out = read_ranges(d, {"bytes": (F.col("_path"), F.col("offset"), F.col("nbytes"), F.col("sha256"), None)}, ["offset"]).drop("_path")
+    return out.withColumn("violation", F.regexp_replace("violation", "^bytes: ", ""))

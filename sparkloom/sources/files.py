@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.selection import with_global_index
-from ..violations import ContractError, require_columns
+from ..violations import Checked, ContractError, require_columns, split_by
+from .ranges import content_fingerprint, files_below, missing_columns, whole_hashes  # noqa: F401
 
 
 def scan(spark: SparkSession, root: str, columns=None) -> DataFrame:
@@ -43,33 +44,48 @@ CONDITION_COLUMNS = ("condition_id", "source", "source_subset", "modality", "lan
 
 
 def files_without(spark: SparkSession, root: str, columns) -> list[tuple[str, list[str]]]:
-    """(path, missing columns) of the Parquet files below root that lack some of the columns.
+    """(path, missing columns) of the Parquet files below root that lack some of the columns, by their footers."""
+    return [(r.path, r.missing) for r in missing_columns(spark, root, columns).orderBy("path").toLocalIterator()]
 
-    A column that a file lacks is null in all its rows; only files with such
-    a column are asked for their schema.
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line_no (from 1, in its file) and value of each line of text files, blank ones included.
+
+    A file is read in splits; the lines of each split are counted where they
+    lie, and the counts are summed up in the order of the splits (one small
+    row each), so neither a file nor its lines pass one task. Lines are
+    numbered within a partition as they are read, and a split's lines lie
+    together there: its first number is what the sum begins at.
     """
-    reader = lambda: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-    df = reader().option("mergeSchema", True).parquet(root)
-    have = [c for c in columns if c in df.columns]
-    filled = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(*[F.count(c).alias(c) for c in have])
-    empty = F.lit(len(have) < len(columns))
-    for c in have:
-        empty = empty | (F.col(c) == 0)
-    out = [(r.path, sorted(set(columns) - set(spark.read.parquet(r.path).columns))) for r in filled.where(empty).select("path").orderBy("path").toLocalIterator()]
-    return [x for x in out if x[1]]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("path", "_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path", "_at", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return lines.join(splits, ["path", "_at"]).select("path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value")
+
+
+def parsed_lines(spark: SparkSession, path: str, schema: str) -> Checked:
+    """Rows of JSON-lines files, with path and line_no in front; blank lines are skipped. Lines that are no object of
+    the schema are bad, with their number and text."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    parsed = lines.withColumn("_r", F.from_json("value", "_corrupt_record string, " + schema, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    whole = F.regexp_like("value", F.lit(r"(?s)^\s*\{.*\}\s*$")) & F.col("_r._corrupt_record").isNull()
+    c = split_by(parsed, F.when(~whole, "no JSON object"))
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    return Checked(c.good.select("path", "line_no", *[F.col(f"_r.`{n}`").alias(n) for n in names]), c.bad.select("path", "line_no", "value", "violation"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines file; blank lines are skipped, anything but an object raises with its line's number."""
+    """Rows of JSON-lines files; blank lines are skipped, anything but an object raises with its line's number.
+
+    The files are parsed once more for what is returned, without numbers, so that no join is left in the plan.
+    """
+    found = parsed_lines(spark, path, schema).bad.orderBy("path", "line_no").limit(10).collect()
+    if found:
+        raise ContractError("; ".join(f"line {r.line_no} is no JSON object: {r.value[:80]}" for r in found))
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", "_corrupt_record string, " + schema, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    whole = F.regexp_like("value", F.lit(r"(?s)^\s*\{.*\}\s*$")) & F.col("r._corrupt_record").isNull()
-    if found := parsed.where(~whole).select("value").limit(1).collect():
-        numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
-        number = numbered.where(F.col("line") == found[0].value).agg(F.min("i")).first()[0]
-        raise ContractError(f"line {number + 1 if number is not None else '?'} is no JSON object: {found[0].value[:80]}")
     names = [f.name for f in spark.createDataFrame([], schema).schema]
-    return parsed.select(*[F.col(f"r.`{n}`").alias(n) for n in names])
+    return lines.select(F.from_json("value", schema).alias("r")).select(*[F.col(f"r.`{n}`").alias(n) for n in names])
 
 
 def whole_lines(df: DataFrame, raw: str = "content") -> DataFrame:
@@ -122,14 +138,6 @@ def write_dataset(df: DataFrame, path: str, key: str) -> dict:
     return {"path": path, "rows": kept.count(), "keys": n, "digest": d}
 
 
-def content_fingerprint(spark: SparkSession, root: str) -> DataFrame:
-    """One row: files, bytes, and a SHA-256 over path, size and content digest of each Parquet file in order of path."""
-    f = file_digests(spark, root).where(F.endswith("path", F.lit(".parquet")))
-    line = F.struct("path", F.concat_ws("\u0000", F.regexp_replace("path", "^.*/", ""), F.col("bytes").cast("string"), "sha256").alias("line"))
-    lines = F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"])
-    return f.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
-
-
 def verify_dataset(spark: SparkSession, manifest: dict, key: str) -> None:
     from ..operators.reconcile import tree_digest
 
@@ -140,8 +148,8 @@ def verify_dataset(spark: SparkSession, manifest: dict, key: str) -> None:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and SHA-256 of each file."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, bytes and SHA-256 of each file; a file streams through one task, in pieces."""
+    return whole_hashes(files_below(spark, path))
 
 
 def pending_shards(shards: DataFrame, markers: DataFrame, fingerprint: str) -> DataFrame:

@@ -57,7 +57,12 @@ def test_workers_summary_and_files(spark):
     assert (s.samples, s.completion_tokens, s.tps, s.mean_latency) == (2, 40, 10.0, 2.0)
     paths = spark.createDataFrame([("a/b",), ("a",), (".git/x",), ("a/b/c",)], "p string")
     assert [r.p for r in T.listing(paths, "p", 2).collect()] == ["a", "a/b"]
-    store = spark.createDataFrame([(0, bytearray(b"hello world"))], "segment int, content binary")
-    index = spark.createDataFrame([(0, 6, 5, hashlib.sha256(b"world").hexdigest()), (0, 0, 5, "bad"), (0, 8, 9, "x")], "segment int, offset long, nbytes long, sha256 string")
-    got = {r.offset: (bytes(r.bytes), r.violation) for r in T.slices(store, index, ["segment"]).collect()}
-    assert got == {6: (b"world", None), 0: (b"hello", "checksum"), 8: (b"rld", "short")}
+
+
+def test_slices_of_files(spark, tmp_path):
+    (tmp_path / "0.bin").write_bytes(b"hello world")
+    store = spark.createDataFrame([(0, f"file:{tmp_path}/0.bin")], "segment int, path string")
+    rows = [(0, 6, 5, hashlib.sha256(b"world").hexdigest()), (0, 0, 5, "bad"), (0, 8, 9, "x"), (7, 0, 1, "x")]
+    index = spark.createDataFrame(rows, "segment int, offset long, nbytes long, sha256 string")
+    got = {(r.segment, r.offset): (r.bytes and bytes(r.bytes), r.violation) for r in T.slices(store, index, ["segment"]).collect()}
+    assert got == {(0, 6): (b"world", None), (0, 0): (None, "checksum"), (0, 8): (None, "short"), (7, 0): (None, "missing")}
