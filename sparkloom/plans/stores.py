@@ -136,9 +136,9 @@ def n23_step_metrics(t):
 SELECT vec_id, item, round(sum(e.x * h.x), 6) AS score FROM e JOIN h ON e.i = h.i GROUP BY vec_id, item""")
 def n24_dense_scores(t):
     """Each vector against a head of one row a label, the largest values of its vectors."""
-    e = t.embeddings.select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
-    head = e.groupBy(F.col("label").alias("item"), "i").agg(F.max("x").alias("x"))
-    return G.dense_scores(e, head, "vec_id", "item", "i", "x").withColumn("score", F.round("score", 6))
+    most = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.max("x").alias("x"))
+    head = most.groupBy(F.col("label").alias("item")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("embedding"))
+    return G.dense_scores(t.embeddings, head, "vec_id", "item", "embedding").withColumn("score", F.round("score", 6))
 
 
 @query("""WITH x AS (SELECT event_type AS name, event_id, value AS v, value + CASE WHEN event_type = 'click' THEN 0.5 WHEN event_type = 'view' THEN 0.01 ELSE 0 END AS w FROM events)
