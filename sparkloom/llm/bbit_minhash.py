@@ -111,15 +111,16 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, n and the sorted set (bytes) of the rows whose id is a node."""
+    """node, lo, hi (the set's print) and the sorted set (bytes) of the rows whose id is a node."""
 
     def run(batches):
         for batch in batches:
             for at, n, offs, data in common.text_slices(batch):
                 sets = shingle_sets(offs, data, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles"])
+                lo, hi = set_prints(sets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "lo", "hi", "shingles"])
 
-    return rows.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(run, "node long, n long, shingles binary")
+    return rows.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(run, "node long, lo long, hi long, shingles binary")
 
 
 def similarity(a: str, b: str) -> Column:
@@ -228,13 +229,12 @@ def _grouped(rows: DataFrame, k: int, similarity_at_least: float) -> DataFrame:
     common.release(spark)
     nodes = common.checkpointed(shared.select("node").distinct())
     small = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    # the prints of the keys tell in which bucket a pair meets first
-    prints = F.transform("keys", lambda x: F.shiftright(x, 32).cast("int"))
-    bits = scratch.written(classes.join(small, "node", "left_semi").select("node", "n", "bits", prints.alias("prints")), "bits")
-    # bucketed by node: the joins below move the pairs, not the sets
+    # the keys tell in which bucket a pair meets first
+    bits = scratch.written(classes.join(small, "node", "left_semi").select("node", "n", "bits", "keys"), "bits")
+    # bucketed by node: the joins below move the pairs, not the sets, which are dealt once; texts of one id are parted by their prints
     parts, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), "sets_" + common.scratch(spark, "t").rpartition("-")[2], common.scratch(spark, "sets")
     try:
-        _sets(rows, small, k).dropDuplicates(["node", "n"]).repartition(parts, "node").write.bucketBy(parts, "node").option("path", path).saveAsTable(name)
+        _sets(rows, small, k).repartition(parts, "node").dropDuplicates(["node", "lo", "hi"]).write.bucketBy(parts, "node").option("path", path).saveAsTable(name)
         sets = spark.table(name)
         pairs = scratch.written(shared.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
         size_ok = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -277,7 +277,7 @@ def _cross_links(open_: DataFrame, bits: DataFrame, sets: DataFrame, percent: in
     deal = lambda turn, n: F.pmod(F.xxhash64("node", F.lit(turn)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     tile = ["key", "block", "chunk"]
-    cols = [*tile, "visits", "node", "component", "main", "n", "bits", "prints"]
+    cols = [*tile, "visits", "node", "component", "main", "n", "bits", "keys"]
     rows = open_.join(bits, "node")
     at_home = rows.select("*", deal(1, blocks).alias("block"), every(chunks).alias("chunk"), F.lit(0).alias("visits"))
     visiting = rows.where("component <> main").select("*", every(blocks).alias("block"), deal(2, chunks).alias("chunk"), F.lit(1).alias("visits"))
@@ -304,7 +304,7 @@ def _likely_in_tiles(percent: int, threshold: float):
         for batch in batches:
             key, block, chunk, visits, nodes, kinds, mains, n = (c.to_numpy() for c in batch.columns[:8])
             signs = batch.column(8).flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
-            prints = batch.column(9).flatten().to_numpy().reshape(len(n), -1)
+            keys = batch.column(9).flatten().to_numpy().reshape(len(n), -1)
             new = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0) | (np.diff(chunk) != 0)) + 1
             out: list[np.ndarray] = []
             for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(n)], strict=True):
@@ -314,17 +314,17 @@ def _likely_in_tiles(percent: int, threshold: float):
                     now, home, index = (int(key[lo]), int(block[lo]), int(chunk[lo])), [], None
                 split = lo + int(np.searchsorted(visits[lo:hi], 1))
                 if split > lo:
-                    home.append(tuple(x[lo:split] for x in (nodes, kinds, n, signs, prints)))
+                    home.append(tuple(x[lo:split] for x in (nodes, kinds, n, signs, keys)))
                 if split == hi or not home:
                     continue
                 if index is None:
                     index = tuple(np.concatenate(x) for x in zip(*home, strict=True))
                     part, sent = np.cumsum(index[2]) // INDEXED, np.zeros(len(index[2]), bool)
-                    band = int(np.flatnonzero(prints[split] == now[0] >> 32)[0])
+                    band = int(np.flatnonzero(keys[split] == now[0])[0])
                 for at in range(split, hi, 16):
                     v = slice(at, min(at + 16, hi))
                     i, j = _close(signs[v], n[v], kinds[v], mains[v], index, most_off, percent)
-                    fresh = ~(prints[at + i, :band] == index[4][j, :band]).any(axis=1)
+                    fresh = ~(keys[at + i, :band] == index[4][j, :band]).any(axis=1)
                     i, j = at + i[fresh], j[fresh]
                     if not len(i):
                         continue

@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -150,6 +150,12 @@ def _place(row: np.ndarray, start: np.ndarray) -> np.ndarray:
         return common._mix(row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.int64).view(np.uint64))
 
 
+def _summed(c: str) -> Column:
+    """The sum modulo 2**64: equal places, as those of repeated rows, do not cancel each other."""
+    low, high = F.sum(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(c, 32))
+    return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def text_anchors(rows: DataFrame, window: int) -> DataFrame:
     """row and anchor, once a text."""
 
@@ -263,7 +269,8 @@ def nodes_of(group: np.ndarray, words: np.ndarray, at: np.ndarray, prints: np.nd
     begins = np.flatnonzero(new)
     node = np.empty(n, np.int64)
     node[order] = np.cumsum(new) - 1
-    here, then = (np.bitwise_xor.reduceat(_place(row[order], start[order] + k), begins) for k in (0, 1))
+    with np.errstate(over="ignore"):
+        here, then = (np.add.reduceat(_place(row[order], start[order] + k), begins) for k in (0, 1))
     return np.diff(np.append(begins, n))[node], here[node], then[node]
 
 
@@ -322,7 +329,7 @@ def repeats(rows: DataFrame, window: int = WINDOW, named: bool = True) -> DataFr
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_tree = tree.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(_trees(window), _SPAN)
     long_prefix = found.where("whole")
-    prints = [F.bit_xor("here").alias("first"), F.bit_xor("next").alias("last")] if named else []
+    prints = [_summed("here").alias("first"), _summed("next").alias("last")] if named else []
     deep = long_prefix.groupBy("code").agg(F.count("*").alias("places"), *prints).where("places > 1")
     deep = common.checkpointed(deep)
     leaves = deep.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
@@ -443,8 +450,43 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
-QUERIES = {"op8_suffix_dedup": op8_suffix_dedup}
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id, start, end, places, first_id and first_start of the runs of words [start, end) that other texts have too.
+
+    Each is a path of the tree from depth window on along which no place is
+    gained or lost, as deep as it goes: end - start is the common prefix of
+    its places, window at least. places counts the texts' first places;
+    first_id and first_start, the least of them, name the run in all texts.
+    A run within one text alone is none. Texts without words have none;
+    repeated rows are places of their own and have the same runs; rows
+    without an id count as places, but are not listed. Other columns are not read.
+    """
+    common.bounded_batches(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col)
+    found = repeats(rows.select("row", "text"), window).where(F.size("repeats") > 0).select("row", F.explode("repeats").alias("r")).select("row", "r.*")
+    known = common.written(found.join(rows.select("row", "doc_id").distinct(), "row").where("doc_id is not null").select("doc_id", "start", "end", "places", "node"), "runs")
+    first = known.groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c"))
+    total = known.count()
+    named = common.join_counted(known, first, "node", "c", total)
+    return named.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "places", F.col("first.doc_id").alias("first_id"), F.col("first.start").cast("long").alias("first_start"))
+
+
+def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_repeats(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_suffix_dedup": op8_suffix_dedup, "suffix_repeats": suffix_repeats}
 ORACLE = {
+    "suffix_repeats": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS MATERIALIZED (SELECT doc_id, g, min(i) AS i FROM (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)) GROUP BY doc_id, g),
+n AS MATERIALIZED (SELECT g, count(*) AS n, min(doc_id) AS first_id, arg_min(i, doc_id) - 1 AS first_start FROM f GROUP BY g HAVING count(*) > 1),
+p AS MATERIALIZED (SELECT doc_id, i, g, n, first_id, first_start FROM f JOIN n USING (g)),
+m AS (SELECT a.g AS g, b.g AS g2 FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.i = a.i + 1 GROUP BY a.g, b.g HAVING count(*) = any_value(a.n) AND count(*) = any_value(b.n)),
+s AS (SELECT p.*, lag(i) OVER v AS i0, lag(g) OVER v AS g0 FROM p WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT s.*, CASE WHEN i0 = i - 1 AND m.g IS NOT NULL THEN 0 ELSE 1 END AS new FROM s LEFT JOIN m ON m.g = s.g0 AND m.g2 = s.g),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b)
+SELECT doc_id, min(i) - 1 AS start, max(i) + 34 AS "end", arg_min(n, i) AS places, arg_min(first_id, i) AS first_id, arg_min(first_start, i) AS first_start FROM r GROUP BY doc_id, k""",
     "op8_suffix_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),

@@ -55,6 +55,25 @@ def test_loose_family(spark):
     assert sorted(repr((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in got) == brute(rows, 2)
 
 
+def test_texts_of_one_id(spark):
+    """One id has two texts of one set size; the copies of either are linked with it."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(4000)]
+    x, y = (" ".join(rng.sample(words, 200)) for _ in range(2))
+    close = lambda t: " ".join(t.split()[:-3] + ["p", "q", "r"])
+    rows = [(1, x), (1, y), (2, close(x)), (3, close(y))]
+    for order in (rows, rows[::-1]):
+        got = m.near_groups(frame(spark, order), k=2).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_sets_are_dealt_once(spark):
+    rows = spark.createDataFrame([(i, f"a b {i}") for i in range(50)], "doc_id long, text string").repartition(3)
+    df = m._sets(rows, spark.range(50).withColumnRenamed("id", "node"), 2).repartition(4, "node").dropDuplicates(["node", "lo", "hi"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("MapInArrow")[0].count("Exchange") == 1
+
+
 def test_empty_table(spark):
     assert m.near_groups(frame(spark, [(1, "")])).collect()[0].kept
     assert m.near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -168,6 +168,29 @@ def test_repeats_are_the_nodes_of_the_tree(spark, monkeypatch, group, screened):
     assert len(set(names.values())) == len(names) and len(by[500].repeats) == 4
 
 
+@pytest.mark.parametrize("group", [1, 4096])
+def test_names_of_repeated_rows(spark, monkeypatch, group):
+    """Two unrelated texts, each twice under one id, and a copy of each: their names differ and are none."""
+    monkeypatch.setattr(sd, "GROUP", group)
+    rng = random.Random(3)
+    a, b = prose(rng, 60), prose(rng, 70)
+    got = sd.without_repeats(frame(spark, [(1, a), (1, a), (2, b), (2, b), (3, a), (4, b)])).collect()
+    nodes = {r.doc_id: {(x.node, x.places) for x in r.repeats} for r in got}
+    assert nodes[1] == nodes[3] and nodes[2] == nodes[4] and nodes[1] != nodes[2] and not any(x == 0 for v in nodes.values() for x, _ in v)
+    assert {p for v in nodes.values() for _, p in v} == {3} and all(len(v) == 1 for v in nodes.values())
+
+
+def test_maximal_repeats_match_their_sql(spark, tmp_path):
+    rng = random.Random(21)
+    inner = prose(rng, 45)
+    outer = prose(rng, 40) + " " + inner + " " + prose(rng, 40)
+    rows = {d: t for d, t in corpus() if d is not None} | {500: "one " + outer + " end", 501: outer + " two " + inner, 502: "three " + inner + " four", 503: inner + " " + inner}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sd.suffix_repeats(spark, str(tmp_path))
+    held_to_sql(got, sd.ORACLE["suffix_repeats"], tmp_path, ["documents"])
+    assert got.where("end - start > 60").count() > 1 and sd.maximal_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_suffix_query_matches_its_sql(spark, tmp_path):
     rows = {d: t for d, t in corpus() if d is not None}
     spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
