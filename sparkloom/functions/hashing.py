@@ -8,7 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def canonical_json(value) -> str:
@@ -28,6 +28,18 @@ def canonical(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def canonical_all(s: pd.Series) -> pd.Series:
+    """canonical of each text of a list."""
+    def one(x):
+        try:
+            return None if x is None else canonical_json(json.loads(x))
+        except json.JSONDecodeError:
+            return None
+
+    return s.map(lambda xs: None if xs is None else [one(x) for x in xs])
+
+
 def stable_hex(*columns: Column, size: int = 32) -> Column:
     """BLAKE2b of the string columns as JSON strings, joined by the unit separator."""
 

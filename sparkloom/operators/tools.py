@@ -2,58 +2,45 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import hashing as H
 from ..functions import text as T
 from ..sources.ranges import read_ranges
 from ..violations import Checked, ContractError, split_by
 
-_TOOL = StructType().add("name", StringType()).add("description", StringType()).add("parameters", StringType())
-
-
-def _as_object(x):
-    """A JSON object, given as such or as text; else None."""
-    if isinstance(x, str):
-        try:
-            x = json.loads(x)
-        except json.JSONDecodeError:
-            return None
-    return x if isinstance(x, dict) else None
-
-
-@F.pandas_udf(ArrayType(_TOOL))
-def tool_definitions(raw: pd.Series) -> pd.Series:
-    """Tools of a JSON list in one form: flat ones lifted, parameters an object, unnamed flat ones out."""
-
-    def one(x):
-        items = json.loads(x) if x else []
-        out = []
-        for item in items if isinstance(items, list) else []:
-            tool = _as_object(item)
-            if tool is None:
-                continue
-            f = tool.get("function")
-            if not isinstance(f, dict):
-                if not tool.get("name"):
-                    continue
-                f = {"name": tool["name"], "description": tool.get("description", ""), "parameters": tool.get("input_schema", {"type": "object"})}
-            p = _as_object(f.get("parameters"))
-            out.append({"name": str(f.get("name") or ""), "description": str(f.get("description") or ""), "parameters": H.canonical_json({"type": "object", "additionalProperties": True} if p is None else p)})
-        return out
-
-    def safe(x):
-        try:
-            return one(x)
-        except json.JSONDecodeError:
-            return []
-
-    return raw.map(safe)
+_NAMED = "name string, description string, parameters string"
+_ITEM = "name string, description string, input_schema string, function string"
+# The parameters of a tool that states none.
+NO_SCHEMA, ANY_OBJECT = '{"type":"object"}', '{"additionalProperties":true,"type":"object"}'
+
+
+def _object(c: Column) -> Column:
+    """The text if it begins as a JSON object does, else null."""
+    return F.when(F.regexp_like(c, F.lit(r"^\s*\{")), c)
+
+
+def tool_definitions(raw: Column) -> Column:
+    """Tools of a JSON list in one form, array<struct<name, description, parameters>>: flat ones lifted, parameters an
+    object in canonical form, flat ones without a name out; no list gives no tools.
+
+    Elements, functions and parameters count as objects also where they are JSON texts of one.
+    """
+    def form(item: Column) -> Column:
+        t = F.from_json(_object(item), _ITEM)
+        f = F.from_json(_object(t["function"]), _NAMED)
+        nested = f.isNotNull()
+        flat = F.struct(t["name"].alias("name"), t["description"].alias("description"), F.coalesce(t["input_schema"], F.lit(NO_SCHEMA)).alias("parameters"))
+        tool = F.when(nested, f).when(F.coalesce(t["name"], F.lit("")) != "", flat)
+        text = lambda c: F.coalesce(tool[c], F.lit("")).alias(c)
+        return F.when(tool.isNotNull(), F.struct(text("name"), text("description"), F.coalesce(_object(tool["parameters"]), F.lit(ANY_OBJECT)).alias("parameters")))
+
+    items = F.coalesce(F.from_json(F.when(F.regexp_like(raw, F.lit(r"^\s*\[")), raw), "array<string>"), F.array().cast("array<string>"))
+    tools = F.filter(F.transform(items, form), lambda t: t.isNotNull())
+    # all parameters of a row are brought to canonical form at once
+    parameters = H.canonical_all(F.transform(tools, lambda t: t["parameters"]))
+    return F.zip_with(tools, parameters, lambda t, p: F.struct(t["name"].alias("name"), t["description"].alias("description"), F.coalesce(p, F.lit(ANY_OBJECT)).alias("parameters")))
 
 
 def call_ids(calls: Column, conv: Column, turn: Column) -> Column:

@@ -243,7 +243,7 @@ def n15_completions(t):
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 16 WHEN 1 THEN 8 WHEN 2 THEN 8 ELSE 16 END AS block_size, 3 AS epochs, CASE event_id % 4 WHEN 0 THEN 7.0 WHEN 1 THEN 4.0 WHEN 2 THEN 4.0 ELSE 2.0 END::DOUBLE AS gamma, CASE WHEN event_id % 4 = 3 THEN 'block size must be 8' END AS violation FROM events""")
 def n28_recipe(t):
     k = F.col("event_id") % 4
-    r = K.recipe(F.when(k.isin(1, 3), "short").otherwise("other"), F.when(k == 2, 8).when(k == 3, 16), F.lit(None).cast("int"), F.lit(None).cast("double"), F.when(k == 3, 2.0))
+    r = K.recipe(F.when(k.isin(1, 3), "short").otherwise("other"), F.when(k == 2, 8).when(k == 3, 16), F.lit(None).cast("int"), F.lit(None).cast("double"), F.when(k == 3, 2.0), "short")
     return t.events.select("event_id", r.alias("r")).select("event_id", "r.block_size", "r.epochs", "r.gamma", "r.violation")
 
 

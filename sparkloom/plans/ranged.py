@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import contracts as K
 from ..operators import metrics as G
 from ..operators import sequence as S
 from ..session import shared_dir
@@ -148,3 +149,22 @@ def g26_gate_report(t):
     bounds = d.select("stream").distinct().select("stream", F.lit("max_abs").alias("metric"), F.lit(0.25).alias("bound"))
     r = G.gate_report(rows(F.col("v")), rows(other), bounds, "0").where("metric in ('max_abs', 'top1')")
     return r.select("stream", "metric", F.round("error", 6).alias("error"), "passed")
+
+
+@query("""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'open' ELSE 'frozen' END AS status, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS errors, n_chars + (doc_id % 3 = 0)::INT AS bytes, CASE WHEN doc_id % 4 > 0 THEN sha256(CASE WHEN doc_id % 11 = 0 THEN lang ELSE text END) END AS sha, n_chars, sha256(text) AS now FROM documents)
+SELECT doc_id, 'status' AS "check", 'frozen' AS wanted, status AS found, status = 'frozen' AS passed FROM m UNION ALL SELECT doc_id, 'unresolved_errors', '0', errors::VARCHAR, errors = 0 FROM m
+UNION ALL SELECT doc_id, 'bytes', bytes::VARCHAR, n_chars::VARCHAR, bytes = n_chars FROM m UNION ALL SELECT doc_id, 'sha256', sha, now, sha IS NULL OR sha = now FROM m""")
+def n1_manifest_checks(t):
+    """A manifest for each document's text; statuses, errors, sizes and digests are wrong for some."""
+    k = F.col("doc_id")
+    m = t.documents.select("doc_id", F.when(k % 5 == 0, "open").otherwise("frozen").alias("status"), F.when(k % 7 == 0, 1).otherwise(0).alias("unresolved_errors"), (F.col("n_chars") + F.when(k % 3 == 0, 1).otherwise(0)).alias("bytes"), F.when(k % 4 > 0, F.sha2(F.when(k % 11 == 0, F.col("lang")).otherwise(F.col("text")), 256)).alias("sha256"))
+    now = t.documents.select("doc_id", F.col("n_chars").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    return K.manifest_checks(m, now, "doc_id", ["frozen"])
+
+
+@query("""SELECT doc_id, sha256('{"model":' || to_json(source) || ',"runtime":{"device":' || to_json(lang) || ',"ranks":' || (n_chars % 4)::VARCHAR || '},"text":' || to_json(text) || '}') AS sha256, false AS verified FROM documents WHERE source = 'src3' AND n_chars % 4 > 0 AND lang <> ''""")
+def n11_attested(t):
+    """Claims that hold the documents' texts; those of one source with ranks are attested."""
+    claim = F.to_json(F.struct("text", F.struct((F.col("n_chars") % 4).alias("ranks"), F.col("lang").alias("device")).alias("runtime"), F.col("source").alias("model")))
+    d = t.documents.select("doc_id", claim.alias("claim"))
+    return K.attested(d, K.attestation_checks(d, "doc_id", "claim", {"model": "src3"}, ["runtime.device"], ["runtime.ranks"]), "doc_id", "claim")

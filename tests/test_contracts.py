@@ -16,24 +16,33 @@ from sparkloom.sources import files
 from sparkloom.violations import ContractError
 
 
-def test_frozen_manifest(spark):
-    f = spark.createDataFrame([(5, "ab")], "bytes long, sha256 string")
-    good = {"status": "frozen", "unresolved_errors": 0, "bytes": 5, "sha256": "ab"}
-    assert K.frozen_manifest(good, f) is good
-    for change in ({"status": "open"}, {"unresolved_errors": 1}, {"bytes": 6}, {"sha256": "cd"}, {"status": "partial"}):
-        with pytest.raises(ContractError):
-            K.frozen_manifest(good | change, f)
-    assert K.frozen_manifest(good | {"status": "partial"}, f, allow_partial=True)
-
-
-def test_attestation_says_what_is_not_verified():
-    runtime = {"engine": "e", "engine_version": "1", "device": "d", "tp_size": 2}
+def test_manifest_checks(spark):
+    f = spark.createDataFrame([("m", 5, "ab"), ("two", 1, "x"), ("two", 1, "x")], "name string, bytes long, sha256 string")
+    rows = [("m", "frozen", 0, 5, "ab"), ("m", "open", 0, 5, "ab"), ("m", "frozen", 1, 5, "ab"), ("m", "frozen", None, 6, "ab"), ("m", "frozen", 0, None, "cd"), ("m", None, 0, None, None), ("none", "partial", 0, 1, None), ("two", "frozen", 0, 1, "x")]
+    wrong = [[], ["status"], ["unresolved_errors"], ["bytes"], ["sha256"], ["status"], ["bytes", "status"], ["bytes", "sha256"]]
+    for row, bad in zip(rows, wrong, strict=True):
+        c = K.manifest_checks(spark.createDataFrame([row], "name string, status string, unresolved_errors long, bytes long, sha256 string"), f, "name", ["frozen"])
+        assert c.count() == 4 and sorted(r.check for r in c.where("not passed").collect()) == bad
+        if bad:
+            with pytest.raises(ContractError, match=bad[0]):
+                K.require_checks(c, "name")
+        else:
+            K.require_checks(c, "name")
+
+
+def test_attestation_says_what_is_not_verified(spark):
+    runtime = {"engine": "e", "device": "d", "ranks": 2}
     good = {"schema": "s1", "model": "m", "dtype": "bfloat16", "runtime": runtime}
-    a = K.attested(good, {"model": "m"}, "s1")
-    assert not a["weight_identity_verified"] and a["sha256"] == hashlib.sha256(json.dumps(good, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-    for bad in (good | {"schema": "s2"}, good | {"model": "n"}, good | {"dtype": "float16"}, good | {"runtime": None}, good | {"runtime": runtime | {"tp_size": 0}}, good | {"runtime": runtime | {"device": ""}}):
-        with pytest.raises(ContractError):
-            K.attested(bad, {"model": "m"}, "s1")
+    claims = [good, good | {"schema": "s2"}, good | {"model": "n"}, good | {"dtype": None}, good | {"runtime": None}, good | {"runtime": runtime | {"ranks": 0}}, good | {"runtime": runtime | {"ranks": 1.5}}, good | {"runtime": runtime | {"device": ""}}]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(claims)] + [(99, "no json"), (100, None)], "i int, claim string")
+    c = K.attestation_checks(df, "i", "claim", {"schema": "s1", "model": "m", "dtype": "bfloat16"}, ["runtime.engine", "runtime.device"], ["runtime.ranks"])
+    wrong = {}
+    for r in c.where("not passed").collect():
+        wrong.setdefault(r.i, set()).add(r.check)
+    assert wrong.pop(99) == wrong.pop(100) == {"schema", "model", "dtype", "runtime.engine", "runtime.device", "runtime.ranks"}
+    assert wrong == {1: {"schema"}, 2: {"model"}, 3: {"dtype"}, 4: {"runtime.engine", "runtime.device", "runtime.ranks"}, 5: {"runtime.ranks"}, 6: {"runtime.ranks"}, 7: {"runtime.device"}}
+    one = K.attested(df, c, "i", "claim").collect()
+    assert [(r.i, r.sha256, r.verified) for r in one] == [(0, hashlib.sha256(json.dumps(good, sort_keys=True, separators=(",", ":")).encode()).hexdigest(), False)]
 
 
 def test_bindings(spark):
