@@ -210,22 +210,24 @@ def in_order(types: Column) -> Column:
     return F.filter(F.transform(types, lambda t: F.lower(t)), lambda t: t.isin(*MEDIA))
 
 
+def resolved(path: Column, base: str) -> Column:
+    """A path below base without "." and ".." (which stop at the root); absolute paths and addresses stay as they are."""
+    whole = F.concat(F.lit(base.rstrip("/") + "/"), path)
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    parts = F.aggregate(F.filter(F.split(whole, "/", -1), lambda x: ~x.isin("", ".")), F.array().cast("array<string>"), step)
+    given = F.regexp_like(path, F.lit(r"^(?:https?://|file://|data:|/)"))
+    return F.when(given, path).otherwise(F.concat(F.lit("/" if base.startswith("/") else ""), F.array_join(parts, "/")))
+
+
 def native_media(messages: Column, base: str) -> Column:
     """struct<messages, modalities> of array<struct<role, parts: array<struct<type, value>>>>: media paths made
     absolute below base (web, file and data addresses stay), and the media types in order."""
-    base = base.rstrip("/")
-
-    def path(v):
-        given = F.regexp_like(v, F.lit(r"^(?:https?://|file://|data:|/)"))
-        plain = F.regexp_replace(v, r"^(?:\./)+", "")
-        return F.when(given, v).otherwise(F.concat(F.lit(f"{base}/"), plain))
-
     def part(x):
         media = F.lower(x["type"]).isin(*MEDIA)
-        return F.struct(x["type"].alias("type"), F.when(media, path(x["value"])).otherwise(x["value"]).alias("value"))
+        return F.struct(x["type"].alias("type"), F.when(media, resolved(x["value"], base)).otherwise(x["value"]).alias("value"))
 
-    resolved = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.transform(m["parts"], part).alias("parts")))
-    return F.struct(resolved.alias("messages"), F.flatten(F.transform(messages, lambda m: in_order(F.transform(m["parts"], lambda x: x["type"])))).alias("modalities"))
+    whole = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.transform(m["parts"], part).alias("parts")))
+    return F.struct(whole.alias("messages"), F.flatten(F.transform(messages, lambda m: in_order(F.transform(m["parts"], lambda x: x["type"])))).alias("modalities"))
 
 
 def media_inventory(df: DataFrame, files: DataFrame, id_col: str = "condition_id", media_json: str = "media_json", messages_json: str = "messages_json") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import contracts as K
+from ..operators import conditions, rendering, web
 from ..operators import metrics as G
 from ..operators import sequence as S
 from ..session import shared_dir
@@ -168,3 +169,77 @@ def n11_attested(t):
     claim = F.to_json(F.struct("text", F.struct((F.col("n_chars") % 4).alias("ranks"), F.col("lang").alias("device")).alias("runtime"), F.col("source").alias("model")))
     d = t.documents.select("doc_id", claim.alias("claim"))
     return K.attested(d, K.attestation_checks(d, "doc_id", "claim", {"model": "src3"}, ["runtime.device"], ["runtime.ranks"]), "doc_id", "claim")
+
+
+@query(r"""WITH d AS (SELECT doc_id, source, n_chars, text[:40] AS q, trim(text[:40], chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN 'unknown arguments: page' WHEN t = '' THEN 'query' WHEN doc_id % 6 = 2 AND n_chars % 20 NOT BETWEEN 1 AND 10 THEN 'top_k' WHEN doc_id % 6 = 3 THEN 'timeout' WHEN doc_id % 6 = 4 AND source[:1] <> 'z' AND length(source) <> 2 THEN 'gl' END AS violation,
+CASE WHEN t <> '' AND (doc_id % 6 IN (0, 5) OR (doc_id % 6 = 2 AND n_chars % 20 BETWEEN 1 AND 10)) THEN '{"query":' || to_json(t) || CASE doc_id % 6 WHEN 5 THEN ',"timeout":' || (1 + n_chars % 60) || '.0' WHEN 2 THEN ',"top_k":' || (n_chars % 20) ELSE '' END || '}' END AS arguments FROM d""")
+def c23_search_arguments(t):
+    """Requests with the documents' first characters as query and their numbers as limits, right and wrong ones."""
+    k, n = F.col("doc_id") % 6, F.col("n_chars")
+    raw = F.to_json(F.struct(
+        F.left("text", F.lit(40)).alias("query"), F.when(k == 1, 1).alias("page"), F.when(k == 2, n % 20).alias("top_k"),
+        F.when(k == 5, 1 + n % 60).alias("timeout"), F.when(k == 4, F.col("source")).alias("gl"),
+    ))
+    raw = F.when(k == 3, F.concat(F.left(raw, F.length(raw) - 1), F.lit(',"timeout":"5"}'))).otherwise(raw)
+    return t.documents.select("doc_id", web.search_arguments(raw).alias("r")).select("doc_id", "r.violation", "r.arguments")
+
+
+@query("""WITH p AS (SELECT page_id, url, length(html) AS n FROM pages),
+x AS (SELECT page_id, CASE WHEN page_id % 4 = 3 THEN regexp_replace(url, '^https?://', '') ELSE url END AS u, n FROM p),
+y AS (SELECT page_id, u, n, CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE 'https://' || u END AS whole FROM x)
+SELECT page_id, CASE WHEN regexp_matches(whole, '#.') OR whole LIKE '%://%@%' THEN 'url' WHEN page_id % 4 = 1 AND n % 40000 NOT BETWEEN 1 AND 32000 THEN 'max_length' END AS violation,
+ CASE WHEN NOT regexp_matches(whole, '#.') AND NOT (page_id % 4 = 1 AND n % 40000 NOT BETWEEN 1 AND 32000) THEN '{' || CASE WHEN page_id % 4 = 1 THEN '"max_length":' || (n % 40000) || ',' ELSE '' END || '"url":' || to_json(whole) || '}' END AS arguments FROM y""")
+def c23_page_arguments(t):
+    """Requests for the pages' addresses, some without scheme, some with a length from the page's."""
+    k = F.col("page_id") % 4
+    url = F.when(k == 3, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))
+    raw = F.to_json(F.struct(url.alias("url"), F.when(k == 1, F.length("html") % 40000).alias("max_length")))
+    return t.pages.select("page_id", web.page_arguments(raw).alias("r")).select("page_id", "r.violation", "r.arguments")
+
+
+@query("""WITH p AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, page_id, url, html[:600] AS title, html[200:1300] AS snippet, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY page_id) AS place FROM pages),
+k AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN page_id + 1 ELSE place END AS rank, row_number() OVER (PARTITION BY host ORDER BY place) AS n FROM p WHERE page_id % 5 > 0)
+SELECT host, rank::BIGINT AS rank, title[:500] AS title, url AS link, snippet[:900] AS snippet, CASE WHEN page_id % 2 = 0 THEN host ELSE 'shown' END AS source FROM k WHERE n <= 4""")
+def c22_listings(t):
+    """A listing for each host of its pages, some links no web addresses; the first four."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    k = F.col("page_id")
+    link = F.when(k % 5 == 0, F.concat(F.lit("ftp:"), "url")).otherwise(F.col("url"))
+    item = F.struct(
+        k.alias("page_id"), F.when(k % 3 == 0, k + 1).alias("position"), F.left("html", F.lit(600)).alias("title"), link.alias("link"), F.substring("html", 200, 1101).alias("snippet"),
+        F.when(k % 2 == 0, host).alias("source"), F.lit("shown").alias("displayedLink"),
+    )
+    raw = t.pages.groupBy(host.alias("host")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("organic"))).alias("raw"))
+    rows = raw.select("host", F.explode(web.listing(F.col("raw"), 4)).alias("r"))
+    return rows.select("host", "r.rank", "r.title", "r.link", "r.snippet", "r.source")
+
+
+@query("""SELECT doc_id, 'browser {"url":' || to_json(source) || '}' AS command, length(text) AS said, len(list_filter(string_split_regex(text, '[\n\r]'), lambda x: trim(x, chr(32) || chr(9)) <> '')) AS lines, doc_id % 3 = 0 AS truncated FROM documents""")
+def n25_tool_results(t):
+    """The documents' texts as what a tool said."""
+    command = web.command(F.lit("browser"), F.to_json(F.struct(F.col("source").alias("url"))))
+    none = F.lit(None)
+    r = web.tool_result(command, F.col("text"), none.cast("string"), none.cast("int"), none.cast("boolean"), F.col("doc_id") % 3 == 0)
+    return t.documents.select("doc_id", r.alias("r")).select("doc_id", "r.command", F.length("r.stdout").cast("long").alias("said"), F.size("r.information_lines").cast("long").alias("lines"), "r.truncated")
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') WHEN 1 THEN '/base/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') WHEN 2 THEN url ELSE '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '')[2:], '/') END AS resolved
+FROM (SELECT page_id, url, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)""")
+def d20_resolved_paths(t):
+    """The pages' paths as relative ones, with steps up and down, and whole addresses."""
+    k, path = F.col("page_id") % 4, F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    first = F.concat(F.lit("../"), F.regexp_replace(path, "^/([^/]*)/", "$1/../"))
+    relative = F.when(k == 0, F.concat(F.lit("./.."), path)).when(k == 1, F.concat(F.lit("x/./.."), path)).when(k == 2, F.col("url")).otherwise(first)
+    return t.pages.select("page_id", conditions.resolved(relative, "/base").alias("resolved"))
+
+
+@query()
+def h19_token_masks(t):
+    """The conversations through a template with a public vocabulary; tests hold masks against whole renderings."""
+    import public_tokenizers
+
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    talks = t.conversations.groupBy("conv_id").agg(F.transform(turns, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    m = rendering.token_masks(talks, rendering.Template("{role}\n", "<|endoftext|>"), public_tokenizers.path("byte_bpe_50k.json"))
+    return m.select("conv_id", F.size("input_ids").alias("tokens"), F.aggregate("loss_mask", F.lit(0), lambda a, x: a + x).alias("supervised"), "violation")
