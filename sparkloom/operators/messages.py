@@ -28,13 +28,19 @@ def merged(messages: Column) -> Column:
     known = F.zip_with(messages, contents, lambda m, c: F.struct(F.try_element_at(alias, F.lower(m["role"])).alias("role"), c.alias("content")))
     known = F.filter(known, lambda m: m["role"].isNotNull() & (m["content"] != ""))
 
-    def step(a, m):
-        last = F.get(a, F.size(a) - 1)
-        join = (F.size(a) > 0) & (last["role"] == m["role"]) & (m["role"] != "tool")
-        both = F.struct(last["role"].alias("role"), F.concat(last["content"], F.lit("\n\n"), m["content"]).alias("content"))
-        return F.when(join, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(both))).otherwise(F.concat(a, F.array(m)))
+    def joined(k: Column) -> Column:
+        """Runs of one role, by where they begin: each message is looked at once."""
+        role = lambda i: F.get(k, i)["role"]
+        n = F.size(k)
+        begins = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (role(i) == "tool") | ~role(i).eqNullSafe(role(i - 1)))
+        return _once(begins, lambda b: F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(n)), lambda x, y: F.struct(role(x).alias("role"), F.array_join(F.transform(F.slice(k, x + 1, y - x), lambda m: m["content"]), "\n\n").alias("content"))))
+
+    return _once(known, joined).cast(_MESSAGE)
+
 
-    return F.aggregate(known, F.array().cast(_MESSAGE), step)
+def _once(c: Column, f) -> Column:
+    """f of the column, which is worked out once and not for each element of what f goes through."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def strictly_valid(messages: Column) -> Column:

@@ -122,6 +122,38 @@ def verified_shards(shards: DataFrame, expected: int, total: int) -> dict:
     return {"status": "PASS", "conditions": r.rows, "shards": r.shards}
 
 
+def shard_checks(rows: DataFrame, markers: DataFrame, artifacts: DataFrame, shards: int, total: int, fingerprint: str) -> DataFrame:
+    """What is wrong with the finished shards of a run, as (check, shard_id, found): no rows if all is well.
+
+    rows (shard_id, condition_id, tokens), markers (shard_id, fingerprint,
+    runtime, conditions, sha256), artifacts (shard_id, sha256, as files have
+    it now). Checks: shards from 0 to shards - 1 without marker or file,
+    markers of other runs or beyond those numbers, several runtimes,
+    checksums and row counts that differ, conditions that come twice (in
+    whatever shards), rows without tokens, and the number of all rows
+    (shard_id null).
+    """
+    spark = rows.sparkSession
+    wanted = spark.range(shards).select(F.col("id").alias("shard_id"))
+    per = rows.groupBy("shard_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce("tokens", F.lit(0)) < 1).alias("empty"))
+    d = wanted.withColumn("wanted", F.lit(True)).join(markers, "shard_id", "full").join(artifacts.select("shard_id", F.col("sha256").alias("now")), "shard_id", "left").join(per, "shard_id", "left")
+    # the runtime of the first shard that has one holds for all
+    first = markers.agg(F.min_by("runtime", "shard_id").alias("first"))
+    d = d.join(first, F.lit(True))  # one row
+    has = F.col("fingerprint").isNotNull()
+    one = [
+        ("marker", F.col("wanted") & ~has, F.lit(None)), ("unexpected", F.col("wanted").isNull(), F.lit(None)), ("file", F.col("wanted") & F.col("now").isNull(), F.lit(None)),
+        ("fingerprint", has & (F.col("fingerprint") != fingerprint), F.col("fingerprint")), ("runtime", has & ~F.col("runtime").eqNullSafe(F.col("first")), F.col("runtime")),
+        ("checksum", has & F.col("now").isNotNull() & ~F.col("sha256").eqNullSafe(F.col("now")), F.col("now")), ("rows", has & (F.coalesce("n", F.lit(0)) != F.col("conditions")), F.coalesce("n", F.lit(0)).cast("string")), ("empty", F.coalesce("empty", F.lit(0)) > 0, F.col("empty").cast("string")),
+    ]
+    found = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(n).alias("check"), v.cast("string").alias("found"))) for n, bad, v in one]), lambda c: c.isNotNull())
+    out = d.select("shard_id", F.explode(found).alias("c")).select("c.check", "shard_id", "c.found")
+    again = rows.groupBy("condition_id").agg(F.count("*").alias("c"), F.max("shard_id").alias("shard_id")).where("c > 1").groupBy("shard_id").agg(F.count("*").cast("string").alias("found"))
+    out = out.unionByName(again.select(F.lit("repeated").alias("check"), F.col("shard_id").cast("long").alias("shard_id"), "found"))
+    n = rows.agg(F.count("*").alias("n")).where(F.col("n") != total)
+    return out.unionByName(n.select(F.lit("total").alias("check"), F.lit(None).cast("long").alias("shard_id"), F.col("n").cast("string").alias("found")))
+
+
 def completed(markers: DataFrame) -> DataFrame:
     """One row: finished shards and the conditions they hold."""
     return markers.agg(F.count("*").alias("shards"), F.coalesce(F.sum("conditions"), F.lit(0)).alias("conditions"))

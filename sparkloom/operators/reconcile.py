@@ -136,6 +136,37 @@ def speedup(matches: DataFrame, baseline_tps: float, candidate_tps: float, exact
     return matches.agg(F.bool_and("matches").alias("exact"), F.avg(F.col("matches").cast("double")).alias("match_rate"), F.lit(candidate_tps / baseline_tps).alias("speedup"))
 
 
+def comparison_checks(runs: DataFrame, samples: DataFrame, exact: bool) -> DataFrame:
+    """What forbids the comparison of candidate runs with their baselines, as (pair, check, found).
+
+    runs: pair, role (baseline or candidate), fixture_sha256, sampling (JSON
+    text), temperature, rejection_mode, tps, drafts, draft_tokens. samples:
+    pair, role, sample_id, output_token_ids. Checks: both runs there, the same
+    samples, fixtures and sampling, outputs recorded and, with exact, equal;
+    a positive rate of the baseline; drafts of the candidate; standard
+    rejection where it samples.
+    """
+    of = lambda role: runs.where(F.col("role") == role).select("pair", *[F.col(c).alias(f"{role[0]}_{c}") for c in runs.columns if c not in ("pair", "role")])
+    d = runs.select("pair").distinct().join(of("baseline"), "pair", "left").join(of("candidate"), "pair", "left")
+    side = lambda role: samples.where(F.col("role") == role).select("pair", "sample_id", F.col("output_token_ids").alias(role), F.lit(True).alias(f"has_{role}"))
+    s = side("baseline").join(side("candidate"), ["pair", "sample_id"], "full")
+    s = s.groupBy("pair").agg(
+        F.count_if(F.col("has_baseline").isNull() | F.col("has_candidate").isNull()).alias("lacking"),
+        F.count_if(F.col("baseline").isNull() | F.col("candidate").isNull()).alias("unrecorded"), F.count_if(F.col("baseline") != F.col("candidate")).alias("differing"),
+    )
+    d = d.join(s, "pair", "left")
+    differ = lambda c: ~F.col(f"b_{c}").eqNullSafe(F.col(f"c_{c}"))
+    at_least = lambda c: F.coalesce(F.col(c), F.lit(0)) <= 0
+    whole = F.col("b_tps").isNotNull() & F.col("c_tps").isNotNull()
+    one = [
+        ("runs", ~whole, F.lit(None)), ("samples", F.coalesce("lacking", F.lit(1)) > 0, F.col("lacking")), ("fixture", differ("fixture_sha256"), F.col("c_fixture_sha256")), ("sampling", differ("sampling"), F.col("c_sampling")),
+        ("outputs", F.col("unrecorded") > 0, F.col("unrecorded")), ("exact", F.lit(exact) & (F.col("differing") > 0), F.col("differing")), ("rate", at_least("b_tps"), F.col("b_tps")),
+        ("drafts", at_least("c_drafts") | at_least("c_draft_tokens"), F.col("c_drafts")), ("rejection", (F.coalesce("c_temperature", F.lit(0.0)) > 0) & ~F.col("c_rejection_mode").eqNullSafe(F.lit("standard")), F.col("c_rejection_mode")),
+    ]
+    found = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(n).alias("check"), v.cast("string").alias("found"))) for n, bad, v in one]), lambda c: c.isNotNull())
+    return d.select("pair", F.explode(found).alias("c")).select("pair", "c.check", "c.found")
+
+
 def drift(a: Column, b: Column) -> Column:
     """Keys whose values differ between two map columns, with both values."""
     both = F.map_zip_with(a, b, lambda k, x, y: F.struct(x.alias("left"), y.alias("right")))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import contracts as K
-from ..operators import conditions, rendering, web
+from ..operators import conditions, packed, reconcile, rendering, web
 from ..operators import metrics as G
 from ..operators import sequence as S
 from ..session import shared_dir
@@ -243,3 +243,41 @@ def h19_token_masks(t):
     talks = t.conversations.groupBy("conv_id").agg(F.transform(turns, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
     m = rendering.token_masks(talks, rendering.Template("{role}\n", "<|endoftext|>"), public_tokenizers.path("byte_bpe_50k.json"))
     return m.select("conv_id", F.size("input_ids").alias("tokens"), F.aggregate("loss_mask", F.lit(0), lambda a, x: a + x).alias("supervised"), "violation")
+
+
+@query("""WITH m AS (SELECT c_nationkey AS s, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT c_nationkey AS s, c_custkey - c_custkey % 1000 // 999 AS c, c_custkey % 50 AS k FROM customer WHERE c_nationkey <> 24)
+SELECT 'marker' AS "check", s AS shard_id, NULL::VARCHAR AS found FROM m WHERE s % 10 = 1 AND s < 24 UNION ALL SELECT 'unexpected', s, NULL FROM m WHERE s = 24 UNION ALL SELECT 'file', s, NULL FROM m WHERE s % 10 = 2 AND s < 24
+UNION ALL SELECT 'fingerprint', s, 'other' FROM m WHERE s % 10 = 3 UNION ALL SELECT 'runtime', s, 'new' FROM m WHERE s % 10 = 4 AND s % 10 <> 1 UNION ALL SELECT 'checksum', s, 'x' FROM m WHERE s % 10 = 5
+UNION ALL SELECT 'rows', s, CASE WHEN s = 24 THEN 0 ELSE n END::VARCHAR FROM m WHERE s % 10 = 6 OR s = 24 UNION ALL SELECT 'empty', s, count(*)::VARCHAR FROM r WHERE k = 0 GROUP BY s
+UNION ALL SELECT 'repeated', s, count(*)::VARCHAR FROM (SELECT max(s) AS s FROM r GROUP BY c HAVING count(*) > 1) GROUP BY s UNION ALL SELECT 'total', NULL, count(*)::VARCHAR FROM r HAVING count(*) <> (SELECT count(*) FROM customer)""")
+def n3_shard_checks(t):
+    """Customers as conditions in shards of their nations; markers, files, runtimes and rows are wrong for some, the last shard is none."""
+    c, s = t.customer, F.col("shard_id")
+    n = c.groupBy(F.col("c_nationkey").cast("long").alias("shard_id")).agg(F.count("*").alias("n"))
+    markers = n.where(s % 10 != 1).select(
+        "shard_id", F.when(s % 10 == 3, "other").otherwise("run").alias("fingerprint"), F.when(s % 10 == 4, "new").otherwise("old").alias("runtime"),
+        F.when(s % 10 == 6, F.col("n") + 1).otherwise(F.col("n")).alias("conditions"), F.lit("h").alias("sha256"),
+    )
+    # shard 24 has a marker and a file, though there are 24 shards only
+    artifacts = n.where((s % 10 != 2)).select("shard_id", F.when(s % 10 == 5, "x").otherwise("h").alias("sha256"))
+    again = F.col("c_custkey") - F.expr("(c_custkey % 1000) div 999")
+    rows = c.where("c_nationkey <> 24").select(F.col("c_nationkey").cast("long").alias("shard_id"), again.alias("condition_id"), (F.col("c_custkey") % 50).alias("tokens"))
+    return packed.shard_checks(rows, markers, artifacts, 24, c.count(), "run")
+
+
+@query("""WITH d AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY user_id)
+SELECT user_id AS pair, 'exact' AS "check", n::VARCHAR AS found FROM d WHERE n > 0
+UNION ALL SELECT user_id, CASE user_id % 5 WHEN 1 THEN 'fixture' WHEN 2 THEN 'sampling' WHEN 3 THEN 'drafts' ELSE 'rejection' END, CASE user_id % 5 WHEN 1 THEN 'y' WHEN 2 THEN '{"t":1}' WHEN 3 THEN '0.0' ELSE 'greedy' END FROM d WHERE user_id % 11 > 0 AND user_id % 5 > 0
+UNION ALL SELECT user_id, c.c, NULL FROM d, (VALUES ('runs'), ('fixture'), ('sampling'), ('drafts')) c(c) WHERE user_id % 11 = 0""")
+def g18_comparison_checks(t):
+    """A pair of runs for each user over the user's events; outputs differ at errors, and every run or sampling is wrong for some."""
+    u = t.events.select("user_id").distinct()
+    k = F.col("user_id") % 5
+    base = u.select(F.col("user_id").alias("pair"), F.lit("baseline").alias("role"), F.lit("x").alias("fixture_sha256"), F.lit("{}").alias("sampling"), F.lit(0.0).alias("temperature"), F.lit(None).cast("string").alias("rejection_mode"), F.lit(2.0).alias("tps"), F.lit(0.0).alias("drafts"), F.lit(0.0).alias("draft_tokens"))
+    other = u.where("user_id % 11 <> 0").select(
+        F.col("user_id").alias("pair"), F.lit("candidate").alias("role"), F.when(k == 1, "y").otherwise("x").alias("fixture_sha256"), F.when(k == 2, '{"t":1}').otherwise("{}").alias("sampling"), F.when(k == 4, 0.5).otherwise(0.0).alias("temperature"),
+        F.when(k == 4, "greedy").alias("rejection_mode"), F.lit(3.0).alias("tps"), F.when(k == 3, 0.0).otherwise(9.0).alias("drafts"), F.lit(9.0).alias("draft_tokens"),
+    )
+    s = t.events.select(F.col("user_id").alias("pair"), F.col("event_id").alias("sample_id"), F.array(F.col("event_id")).alias("a"), F.array(F.when(F.col("event_type") == "error", -1).otherwise(F.col("event_id"))).alias("b"))
+    samples = s.select("pair", F.lit("baseline").alias("role"), "sample_id", F.col("a").alias("output_token_ids")).unionByName(s.select("pair", F.lit("candidate").alias("role"), "sample_id", F.col("b").alias("output_token_ids")))
+    return reconcile.comparison_checks(base.unionByName(other), samples, exact=True)
