@@ -35,14 +35,22 @@ _made: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    """A new folder of this application: what a lost driver leaves lies below one name, run-<application id>."""
+    _made.append(f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
     return _made[-1]
 
 
-def clean(spark: SparkSession) -> None:
-    """Remove the intermediate tables that this process made; results that were not written are gone with them."""
-    while _made:
+def made() -> int:
+    return len(_made)
+
+
+def clean(spark: SparkSession, since: int = 0, last: bool = False) -> None:
+    """Remove the intermediate tables that this process made (since made() was that number; not the last one, if
+    asked); results that were not written are gone with them."""
+    kept = [_made.pop()] if last and len(_made) > since else []
+    while len(_made) > since:
         remove(spark, _made.pop())
+    _made.extend(kept)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline
 from sparkloom.llm import common
@@ -57,3 +58,16 @@ def test_stages_on_odd_rows(spark, tmp_path):
         # one of the three equal texts stays, the others with ten words or more stay whole
         assert kept == sorted(repr((d, t)) for d, t in {(1, base), *texts[6:9], texts[10]})
         assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0) and all(len(p.ids) == 4 * p.length for p in pieces)
+
+
+def test_stages_are_removed_once_they_are_read(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [prose(rng, 60) for _ in range(20)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts + texts[:3])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such words in any of the texts at all here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    common.clean(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    there = [p for p in common._made if Path(p.replace("file:", "")).exists()]
+    assert len(common._made) == len(there) == 1 and "/packing-" in there[0] and out.count() > 0
+    assert len(list(Path(there[0].replace("file:", "")).parent.iterdir())) == 1
