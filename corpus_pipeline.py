@@ -32,7 +32,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The stages over documents. Once a stage is written, what it read and made on its way is removed."""
+    docs, before = common.table(spark, sf_dir, "documents"), common.made()
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), name)
+        common.clean(spark, since=before, last=True)
     return docs
