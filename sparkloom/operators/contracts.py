@@ -6,6 +6,7 @@ Manifests are small objects; what they speak of is counted and hashed by Spark.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -156,30 +157,43 @@ def publish_whole(spark: SparkSession, parts: dict[str, DataFrame], path: str, i
     fs = target.getFileSystem(conf)
     if fs.exists(target):
         raise ContractError(f"{path} is there already")
-    stage = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_stage-{target.getName()}")
-    fs.delete(stage, True)
+    # a name of its own: two writers do not touch each other's parts, and the second rename fails
+    stage = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_stage-{target.getName()}-{uuid.uuid4().hex}")
     marker = {"identity": identity, "fingerprint": config_fingerprint(identity), "rows": {}}
     for name, df in parts.items():
         df.write.option("compression", "zstd").parquet(f"{stage}/{name}")
         marker["rows"][name] = spark.read.parquet(f"{stage}/{name}").count()
     put_json(spark, marker, f"{stage}/_marker.json")
     fs.mkdirs(target.getParent())
-    if not fs.rename(stage, target):
-        raise ContractError(f"{path} could not be published")
+    try:
+        _renamed(spark, fs, stage, target, over=False)
+    except Exception:
+        fs.delete(stage, True)
+        if fs.exists(target):
+            raise ContractError(f"{path} is there already") from None
+        raise
     return marker
 
 
+def _renamed(spark: SparkSession, fs, source, target, over: bool) -> None:
+    """One step on file systems that can: what is there stays, or gives way to the whole of the new."""
+    jvm = spark._jvm
+    options = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, int(over))
+    if over:
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(source), fs.makeQualified(target), options)
+
+
 def put_json(spark: SparkSession, value: dict, path: str) -> None:
     """A small object as canonical JSON, written beside the target and renamed over it."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    side = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    side = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(side, True)
     try:
         out.write(bytearray((canonical_json(value) + "\n").encode()))
     finally:
         out.close()
-    fs.delete(target, False)
-    if not fs.rename(side, target):
-        raise ContractError(f"{path} could not be written")
+    _renamed(spark, fs, side, target, over=True)

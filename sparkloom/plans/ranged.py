@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import contracts as K
-from ..operators import conditions, packed, reconcile, rendering, web
+from ..operators import conditions, messages, packed, reconcile, rendering, tools, web
 from ..operators import metrics as G
 from ..operators import sequence as S
 from ..session import shared_dir
@@ -281,3 +281,74 @@ def g18_comparison_checks(t):
     s = t.events.select(F.col("user_id").alias("pair"), F.col("event_id").alias("sample_id"), F.array(F.col("event_id")).alias("a"), F.array(F.when(F.col("event_type") == "error", -1).otherwise(F.col("event_id"))).alias("b"))
     samples = s.select("pair", F.lit("baseline").alias("role"), "sample_id", F.col("a").alias("output_token_ids")).unionByName(s.select("pair", F.lit("candidate").alias("role"), "sample_id", F.col("b").alias("output_token_ids")))
     return reconcile.comparison_checks(base.unionByName(other), samples, exact=True)
+
+
+@query("SELECT doc_id, source, CASE WHEN doc_id % 3 > 0 THEN text END AS prompt, CASE WHEN doc_id % 3 = 0 THEN lang END AS first FROM documents")
+def a8_prompts(t):
+    """The documents as prompt rows: ids under either name or none, a prompt or messages."""
+    k, none = F.col("doc_id"), F.lit(None).cast("string")
+    said = F.when(k % 3 == 0, F.array(F.col("lang")))
+    d = t.documents.select(k.alias("line_no"), F.when(k % 4 == 0, k.cast("string")).otherwise(none).alias("id"), F.when(k % 4 == 1, k.cast("string")).otherwise(none).alias("sample_id"), F.col("text").alias("prompt"), said.alias("messages"))
+    p = files.prompts(d)
+    return p.join(t.documents.select(k, "source"), p["id"] == k.cast("string")).select("doc_id", "source", "prompt", F.get("messages", F.lit(0)).alias("first"))
+
+
+@query("SELECT doc_id::VARCHAR AS condition_id, source, lang AS language, text AS messages_json, CASE WHEN doc_id % 2 = 0 THEN 'e' END AS evaluation_json FROM documents")
+def a9_conditions(t):
+    """A condition file of the documents, with an evaluation for some and a column that nobody asks for."""
+    place = _place(t, "conditions")
+    fixed = {"condition_id": F.col("doc_id").cast("string"), "source": F.col("source"), "language": F.col("lang"), "messages_json": F.col("text")}
+    cols = [fixed.get(c, F.lit("x")).alias(c) for c in files.CONDITION_COLUMNS]
+    t.documents.select(*cols, F.when(F.col("doc_id") % 2 == 0, "e").alias("evaluation_json"), F.lit(1).alias("more")).write.parquet(place)
+    return files.conditions(t._spark, place).select("condition_id", "source", "language", "messages_json", "evaluation_json")
+
+
+@query("SELECT unnest(range(0, len(l) - 1)) AS line_no, unnest(l[:-2]) AS line FROM (SELECT string_split(text, chr(10)) AS l FROM documents) WHERE len(l) > 1")
+def b4_whole_lines(t):
+    """The documents' texts as files: what stands behind the last line end is torn."""
+    return files.whole_lines(t.documents.select(F.encode("text", "utf-8").alias("content"))).select(F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query("SELECT n_nationkey AS shard_id FROM nation WHERE n_regionkey <> 1")
+def b9_pending_shards(t):
+    shards = t.nation.select(F.col("n_nationkey").alias("shard_id"))
+    return files.pending_shards(shards, t.nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("shard_id"), F.lit("run").alias("fingerprint")), "run")
+
+
+@query("SELECT doc_id, list_distinct_in_order AS names FROM (SELECT doc_id, list_transform(list_filter(list_zip(range(1, len(w) + 1), w), lambda z: z[2] <> '' AND list_position(w, z[2]) = z[1]), lambda z: z[2]) AS list_distinct_in_order FROM (SELECT doc_id, string_split(text[:200], ' ') AS w FROM documents))")
+def c16_distinct_tools(t):
+    """The first words of each text as names of tools."""
+    named = F.transform(F.split(F.left("text", F.lit(200)), " ", -1), lambda w: F.struct(w.alias("name"), F.lit(1).alias("x")))
+    return t.documents.select("doc_id", F.transform(messages.distinct_tools(named), lambda x: x["name"]).alias("names"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN [n_chars, doc_id] WHEN doc_id % 4 = 1 THEN [doc_id] END AS ids FROM documents")
+def n14_token_ids(t):
+    """Ids in the first place, in the second where the first has a hole, or nowhere."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    first = F.when(k % 4 == 0, F.array(n, k)).when(k % 4 == 1, F.array(n, F.lit(None).cast("long")))
+    return t.documents.select("doc_id", conditions.token_ids(first, F.when(k % 4 == 1, F.array(k))).alias("ids"))
+
+
+@query("""SELECT path FROM (SELECT DISTINCT regexp_extract(url, '://(.*)$', 1) AS path FROM pages) WHERE len(string_split(path, '/')) <= 3 ORDER BY path LIMIT 2000""")
+def n26_listing(t):
+    """The pages' addresses as paths, those not deeper than three: a listing's first 2,000."""
+    paths = t.pages.select(F.regexp_extract("url", "://(.*)$", 1).alias("path")).distinct()
+    return tools.listing(paths, "path", 3)
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT doc_id) AS keys, true AS verified FROM documents")
+def b1_write_dataset(t):
+    """The documents written with a manifest, and verified against it."""
+    m = files.write_dataset(t.documents, _place(t, "dataset"), "doc_id")
+    files.verify_dataset(t._spark, m, "doc_id")
+    return t._spark.read.parquet(m["path"]).agg(F.count("*").alias("rows"), F.lit(m["keys"]).cast("long").alias("keys"), (F.count("*") == m["rows"]).alias("verified"))
+
+
+@query("SELECT lang, count(*) AS rows, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
+def a2_scan_shards(t):
+    """Shards of each language two folders deep; a manifest and a cache of rows beside them are not read."""
+    place = _place(t, "corpus")
+    t.documents.select("lang", F.lit("v1").alias("version"), "lang", "n_chars").toDF("language", "version", "lang", "n_chars").write.partitionBy("language", "version").parquet(f"{place}/processed")
+    t.documents.select("lang", "n_chars").write.parquet(f"{place}/cache")
+    return files.scan_shards(t._spark, place).groupBy("lang").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"))
