@@ -163,8 +163,11 @@ def cleaned_messages(raw: Column) -> Column:
 
 
 def json_keys(raw: Column) -> Column:
-    """The distinct keys of a JSON text at all depths: strings, read one after the other, that a colon follows."""
-    tokens = F.regexp_extract_all(F.when(F.try_parse_json(raw).isNotNull(), raw), F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    """The distinct keys of a JSON text at all depths: strings, read one after the other, that a colon follows.
+
+    The pattern gives nothing back, so strings of any length are read without deep recursion.
+    """
+    tokens = F.regexp_extract_all(F.when(F.try_parse_json(raw).isNotNull(), raw), F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?'), F.lit(0))
     keys = F.filter(tokens, lambda t: F.endswith(t, F.lit(":")))
     return F.coalesce(F.array_distinct(F.transform(keys, lambda t: F.regexp_replace(t, r'^"|"\s*:$', ""))), F.array().cast("array<string>"))
 

@@ -171,7 +171,7 @@ def d23_forbidden_keys(t):
 
 
 @query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 3 THEN 'query' WHEN 4 THEN 'locale' ELSE NULL END AS reason, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'url' WHEN 2 THEN 'timeout' ELSE 'max_length' END AS page FROM nation")
-def c22_requests(t):
+def c23_requests(t):
     k = F.col("n_nationkey")
     said = C.search_request(F.when(k % 5 == 3, F.repeat(F.lit("x"), F.lit(501))).otherwise(F.col("n_name")), F.lit(3), F.when(k % 5 == 4, "eng").otherwise("en"))
     page = C.browser_request(F.when(k % 4 == 1, "u:p@h").otherwise("example.org"), F.when(k % 4 == 2, 0.5).otherwise(5.0), F.when(k % 4 == 3, 40000))
@@ -303,13 +303,13 @@ def n29_json_objects(t):
 
 
 @query("""SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'length' WHEN 1 THEN 'max_rounds_with_pending_user_turns' WHEN 2 THEN 'max_rounds' ELSE 'final_answer' END AS reason FROM (SELECT DISTINCT conv_id FROM conversations)""")
-def g28_terminal_reason(t):
+def h18_terminal_reason(t):
     k = F.col("conv_id") % 4
     one = F.struct(F.when(k == 0, "length").otherwise("stop").alias("finish_reason"), F.when(k == 2, 1).otherwise(0).alias("n_calls"))
     return t.conversations.select("conv_id").distinct().select("conv_id", M.terminal_reason(F.array(one, one), 2, F.when(k == 1, 3).otherwise(0)).alias("reason"))
 
 
 @query("SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS supervised FROM conversations GROUP BY conv_id")
-def h18_supervised(t):
+def g28_supervised(t):
     c = M.collected(t.conversations, "conv_id", "turn", "role", "text").withColumn("mask", M.assistant_mask(F.col("messages")))
     return c.select("conv_id", M.supervised(F.col("mask")).alias("supervised"))

@@ -177,7 +177,7 @@ def g21_distribution_objective(t):
 
 
 @query("""SELECT event_type AS batch, CASE event_type WHEN 'click' THEN 'wrong number of workers' WHEN 'view' THEN 'devices changed' ELSE 'negative bytes' END AS violation FROM (SELECT DISTINCT event_type FROM events) WHERE event_type IN ('click', 'view', 'purchase')""")
-def g17_worker_identities(t):
+def n20_worker_identities(t):
     kind = F.col("event_type")
     rows = t.events.select(kind.alias("batch")).distinct().crossJoin(t._spark.range(3).withColumnRenamed("id", "rank"))  # five batches of three workers
     rows = rows.where((F.col("batch") != "click") | (F.col("rank") < 2))
@@ -188,7 +188,7 @@ def g17_worker_identities(t):
 
 
 @query("SELECT count(*) AS samples, sum(event_id % 50)::BIGINT AS completion_tokens, 8.0::DOUBLE AS wall_seconds, sum(event_id % 50) / 8.0 AS tps, round(avg(value), 9) AS mean_latency FROM events")
-def n26_run_summary(t):
+def g17_run_summary(t):
     s = tools.run_summary(t.events.select((F.col("event_id") % 50).alias("completion_tokens"), F.col("value").alias("latency_seconds")), 8.0)
     return s.withColumn("mean_latency", F.round("mean_latency", 9))
 
@@ -200,7 +200,7 @@ def n18_evaluations(t):
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'image' WHEN doc_id % 3 = 1 THEN 'audio+image' ELSE 'text' END AS modality, CASE WHEN doc_id % 5 = 0 THEN 'no text' END AS violation FROM documents""")
-def c12_records(t):
+def c18_records(t):
     k, none = F.col("doc_id") % 3, F.array().cast("array<string>")
     d = t.documents.select("doc_id", F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("source")).alias("text"), F.when(k < 2, F.array(F.lit("/p"))).otherwise(none).alias("image"), F.when(k == 1, F.array(F.lit("/a"))).alias("audio"), none.alias("video"), F.lit(None).cast("string").alias("evaluation"))
     return tools.records(d).select(F.col("condition_id").cast("long").alias("doc_id"), "modality", "violation")
