@@ -79,6 +79,11 @@ class Rollup:
     one rename, which fails if the id is there. So a broken write is never
     counted, and of two writers of one id one commits. (On a store whose
     renames are copies, keep the rollup on a file system that has them.)
+
+    compact() sums what is committed into one base, shown by a rename too: its
+    sums and the ids it stands for. Those ids stay committed, so a batch that
+    is sent again counts no second time, and a batch folder that a broken
+    compaction left is no longer read.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -97,7 +102,27 @@ class Rollup:
         return f"{self.path}/batch_id={batch_id}"
 
     def committed(self, batch_id: str) -> bool:
-        return self._fs().exists(self._hadoop(self._folder(batch_id)))
+        if self._fs().exists(self._hadoop(self._folder(batch_id))):
+            return True
+        base = self._base()
+        return base is not None and self._ids(base).where(F.col("batch_id") == batch_id).limit(1).count() > 0
+
+    def _named(self, folder: str, prefix: str) -> list[str]:
+        p = self._hadoop(folder)
+        names = [f.getPath().getName() for f in self._fs().listStatus(p)] if self._fs().exists(p) else []
+        return [n[len(prefix) :] for n in names if n.startswith(prefix)]
+
+    def _base(self) -> int | None:
+        return max((int(n) for n in self._named(f"{self.path}/_bases", "base=")), default=None)
+
+    def _ids(self, base: int) -> DataFrame:
+        return self.spark.read.schema("batch_id string").parquet(f"{self.path}/_bases/base={base}/ids")
+
+    def _renamed(self, staged: str, target: str) -> None:
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().getUri(), self.spark._jsc.hadoopConfiguration())
+        no_overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        files.rename(self._hadoop(staged), self._hadoop(target), no_overwrite)
 
     def stage(self, signed: DataFrame) -> str:
         """Sum a batch into a staging folder, which no reader sees; returns the folder."""
@@ -108,12 +133,11 @@ class Rollup:
 
     def publish(self, batch_id: str, staged: str) -> bool:
         """Make a staged batch the one of its id; False, and the staged rows gone, if another was first."""
-        jvm, target = self.spark._jvm, self._hadoop(self._folder(batch_id))
-        uri = self._fs().getUri()
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self.spark._jsc.hadoopConfiguration())
-        no_overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        if self.committed(batch_id):
+            common.remove(self.spark, staged)
+            return False
         try:
-            files.rename(self._hadoop(staged), target, no_overwrite)
+            self._renamed(staged, self._folder(batch_id))
         except Py4JJavaError as e:
             if not self.committed(batch_id):
                 raise
@@ -126,12 +150,51 @@ class Rollup:
         """Sum and keep the batch; False, and nothing done, if it is there already."""
         return not self.committed(batch_id) and self.publish(batch_id, self.stage(signed))
 
+    def _deltas(self) -> tuple[DataFrame, int | None]:
+        """Rows of the base and of the batches that are not in it, and the base's number."""
+        sums = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_chars long"
+        rows, base = self.spark.read.schema(f"{sums}, batch_id string").parquet(self.path), self._base()
+        if base is None:
+            return rows, None
+        old = self.spark.read.schema(sums).parquet(f"{self.path}/_bases/base={base}/sums").withColumn("batch_id", F.lit(None).cast("string"))
+        return rows.join(self._ids(base), "batch_id", "left_anti").select(*rows.columns).unionByName(old), base
+
     def totals(self) -> DataFrame:
         """Sums over the committed batches; rows whose documents all cancelled are gone."""
-        schema = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_chars long, batch_id string"
-        deltas = self.spark.read.schema(schema).parquet(self.path)
+        deltas, _ = self._deltas()
         return deltas.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
+    def compact(self) -> bool:
+        """Sum the committed batches into a new base and remove their folders; False if another compaction was first.
+
+        Batches committed meanwhile are not in it and stay. What broken
+        writers left in the staging folder is for sweep().
+        """
+        deltas, base = self._deltas()
+        ids = self.spark.createDataFrame([(n,) for n in self._named(self.path, "batch_id=")], "batch_id string")
+        staged = f"{self.path}/_staging/{uuid.uuid4().hex}"
+        known = ids if base is None else ids.unionByName(self._ids(base)).distinct()
+        known.write.parquet(f"{staged}/ids")
+        deltas.where(F.col("batch_id").isNull()).unionByName(deltas.join(ids, "batch_id", "left_semi").select(*deltas.columns)).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).write.parquet(f"{staged}/sums")
+        self._fs().mkdirs(self._hadoop(f"{self.path}/_bases"))
+        try:
+            self._renamed(staged, f"{self.path}/_bases/base={1 + (base or 0)}")
+        except Py4JJavaError:
+            common.remove(self.spark, staged)
+            if self._base() == base:
+                raise
+            return False
+        for batch_id in ids.toLocalIterator():
+            common.remove(self.spark, self._folder(batch_id[0]))
+        return True
+
+    def sweep(self) -> None:
+        """Remove what broken writers left and the bases before the last; for one writer, between its batches."""
+        common.remove(self.spark, f"{self.path}/_staging")
+        for n in self._named(f"{self.path}/_bases", "base="):
+            if int(n) != self._base():
+                common.remove(self.spark, f"{self.path}/_bases/base={n}")
+
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through three batches: inserted; each count revised to hold the

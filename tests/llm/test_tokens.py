@@ -140,6 +140,32 @@ def test_rollup_counts_whole_commits_once(spark, tmp_path):
     assert r.commit("b2", token_rollup.deletes(counts)) and r.totals().collect() == []
 
 
+def test_rollup_compaction(spark, tmp_path):
+    """Totals stay, ids stay committed, broken and racing compactions change nothing."""
+    counts = token_rollup.token_counts(spark.createDataFrame([(i, "a b " * i, "st"[i % 2], "en") for i in range(1, 9)], "doc_id long, text string, source string, lang string"))
+    r = token_rollup.Rollup(spark, f"{tmp_path}/r")
+    for i in range(1, 5):
+        r.commit(f"b{i}", token_rollup.inserts(counts.where(f"doc_id = {i}")))
+    want = sorted(map(tuple, r.totals().collect()))
+    kept = r._folder
+    r._folder = lambda b: f"{tmp_path}/elsewhere/{b}"  # it breaks before the folders are removed
+    assert r.compact()
+    r._folder = kept
+    assert len(r._named(r.path, "batch_id=")) == 4 and sorted(map(tuple, r.totals().collect())) == want
+    assert not r.commit("b2", token_rollup.inserts(counts)) and r.commit("b5", token_rollup.deletes(counts.where("doc_id = 1")))
+    assert r.compact() and r._named(r.path, "batch_id=") == [] and r._base() == 2
+    assert not r.commit("b5", token_rollup.deletes(counts.where("doc_id = 1"))) and not r.commit("b1", token_rollup.inserts(counts))
+    after = sorted(map(tuple, r.totals().collect()))
+    assert sum(x[3] for x in after) == sum(x[3] for x in want) - 1
+    other = token_rollup.Rollup(spark, f"{tmp_path}/r")
+    first = other._renamed
+    other._renamed = lambda a, b: (r.compact() if r._base() == 2 else None, first(a, b))[1]
+    assert other.compact() is False and sorted(map(tuple, other.totals().collect())) == after
+    r.stage(token_rollup.inserts(counts))
+    r.sweep()
+    assert r._named(f"{r.path}/_bases", "base=") == ["3"] and sorted(map(tuple, r.totals().collect())) == after
+
+
 def test_rollup_query(spark, tmp_path):
     rows = [(d, t, f"s{i % 3}" if i % 7 else None, "en" if i % 2 else "de", 5, "x", 7) for i, (d, t) in enumerate(corpus())]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_tokens int, text_md5 string, n_docs long").write.parquet(f"{tmp_path}/documents.parquet")
