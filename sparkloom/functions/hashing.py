@@ -73,8 +73,10 @@ def rank_epoch_seed(base: Column, rank: Column, epoch: Column) -> Column:
     return base + F.lit(1000003) * rank + F.lit(10000019) * epoch
 
 
-def condition_seed(profile: str, master_seed: int, condition_id: Column, tag: str = "generation-v1") -> Column:
-    """A condition's own seed, the same in every shard and batch: stable_int of tag, profile, master seed and id."""
+def condition_seed(profile: str, master_seed: int, condition_id: Column, tag: str) -> Column:
+    """A condition's own seed, the same in every shard and batch: stable_int of tag, profile, master seed and id.
+
+    The tag names a generation of seeds; other tags give other seeds."""
 
     @F.pandas_udf(StringType())
     def digest(ids: pd.Series) -> pd.Series:

@@ -155,6 +155,43 @@ def paired(messages: Column, require_tool: bool = False, required: tuple[str, ..
     return F.aggregate(messages, start, step, finish)
 
 
+def paired_rows(turns: DataFrame, conv: str, order: str, role: str = "role", own: str = "tool_call_id", calls: str = "tool_calls", require_tool: bool = False, required: tuple[str, ...] = ()) -> DataFrame:
+    """paired for turns as rows: conv, valid, errors, assistant_turns, tool_calls and tool_results of each conversation.
+
+    What happens to one call id is a sequence of its own: a call after a call
+    is a duplicate, a result after no call an orphan, and a call at the end
+    has no result. So no set of open calls is carried along, and a
+    conversation of any length is sorted, not folded. Turns of one order are
+    in any order; the calls of a turn come in theirs.
+    """
+    d = turns.select(F.col(conv).alias("conv"), F.col(order).alias("at"), F.col(role).alias("role"), F.coalesce(F.col(own), F.lit("")).alias("own"), F.coalesce(F.col(calls), F.array().cast("array<struct<id:string,name:string>>")).alias("calls"))
+    opened = d.where("role = 'assistant'").select("conv", "at", F.posexplode("calls").alias("sub", "c")).select("conv", "at", "sub", F.lit("call").alias("kind"), F.col("c.id").alias("id"), F.col("c.name").alias("name"))
+    closed = d.where("role = 'tool'").select("conv", "at", F.lit(0).alias("sub"), F.lit("result").alias("kind"), F.col("own").alias("id"), F.lit(None).cast("string").alias("name"))
+    by_id = Window.partitionBy("conv", "id").orderBy("at", "sub")
+    e = opened.unionByName(closed).withColumn("before", F.lag("kind").over(by_id)).withColumn("after", F.lead("kind").over(by_id))
+    call, after_call = F.col("kind") == "call", F.col("before").eqNullSafe("call")
+    wrong = F.when(call & after_call, F.concat(F.lit("duplicate_tool_call_id:"), "id")).when(~call & ~after_call, F.concat(F.lit("orphan_tool_result:"), "id"))
+    left = F.when(call & F.col("after").isNull(), F.col("id"))
+    listed = lambda c: F.collect_list(F.when(c.isNotNull(), F.struct("at", "sub", c.alias("what"))))
+    events = e.groupBy("conv").agg(
+        F.transform(F.sort_array(listed(wrong)), lambda x: x["what"]).alias("wrong"), F.sort_array(F.collect_set(left)).alias("left"),
+        F.count_if(call).alias("tool_calls"), F.count_if(~call).alias("tool_results"), *[F.coalesce(F.bool_or(F.col("name") == n), F.lit(False)).alias(f"_{i}") for i, n in enumerate(required)],
+    )
+    whole = d.groupBy("conv").agg(F.count_if(F.col("role") == "assistant").alias("assistant_turns"), F.max_by(F.struct("role", F.size("calls").alias("n")), "at").alias("last"))
+    j = whole.join(events, "conv", "left")
+    none = F.array().cast("array<string>")
+    some = lambda bad, what: F.when(bad, F.array(what)).otherwise(none)
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    errors = [F.coalesce("wrong", none), some(n(F.size("left").cast("long")) > 0, F.concat(F.lit("missing_tool_results:"), F.array_join("left", ",")))]
+    if require_tool:
+        errors.append(some(n(F.col("tool_calls")) == 0, F.lit("required_tool_call_missing")))
+    errors += [some(~F.coalesce(f"_{i}", F.lit(False)), F.lit(f"required_tool_call_missing:{name}")) for i, name in enumerate(required)]
+    ended = F.col("last.role").eqNullSafe("assistant")
+    errors += [some(~ended, F.lit("trajectory_does_not_end_with_assistant")), some(ended & (F.col("last.n") > 0), F.lit("trajectory_ends_with_unresolved_tool_call"))]
+    every = F.concat(*errors)
+    return j.select(F.col("conv").alias(conv), (F.size(every) == 0).alias("valid"), every.alias("errors"), "assistant_turns", n(F.col("tool_calls")).alias("tool_calls"), n(F.col("tool_results")).alias("tool_results"))
+
+
 def distinct_tools(tools: Column) -> Column:
     """Tools (structs with a name) in order, the first of each name; unnamed ones out."""
     named = F.filter(tools, lambda t: F.coalesce(t["name"], F.lit("")) != "")

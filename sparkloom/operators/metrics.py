@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..session import checkpointed
-from ..violations import ContractError
+from ..violations import ContractError, require_empty
 from .selection import ordered_index
 
 
@@ -260,7 +260,7 @@ def gate_calibration(captures: DataFrame, runs: list[str], controls: list[str],
     wanted = [(runs[i], runs[j], "run") for i in range(3) for j in range(i + 1, 3)] + [(runs[0], c, "control") for c in controls]
     c = captures.where(F.col(run).isin(runs + controls)).select(F.col(run).alias("run"), F.col(stream).alias("stream"), F.col(index).alias("index"), F.col(value).cast("double").alias("x"))
     per = c.groupBy("stream", "index").agg(F.count("*").alias("n"), F.countDistinct("run").alias("r"))
-    require_none(per.where((F.col("n") != 3 + len(controls)) | (F.col("r") != 3 + len(controls))), "stream", "captures of different shape")
+    _none(per.where((F.col("n") != 3 + len(controls)) | (F.col("r") != 3 + len(controls))), "stream", "captures of different shape")
     to = F.create_map(*[F.lit(x) for a in {w[0] for w in wanted} for x in (a, F.array(*[F.struct(F.lit(b).alias("other"), F.lit(k).alias("kind")) for o, b, k in wanted if o == a]))])
     left = c.select("run", "stream", "index", F.col("x"), F.explode(F.try_element_at(to, F.col("run"))).alias("to")).select("run", "stream", "index", "x", "to.other", "to.kind")
     both = left.join(c.select(F.col("run").alias("other"), "stream", "index", F.col("x").alias("y")), ["other", "stream", "index"])
@@ -275,15 +275,13 @@ def gate_calibration(captures: DataFrame, runs: list[str], controls: list[str],
     return found.select("stream", "metric", "worst", bound.alias("bound"), "least_control", (bound < F.col("least_control")).alias("separates"))
 
 
-def require_none(bad: DataFrame, key: str, what: str) -> None:
-    found = bad.select(F.col(key).cast("string").alias("k")).distinct().orderBy("k").limit(10).collect()
-    if found:
-        raise ContractError(f"{what}: {', '.join(str(r.k) for r in found)}")
+def _none(bad: DataFrame, key: str, what: str) -> None:
+    require_empty(bad.select(key).distinct(), key, what)
 
 
 def calibrated_gate(calibration: DataFrame) -> DataFrame:
     """The bounds of a calibration; one that a control could pass raises."""
-    require_none(calibration.where("not separates"), "stream", "a bound is not below every control's error")
+    _none(calibration.where("not separates"), "stream", "a bound is not below every control's error")
     return calibration.select("stream", "metric", "bound")
 
 

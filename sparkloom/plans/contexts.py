@@ -291,7 +291,7 @@ def d3_canonical_json(t):
 
 @query()
 def d6_condition_seed(t):
-    return t.documents.select("doc_id", H.condition_seed("creative", 7, F.col("doc_id")).alias("seed"))
+    return t.documents.select("doc_id", H.condition_seed("creative", 7, F.col("doc_id"), "generation-v1").alias("seed"))
 
 
 _RAW = (('["{\\"a\\":1}", {"b":2}, 5, "x"]', 2), ("[]", 0), ("no", 0), (None, 0))

@@ -101,7 +101,7 @@ def test_verified_counts(spark):
 def test_condition_seed_is_the_row_s_own(spark):
     ids = ["a", "b", "ü"]
     df = spark.createDataFrame([(i,) for i in ids], "id string")
-    got = {r.id: r.s for r in df.select("id", H.condition_seed("creative", 7, F.col("id")).alias("s")).collect()}
+    got = {r.id: r.s for r in df.select("id", H.condition_seed("creative", 7, F.col("id"), "generation-v1").alias("s")).collect()}
     for i in ids:
         raw = "\x1f".join(json.dumps(x, ensure_ascii=False) for x in ("generation-v1", "creative", 7, i)).encode()
         assert got[i] == int(hashlib.blake2b(raw, digest_size=8).hexdigest(), 16) % (2**63 - 1)

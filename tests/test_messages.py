@@ -123,3 +123,21 @@ def test_routes(spark):
     assert not got["8"].workspace_required and got["8"].user == "p"
     assert got["9"].user == "Target environment: linux, bash.\n\np"
     assert got["s10"].workspace_required and got[None].violation == "no id"
+
+
+def test_pairing_of_rows_is_that_of_lists(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for conv in range(150):
+        for at in range(rng.randint(0, 9)):
+            role = rng.choice(["assistant", "assistant", "tool", "tool", "user"])
+            calls = [(rng.choice("xyz"), rng.choice(["f", "g"])) for _ in range(rng.choice([0, 1, 1, 2]))] if role == "assistant" else None
+            rows.append((conv, at, role, rng.choice(["x", "y", "z", None]) if role == "tool" else None, calls))
+    df = spark.createDataFrame(rows, "conv int, at int, role string, tool_call_id string, tool_calls array<struct<id:string,name:string>>")
+    item = F.struct("at", "role", "tool_call_id", "tool_calls")
+    for more in ({}, {"require_tool": True, "required": ("f", "g")}):
+        lists = df.groupBy("conv").agg(F.sort_array(F.collect_list(item)).alias("m")).select("conv", M.paired(F.col("m"), **more).alias("r")).select("conv", "r.*")
+        got = M.paired_rows(df, "conv", "at", **more).select(*lists.columns)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, lists.collect())))
