@@ -167,6 +167,21 @@ def verified_count(marker: dict, rows: DataFrame) -> int:
     return n
 
 
+def unverified(markers: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """key, status, conditions and rows of the markers (key, status, conditions) that did not pass or whose count is not that of the rows."""
+    n = rows.groupBy(key).agg(F.count("*").alias("rows"))
+    d = markers.join(n, key, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return d.where(~(F.col("status").eqNullSafe("PASS") & F.col("conditions").eqNullSafe(F.col("rows")))).select(key, "status", "conditions", "rows")
+
+
+def differing(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key and fields of the manifests (one row each) that disagree on some of the fields, or that one side lacks."""
+    j = a.select(key, *[F.col(f).alias(f"_a_{f}") for f in fields], F.lit(1).alias("_a")).join(b.select(key, *[F.col(f).alias(f"_b_{f}") for f in fields], F.lit(1).alias("_b")), key, "full")
+    lacks = F.col("_a").isNull() | F.col("_b").isNull()
+    bad = F.filter(F.array(*[F.when(lacks | ~F.col(f"_a_{f}").eqNullSafe(F.col(f"_b_{f}")), f) for f in fields]), lambda f: f.isNotNull())
+    return j.select(key, bad.alias("fields")).where(F.size("fields") > 0)
+
+
 def shard_index(df: DataFrame, size: str, order: str, cap: int, shard: str, tokens: str = "tokens") -> DataFrame:
     """What a writer of flat shards records: each row's part (next-fit under cap bytes) and its token range
     [start, end) in it, as compressed sparse rows do."""

@@ -83,3 +83,15 @@ def in_range(index: Column, start: int = 0, end: int | None = None) -> Column:
 def limit_after(df: DataFrame, done: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The first n rows in order among those whose key is not done yet."""
     return df.join(done.select(key).distinct(), key, "left_anti").orderBy(order).limit(n)
+
+
+def ordered_batches(df: DataFrame, order: str | list[str], rows: int) -> DataFrame:
+    """df with batch and place (both from 0): batches of so many rows in order, the last one shorter.
+
+    A consumer that takes one batch after the other reads `where batch = n`;
+    none is gathered here, and the order needs no window over all rows.
+    """
+    if rows < 1:
+        raise ContractError(f"batches of {rows} rows")
+    at = ordered_index(df, order, "_at")
+    return at.withColumn("batch", F.expr(f"_at div {rows}")).withColumn("place", (F.col("_at") % rows).cast("int")).drop("_at")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import contracts as K
-from ..operators import conditions, messages, packed, reconcile, rendering, tools, web
+from ..operators import conditions, messages, packed, reconcile, rendering, selection, tools, web
 from ..operators import metrics as G
 from ..operators import sequence as S
 from ..session import shared_dir
@@ -352,3 +352,53 @@ def a2_scan_shards(t):
     t.documents.select("lang", F.lit("v1").alias("version"), "lang", "n_chars").toDF("language", "version", "lang", "n_chars").write.partitionBy("language", "version").parquet(f"{place}/processed")
     t.documents.select("lang", "n_chars").write.parquet(f"{place}/cache")
     return files.scan_shards(t._spark, place).groupBy("lang").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT lang, count(*) AS rows, count(DISTINCT doc_id) AS ids FROM documents GROUP BY lang")
+def a1_scan(t):
+    """Files two folders deep, read as one table of two columns; other columns are not read, other files not either."""
+    place = _place(t, "tree")
+    t.documents.select("*", F.col("source").alias("a"), F.col("lang").alias("b")).write.partitionBy("a", "b").parquet(f"{place}/x")
+    t.documents.select("text").write.text(f"{place}/y")
+    return files.scan(t._spark, place, ["doc_id", "lang"]).groupBy("lang").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"))
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 128 AS batch, ((row_number() OVER (ORDER BY ts, event_id) - 1) % 128)::INTEGER AS place FROM events")
+def a4_ordered_batches(t):
+    return selection.ordered_batches(t.events.select("event_id", "ts"), ["ts", "event_id"], 128).select("event_id", "batch", "place")
+
+
+@query("SELECT 'documents' AS part, count(*) AS rows FROM documents UNION ALL SELECT 'pages', count(*) FROM pages")
+def b2_published(t):
+    """Two tables as one bundle, shown whole; the marker beside them says how many rows each has."""
+    place = _place(t, "bundle")
+    marker = K.publish_whole(t._spark, {"documents": t.documents.select("doc_id", "text"), "pages": t.pages.select("page_id", "url")}, place, {"run": 1})
+    parts = [t._spark.read.parquet(f"{place}/{p}").agg(F.lit(p).alias("part"), F.count("*").alias("rows")).where(F.col("rows") == n) for p, n in marker["rows"].items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT doc_id, n_chars * (2 * 6 * 6144 + 9) AS nbytes FROM documents")
+def g8_storage_bytes(t):
+    """Five layers and the final one of 6,144 two-byte values, ids and mask, for as many tokens as a text has characters."""
+    return t.documents.select("doc_id", packed.storage_bytes(F.col("n_chars"), 5, 6144).cast("long").alias("nbytes"))
+
+
+@query("""WITH n AS (SELECT source, count(*) AS rows FROM documents GROUP BY source), m AS (SELECT source, rows, length(source) % 2 = 0 AS even, CASE WHEN source LIKE '%3' THEN 'FAIL' ELSE 'PASS' END AS status, rows + (source LIKE '%7')::INT AS conditions FROM n)
+SELECT source, status, conditions::BIGINT AS conditions, rows FROM m WHERE status = 'FAIL' OR conditions <> rows UNION ALL SELECT 'gone', 'PASS', 1, 0""")
+def n2_unverified(t):
+    """A marker for each source's documents; some failed, some counted one more, one speaks of a source that is not there."""
+    n = t.documents.groupBy("source").agg(F.count("*").alias("n"))
+    s = F.col("source")
+    m = n.select("source", F.when(s.endswith("3"), "FAIL").otherwise("PASS").alias("status"), (F.col("n") + s.endswith("7").cast("int")).alias("conditions"))
+    gone = n.limit(1).select(F.lit("gone").alias("source"), F.lit("PASS").alias("status"), F.lit(1).cast("long").alias("conditions"))
+    return packed.unverified(m.unionByName(gone), t.documents.select("source"), "source")
+
+
+@query("""SELECT c_custkey, list_filter([CASE WHEN c_custkey % 3 = 0 THEN 'segment' END, CASE WHEN c_custkey % 4 = 0 AND c_nationkey <> 0 THEN 'nation' END], lambda x: x IS NOT NULL) AS fields FROM customer WHERE c_custkey % 7 > 0 AND (c_custkey % 3 = 0 OR (c_custkey % 4 = 0 AND c_nationkey <> 0))
+UNION ALL SELECT c_custkey, ['segment', 'nation'] FROM customer WHERE c_custkey % 7 = 0""")
+def n7_differing(t):
+    """Customers as manifests, against a second table in which some fields differ and some rows are not there."""
+    k = F.col("c_custkey")
+    a = t.customer.select(k, F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("other"))
+    b = t.customer.where("c_custkey % 7 > 0").select(k, F.when(k % 3 == 0, "x").otherwise(F.col("c_mktsegment")).alias("segment"), F.when(k % 4 == 0, 0).otherwise(F.col("c_nationkey")).alias("nation"), F.lit(0).alias("other"))
+    return packed.differing(a, b, "c_custkey", ["segment", "nation"])
