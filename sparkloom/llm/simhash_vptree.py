@@ -33,6 +33,8 @@ SHINGLE, REACH = 3, 2
 SHARD, SHARDS, SAMPLE = 1 << 15, 1 << 14, 1 << 20
 #: Parts of a shard that are compared pair by pair; candidates for a vantage point, points they are judged on.
 LEAF, CANDIDATES, JUDGED = 192, 6, 2048
+#: Distances that are held at once.
+AREA = 1 << 21
 #: A split that leaves more than this share on one side is none.
 USEFUL = 0.92
 #: Hashes that are counted at once.
@@ -144,8 +146,10 @@ def near_pairs(points: np.ndarray, reach: int):
         part = points[at]
         cut = split(part, reach) if len(at) > LEAF else None
         if cut is None:
-            for lo in range(0, len(at), LEAF):
-                rows = part[lo : lo + LEAF]
+            # a part that no vantage point splits may be large: so many rows at once as fit into a bounded matrix
+            step = min(LEAF, max(1, AREA // len(at))) if len(at) else 1
+            for lo in range(0, len(at), step):
+                rows = part[lo : lo + step]
                 i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ part[None, lo:]) <= reach)
                 later = i < j
                 if later.any():

@@ -107,6 +107,14 @@ def test_trees_lose_no_pair(monkeypatch, reach):
     assert met == want and held < 30 * len(points)
 
 
+def test_a_part_that_cannot_be_split_is_compared_in_pieces(monkeypatch):
+    monkeypatch.setattr(m, "split", lambda points, reach: None)
+    monkeypatch.setattr(m, "AREA", 5000)
+    points = clustered(900, 3)
+    got = [{(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)} for i, j in m.near_pairs(points, 2)]
+    assert len(got) > 50 and set().union(*got) == all_pairs(points, 2)
+
+
 def test_branches_are_pruned(monkeypatch):
     """Random points: the tree compares a small part of all pairs."""
     points = np.unique(np.random.default_rng(4).integers(0, 1 << 63, 30000, dtype=np.uint64))
