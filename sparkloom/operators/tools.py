@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import text as T
+from ..session import checkpointed
 from ..sources.ranges import read_ranges
 from ..violations import Checked, ContractError, split_by
 
+#: Tools of a catalogue that is held as one map.
+MAPPED = 10_000
 _NAMED = "name string, description string, parameters string"
 _ITEM = "name string, description string, input_schema string, function string"
 # The parameters of a tool that states none.
@@ -59,14 +62,45 @@ def strict_calls(df: DataFrame, calls: str = "calls") -> Checked:
 def schemas_for(df: DataFrame, tools: DataFrame, names: str = "names") -> DataFrame:
     """The known tools of each row's name list in its order; unknown names are left out.
 
-    tools is the catalogue (name, schema): it is gathered to one map, so its
-    size is checked.
+    tools is the catalogue (name, schema; of equal names the least schema).
+    One of at most MAPPED tools is gathered to a map; a larger one is joined
+    with the names, which are then put together again by row.
     """
-    if tools.count() > 10_000:
-        raise ContractError("the tool catalogue is too large for one map; join it")
-    catalogue = tools.agg(F.map_from_entries(F.collect_list(F.struct("name", "schema"))).alias("_map"))
-    found = F.filter(F.transform(names, lambda n: F.struct(n.alias("name"), F.try_element_at("_map", n).alias("schema"))), lambda x: x["schema"].isNotNull())
-    return df.join(F.broadcast(catalogue)).withColumn("tools", found).drop("_map")
+    one = tools.groupBy("name").agg(F.min("schema").alias("schema"))
+    if one.count() <= MAPPED:
+        catalogue = one.agg(F.map_from_entries(F.collect_list(F.struct("name", "schema"))).alias("_map"))
+        found = F.filter(F.transform(names, lambda n: F.struct(n.alias("name"), F.try_element_at("_map", n).alias("schema"))), lambda x: x["schema"].isNotNull())
+        return df.join(F.broadcast(catalogue)).withColumn("tools", found).drop("_map")
+    rows = checkpointed(df.select(F.monotonically_increasing_id().alias("_id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(names).alias("_names")))
+    asked = rows.select("_id", F.posexplode("_names").alias("_at", "name")).join(one.where("schema is not null"), "name")
+    found = asked.groupBy("_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "name", "schema"))), lambda x: F.struct(x["name"].alias("name"), x["schema"].alias("schema"))).alias("tools"))
+    none = F.array().cast(found.schema["tools"].dataType)
+    return rows.join(found, "_id", "left").select("_row.*", F.coalesce("tools", none).alias("tools"))
+
+
+def wire_messages(messages: Column) -> Column:
+    """Cleaned messages as the JSON that goes over the wire: calls nested under function, their arguments a JSON text.
+
+    Fields that a message lacks are left out, and so is whatever is no part
+    of a cleaned message, such as names that begin with "_".
+    """
+    return _json(messages, lambda arguments: arguments)
+
+
+def template_messages(messages: Column) -> Column:
+    """The same for a template: arguments as objects."""
+    return _json(messages, F.parse_json)
+
+
+def _json(messages: Column, arguments) -> Column:
+    def call(c):
+        return F.struct(c["id"].alias("id"), c["type"].alias("type"), F.struct(c["name"].alias("name"), arguments(c["arguments"]).alias("arguments")).alias("function"))
+
+    def one(m):
+        calls = F.when(F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0, F.transform(m["tool_calls"], call))
+        return F.struct(m["role"].alias("role"), m["content"].alias("content"), m["tool_call_id"].alias("tool_call_id"), calls.alias("tool_calls"))
+
+    return F.to_json(F.transform(messages, one))
 
 
 def dispatch(calls: DataFrame, routes: DataFrame) -> Checked:

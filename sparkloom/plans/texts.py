@@ -87,3 +87,14 @@ def c15_text_calls(t):
     c = tools.strict_calls(t.documents.select("doc_id", F.array(call).alias("calls")))
     good = c.good.select("doc_id", F.lit(None).cast("string").alias("violation"), F.get("calls", F.lit(0))["arguments"].alias("arguments"))
     return good.unionByName(c.bad.select("doc_id", "violation", F.lit(None).cast("string").alias("arguments")))
+
+
+@query("""SELECT conv_id, '[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || CASE WHEN turn % 4 = 1 THEN ',"tool_calls":[{"id":"c","type":"function","function":{"name":"f","arguments":' || to_json('{"said":' || to_json(text) || '}') || '}}]' ELSE '' END || '}', ',' ORDER BY turn) || ']' AS wire,
+ '[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || CASE WHEN turn % 4 = 1 THEN ',"tool_calls":[{"id":"c","type":"function","function":{"name":"f","arguments":{"said":' || to_json(text) || '}}}]' ELSE '' END || '}', ',' ORDER BY turn) || ']' AS template FROM conversations GROUP BY conv_id""")
+def c15_wire_messages(t):
+    """The conversations with calls that hold the text, in the wire's and the template's form."""
+    call = F.when(F.col("turn") % 4 == 1, F.array(F.struct(F.lit("c").alias("id"), F.lit("f").alias("name"), F.to_json(F.struct(F.col("text").alias("said"))).alias("arguments"))))
+    item = F.struct("turn", "role", F.col("text").alias("content"), call.alias("tool_calls"), F.col("turn").alias("_wire"))
+    raw = t.conversations.groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("raw"))
+    m = raw.select("conv_id", C.cleaned_messages(F.col("raw")).alias("m"))
+    return m.select("conv_id", tools.wire_messages(F.col("m")).alias("wire"), tools.template_messages(F.col("m")).alias("template"))

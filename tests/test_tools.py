@@ -66,3 +66,24 @@ def test_slices_of_files(spark, tmp_path):
     index = spark.createDataFrame(rows, "segment int, offset long, nbytes long, sha256 string")
     got = {(r.segment, r.offset): (r.bytes and bytes(r.bytes), r.violation) for r in T.slices(store, index, ["segment"]).collect()}
     assert got == {(0, 6): (b"world", None), (0, 0): (None, "checksum"), (0, 8): (None, "short"), (7, 0): (None, "missing")}
+
+
+def test_large_catalogues_are_joined(spark, monkeypatch):
+    catalogue = spark.createDataFrame([(f"t{i}", f"S{i}") for i in range(30)] + [("none", None)], "name string, schema string")
+    rows = [(1, ["t3", "zz", "t1", "t3"], "a"), (1, ["t3", "zz", "t1", "t3"], "a"), (2, [], "b"), (3, None, "c"), (4, ["none", "t29"], "d")]
+    df = spark.createDataFrame(rows, "name int, names array<string>, schema string")
+    want = sorted((r.name, [(t.name, t.schema) for t in r.tools or []]) for r in T.schemas_for(df, catalogue).collect())
+    monkeypatch.setattr(T, "MAPPED", 5)
+    got = T.schemas_for(df, catalogue)
+    assert got.columns == ["name", "names", "schema", "tools"] and sorted((r.name, [(t.name, t.schema) for t in r.tools]) for r in got.collect()) == want
+
+
+def test_wire_and_template_forms(spark):
+    from sparkloom.operators import conditions as C
+
+    raw = json.dumps([{"role": "user", "content": "é \"x\"", "_at": 5}, {"role": "assistant", "content": None, "tool_calls": [{"id": "c", "function": {"name": "f", "arguments": '{"a": [1, "ü"]}'}}]}, {"role": "tool", "content": "y", "tool_call_id": "c"}])
+    r = spark.createDataFrame([(raw,)], "raw string").select(C.cleaned_messages(F.col("raw")).alias("m")).select(T.wire_messages(F.col("m")).alias("w"), T.template_messages(F.col("m")).alias("t")).first()
+    wire, template = json.loads(r.w), json.loads(r.t)
+    assert wire[0] == {"role": "user", "content": "é \"x\"", } and wire[2] == {"role": "tool", "content": "y", "tool_call_id": "c"}
+    assert wire[1]["tool_calls"] == [{"id": "c", "type": "function", "function": {"name": "f", "arguments": '{"a": [1, "ü"]}'}}]
+    assert template[1]["tool_calls"][0]["function"]["arguments"] == {"a": [1, "ü"]} and template[0] == wire[0]
