@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,14 +9,14 @@ from ..operators import contracts as K
 from ..operators import conditions, messages, packed, reconcile, rendering, selection, tools, web
 from ..operators import metrics as G
 from ..operators import sequence as S
-from ..session import shared_dir
+from ..session import place
 from ..sources import files, ranges
 from ..streaming import commits, state
 from .registry import query
 
 
 def _place(t, name: str) -> str:
-    return f"{shared_dir(t._spark)}/{name}-{uuid.uuid4().hex}"
+    return place(t._spark, name)
 
 
 @query("""SELECT source AS shard, doc_id AS source_index, len(w) AS tokens, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS total, list_sum(list_transform(w, lambda x: length(x) % 2))::BIGINT AS masked, NULL::VARCHAR AS violation
@@ -38,35 +36,35 @@ def a13_range_reads(t):
 def a7_line_numbers(t):
     """The documents as JSON lines, a file for each source; some lines are blank, some no object."""
     line = F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 10 == 0, "[1]").otherwise(F.to_json(F.struct("doc_id", "text")))
-    place = _place(t, "lines")
-    t.documents.select("source", "doc_id", line.alias("line")).repartition("source").sortWithinPartitions("source", "doc_id").select("source", "line").write.partitionBy("source").text(place)
-    c = files.parsed_lines(t._spark, f"{place}/source=*", "doc_id long")
+    folder = _place(t, "lines")
+    t.documents.select("source", "doc_id", line.alias("line")).repartition("source").sortWithinPartitions("source", "doc_id").select("source", "line").write.partitionBy("source").text(folder)
+    c = files.parsed_lines(t._spark, f"{folder}/source=*", "doc_id long")
     source = F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")
     return c.good.select(source, "line_no", "doc_id").unionByName(c.bad.select(source, "line_no", F.lit(None).cast("long").alias("doc_id")))
 
 
 def _by_language(t) -> str:
-    place = _place(t, "languages")
+    folder = _place(t, "languages")
     d = t.documents.select("lang", "doc_id", "text", F.when(F.col("lang") == "de", None).otherwise(F.col("source")).alias("source"))
-    d.repartition("lang").write.partitionBy("lang").parquet(place)
-    return place
+    d.repartition("lang").write.partitionBy("lang").parquet(folder)
+    return folder
 
 
 @query("SELECT lang, count(*) AS rows, ['url'] AS missing FROM documents GROUP BY lang")
 def a6_footers(t):
     """Rows and missing columns of files by their footers; in one of them a column is all null, which is not missing."""
-    place = _by_language(t)
+    folder = _by_language(t)
     lang = F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")
-    rows = ranges.footers(t._spark, place).select("path", "rows")
-    return rows.join(ranges.missing_columns(t._spark, place, ["doc_id", "text", "source", "url"]), "path", "left").groupBy(lang).agg(F.sum("rows").alias("rows"), F.first("missing").alias("missing"))
+    rows = ranges.footers(t._spark, folder).select("path", "rows")
+    return rows.join(ranges.missing_columns(t._spark, folder, ["doc_id", "text", "source", "url"]), "path", "left").groupBy(lang).agg(F.sum("rows").alias("rows"), F.first("missing").alias("missing"))
 
 
 @query("SELECT count(DISTINCT lang) AS files, count(*)::BIGINT AS rows, true AS same FROM documents")
 def g10_content_fingerprint(t):
     """The fingerprint of a folder does not depend on how its files are cut for hashing into tasks."""
-    place = _by_language(t)
-    one = ranges.content_fingerprint(t._spark, place, chunk=1 << 16)
-    two = ranges.content_fingerprint(t._spark, place, chunk=1 << 16).select(F.col("fingerprint").alias("again"))
+    folder = _by_language(t)
+    one = ranges.content_fingerprint(t._spark, folder, chunk=1 << 16)
+    two = ranges.content_fingerprint(t._spark, folder, chunk=1 << 16).select(F.col("fingerprint").alias("again"))
     return one.join(two, F.col("fingerprint") == F.col("again"), "left").select("files", "rows", F.col("again").isNotNull().alias("same"))
 
 
@@ -76,26 +74,26 @@ SELECT event_type, count(*) AS scrapes, count(*) FILTER (kind = 'late') AS late,
 FROM (SELECT event_type, CASE WHEN before IS NULL THEN 'first' WHEN value < before THEN 'reset' ELSE 'step' END AS kind, CASE WHEN value < before THEN value ELSE value - before END AS delta FROM s UNION ALL SELECT event_type, 'late', NULL FROM e WHERE again > 1) GROUP BY event_type""")
 def k7_counter_deltas(t):
     """The events as a stream of scrapes, one counter for each type; each value is its own sample."""
-    place = _place(t, "deltas")
+    folder = _place(t, "deltas")
     schema = t.events.schema
     stream = t._spark.readStream.schema(schema).parquet(f"{t._folder}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     out = state.counter_deltas(stream.withColumn("name", F.lit("value")), "event_type", "name", "ts", "value")
     with state.with_state_store(t._spark):
-        out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     kind = lambda k: F.count_if(F.col("kind") == k)
-    return t._spark.read.schema(out.schema).parquet(f"{place}/out").groupBy("event_type").agg(F.count("*").alias("scrapes"), kind("late").alias("late"), kind("reset").alias("resets"), F.round(F.sum("delta"), 4).alias("grown"))
+    return t._spark.read.schema(out.schema).parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("scrapes"), kind("late").alias("late"), kind("reset").alias("resets"), F.round(F.sum("delta"), 4).alias("grown"))
 
 
 @query("SELECT user_id::VARCHAR AS id, max(event_id) AS seq, max_by(event_type, event_id) AS status FROM events GROUP BY user_id")
 def k3_error_ledger(t):
     """The events as a stream to a ledger of each user's last state, its changes committed batch by batch."""
-    place = _place(t, "ledger")
+    folder = _place(t, "ledger")
     stream = t._spark.readStream.schema(t.events.schema).parquet(f"{t._folder}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     out = state.error_ledger(stream, "user_id", "event_id", "event_type", "ts", keep=100 * 366 * 86400)
-    table = commits.Committed(t._spark, f"{place}/table")
+    table = commits.Committed(t._spark, f"{folder}/table")
     table.claim("ledger")
     with state.with_state_store(t._spark):
-        out.writeStream.outputMode("update").foreachBatch(lambda batch, n: table.append(batch, n)).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+        out.writeStream.outputMode("update").foreachBatch(lambda batch, n: table.append(batch, n)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return table.read().groupBy("id").agg(F.max("seq").alias("seq"), F.max_by("status", "seq").alias("status"))
 
 
@@ -296,11 +294,11 @@ def a8_prompts(t):
 @query("SELECT doc_id::VARCHAR AS condition_id, source, lang AS language, text AS messages_json, CASE WHEN doc_id % 2 = 0 THEN 'e' END AS evaluation_json FROM documents")
 def a9_conditions(t):
     """A condition file of the documents, with an evaluation for some and a column that nobody asks for."""
-    place = _place(t, "conditions")
+    folder = _place(t, "conditions")
     fixed = {"condition_id": F.col("doc_id").cast("string"), "source": F.col("source"), "language": F.col("lang"), "messages_json": F.col("text")}
     cols = [fixed.get(c, F.lit("x")).alias(c) for c in files.CONDITION_COLUMNS]
-    t.documents.select(*cols, F.when(F.col("doc_id") % 2 == 0, "e").alias("evaluation_json"), F.lit(1).alias("more")).write.parquet(place)
-    return files.conditions(t._spark, place).select("condition_id", "source", "language", "messages_json", "evaluation_json")
+    t.documents.select(*cols, F.when(F.col("doc_id") % 2 == 0, "e").alias("evaluation_json"), F.lit(1).alias("more")).write.parquet(folder)
+    return files.conditions(t._spark, folder).select("condition_id", "source", "language", "messages_json", "evaluation_json")
 
 
 @query("SELECT unnest(range(0, len(l) - 1)) AS line_no, unnest(l[:-2]) AS line FROM (SELECT string_split(text, chr(10)) AS l FROM documents) WHERE len(l) > 1")
@@ -348,19 +346,19 @@ def b1_write_dataset(t):
 @query("SELECT lang, count(*) AS rows, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
 def a2_scan_shards(t):
     """Shards of each language two folders deep; a manifest and a cache of rows beside them are not read."""
-    place = _place(t, "corpus")
-    t.documents.select("lang", F.lit("v1").alias("version"), "lang", "n_chars").toDF("language", "version", "lang", "n_chars").write.partitionBy("language", "version").parquet(f"{place}/processed")
-    t.documents.select("lang", "n_chars").write.parquet(f"{place}/cache")
-    return files.scan_shards(t._spark, place).groupBy("lang").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"))
+    folder = _place(t, "corpus")
+    t.documents.select("lang", F.lit("v1").alias("version"), "lang", "n_chars").toDF("language", "version", "lang", "n_chars").write.partitionBy("language", "version").parquet(f"{folder}/processed")
+    t.documents.select("lang", "n_chars").write.parquet(f"{folder}/cache")
+    return files.scan_shards(t._spark, folder).groupBy("lang").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"))
 
 
 @query("SELECT lang, count(*) AS rows, count(DISTINCT doc_id) AS ids FROM documents GROUP BY lang")
 def a1_scan(t):
     """Files two folders deep, read as one table of two columns; other columns are not read, other files not either."""
-    place = _place(t, "tree")
-    t.documents.select("*", F.col("source").alias("a"), F.col("lang").alias("b")).write.partitionBy("a", "b").parquet(f"{place}/x")
-    t.documents.select("text").write.text(f"{place}/y")
-    return files.scan(t._spark, place, ["doc_id", "lang"]).groupBy("lang").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"))
+    folder = _place(t, "tree")
+    t.documents.select("*", F.col("source").alias("a"), F.col("lang").alias("b")).write.partitionBy("a", "b").parquet(f"{folder}/x")
+    t.documents.select("text").write.text(f"{folder}/y")
+    return files.scan(t._spark, folder, ["doc_id", "lang"]).groupBy("lang").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"))
 
 
 @query("SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 128 AS batch, ((row_number() OVER (ORDER BY ts, event_id) - 1) % 128)::INTEGER AS place FROM events")
@@ -371,9 +369,9 @@ def a4_ordered_batches(t):
 @query("SELECT 'documents' AS part, count(*) AS rows FROM documents UNION ALL SELECT 'pages', count(*) FROM pages")
 def b2_published(t):
     """Two tables as one bundle, shown whole; the marker beside them says how many rows each has."""
-    place = _place(t, "bundle")
-    marker = K.publish_whole(t._spark, {"documents": t.documents.select("doc_id", "text"), "pages": t.pages.select("page_id", "url")}, place, {"run": 1})
-    parts = [t._spark.read.parquet(f"{place}/{p}").agg(F.lit(p).alias("part"), F.count("*").alias("rows")).where(F.col("rows") == n) for p, n in marker["rows"].items()]
+    folder = _place(t, "bundle")
+    marker = K.publish_whole(t._spark, {"documents": t.documents.select("doc_id", "text"), "pages": t.pages.select("page_id", "url")}, folder, {"run": 1})
+    parts = [t._spark.read.parquet(f"{folder}/{p}").agg(F.lit(p).alias("part"), F.count("*").alias("rows")).where(F.col("rows") == n) for p, n in marker["rows"].items()]
     return parts[0].unionByName(parts[1])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow table through the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_places: list[str] = []
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for what a result still reads: run-<application id>/<name>-<random>."""
+    _places.append(f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return _places[-1]
+
+
+def clean_places(spark: SparkSession) -> None:
+    """Remove the folders that this process asked for; results that read them are gone with them."""
+    while _places:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_places.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -129,3 +129,15 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+def test_folders_of_queries_can_be_removed(spark):
+    from pathlib import Path
+
+    from sparkloom import session
+
+    where = Path(session.place(spark, "x").replace("file:", ""))
+    spark.range(3).write.parquet(str(where))
+    assert where.exists() and where.parent.name.startswith("run-")
+    session.clean_places(spark)
+    assert not where.exists() and not session._places
