@@ -142,7 +142,7 @@ def h22_warmup(t):
 
 @query("SELECT user_id, event_id FROM events QUALIFY sum(round(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id) <= 500")
 def h23_fitting_prefix(t):
-    e = t.events.select("user_id", "event_id", F.rint("value").cast("long").alias("size"))
+    e = t.events.select("user_id", "event_id", F.round("value").cast("long").alias("size"))
     return S.fitting_prefix(e, ["user_id"], "event_id", "size", 500).select("user_id", "event_id")
 
 

@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
 from sparkloom import plans
@@ -45,6 +46,14 @@ def test_pages_with_a_cut_reference_as_the_sql_has_them(spark, tmp_path):
     assert [r.text for r in plans.QUERIES["d13_html_text"](spark, str(tmp_path)).collect()] == ['x &&amp\ny"']
 
 
+def test_fitting_prefix_rounds_and_keeps_ties_together(spark, tmp_path):
+    rows = [(1, 1, 300.0), (1, 2, 200.5), (1, 3, 0.0), (2, 1, 500.0), (3, 1, 400.0), (3, 2, 60.0), (3, 2, 60.0), (4, None, 1.0), (4, 5, 500.0)]
+    spark.createDataFrame(rows, "user_id long, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.sql(plans.SQL["h23_fitting_prefix"].replace("events", f"'{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in plans.QUERIES["h23_fitting_prefix"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) == [(1, 1), (2, 1), (3, 1), (4, 5)]
+
+
 def test_scores(spark):
     cases = [("exact_match", "A", "A", True), ("exact_match", "A ", "A", False), ("normalized_exact_match", " The, END!", "the end", True), ("multiple_choice_accuracy", "answer: b.", "B", True), ("multiple_choice_accuracy", "(c", "C", False), ("multiple_choice_accuracy", "Option d)", "D", True), ("multiple_choice_accuracy", "A", "AB", None)]
     df = spark.createDataFrame(cases, "m string, p string, r string, want boolean")
