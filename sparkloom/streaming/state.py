@@ -7,12 +7,23 @@ its live keys. Times are microseconds inside the state.
 
 from __future__ import annotations
 
+import heapq
+import os
+import tempfile
+from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice, pairwise
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+#: Scrapes of a counter that are sorted in memory at once, and rows of a batch of results.
+RUN, ROWS = 1 << 18, 1 << 14
+_SCRAPE = np.dtype([("at", "<i8"), ("value", "<f8")])
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -38,6 +49,40 @@ def _renewed(handle, at: int, keep_ms: int) -> None:
     handle.registerTimer(at // 1000 + keep_ms)
 
 
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """The scrapes of frames by time and value, ROWS at once. Runs of RUN scrapes are sorted and lie in a file
+    until they are merged, so that no counter is held whole."""
+    with tempfile.TemporaryFile(buffering=0) as f:
+        ends, held, n = [0], [], 0
+
+        def put() -> None:
+            run = np.concatenate(held)
+            raw = memoryview(run[np.lexsort((run["value"], run["at"]))].tobytes())
+            ends.append(ends[-1] + len(run))
+            while raw:
+                raw = raw[f.write(raw) :]
+            held.clear()
+
+        def run(a: int, b: int):
+            for i in range(a, b, ROWS):
+                # a value that is no number comes behind the others of its time
+                yield from ((t, v != v, v) for t, v in np.frombuffer(os.pread(f.fileno(), (min(b, i + ROWS) - i) * _SCRAPE.itemsize, i * _SCRAPE.itemsize), _SCRAPE).tolist())
+
+        for frame in frames:
+            part = np.empty(len(frame), _SCRAPE)
+            part["at"], part["value"] = frame["at"].to_numpy(), frame["value"].to_numpy()
+            held.append(part)
+            n += len(part)
+            if n >= RUN:
+                put()
+                n = 0
+        if held:
+            put()
+        merged = heapq.merge(*[run(a, b) for a, b in pairwise(ends)])
+        while some := [(t, v) for t, _, v in islice(merged, ROWS)]:
+            yield np.array(some, _SCRAPE)
+
+
 class _Deltas(StatefulProcessor):
     def __init__(self, keep_ms: int):
         self._keep = keep_ms
@@ -49,16 +94,24 @@ class _Deltas(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         last = tuple(self._last.get()) if self._last.exists() else None
         begun = last
-        for r in sorted(rows, key=lambda r: (r.at, r.value)):
-            kind, delta, since = "first", None, None
-            if last is not None and r.at <= last[0]:
-                kind = "late"
-            elif last is not None:
-                kind, since = ("reset" if r.value < last[1] else "step"), last[0]
-                delta = r.value if kind == "reset" else r.value - last[1]
-            if kind != "late":
-                last = (r.at, r.value)
-            yield Row(source=key[0], counter=key[1], at=r.at, value=r.value, delta=delta, since=since, kind=kind)
+        for part in _in_order(rows):
+            at, value = part["at"], part["value"]
+            fresh = np.append(True, at[1:] > at[:-1]) & (last is None or at > last[0])
+            kind, delta, since, none = np.full(len(part), "late", object), np.zeros(len(part)), np.zeros(len(part), np.int64), ~fresh
+            if fresh.any():
+                new, now = at[fresh], value[fresh]
+                before = np.append(np.nan if last is None else last[1], now[:-1])
+                reset = now < before
+                kind[fresh], delta[fresh] = np.where(reset, "reset", "step"), np.where(reset, now, now - before)
+                since[fresh] = np.append(0 if last is None else last[0], new[:-1])
+                if last is None:
+                    kind[0], none[0] = "first", True
+                last = (int(new[-1]), float(now[-1]))
+            real = lambda x, t, mask=None: pd.Series(pa.array(x, mask=mask), dtype=pd.ArrowDtype(t))  # noqa: E731  no null for what is no number
+            yield pd.DataFrame({
+                "source": pd.Series([key[0]] * len(part), dtype=object), "counter": pd.Series([key[1]] * len(part), dtype=object), "at": at, "value": real(value, pa.float64()),
+                "delta": real(delta, pa.float64(), none), "since": real(since, pa.int64(), none), "kind": kind,
+            })
         if last != begun:
             self._last.update(last)
             _renewed(self._handle, last[0], self._keep)
@@ -85,7 +138,7 @@ def counter_deltas(stream: DataFrame, source: str, counter: str, ts: str, value:
     """
     rows = stream.where(F.col(ts).isNotNull() & F.col(value).isNotNull()).withWatermark(ts, late)
     rows = rows.select(F.col(source).cast("string").alias("source"), F.col(counter).cast("string").alias("counter"), F.unix_micros(F.col(ts)).alias("at"), F.col(value).cast("double").alias("value"), F.col(ts).alias("event_time"))
-    out = rows.groupBy("source", "counter").transformWithState(_Deltas(keep * 1000), "source string, counter string, at long, value double, delta double, since long, kind string", "Append", "eventTime")
+    out = rows.groupBy("source", "counter").transformWithStateInPandas(_Deltas(keep * 1000), "source string, counter string, at long, value double, delta double, since long, kind string", "Append", "eventTime")
     return out.select(F.col("source").alias(source), F.col("counter").alias(counter), F.timestamp_micros("at").alias(ts), F.col("value").alias(value), "delta", F.timestamp_micros("since").alias("since"), "kind")
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,46 @@ def test_counter_deltas(spark, tmp_path):
     ], key=lambda r: r)
 
 
+def test_a_hot_counter_is_not_held_whole(monkeypatch, spark, tmp_path):
+    """Runs in a file, merged; what comes out comes in bounded batches, and no number stays no number."""
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 300), float(rng.randint(0, 9))) for _ in range(900)] + [(7, float("nan"))]
+    frames = [pd.DataFrame(rows[i : i + 40], columns=["at", "value"]) for i in range(0, len(rows), 40)]
+    monkeypatch.setattr(state, "RUN", 100)
+    monkeypatch.setattr(state, "ROWS", 16)
+    parts = list(state._in_order(iter(frames)))
+    assert max(map(len, parts)) == 16 and [repr(x) for p in parts for x in p.tolist()] == [repr(x) for x in sorted(rows, key=lambda r: (r[0], r[1] != r[1], r[1]))]
+
+    class One:
+        """The state and timers of one key."""
+
+        def __init__(self):
+            self.held = None
+
+        getValueState = lambda self, *_: self
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        update = lambda self, x: setattr(self, "held", x)
+        listTimers = lambda self: ()
+        registerTimer = lambda self, at: None
+
+    one, got, last = state._Deltas(1000), [], None
+    one.init(One())
+    for half in (frames[:15], frames[15:]):
+        for out in one.handleInputRows(("s", "c"), iter(half), None):
+            assert len(out) <= 16
+            got += [(a, k, None if pd.isna(d) and k != "step" else d) for a, k, d in zip(out["at"], out["kind"], out["delta"], strict=True)]
+    want = []
+    for half in (rows[:600], rows[600:]):
+        for at, v in sorted(half, key=lambda r: (r[0], r[1] != r[1], r[1])):
+            if last is not None and at <= last[0]:
+                want.append((at, "late", None))
+                continue
+            want.append((at, "first", None) if last is None else (at, "reset", v) if v < last[1] else (at, "step", v - last[1]))
+            last = (at, v)
+    assert got == want
+
+
 LEDGER = "id string, seq long, status string, at timestamp"
 
 
