@@ -236,7 +236,7 @@ def file_hashes(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Chunks of one file are hashed by different tasks; an empty file has no chunk.
     """
     pieces = files.select("path", "bytes", F.explode(F.when(F.col("bytes") > 0, F.sequence(F.lit(0).cast("long"), F.expr(f"(bytes - 1) div {chunk}"))).otherwise(F.array(F.lit(-1).cast("long")))).alias("i"))
-    pieces = pieces.repartition("path", "i")
+    pieces = pieces.repartition("path", "i").sortWithinPartitions("path", "i")  # a task opens a file once
 
     def run(batches):
         files = _Files()
