@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, shared_dir  # noqa: F401
+from ..session import bounded_batches, checkpointed, shared_dir  # noqa: F401
 
 #: Rows handled at once inside an Arrow batch; bounds the temporary arrays.
 SLICE_BYTES = 1 << 20
@@ -20,17 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Arrow batches of at most so many bytes: texts are wide, and 10,000 rows of
-    them in each Python worker, and again outside the heap, cost more than the work.
-    A smaller setting of the session stands."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "64m").lower()
-    size = int(now.rstrip("bkmg")) << {"k": 10, "m": 20, "g": 30}.get(now.rstrip("b")[-1:], 0)
-    if not 0 < size <= most:
-        spark.conf.set(key, str(most))
-
-
 _made: list[str] = []
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import bounded_batches
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -21,10 +23,16 @@ class Tables:
 
 
 def query(sql: str | None = None):
-    """Registers a function of Tables under its name."""
+    """Registers a function of Tables under its name.
+
+    A query's Arrow batches are bounded by bytes: what its Python workers hold does not grow with the texts."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            bounded_batches(spark)
+            return f(Tables(spark, folder))
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f

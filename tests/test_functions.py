@@ -9,6 +9,7 @@ from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
 from sparkloom.operators import metrics as G
 from sparkloom.operators import sequence as S
+from sparkloom.plans import registry
 
 
 def one(spark, column, **values):
@@ -54,6 +55,22 @@ def test_fitting_prefix_rounds_and_keeps_ties_together(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str) == [(1, 1), (2, 1), (3, 1), (4, 5)]
 
 
+def test_batches_of_queries_are_bounded_by_bytes(spark):
+    @F.pandas_udf("long")
+    def held(s):
+        return s.map(len).sum() + 0 * s.map(len)
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    try:
+        registry.query()(lambda t: t._spark.range(0, 300, 1, 1).select(held(F.repeat(F.lit("x"), 100_000)).alias("n")))
+        assert max(r.n for r in plans.QUERIES["<lambda>"](spark, "").collect()) <= 5 << 20
+    finally:
+        plans.QUERIES.pop("<lambda>", None)
+        spark.conf.set(key, before)
+
+
 def test_scores(spark):
     cases = [("exact_match", "A", "A", True), ("exact_match", "A ", "A", False), ("normalized_exact_match", " The, END!", "the end", True), ("multiple_choice_accuracy", "answer: b.", "B", True), ("multiple_choice_accuracy", "(c", "C", False), ("multiple_choice_accuracy", "Option d)", "D", True), ("multiple_choice_accuracy", "A", "AB", None)]
     df = spark.createDataFrame(cases, "m string, p string, r string, want boolean")
