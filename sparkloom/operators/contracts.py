@@ -122,26 +122,33 @@ def recipe(method: Column, block_size: Column, epochs: Column, lr: Column, gamma
 def isolated(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch_rows: int = 64) -> DataFrame:
     """The rows that work makes of batches of df, with the column error.
 
-    A batch that fails is tried row by row; a row that fails alone comes back
-    with its own columns where schema has them, nulls elsewhere, and what was
-    raised in error.
+    A batch that fails is halved until its parts pass or are single rows; a
+    row that fails alone comes back with its own columns where schema has
+    them, nulls elsewhere, and what was raised in error.
     """
     names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
 
-    def one(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def one(part: pd.DataFrame, done: list[pd.DataFrame], failed: list[tuple]) -> None:
         try:
-            yield work(part)[names].assign(error=None)
+            done.append(work(part)[names])
         except Exception as e:
             if len(part) > 1:
-                for i in range(len(part)):
-                    yield from one(part.iloc[i : i + 1])
+                half = len(part) // 2
+                one(part.iloc[:half], done, failed)
+                one(part.iloc[half:], done, failed)
             else:
-                yield part.reindex(columns=names).assign(error=f"{type(e).__name__}: {e}")
+                failed.append((part, f"{type(e).__name__}: {e}"))
 
     def run(batches):
         for batch in batches:
+            done, failed = [], []
             for at in range(0, len(batch), batch_rows):
-                yield from one(batch.iloc[at : at + batch_rows])
+                one(batch.iloc[at : at + batch_rows], done, failed)
+            # few frames go back, however many rows failed
+            if done:
+                yield pd.concat(done).assign(error=None)
+            if failed:
+                yield pd.concat([p for p, _ in failed]).reindex(columns=names).assign(error=[e for _, e in failed])
 
     return df.mapInPandas(run, f"{schema}, error string")
 

@@ -91,6 +91,22 @@ def test_failures_stay_with_their_rows(spark):
     assert got[3][1] == "KeyError: 'three'" and all(got[i] == (2 * i, None) for i in range(8) if i != 3)
 
 
+def test_few_calls_and_frames_for_failing_rows(spark, tmp_path):
+    """A batch is halved, not taken apart: a failing row of 64 costs 13 calls, and its batch comes back in two frames."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def work(part):
+        calls.add(1)
+        if (part.x % 64 == 7).any():
+            raise ValueError(f"bad {part.x.iloc[0]}")
+        return part.assign(y=part.x * 2)
+
+    rows = spark.range(0, 640, 1, 1).select(F.col("id").alias("x"))
+    got = {r.x: (r.y, r.error) for r in K.isolated(rows, work, "x long, y double").collect()}
+    assert got == {i: (None, f"ValueError: bad {i}") if i % 64 == 7 else (2 * i, None) for i in range(640)}
+    assert calls.value == 10 * 13
+
+
 def test_verified_counts(spark):
     assert packed.verified_count({"status": "PASS", "conditions": 4}, spark.range(4)) == 4
     for marker in ({"status": "PASS", "conditions": 5}, {"status": "FAIL", "conditions": 4}, {}):
