@@ -14,6 +14,9 @@ from ..functions import vectors as V
 from ..violations import Checked, ContractError, require_empty, split_by
 from . import sequence as S
 
+#: Rows that make a key hot, and keys that are treated as such at most.
+HOT, MOST_HOT = 100_000, 4096
+
 
 def checked_samples(df: DataFrame, layers: int, width: int) -> Checked:
     """sample_id, source_index, input_ids, loss_mask, aux, final: shapes, finiteness, duplicate ids.
@@ -21,14 +24,22 @@ def checked_samples(df: DataFrame, layers: int, width: int) -> Checked:
     aux has tokens * layers * width values, final tokens * width.
     """
     n = F.size("input_ids")
-    repeated = df.groupBy("sample_id").agg(F.count("*").alias("_c"))
-    d = df.join(repeated, "sample_id")
+    d = _marked_repeats(df, "sample_id", "_repeated")
     reason = (
         F.when(n < 1, "no tokens").when(F.size("loss_mask") != n, "mask length").when(F.size("aux") != n * layers * width, "aux shape")
-        .when(F.size("final") != n * width, "final shape").when(~V.finite(F.col("aux")) | ~V.finite(F.col("final")), "not finite").when(F.col("_c") > 1, "duplicate id")
+        .when(F.size("final") != n * width, "final shape").when(~V.finite(F.col("aux")) | ~V.finite(F.col("final")), "not finite").when(F.col("_repeated"), "duplicate id")
     )
     c = split_by(d, reason)
-    return Checked(c.good.drop("_c"), c.bad.drop("_c"))
+    return Checked(c.good.drop("_repeated"), c.bad.drop("_repeated"))
+
+
+def _marked_repeats(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with whether its key comes more than once (a null one does not); the rows of the MOST_HOT largest keys of
+    over HOT rows stay where they are, the others are met by a shuffle in which no key is large."""
+    times = df.groupBy(key).agg(F.count("*").alias("_c")).where((F.col("_c") > 1) & F.col(key).isNotNull())
+    hot = F.broadcast(times.where(F.col("_c") > HOT).orderBy(F.desc("_c"), key).limit(MOST_HOT).select(key))
+    cold = df.join(hot, key, "left_anti").join(times.select(key, F.lit(True).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return df.join(hot, key, "left_semi").withColumn(name, F.lit(True)).unionByName(cold)
 
 
 def index(df: DataFrame, cap: int, layers: int, width: int, shard: str = "shard") -> DataFrame:

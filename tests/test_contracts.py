@@ -107,6 +107,25 @@ def test_few_calls_and_frames_for_failing_rows(spark, tmp_path):
     assert calls.value == 10 * 13
 
 
+def test_rows_of_a_hot_id_stay_where_they_are(monkeypatch, spark):
+    monkeypatch.setattr(packed, "HOT", 10, raising=False)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        i = F.col("id")
+        ids = F.when(i % 2 == 0, "hot").when(i < 10, F.concat(F.lit("twice"), (i % 4).cast("string"))).when(i == 39, None).otherwise(i.cast("string"))
+        one = lambda v: F.array(F.lit(v))
+        df = spark.range(0, 40, 1, 4).select(ids.alias("sample_id"), i.alias("source_index"), one(1).alias("input_ids"), one(1).alias("loss_mask"), F.array_repeat(F.lit(1.0), 2).alias("aux"), one(1.0).alias("final"))
+        c = packed.checked_samples(df, 2, 1)
+        bad = c.bad.select("source_index", "sample_id", "violation", F.spark_partition_id().alias("p")).collect()
+        assert sorted(r.source_index for r in bad) == sorted([*range(0, 40, 2), 1, 3, 5, 7, 9]) and {r.violation for r in bad} == {"duplicate id"}
+        assert sorted(r.source_index for r in c.good.collect()) == list(range(11, 40, 2))
+        assert len({r.p for r in bad if r.sample_id == "hot"}) == 4
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_verified_counts(spark):
     assert packed.verified_count({"status": "PASS", "conditions": 4}, spark.range(4)) == 4
     for marker in ({"status": "PASS", "conditions": 5}, {"status": "FAIL", "conditions": 4}, {}):
