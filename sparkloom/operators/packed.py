@@ -67,8 +67,8 @@ def index(df: DataFrame, cap: int, layers: int, width: int, shard: str = "shard"
 
 def streams(idx: DataFrame, shard: str = "shard") -> DataFrame:
     """Index in long form: one row for each sample and stream."""
-    long = idx.select(shard, "segment", "sample_id", F.explode("offsets").alias("stream", "offset"), "nbytes", "sha256")
-    return long.select(shard, "segment", "sample_id", "stream", "offset", F.try_element_at("nbytes", F.col("stream")).alias("nbytes"), F.try_element_at("sha256", F.col("stream")).alias("sha256"))
+    long = idx.select(shard, "segment", "sample_id", "source_index", F.explode("offsets").alias("stream", "offset"), "nbytes", "sha256")
+    return long.select(shard, "segment", "sample_id", "source_index", "stream", "offset", F.try_element_at("nbytes", F.col("stream")).alias("nbytes"), F.try_element_at("sha256", F.col("stream")).alias("sha256"))
 
 
 def recovered(payload: DataFrame, idx: DataFrame, key: str = "sample_id") -> tuple[DataFrame, DataFrame]:
@@ -84,10 +84,16 @@ def manifest(idx: DataFrame) -> DataFrame:
 
 
 def seal(idx: DataFrame) -> DataFrame:
-    """What a frozen store records of each segment and stream: bytes, rows and a digest of checksums in order."""
+    """What a frozen store records of each segment and stream: bytes, rows and a digest of checksums in order.
+
+    A sample without bytes has the offset of the one behind it; such samples
+    come in the order of the source. Missing checksums are left out, without
+    any there is no digest.
+    """
     s = streams(idx)
-    ordered = F.sort_array(F.collect_list(F.struct("offset", "sha256")))
-    return s.groupBy("shard", "segment", "stream").agg(F.max(F.col("offset") + F.col("nbytes")).alias("bytes"), F.count("*").alias("rows"), F.sha2(F.array_join(F.transform(ordered, lambda x: x["sha256"]), "\n"), 256).alias("digest"))
+    ordered = F.sort_array(F.collect_list(F.struct("offset", "source_index", "sha256")))
+    digest = F.when(F.count("sha256") > 0, F.sha2(F.array_join(F.transform(ordered, lambda x: x["sha256"]), "\n"), 256))
+    return s.groupBy("shard", "segment", "stream").agg(F.max(F.col("offset") + F.col("nbytes")).alias("bytes"), F.count("*").alias("rows"), digest.alias("digest"))
 
 
 def verify(idx: DataFrame, sealed: DataFrame) -> None:

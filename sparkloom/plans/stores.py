@@ -59,7 +59,7 @@ def _index(t):
 
 @query("""SELECT source AS shard, 'ids' AS stream, sum(n_chars)::BIGINT AS bytes, count(*) AS rows, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source""")
 def b8_seal(t):
-    s = packed.seal(_index(t).where("tokens > 0"))
+    s = packed.seal(_index(t))
     return s.select("shard", "stream", F.col("bytes").cast("long"), "rows", "digest")
 
 

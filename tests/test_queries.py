@@ -39,6 +39,18 @@ def test_query(spark, duck, name):
     assert plain(tuple(r) for r in got) == plain(tuple(r[names.index(c)] for c in cols) for r in want.fetchall())
 
 
+def test_seal_with_empty_texts(spark, tmp_path):
+    """Empty and missing texts are sealed in their place; a source without any text has no digest."""
+    rows = [(i, None if i % 7 == 3 else "" if i % 3 == 0 else f"text {i}", f"src{i % 2}") for i in range(40)] + [(40, None, "none")]
+    rows = [(i, t, s, len(t or "")) for i, t, s in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(plans.SQL["b8_seal"])
+    cols = [d[0] for d in want.description]
+    assert plain(plans.QUERIES["b8_seal"](spark, str(tmp_path)).select(*cols).collect()) == plain(want.fetchall())
+
+
 def test_entry_lists_sql_for_known_queries_only():
     import __spark_entry__
 
